@@ -1,0 +1 @@
+"""Every run of this engine is a finite batch of files, so nothing lives here."""
