@@ -77,10 +77,14 @@ TEXT = {
 
 
 def by_format(values: dict, col="format") -> Column:
-    """Value looked up from the format column, null for other formats."""
-    items = list(values.items())
-    first = F.when(F.col(col) == items[0][0], F.lit(items[0][1]))
-    return reduce(lambda chain, kv: chain.when(F.col(col) == kv[0], F.lit(kv[1])), items[1:], first)
+    """Whole number, text or array of numbers looked up from the format column, null for other formats."""
+    def literal(v):
+        if isinstance(v, (list, tuple)):
+            return "array(" + ", ".join(str(int(x)) for x in v) + ")"
+        return "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(int(v))
+
+    cases = " ".join(f"WHEN '{name}' THEN {literal(v)}" for name, v in values.items())
+    return F.expr(f"CASE {col} {cases} END")
 
 
 def findings(df: DataFrame, code, severity, message, fix_hint, line_no="line_no") -> DataFrame:
@@ -103,7 +107,7 @@ def length_verdict(lines: DataFrame, use_counters=False) -> DataFrame:
     accepted = {name: [f.length] for name, f in FORMAT.items()}
     for name, length in LENGTH_VARIANTS:
         accepted[name].append(length)
-    declared = by_format({name: F.array(*[F.lit(v) for v in sorted(ls)]) for name, ls in accepted.items()})
+    declared = by_format({name: sorted(lengths) for name, lengths in accepted.items()})
     conforming = F.array_contains(declared, F.length("line"))
     if use_counters:
         for name, zones in ZONES.items():
@@ -249,12 +253,15 @@ def check_nir_missing(lines: DataFrame) -> DataFrame:
     )
 
 
+# Formats whose birth date has a width; the others hold none to read.
+DATED_FORMATS = {f.name: f for f in FORMAT.values() if f.ddn_end > f.ddn_start}
+
+
 def _birth_dates(lines: DataFrame) -> DataFrame:
-    """Lines of known formats with the start, width and text of their birth date."""
-    known = lines.filter(F.col("format").isin(list(FORMAT)))
-    start = by_format({name: f.ddn_start + 1 for name, f in FORMAT.items()})
-    width = by_format({name: f.ddn_end - f.ddn_start for name, f in FORMAT.items()})
-    return known.withColumn("_start", start).withColumn("_width", width)
+    """Lines of the dated formats with the start, width and text of their birth date."""
+    start = by_format({name: f.ddn_start + 1 for name, f in DATED_FORMATS.items()})
+    width = by_format({name: f.ddn_end - f.ddn_start for name, f in DATED_FORMATS.items()})
+    return lines.filter(F.col("format").isin(list(DATED_FORMATS))).withColumn("_start", start).withColumn("_width", width)
 
 
 def check_birth_date(lines: DataFrame, block=65_536) -> DataFrame:

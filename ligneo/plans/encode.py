@@ -7,6 +7,8 @@ written at chosen ids so that each check has something to find; no row is left o
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ligneo.session import cut_lineage
+
 
 def digits(x, width):
     return f"lpad(CAST({x} AS STRING), {width}, '0')"
@@ -141,3 +143,8 @@ def encoded(spark: SparkSession, sf_dir, *kinds) -> DataFrame:
     for part in parts[1:]:
         whole = whole.unionByName(part)
     return whole.withColumn("line_no", F.col("line_no").cast("bigint"))
+
+
+def staged(spark: SparkSession, sf_dir, *kinds) -> DataFrame:
+    """The same lines written once, as a scan of real files leaves them; for work that passes over them often."""
+    return cut_lineage(encoded(spark, sf_dir, *kinds))
