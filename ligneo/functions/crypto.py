@@ -25,17 +25,24 @@ def key_pads(spark: SparkSession, key: bytes) -> DataFrame:
 
 
 class Keyed:
-    """Pseudonym expressions bound to one key."""
+    """Pseudonym expressions under one key. They read two columns that `attach` adds and `detach` removes."""
 
     def __init__(self, pads: DataFrame):
-        self._inner = F.unhex(pads.select("inner").scalar())
-        self._outer = F.unhex(pads.select("outer").scalar())
+        self._pads = pads
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        pad = lambda name: F.unhex(self._pads.select(name).scalar()).alias(f"_{name}_pad")
+        return df.select("*", pad("inner"), pad("outer"))
+
+    @staticmethod
+    def detach(df: DataFrame) -> DataFrame:
+        return df.drop("_inner_pad", "_outer_pad")
 
     def mac(self, domain, col) -> Column:
         """HMAC-SHA256 of domain, unit separator and value, in lower-case hexadecimal."""
         message = F.concat(F.lit(domain + "\u001f"), col).cast("binary")
-        inner = F.unhex(F.sha2(F.concat(self._inner, message), 256))
-        return F.sha2(F.concat(self._outer, inner), 256)
+        inner = F.unhex(F.sha2(F.concat(F.col("_inner_pad"), message), 256))
+        return F.sha2(F.concat(F.col("_outer_pad"), inner), 256)
 
     def token(self, domain, col, width) -> Column:
         """Pseudonym of the same length; `width` is the widest value the field can hold."""

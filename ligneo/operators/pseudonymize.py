@@ -79,6 +79,10 @@ def patient_key(lines: DataFrame, specs: dict, stay_links: DataFrame, nir_links:
     return by_nir.withColumn("patient_key", key).select(*lines.columns, "patient_key")
 
 
+def _block_value(name, offset, length):
+    return lambda block: F.struct(F.lit(name).alias("field"), F.substring(block, offset + 1, length).alias("value"))
+
+
 def _kept_values(spec) -> Column:
     """(field, value) of every copied field wide enough to hold an identifier, blocks included."""
     line = F.col("line")
@@ -87,12 +91,7 @@ def _kept_values(spec) -> Column:
         for f in spec.fields if f.role == "Keep" and f.length >= MINIMUM_IDENTIFIER
     ]
     blocks = [
-        F.transform(
-            zone_blocks(line, spec, zone.name),
-            lambda b, z=zone, o=offset, n=length: F.struct(
-                F.lit(f"{spec.format}.{z.name}").alias("field"), F.substring(b, o + 1, n).alias("value")
-            ),
-        )
+        F.transform(zone_blocks(line, spec, zone.name), _block_value(f"{spec.format}.{zone.name}", offset, length))
         for zone in spec.zones for offset, length, role in zone.fields if role == "Keep" and length >= MINIMUM_IDENTIFIER
     ]
     empty = F.array().cast("array<struct<field:string,value:string>>")
@@ -166,22 +165,24 @@ def _rewritten(spec, keyed, with_leaks) -> Column:
     if position <= spec.fixed_length:
         pieces.append(mask(F.substring(line, position, spec.fixed_length + 1 - position)))
 
-    end = F.lit(spec.fixed_length)
-    for zone in spec.zones:
-
-        def block(b, zone=zone):
+    def block_rewriter(zone):
+        def rewrite(block):
             inner, at = [], 0
             for start, length, role in sorted(zone.fields):
                 if start > at:
-                    inner.append(mask(F.substring(b, at + 1, start - at)))
-                value = F.substring(b, start + 1, length)
+                    inner.append(mask(F.substring(block, at + 1, start - at)))
+                value = F.substring(block, start + 1, length)
                 inner.append(_replaced(value, length, role, keyed, offset, leaked(zone.name, value, role, length)))
                 at = start + length
             if at < zone.block_length:
-                inner.append(mask(F.substring(b, at + 1, zone.block_length - at)))
+                inner.append(mask(F.substring(block, at + 1, zone.block_length - at)))
             return F.concat(*inner)
 
-        pieces.append(F.array_join(F.transform(zone_blocks(line, spec, zone.name), block), ""))
+        return rewrite
+
+    end = F.lit(spec.fixed_length)
+    for zone in spec.zones:
+        pieces.append(F.array_join(F.transform(zone_blocks(line, spec, zone.name), block_rewriter(zone)), ""))
         end = end + counter(line, zone.count_start, zone.count_length) * zone.block_length
     tail = F.substring(line, end + 1, F.greatest(F.length(line) - end, F.lit(0)))
     return F.concat(*pieces, mask(tail))
@@ -189,7 +190,8 @@ def _rewritten(spec, keyed, with_leaks) -> Column:
 
 def pseudonymize(lines: DataFrame, specs: dict, keyed: Keyed, leaks: DataFrame) -> DataFrame:
     """Lines with `patient_key`, rewritten field by field. Lines of formats without spec are left out."""
-    known = lines.filter(F.col("format").isin(sorted(specs))).withColumn("_offset", keyed.day_offset(F.col("patient_key")))
+    known = keyed.attach(lines.filter(F.col("format").isin(sorted(specs))))
+    known = known.withColumn("_offset", keyed.day_offset(F.col("patient_key")))
     leaked = cut_lineage(leaks.select(F.concat("field", F.lit(SEPARATOR), "value").alias("leak")))
     n_leaks = leaked.limit(FEW_LEAKS + 1).count()
     if 0 < n_leaks <= FEW_LEAKS:

@@ -61,7 +61,7 @@ def explode_platform_export(records: DataFrame) -> DataFrame:
                 listed = F.when(is_array, F.try_variant_get(items, "$", "array<variant>"))
                 items = F.transform(listed, lambda v: F.when(
                     F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
-            arrays.append(F.transform(items, lambda v, t=target: F.struct(F.lit(t).alias("format"), v.alias("line"))))
+            arrays.append(F.transform(items, _line_of(target)))
     for name, target in EXPORT_CHAIN_FIELDS.items():
         if name in types:
             column, kind = types[name]
@@ -76,5 +76,9 @@ def explode_platform_export(records: DataFrame) -> DataFrame:
     return found.filter(~structure).unionByName(found.filter(structure).dropDuplicates())
 
 
+def _line_of(target):
+    return lambda value: F.struct(F.lit(target).alias("format"), value.alias("line"))
+
+
 def export_counts(exploded: DataFrame) -> DataFrame:
     return exploded.groupBy("file_path", "format").agg(F.count(F.lit(1)).alias("n_lines"))
