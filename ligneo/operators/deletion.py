@@ -6,7 +6,7 @@ import unicodedata
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -71,19 +71,21 @@ def raa_features(lines: DataFrame, spec, min_rows=HOT_ROWS) -> DataFrame:
         F.unhex(F.sha2(line, 256)).alias("_digest"),
     )
     day = ["file_path", "ipp", "date"]
-    hot = F.broadcast(hot_keys(read, day, min_rows=min_rows).select(*day))
+    hot = hot_keys(read, day, min_rows=min_rows)
+    crowded_days = None if hot is None else F.broadcast(hot.select(*day))
     in_day = W.partitionBy(*day)
-    ordinary = (
-        read.join(hot, day, "left_anti")
-        .withColumn("actes_du_jour", F.count(F.lit(1)).over(in_day))
+    ordinary = read if hot is None else read.join(crowded_days, day, "left_anti")
+    both = (
+        ordinary.withColumn("actes_du_jour", F.count(F.lit(1)).over(in_day))
         .withColumn("rang_identique", F.row_number().over(W.partitionBy(*day, "_digest").orderBy("line_no")))
         .withColumn("rang_nature_du_jour", F.row_number().over(W.partitionBy(*day, "nature").orderBy("line_no")))
     )
-    crowded = read.join(hot, day, "left_semi")
-    crowded = rank_in_group(crowded, day, "line_no", "_rank", total="actes_du_jour", min_rows=min_rows).drop("_rank")
-    crowded = rank_in_group(crowded, ["file_path", "_digest"], "line_no", "rang_identique", min_rows=min_rows)
-    crowded = rank_in_group(crowded, day + ["nature"], "line_no", "rang_nature_du_jour", min_rows=min_rows)
-    both = ordinary.unionByName(crowded).drop("_digest")
+    if hot is not None:
+        ranked = lambda df, keys, *names: cut_lineage(rank_in_group(df, keys, "line_no", *names, min_rows=min_rows))
+        crowded = ranked(read.join(crowded_days, day, "left_semi"), day, "_rank", "actes_du_jour").drop("_rank")
+        crowded = ranked(crowded, ["file_path", "_digest"], "rang_identique")
+        both = both.unionByName(ranked(crowded, day + ["nature"], "rang_nature_du_jour"))
+    both = both.drop("_digest")
     counts = ["actes_du_jour", "rang_identique", "rang_nature_du_jour"]
     return both.select(*[F.col(c).cast("double").alias(c) if c in counts else F.col(c) for c in both.columns])
 
@@ -121,10 +123,13 @@ def training_months(pairs: DataFrame) -> DataFrame:
 
 def pipeline(rounds=400, step=0.05, depth=5, min_rows_per_leaf=30, seed=2026) -> Pipeline:
     """One-hot codes and numbers into boosted trees; deletions weigh as much as all the other lines."""
+    named = [c + "_value" for c in CATEGORICAL]
     indexed = [c + "_index" for c in CATEGORICAL]
     coded = [c + "_code" for c in CATEGORICAL]
+    blanks = ", ".join(f"CASE WHEN {c} = '' THEN 'vide' ELSE {c} END AS {n}" for c, n in zip(CATEGORICAL, named))
     return Pipeline(stages=[
-        StringIndexer(inputCols=CATEGORICAL, outputCols=indexed, handleInvalid="keep"),
+        SQLTransformer(statement=f"SELECT *, {blanks} FROM __THIS__"),
+        StringIndexer(inputCols=named, outputCols=indexed, handleInvalid="keep"),
         OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=False),
         VectorAssembler(inputCols=coded + NUMERIC, outputCol="features"),
         GBTClassifier(

@@ -165,6 +165,11 @@ def nearest_first(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["line_no", "after_no"])
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """The same columns under new ids, so that two sides of one table can be grouped together."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
 def align_by_key(before: DataFrame, after: DataFrame, spec, max_group=4096, chunk=64, block=4096) -> DataFrame:
     """(pair_id, line_no, after_no): couples of lines with equal keys, nearest first in original order.
 
@@ -172,8 +177,8 @@ def align_by_key(before: DataFrame, after: DataFrame, spec, max_group=4096, chun
     Larger ones are matched `chunk` originals at a time against blocks of candidates, so no task ever holds a
     whole group; the result is the same.
     """
-    left = before.withColumn("key", pair_keys(spec))
-    right = after.withColumn("key", pair_keys(spec))
+    left = renewed(before.withColumn("key", pair_keys(spec)))
+    right = renewed(after.withColumn("key", pair_keys(spec)))
     group = ["pair_id", "key"]
     sizes = left.groupBy(*group).agg(F.count(F.lit(1)).alias("n_left")).join(
         right.groupBy(*group).agg(F.count(F.lit(1)).alias("n_right")), group

@@ -10,19 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ligneo.session import cut_lineage
+
 HOT_SHARE = 1024
 PARTS = 256
 HOT_ROWS = 1_000_000
 
 
-def hot_keys(df: DataFrame, keys, order=None, min_rows=HOT_ROWS) -> DataFrame:
-    """Keys holding more than 1/HOT_SHARE of the rows (and more than `min_rows`)."""
+def hot_keys(df: DataFrame, keys, order=None, min_rows=HOT_ROWS):
+    """Keys holding more than 1/HOT_SHARE of the rows (and more than `min_rows`), or None when there is none.
+
+    One narrow pass, counted map-side first, decides how the wide rows are then shuffled.
+    """
     measures = [F.count(F.lit(1)).alias("_rows")]
     if order is not None:
         measures += [F.min(order).alias("_low"), F.max(order).alias("_high")]
     counts = df.groupBy(*keys).agg(*measures)
     total = counts.agg(F.sum("_rows")).scalar()
-    return counts.filter((F.col("_rows") > min_rows) & (F.col("_rows") * HOT_SHARE > total))
+    hot = cut_lineage(counts.filter((F.col("_rows") > min_rows) & (F.col("_rows") * HOT_SHARE > total)))
+    return None if hot.isEmpty() else hot
 
 
 def rank_in_group(df: DataFrame, keys, order, rank, total=None, min_rows=HOT_ROWS) -> DataFrame:
@@ -31,10 +37,13 @@ def rank_in_group(df: DataFrame, keys, order, rank, total=None, min_rows=HOT_ROW
     Ordinary groups are ranked in one window. A hot group is cut into slices of its order range; each
     slice is ranked alone and shifted by the number of rows in the slices before it.
     """
-    hot = hot_keys(df, keys, order, min_rows).select(
-        *keys, "_low", F.expr(f"(_high - _low) div {PARTS} + 1").alias("_width")
-    )
-    cut = df.join(F.broadcast(hot), keys, "left").withColumn(
+    hot = hot_keys(df, keys, order, min_rows)
+    if hot is None:
+        whole = W.partitionBy(*keys)
+        out = df.withColumn(rank, F.row_number().over(whole.orderBy(order)).cast("bigint"))
+        return out.withColumn(total, F.count(F.lit(1)).over(whole)) if total else out
+    widths = hot.select(*keys, "_low", F.expr(f"(_high - _low) div {PARTS} + 1").alias("_width"))
+    cut = df.join(F.broadcast(widths), keys, "left").withColumn(
         "_slice", F.coalesce(F.expr(f"({order} - _low) div _width"), F.lit(-1).cast("bigint"))
     )
     sizes = cut.filter("_slice >= 0").groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
@@ -55,18 +64,21 @@ def rank_in_group(df: DataFrame, keys, order, rank, total=None, min_rows=HOT_ROW
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys, spread_on: Column, how="left", min_rows=HOT_ROWS) -> DataFrame:
-    """Join a big left side, possibly skewed, with a right side holding one row per key.
+    """Join a big left side with a right side, plainly when no left key is hot.
 
-    Left rows of a hot key are spread over PARTS tasks by a hash of `spread_on`; only the right rows of
-    those few keys are repeated. Left rows with a null key match nothing and are always spread.
+    Otherwise the rows of a hot key are spread over PARTS tasks by a hash of `spread_on`, and only the right
+    rows of those few keys are repeated. Left rows with a null key match nothing and are spread too.
     """
-    hot = hot_keys(left, keys, min_rows=min_rows).select(*keys, F.lit(True).alias("_hot"))
+    hot = hot_keys(left, keys, min_rows=min_rows)
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
     scattered = F.col("_hot") | reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spread = left.join(F.broadcast(hot), keys, "left").withColumn(
+    spread = left.join(hot, keys, "left").withColumn(
         "_salt", F.when(scattered, F.pmod(F.xxhash64(spread_on), F.lit(PARTS)).cast("int")).otherwise(0)
     ).drop("_hot")
     salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
     return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
