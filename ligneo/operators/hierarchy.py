@@ -37,7 +37,7 @@ def read_structure(spark: SparkSession, path) -> DataFrame:
     """(row_no, code, parent, label, level) from a delimited file; only its first line is read on the driver."""
     text = spark.read.text(path).select(
         F.monotonically_increasing_id().alias("row_no"),
-        F.regexp_replace("value", "^﻿", "").alias("value"),
+        F.regexp_replace("value", "^\\uFEFF", "").alias("value"),
     ).filter(F.length("value") > 0)
     first = text.orderBy("row_no").first()
     if first is None:

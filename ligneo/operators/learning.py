@@ -246,8 +246,8 @@ def _align_large(left: DataFrame, right: DataFrame, chunk, block) -> DataFrame:
             settled.select("pair_id", F.col("after_no").alias("line_no")), ["pair_id", "line_no"], "left_anti"
         )
         blocks = free.select(*group, "block_no").distinct()
-        spread = asking.join(blocks, group).groupBy(*group, "block_no")
-        offered = spread.cogroup(free.groupBy(*group, "block_no")).applyInPandas(offers, offer_schema)
+        spread = renewed(asking.join(blocks, group)).groupBy(*group, "block_no")
+        offered = spread.cogroup(renewed(free).groupBy(*group, "block_no")).applyInPandas(offers, offer_schema)
         nearest = W.partitionBy(*group, "line_no").orderBy("distance", "after_no")
         kept = offered.withColumn("_n", F.row_number().over(nearest)).filter(F.col("_n") <= chunk).drop("_n")
         now = kept.groupBy(*group).applyInPandas(settle, "pair_id string, line_no bigint, after_no bigint")

@@ -5,7 +5,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(master=None, shuffle_partitions=None, app="ligneo"):
+def build_session(master=None, shuffle_partitions=None, app="ligneo", driver_memory=None):
     """A session with the settings the operators were planned for."""
     builder = (
         SparkSession.builder.appName(app)
@@ -17,6 +17,8 @@ def build_session(master=None, shuffle_partitions=None, app="ligneo"):
     )
     if master:
         builder = builder.master(master)
+    if driver_memory:
+        builder = builder.config("spark.driver.memory", driver_memory)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

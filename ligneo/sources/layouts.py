@@ -31,7 +31,7 @@ def load_layouts(spark: SparkSession, folder) -> DataFrame:
     """Read every `*.format.csv` under the folder; unreadable rows are skipped."""
     text = (
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.format.csv")
-        .option("wholetext", "true").text(folder)
+        .text(folder, wholetext=True)
         .select(F.col("_metadata.file_path").alias("source"), F.col("value").alias("body"))
     )
     return parse_descriptors(text)
@@ -39,7 +39,7 @@ def load_layouts(spark: SparkSession, folder) -> DataFrame:
 
 def parse_descriptors(files: DataFrame) -> DataFrame:
     """Descriptor bodies (`source`, `body`) to layout rows. A descriptor is one small file."""
-    body = F.regexp_replace("body", "^﻿", "")
+    body = F.regexp_replace("body", "^\\uFEFF", "")
 
     def header(name, pattern):
         return F.regexp_extract(body, rf"(?im)^\s*#+\s*{name}:[ \t]*({pattern})\s*$", 1)

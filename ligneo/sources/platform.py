@@ -1,7 +1,6 @@
 """Platform exports: JSON arrays whose records carry ready-made fixed-width lines."""
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ligneo.catalogue import EXPORT_CHAIN_FIELDS, EXPORT_DEDUPLICATED, EXPORT_LINE_FIELDS
@@ -10,65 +9,57 @@ KNOWN = {**EXPORT_LINE_FIELDS, **EXPORT_CHAIN_FIELDS}
 
 
 def read_exports(spark: SparkSession, paths) -> DataFrame:
-    """One row per record: `file_path`, `record_id` and the known fields as variants, whatever their case.
+    """One row per export: `file_path`, its first character `head`, its `records` as maps (null when broken).
 
-    A first pass finds how the fields are spelled; each export is then read by one task, exports in parallel.
+    An export is one JSON document, so one task reads it; exports are read in parallel.
     """
-    reader = spark.read.option("multiLine", "true").option("recursiveFileLookup", "true")
-    spelled = [f.name for f in reader.option("primitivesAsString", "true").json(paths).schema.fields]
-    wanted = {name: name.lower() for name in spelled if name.lower() in KNOWN}
-    schema = ", ".join([f"`{name}` variant" for name in wanted] + ["_corrupt_record string"])
-    rows = reader.option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).json(paths)
-    columns = [F.col(f"`{name}`").alias(lower) for name, lower in wanted.items()]
-    missing = [F.lit(None).cast("variant").alias(name) for name in KNOWN if name not in wanted.values()]
-    return rows.select(
-        F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("record_id"),
-        F.col("_corrupt_record").isNotNull().alias("corrupt"), *columns, *missing,
+    text = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True)
+    return text.select(
+        F.col("_metadata.file_path").alias("file_path"), F.substring(F.regexp_replace("value", r"^\s+", ""), 1, 1).alias("head"),
+        F.from_json("value", "array<map<string, variant>>").alias("records"),
     )
 
 
-def is_platform_export(spark: SparkSession, paths) -> DataFrame:
-    """Per file: is it a JSON array whose first object has a known field?"""
-    heads = (
-        spark.read.option("recursiveFileLookup", "true").text(paths)
-        .select(F.col("_metadata.file_path").alias("file_path"), F.monotonically_increasing_id().alias("id"), "value")
-        .filter(F.length(F.trim("value")) > 0)
-        .groupBy("file_path").agg(F.min_by(F.substring(F.ltrim("value"), 1, 1), "id").alias("head"))
+def is_platform_export(exports: DataFrame) -> DataFrame:
+    """Per file: is it a JSON array whose first object has a known field, whatever its case?"""
+    names = F.transform(F.map_keys(F.get("records", F.lit(0))), F.lower)
+    known = F.arrays_overlap(names, F.array(*[F.lit(k) for k in KNOWN]))
+    return exports.select(
+        "file_path", F.coalesce((F.col("head") == "[") & known, F.lit(False)).alias("is_export")
     )
-    present = F.greatest(*[F.col(name).isNotNull() for name in KNOWN])
-    firsts = read_exports(spark, paths).groupBy("file_path").agg(
-        F.min_by(present, "record_id").alias("present"), F.max("corrupt").alias("corrupt")
+
+
+def export_records(exports: DataFrame) -> DataFrame:
+    """Records of the exports with the known fields as plain columns; what is not a string is left out."""
+    read = exports.select("file_path", F.posexplode("records").alias("record_no", "record")).withColumn(
+        "fields", F.transform(F.map_entries("record"), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["value"].alias("value")))
     )
-    return heads.join(firsts, "file_path", "left").select(
-        "file_path",
-        F.coalesce((F.col("head") == "[") & F.col("present") & ~F.col("corrupt"), F.lit(False)).alias("is_export"),
+    text = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    def named(name):
+        return F.filter("fields", lambda f: f["name"] == name)
+
+    def items(entry):
+        listed = F.try_variant_get(entry["value"], "$", "array<variant>")
+        is_list = F.schema_of_variant(entry["value"]).startswith("ARRAY")
+        return F.coalesce(F.when(is_list, F.transform(listed, text)), F.array().cast("array<string>"))
+
+    return read.select(
+        "file_path", "record_no",
+        *[F.flatten(F.transform(named(n), items)).alias(n) for n in EXPORT_LINE_FIELDS],
+        *[F.get(F.transform(named(n), lambda f: text(f["value"])), F.lit(0)).alias(n) for n in EXPORT_CHAIN_FIELDS],
     )
 
 
 def explode_platform_export(records: DataFrame) -> DataFrame:
-    """Records to (file_path, format, line). Structure lines are kept once per export, activity lines all.
-
-    Fields may be variants (from `read_exports`) or plain arrays of strings and strings.
-    """
-    types = {f.name.lower(): (f.name, f.dataType.typeName()) for f in records.schema.fields}
-    arrays, singles = [], []
-    for name, target in EXPORT_LINE_FIELDS.items():
-        if name in types:
-            column, kind = types[name]
-            items = F.col(column)
-            if kind == "variant":
-                is_array = F.schema_of_variant(items).startswith("ARRAY")
-                listed = F.when(is_array, F.try_variant_get(items, "$", "array<variant>"))
-                items = F.transform(listed, lambda v: F.when(
-                    F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")))
-            arrays.append(F.transform(items, _line_of(target)))
-    for name, target in EXPORT_CHAIN_FIELDS.items():
-        if name in types:
-            column, kind = types[name]
-            value = F.col(column)
-            if kind == "variant":
-                value = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
-            singles.append(F.array(F.struct(F.lit(target).alias("format"), value.alias("line"))))
+    """Records to (file_path, format, line). Structure lines are kept once per export, activity lines all."""
+    spelled = {c.lower(): c for c in records.columns}
+    arrays = [
+        F.transform(F.col(spelled[name]), _line_of(target)) for name, target in EXPORT_LINE_FIELDS.items() if name in spelled
+    ]
+    singles = [
+        F.array(_line_of(target)(F.col(spelled[name]))) for name, target in EXPORT_CHAIN_FIELDS.items() if name in spelled
+    ]
     empty = F.array().cast("array<struct<format:string,line:string>>")
     together = F.concat(*[F.coalesce(a, empty) for a in arrays + singles])
     found = records.select("file_path", F.inline(together)).filter(F.length("line") > 0)
