@@ -515,21 +515,28 @@ def list_rules(rules: DataFrame) -> DataFrame:
 # --- applying rules ---------------------------------------------------------------------------------------
 
 def matches(lines: DataFrame, rules: DataFrame, spec) -> DataFrame:
-    """(file_path, line_no) x rule for every rule that holds on the original line."""
-    fields = spec.fields
-    names = F.array(*[F.lit(f.name) for f in fields])
-    read = lines.filter(F.col("format") == spec.format).select(
-        "file_path", "line_no", F.array(*[field(F.col("line"), f.start, f.length) for f in fields]).alias("v")
-    ).withColumn("_values", F.map_from_arrays(names, "v"))
-    cells = F.inline(F.arrays_zip(names.alias("field"), F.col("v").alias("from_value")))
-    of_format = rules.filter(F.col("format") == spec.format)
+    """(file_path, line_no) x rule for every rule that holds on the original line.
+
+    Only the fields the rules speak of are read; their names, at most those of the layout, choose the columns.
+    """
+    of_format = rules.filter((F.col("format") == spec.format) & F.col("field").isin([f.name for f in spec.fields]))
+    told = of_format.select(F.explode(F.array_distinct(F.array("field", "condition_field"))).alias("name")).distinct()
+    names = {r["name"] for r in told.filter(F.col("name").isin([f.name for f in spec.fields])).collect()}
+    fields = [f for f in spec.fields if f.name in names]
+    value = {f.name: field(F.col("line"), f.start, f.length) for f in fields}
+    cells = F.array(*[F.struct(F.lit(n).alias("field"), v.alias("from_value")) for n, v in value.items()])
+    values = F.create_map(*[c for n, v in value.items() for c in (F.lit(n), v)])
+    read = lines.filter(F.col("format") == spec.format) if fields else lines.limit(0)
+    if not fields:
+        cells = F.array().cast("array<struct<field:string,from_value:string>>")
+        values = F.create_map().cast("map<string,string>")
     met = spread_join(
-        read.select("file_path", "line_no", "_values", cells), of_format, ["field", "from_value"],
+        read.select("file_path", "line_no", values.alias("_values"), F.inline(cells)), of_format, ["field", "from_value"],
         F.struct("file_path", "line_no"), how="inner",
     )
     return met.filter(
         F.col("condition_field").isNull()
-        | (F.element_at("_values", F.col("condition_field")) == F.col("condition_value"))
+        | (F.try_element_at("_values", F.col("condition_field")) == F.col("condition_value"))
     ).drop("_values")
 
 

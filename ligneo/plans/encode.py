@@ -133,12 +133,22 @@ def read(spark: SparkSession, sf_dir, table) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def read_spread(spark: SparkSession, sf_dir, table) -> DataFrame:
+    """A table stored in fewer pieces than there are cores is shared out before costly text work.
+
+    Large tables already come in many pieces and are left as they are.
+    """
+    df = read(spark, sf_dir, table)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def encoded(spark: SparkSession, sf_dir, *kinds) -> DataFrame:
     """The lines of one or several kinds as a DataFrame."""
     parts = []
     for kind in kinds:
         table, columns = SOURCES[kind]
-        parts.append(read(spark, sf_dir, table).select(*[F.expr(e).alias(n) for n, e in columns.items()]))
+        parts.append(read_spread(spark, sf_dir, table).select(*[F.expr(e).alias(n) for n, e in columns.items()]))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ligneo.catalogue import RAA_2026, TOKEN_ALPHABET
 from ligneo.functions.crypto import Keyed, key_pads, shift_date
 from ligneo.operators import pseudonymize
-from ligneo.plans.encode import encoded, encoded_sql, read, staged
+from ligneo.plans.encode import encoded, encoded_sql, read_spread, staged
 from ligneo.plans.registry import query
 from ligneo.plans.specs import demo_specs
 from ligneo.session import cut_lineage
@@ -42,7 +42,7 @@ IDS = "CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 2 = 0 THEN c_name EL
 @query("mac", f"SELECT c_custkey, {sql_mac('patient0', 'c_name')} AS digest FROM customer")
 def mac(spark, sf_dir):
     tools = keyed(spark)
-    return tools.attach(read(spark, sf_dir, "customer")).select(
+    return tools.attach(read_spread(spark, sf_dir, "customer")).select(
         "c_custkey", tools.mac("patient0", F.col("c_name")).alias("digest")
     )
 
@@ -52,7 +52,7 @@ def mac(spark, sf_dir):
   SELECT c_custkey, id, {sql_token('patient', 'id')} AS token FROM d""")
 def token(spark, sf_dir):
     tools, ids = keyed(spark), F.expr(IDS)
-    return tools.attach(read(spark, sf_dir, "customer")).select(
+    return tools.attach(read_spread(spark, sf_dir, "customer")).select(
         "c_custkey", ids.alias("id"), tools.token("patient", ids, 32).alias("token")
     )
 
@@ -90,7 +90,7 @@ def sql_birth(x, m):
   SELECT o_orderkey, raw, {sql_offset('mo')} AS days, {sql_shift('raw', sql_offset('mo'))} AS shifted, {sql_birth('raw', 'mb')} AS birth FROM m""")
 def shifted_dates(spark, sf_dir):
     tools = keyed(spark)
-    dated = tools.attach(read(spark, sf_dir, "orders")).select(
+    dated = tools.attach(read_spread(spark, sf_dir, "orders")).select(
         "*", F.expr(DATE_TEXT).alias("raw"), tools.day_offset(F.col("o_custkey").cast("string")).alias("days")
     )
     return dated.select(

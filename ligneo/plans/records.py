@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ligneo.catalogue import RAA_2026, RPS_2026
 from ligneo.functions import text
 from ligneo.operators import records
-from ligneo.plans.encode import encoded, encoded_sql, read
+from ligneo.plans.encode import encoded, encoded_sql, read, read_spread
 from ligneo.plans.registry import query
 from ligneo.plans.specs import demo_specs
 from ligneo.sources.layouts import field_role
@@ -134,7 +134,7 @@ def split_or_raw(spark, sf_dir):
   FROM documents""")
 def valid_and_repaired(spark, sf_dir):
     line = F.col("text")
-    return read(spark, sf_dir, "documents").select(
+    return read_spread(spark, sf_dir, "documents").select(
         "doc_id", text.is_valid_line(line).alias("is_valid"), text.repair_width(line, 96).alias("repaired"),
         text.normalize_ipp(F.substring(line, 1, 20)).alias("ipp"),
     )
@@ -190,7 +190,7 @@ def parse_date(spark, sf_dir):
         .when(case == 2, "99999999").when(case == 3, "01021201").when(case == 4, "2025").when(case == 5, "")
         .otherwise(F.date_format(date, "ddMMyyyy"))
     )
-    return read(spark, sf_dir, "orders").withColumn("raw", raw).select(
+    return read_spread(spark, sf_dir, "orders").withColumn("raw", raw).select(
         "o_orderkey", text.parse_date(F.col("raw")).alias("year_first"),
         text.parse_date(F.col("raw"), day_first=True).alias("day_first"), text.dmy(F.col("raw")).alias("quiet"),
     )
@@ -238,7 +238,7 @@ def field_roles(spark, sf_dir):
   FROM documents""")
 def redact_digit_runs(spark, sf_dir):
     value = F.concat_ws(" ", "text", (F.col("doc_id") + 100_000_000).cast("string"), F.col("doc_id").cast("string"))
-    return read(spark, sf_dir, "documents").select("doc_id", text.redact_digit_runs(value).alias("redacted"))
+    return read_spread(spark, sf_dir, "documents").select("doc_id", text.redact_digit_runs(value).alias("redacted"))
 
 
 PREFIXED = ("substr('=+-@ab', CAST(1 + p_partkey % 6 AS INT), 1) || p_name || "
@@ -260,7 +260,7 @@ def csv_guard(spark, sf_dir):
 @query("mask_text", """
   SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\\p{L}', 'X', 'g'), '[0-9]', '9', 'g') AS masked FROM conversations""")
 def mask_text(spark, sf_dir):
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", text.mask(F.col("text")).alias("masked"))
+    return read_spread(spark, sf_dir, "conversations").select("conv_id", "turn", text.mask(F.col("text")).alias("masked"))
 
 
 POSTCODE = "CASE c_custkey % 5 WHEN 0 THEN ' ' WHEN 1 THEN '9' WHEN 2 THEN ' 940 ' ELSE '94' || lpad(CAST(c_custkey % 1000 AS STRING), 3, '0') END"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ligneo.operators import episodes, hierarchy, supplementary
-from ligneo.plans.encode import encoded_sql, read, staged
+from ligneo.plans.encode import encoded_sql, read, read_spread, staged
 from ligneo.plans.records import sql_dmy
 from ligneo.plans.registry import query
 from ligneo.plans.specs import demo_specs
@@ -177,7 +177,7 @@ RECORD = """l_orderkey AS id, l_linenumber AS no, CASE WHEN l_partkey % 91 = 0 T
 
 
 def supplementary_records(spark, sf_dir):
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    read_spread(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
     return spark.sql(f"SELECT {RECORD} FROM lineitem")
 
 
@@ -217,7 +217,7 @@ DRUG_LINES = f"""SELECT 'file:/lot/' || l_returnflag AS file_path, l_orderkey *
 
 
 def drug_lines(spark, sf_dir):
-    read(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
+    read_spread(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem")
     return spark.sql(DRUG_LINES)
 
 
