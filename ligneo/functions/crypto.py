@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ligneo.catalogue import TOKEN_ALPHABET
-from ligneo.functions.text import mask
+from ligneo.functions.text import dmy, mask
 
 DIGEST_BYTES = 32
 
@@ -72,7 +72,7 @@ class Keyed:
     def birth_date(self, col) -> Column:
         """Keep the year, draw the day."""
         day = let(self.mac("naissance", col), lambda d: (byte(d, 0) * 256 + byte(d, 1)) % 365)
-        read = _read_date(col)
+        read = dmy(col)
         drawn = F.date_add(F.trunc(read, "year"), day)
         return (F.when(_is_void(col), col)
                 .when(read.isNotNull(), F.date_format(drawn, "ddMMyyyy"))
@@ -93,13 +93,9 @@ def _is_void(col) -> Column:
     return F.length(F.trim(col)).eqNullSafe(0) | (F.length(F.translate(col, "0", "")) == 0)
 
 
-def _read_date(col) -> Column:
-    return F.when(col.rlike("^[0-9]{8}$"), F.try_to_date(col, "ddMMyyyy"))
-
-
 def shift_date(col, days) -> Column:
     """Move a ddMMyyyy date; blanks and zeros stay, unreadable text is masked."""
-    read = _read_date(col)
+    read = dmy(col)
     return (F.when(_is_void(col), col)
             .when(read.isNotNull(), F.date_format(F.date_add(read, days), "ddMMyyyy"))
             .otherwise(mask(col)))

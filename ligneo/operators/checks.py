@@ -14,7 +14,7 @@ from ligneo.catalogue import (
     ACTIVITY_FORMATS, FINESS_OFFSET, FIXED_LENGTH, FORMAT, LENGTH_VARIANTS, LINKAGE_FORMATS, SEVERITIES, ZONES,
 )
 from ligneo.functions.text import character_gap, digit_gap, dmy, expected_length, field, position, trimmed, ymd
-from ligneo.operators.skew import first_in_file, top_in_group
+from ligneo.operators.skew import first_in_file, spread_join, top_in_group
 from ligneo.session import cut_lineage
 from ligneo.sources.lines import base_name
 
@@ -310,7 +310,7 @@ def check_birth_date(lines: DataFrame, block=65_536) -> DataFrame:
     stops = ranked.filter((F.col("_run") >= BAD_RUN) & bad_row).groupBy("file_path").agg(
         F.min("line_no").alias("_stop")
     )
-    bad = ranked.filter(bad_row).join(stops, "file_path", "left").filter(
+    bad = spread_join(ranked.filter(bad_row), stops, ["file_path"], F.col("line_no")).filter(
         F.col("_stop").isNull() | (F.col("line_no") <= F.col("_stop"))
     )
     kind = F.col("_case")
@@ -495,7 +495,8 @@ def run_checks(lines: DataFrame, current_year, row_rules=None, positional=None,
     whole_line = [check_duplicates] if whole_line is None else whole_line
     cross = [check_linkage] if cross is None else cross
     verdict = cut_lineage(length_verdict(lines, use_counters))
-    trusted = lines.join(verdict.filter(~F.col("accepted")).select("file_path"), "file_path", "left_anti")
+    refused = verdict.filter(~F.col("accepted")).select("file_path")
+    trusted = spread_join(lines, refused, ["file_path"], F.col("line_no"), how="left_anti")
     parts = [gate_findings(verdict), row_findings(trusted, row_rules)]
     parts += [check(trusted) for check in positional + cross] + [check(lines) for check in whole_line]
     return union(*parts).orderBy(F.desc("severity"), F.lower("file_path"), "line_no", "code")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ligneo.catalogue import CORRECTION_MARK, MONTH_FOLDER
 from ligneo.functions.text import field, line_distance, put_field
 from ligneo.operators.checks import by_format
-from ligneo.operators.skew import rank_in_group, spread_join
+from ligneo.operators.skew import narrow_join, rank_in_group, spread_join
 from ligneo.session import cut_lineage
 from ligneo.sources.lines import stem_name
 
@@ -72,7 +72,7 @@ def find_pairs(files: DataFrame, lines: DataFrame) -> DataFrame:
 
     digest = F.unhex(F.sha2(F.col("line"), 256)).alias("digest")
     held = lines.groupBy("file_path", digest).agg(F.count(F.lit(1)).alias("n"))
-    held = held.join(read.select("file_path"), "file_path", "left_semi")
+    held = spread_join(held, read.select("file_path"), ["file_path"], F.col("digest"), how="left_semi")
     of_original = spread_join(held.withColumnRenamed("file_path", "original"), met.select("original", "corrected"),
                               ["original"], F.col("digest"), how="inner")
     of_corrected = held.select(F.col("file_path").alias("corrected"), "digest")
@@ -258,9 +258,9 @@ def _align_large(left: DataFrame, right: DataFrame, chunk, block) -> DataFrame:
 def align(before: DataFrame, after: DataFrame, spec, **limits):
     """(aligned, counts): (pair_id, line_no, before, after) and, per pair, aligned, deleted and added lines."""
     couples, qualified = align_by_rank(before, after)
-    qualified = cut_lineage(qualified)
-    in_place = couples.join(qualified, "pair_id", "left_semi").select("pair_id", "line_no", "before", "after")
-    rest = lambda side: side.join(qualified, "pair_id", "left_anti")
+    of_pairs = lambda side, how: spread_join(side, qualified, ["pair_id"], F.col("line_no"), how=how)
+    in_place = of_pairs(couples, "left_semi").select("pair_id", "line_no", "before", "after")
+    rest = lambda side: of_pairs(side, "left_anti")
     left, right = rest(before), rest(after)
     matched = align_by_key(left, right, spec, **limits)
     by_key = (
@@ -330,19 +330,21 @@ def transitions(changes: DataFrame, spec, scope=()) -> DataFrame:
 CONFIDENT = f"support / (support + kept) >= {MIN_CONFIDENCE}"
 
 
-def mine_rules(changes: DataFrame, spec, scope=()) -> DataFrame:
-    """Transitions that are systematic as such."""
-    return transitions(changes, spec, scope).filter(f"support >= {MIN_CASES} and {CONFIDENT}").select(
+def mine_rules(changes: DataFrame, spec, scope=(), moved=None) -> DataFrame:
+    """Transitions that are systematic as such. `moved` are the transitions, when already counted."""
+    moved = transitions(changes, spec, scope) if moved is None else moved
+    return moved.filter(f"support >= {MIN_CASES} and {CONFIDENT}").select(
         *scope, "field", "from_value", "to_value", "support", "kept"
     )
 
 
-def mine_conditional_rules(changes: DataFrame, spec, scope=()) -> DataFrame:
+def mine_conditional_rules(changes: DataFrame, spec, scope=(), moved=None) -> DataFrame:
     """For the other transitions: the one field whose values make them systematic and cover most cases."""
     scope = list(scope)
     fields = learnable(spec)
     names = F.array(*[F.lit(f.name) for f in fields])
-    open_ones = transitions(changes, spec, scope).filter(f"support >= {MIN_CASES} and not ({CONFIDENT})").select(
+    moved = transitions(changes, spec, scope) if moved is None else moved
+    open_ones = moved.filter(f"support >= {MIN_CASES} and not ({CONFIDENT})").select(
         *scope, "field", "from_value", "to_value"
     )
     cells = F.inline(F.arrays_zip(
@@ -381,8 +383,9 @@ def _as_rules(found: DataFrame, spec, seen) -> DataFrame:
 
 
 def _induce(changes, spec, scope, seen) -> DataFrame:
-    return _as_rules(mine_rules(changes, spec, scope), spec, seen).unionByName(
-        _as_rules(mine_conditional_rules(changes, spec, scope), spec, seen)
+    moved = cut_lineage(transitions(changes, spec, scope).filter(f"support >= {MIN_CASES}"))
+    return _as_rules(mine_rules(changes, spec, scope, moved), spec, seen).unionByName(
+        _as_rules(mine_conditional_rules(changes, spec, scope, moved), spec, seen)
     )
 
 
@@ -569,7 +572,8 @@ def apply_rules(lines: DataFrame, rules: DataFrame, spec, order="rule_no") -> Da
         )).alias("edits"))
     )
     touched = edits.select("file_path").distinct()
-    joined = lines.join(touched, "file_path", "left_semi").join(edits, ["file_path", "line_no"], "left")
+    in_touched = spread_join(lines, touched, ["file_path"], F.col("line_no"), how="left_semi")
+    joined = narrow_join(in_touched, edits, ["file_path", "line_no"])
     edited = F.aggregate(
         "edits", F.col("line"), lambda text, e: put_field(text, e["start"], e["length"], e["to_value"])
     )

@@ -39,17 +39,11 @@ def zone_start(line, spec, zone_name):
 
 
 def zone_blocks(line, spec, zone_name):
-    """Array of the blocks of a zone that the line really holds."""
+    """Array of the blocks of a zone that the line really holds; the last one may be cut short."""
     zone = next(z for z in spec.zones if z.name == zone_name)
-    start = zone_start(line, spec, zone_name)
-    count = counter(line, zone.count_start, zone.count_length)
-    room = F.ceil((F.length(line) - start + 1) / zone.block_length).cast("int")
-    held = F.greatest(F.least(count, room), F.lit(0))
-    blocks = F.transform(
-        F.sequence(F.lit(1), F.greatest(held, F.lit(1))),
-        lambda i: F.substring(line, start + (i - 1) * zone.block_length, F.lit(zone.block_length)),
-    )
-    return F.slice(blocks, F.lit(1), held)
+    announced = counter(line, zone.count_start, zone.count_length) * zone.block_length
+    text = F.substring(line, zone_start(line, spec, zone_name), announced)
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{zone.block_length}}}"), F.lit(0))
 
 
 def explode_zone(lines: DataFrame, spec, zone_name, keep=("file_path", "line_no")) -> DataFrame:

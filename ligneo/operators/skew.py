@@ -15,6 +15,7 @@ from ligneo.session import cut_lineage
 HOT_SHARE = 1024
 PARTS = 256
 HOT_ROWS = 1_000_000
+SMALL_ROWS = 50_000
 
 
 def hot_keys(df: DataFrame, keys, order=None, min_rows=HOT_ROWS):
@@ -63,12 +64,31 @@ def rank_in_group(df: DataFrame, keys, order, rank, total=None, min_rows=HOT_ROW
     return out.drop("_low", "_width", "_slice", "_before", "_whole")
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys, spread_on: Column, how="left", min_rows=HOT_ROWS) -> DataFrame:
-    """Join a big left side with a right side, plainly when no left key is hot.
+def measured(right: DataFrame, small_rows=SMALL_ROWS):
+    """(the rows written once, whether there are few enough of them to send to every task)."""
+    right = cut_lineage(right)
+    return right, right.limit(small_rows + 1).count() <= small_rows
 
-    Otherwise the rows of a hot key are spread over PARTS tasks by a hash of `spread_on`, and only the right
-    rows of those few keys are repeated. Left rows with a null key match nothing and are spread too.
+
+def narrow_join(left: DataFrame, right: DataFrame, keys, how="left", small_rows=SMALL_ROWS) -> DataFrame:
+    """Join with a right side that is written once and counted: up to `small_rows` rows it goes to every task and
+    the left side is not shuffled at all; above, the optimizer decides. For keys that no few values dominate, or
+    right sides that are nearly always small."""
+    right, small = measured(right, small_rows)
+    return left.join(F.broadcast(right) if small else right, keys, how)
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys, spread_on: Column, how="left", min_rows=HOT_ROWS,
+                small_rows=SMALL_ROWS) -> DataFrame:
+    """Join a big left side, possibly skewed, with a narrow right side.
+
+    The right side is measured first, as in `narrow_join`. When it is not small the join is plain if no left key
+    is hot. Otherwise the rows of a hot key are spread over PARTS tasks by a hash of `spread_on`, and only the
+    right rows of those few keys are repeated. Left rows with a null key match nothing and are spread too.
     """
+    right, small = measured(right, small_rows)
+    if small:
+        return left.join(F.broadcast(right), keys, how)
     hot = hot_keys(left, keys, min_rows=min_rows)
     if hot is None:
         return left.join(right, keys, how)
@@ -97,7 +117,7 @@ def first_in_file(df: DataFrame, n, keys=("file_path",), order="line_no", block=
         .filter(F.col("_before") < n)
         .select(*keys, "_block")
     )
-    ranked = blocked.join(kept, [*keys, "_block"], "left_semi").withColumn(
+    ranked = narrow_join(blocked, kept, [*keys, "_block"], "left_semi").withColumn(
         "_rank", F.row_number().over(W.partitionBy(*keys).orderBy(order))
     )
     return ranked.filter(F.col("_rank") <= n).drop("_rank", "_block")

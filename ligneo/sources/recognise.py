@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ligneo.catalogue import FORMAT, LENGTH_VARIANTS, UNKNOWN
 from ligneo.functions.text import expected_length, is_valid_line, right_trimmed
-from ligneo.operators.skew import first_in_file
+from ligneo.operators.skew import first_in_file, spread_join
 from ligneo.sources.lines import identify_by_name
 
 SAMPLE_LINES = 3000
@@ -83,8 +83,8 @@ def identify_format(lines: DataFrame, specs: dict) -> DataFrame:
 
 
 def with_format(lines: DataFrame, files: DataFrame) -> DataFrame:
-    """Attach a per-file column set to the lines. One row per file: repeated, never shuffled by file when small."""
-    return lines.join(files, "file_path")
+    """Attach per-file columns, such as the format, to the lines."""
+    return spread_join(lines, files, ["file_path"], F.col("line_no"), how="inner")
 
 
 def detect_variant(lines: DataFrame) -> DataFrame:

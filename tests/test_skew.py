@@ -38,8 +38,9 @@ def test_spread_join(spark):
     for how in ("left", "inner", "left_semi", "left_anti"):
         columns = ["k", "pos"] + (["w"] if how in ("left", "inner") else [])
         expected = left.join(right, ["k"], how).fillna("null", ["k"]).fillna(-1)
-        got = skew.spread_join(left, right, ["k"], F.col("pos"), how=how, min_rows=10).fillna("null", ["k"]).fillna(-1)
-        assert rows(got, *columns) == rows(expected, *columns), how
+        for limits in ({}, {"small_rows": 0}, {"small_rows": 0, "min_rows": 10}):
+            got = skew.spread_join(left, right, ["k"], F.col("pos"), how=how, **limits).fillna("null", ["k"]).fillna(-1)
+            assert rows(got, *columns) == rows(expected, *columns), (how, limits)
 
 
 def test_first_in_file(spark):
