@@ -377,7 +377,7 @@ def check_duplicates(lines: DataFrame) -> DataFrame:
 def check_file_year(lines: DataFrame, current_year, date_format="yyyyMMdd") -> DataFrame:
     """Year in the file name against the current year and the birth years of the first 2,000 dated lines.
 
-    The default reads birth dates year first, as the tool this serves does; pass `ddMMyyyy` for the official order.
+    By default birth dates are read year first; pass `ddMMyyyy` for the official order.
     """
     name_year = F.regexp_extract(base_name(F.col("file_path")), r"(?<!\d)(?:19|20)\d{2}(?!\d)", 0).try_cast("int")
     named = lines.filter(F.col("format").isin(list(FORMAT))).withColumn("_year", name_year).filter("_year is not null")

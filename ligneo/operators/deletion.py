@@ -121,7 +121,7 @@ def training_months(pairs: DataFrame) -> DataFrame:
     )
 
 
-def pipeline(rounds=400, step=0.05, depth=5, min_rows_per_leaf=30, seed=2026) -> Pipeline:
+def classifier(rounds=400, step=0.05, depth=5, min_rows_per_leaf=30, seed=2026) -> Pipeline:
     """One-hot codes and numbers into boosted trees; deletions weigh as much as all the other lines."""
     named = [c + "_value" for c in CATEGORICAL]
     indexed = [c + "_index" for c in CATEGORICAL]
@@ -154,11 +154,11 @@ def train(examples: DataFrame, **options):
         raise ValueError("at least two corrected months are needed: one to learn, one to check")
     holdout = months[-1]
     examples = cut_lineage(examples)
-    learned = pipeline(**options).fit(weighted(examples.filter(F.col("month_no") < holdout)))
+    learned = classifier(**options).fit(weighted(examples.filter(F.col("month_no") < holdout)))
     scored = with_probability(learned, examples.filter(F.col("month_no") == holdout))
     card = evaluate(scored)
     card.update(holdout_month=holdout, training_months=months[:-1])
-    return pipeline(**options).fit(weighted(examples)), card
+    return classifier(**options).fit(weighted(examples)), card
 
 
 def with_probability(model, examples: DataFrame) -> DataFrame:

@@ -23,6 +23,7 @@ RULE_KEY = ["format", "field", "from_value", "to_value", "condition_field", "con
 MIN_CASES = 2
 MIN_CONFIDENCE = 0.95
 NEAR = 8
+BUCKET_LINES = 20_000
 PROPOSED, VALIDATED, REJECTED = "Proposee", "Validee", "Rejetee"
 
 
@@ -151,18 +152,21 @@ def distances(left, right):
 
 
 def nearest_first(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
-    """Originals in order, each with the nearest line still free; the earliest one on equal distance."""
-    before, after = before.sort_values("line_no"), after.sort_values("line_no")
-    texts, free = after["line"].to_numpy(), np.ones(len(after), dtype=bool)
+    """Originals in order, each with the nearest free line of its group; the earliest one on equal distance."""
+    columns = ["pair_id", "key", "line_no", "line"]
+    free = {}
+    for pair, key, line_no, line in after[columns].sort_values("line_no").itertuples(index=False, name=None):
+        nos, texts = free.setdefault((pair, key), ([], []))
+        nos.append(line_no)
+        texts.append(line)
     rows = []
-    for line_no, line in zip(before["line_no"], before["line"]):
-        places = np.flatnonzero(free)
-        if not len(places):
-            break
-        best = places[int(distances([line], texts[places])[0].argmin())]
-        free[best] = False
-        rows.append((line_no, after["line_no"].iloc[best]))
-    return pd.DataFrame(rows, columns=["line_no", "after_no"])
+    for pair, key, line_no, line in before[columns].sort_values("line_no").itertuples(index=False, name=None):
+        nos, texts = free.get((pair, key), ((), ()))
+        if nos:
+            best = texts.index(line) if line in texts else int(distances([line], texts)[0].argmin())
+            texts.pop(best)
+            rows.append((pair, line_no, nos.pop(best)))
+    return pd.DataFrame(rows, columns=["pair_id", "line_no", "after_no"])
 
 
 def renewed(df: DataFrame) -> DataFrame:
@@ -173,33 +177,36 @@ def renewed(df: DataFrame) -> DataFrame:
 def align_by_key(before: DataFrame, after: DataFrame, spec, max_group=4096, chunk=64, block=4096) -> DataFrame:
     """(pair_id, line_no, after_no): couples of lines with equal keys, nearest first in original order.
 
-    Groups with one line on each side need no search. Groups of up to `max_group` lines are matched whole.
-    Larger ones are matched `chunk` originals at a time against blocks of candidates, so no task ever holds a
+    Groups with one line on each side need no search. Groups of up to `max_group` lines are matched whole, many in
+    one bucket. Larger ones are matched `chunk` originals at a time against blocks of candidates, so no task ever holds a
     whole group; the result is the same.
     """
     left = renewed(before.withColumn("key", pair_keys(spec)))
     right = renewed(after.withColumn("key", pair_keys(spec)))
     group = ["pair_id", "key"]
-    sizes = left.groupBy(*group).agg(F.count(F.lit(1)).alias("n_left")).join(
+    sizes = cut_lineage(left.groupBy(*group).agg(F.count(F.lit(1)).alias("n_left")).join(
         right.groupBy(*group).agg(F.count(F.lit(1)).alias("n_right")), group
-    )
+    ))
     single = sizes.filter("n_left = 1 and n_right = 1").select(*group)
-    small = sizes.filter(f"(n_left > 1 or n_right > 1) and n_left + n_right <= {max_group}").select(*group)
-    large = cut_lineage(sizes.filter(f"n_left + n_right > {max_group}"))
+    several = sizes.filter(f"(n_left > 1 or n_right > 1) and n_left + n_right <= {max_group}")
+    small = several.select(*group)
+    large = sizes.filter(f"n_left + n_right > {max_group}")
 
     only = lambda side, groups: spread_join(side, groups, group, F.col("line_no"), how="left_semi")
     singles = only(left, single).join(
         only(right, single).select(*group, F.col("line_no").alias("after_no")), group
     ).select("pair_id", "line_no", "after_no")
 
-    def match(key, one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        found = nearest_first(one, other)
-        found.insert(0, "pair_id", key[0])
-        return found
+    # Whole small groups share buckets of about BUCKET_LINES lines, one call of Python each.
+    n_lines = several.agg(F.sum(F.col("n_left") + F.col("n_right"))).first()[0] or 0
+    bucket = F.pmod(F.xxhash64(*group), F.lit(n_lines // BUCKET_LINES + 1)).alias("bucket")
+    bucketed = lambda side: renewed(only(side, small).select("*", bucket)).groupBy("bucket")
+
+    def match(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
+        return nearest_first(one, other)
 
     schema = "pair_id string, line_no bigint, after_no bigint"
-    matched = only(left, small).groupBy(*group).cogroup(only(right, small).groupBy(*group)).applyInPandas(match, schema)
-    result = singles.unionByName(matched)
+    result = singles.unionByName(bucketed(left).cogroup(bucketed(right)).applyInPandas(match, schema))
     if large.limit(1).count():
         result = result.unionByName(_align_large(only(left, large.select(*group)), only(right, large.select(*group)), chunk, block))
     return result
