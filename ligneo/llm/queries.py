@@ -1,4 +1,4 @@
 """All registered queries of this subpackage; importing the modules fills the registry."""
 
-from ligneo.llm import mixing, sharding  # noqa: F401
+from ligneo.llm import mixing, packing, sharding, tokenfile, warc  # noqa: F401
 from ligneo.llm.registry import ORACLES, QUERIES  # noqa: F401
