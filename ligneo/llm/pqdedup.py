@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ligneo.llm.common import shared_folder, stored
 from ligneo.llm.components import components
+from ligneo.llm.groups import local_roots
 from ligneo.llm.registry import query, table
 from ligneo.llm.vectors import usable
 
@@ -74,19 +75,6 @@ def linked_pairs(index, home, queries, members, least):
     return a[cosine >= least], b[cosine >= least]
 
 
-def local_roots(count, a, b):
-    """For nodes 0..count-1 linked by pairs (a, b): the least node each can reach."""
-    root = np.arange(count)
-    while True:
-        low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
-        low = low[low]
-        if (low == root).all():
-            return root
-        root = low
-
-
 def tile_links(index, least):
     """The task on one tile: links of a chunk of queries with a chunk of members, counted, and a forest of them."""
 
