@@ -36,8 +36,8 @@ def group_bounds(frame, keys):
     return starts, np.append(starts[1:], len(frame))
 
 
-def sorted_groups(df, keys, work, schema, partitions=None):
-    """Apply `work(frames of whole groups)` to rows brought together and sorted by `keys`.
+def sorted_groups(df, keys, work, schema, partitions, order=()):
+    """Apply `work(frame of whole groups)` to rows brought together by `keys` and sorted by them, then by `order`.
 
     For groups of bounded size: rows of one key meet in one task.
     """
@@ -45,8 +45,7 @@ def sorted_groups(df, keys, work, schema, partitions=None):
         for frame in whole_groups(frames, keys):
             yield work(frame)
 
-    placed = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
-    return placed.sortWithinPartitions(*keys).mapInPandas(run, schema)
+    return df.repartition(partitions, *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def local_roots(count, a, b):

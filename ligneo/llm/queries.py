@@ -1,4 +1,6 @@
 """All registered queries of this subpackage; importing the modules fills the registry."""
 
-from ligneo.llm import mixing, packing, pqdedup, sharding, tiles, tokenfile, warc  # noqa: F401
+from ligneo.llm import (  # noqa: F401
+    kneser, mixing, packing, passages, pathjoin, pqdedup, sharding, tiles, tokenfile, warc,
+)
 from ligneo.llm.registry import ORACLES, QUERIES  # noqa: F401
