@@ -32,6 +32,21 @@ def stored(df, folder, name):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(df, *names):
+    """Names like those given that no column of `df` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
+def plain(columns):
+    """The columns by name, whatever marks the names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
 def shuffle_width(spark):
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

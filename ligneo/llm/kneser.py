@@ -18,7 +18,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from ligneo.llm.common import shared_folder, shuffle_width, stored
+from ligneo.llm.common import fresh, plain, shared_folder, shuffle_width, stored
 from ligneo.llm.registry import query, table
 
 ORDER, BITS = 4, 15
@@ -282,9 +282,10 @@ def judge_documents(docs, trusted, block_chars=16_000_000, least_rows=20, floor=
 
 def good_documents(docs, trusted, **options):
     """The documents kept by `judge_documents`, with all their columns."""
-    kept = judge_documents(docs, trusted, **options).filter("keep").select(F.col("key").alias("kept_key")).distinct()
-    keyed = docs.withColumn("own_key", document_key())
-    return keyed.join(kept, F.col("own_key") == F.col("kept_key"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, found = fresh(docs, "own_key", "kept_key")
+    kept = judge_documents(docs, trusted, **options).filter("keep").select(F.col("key").alias(found)).distinct()
+    keyed = docs.withColumn(own, document_key())
+    return keyed.join(kept, F.col(own) == F.col(found), "left_semi").select(*plain(docs.columns))
 
 
 @query("op2_kneser")

@@ -9,7 +9,7 @@ is read again, nothing is sorted, and a larger budget always takes a superset of
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ligneo.llm.common import shared_folder, stored
+from ligneo.llm.common import fresh, plain, shared_folder, stored
 from ligneo.llm.registry import query, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -106,11 +106,11 @@ def mixed_documents(docs, **options):
     """
     text = F.coalesce("text", F.lit(""))
     digest = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), text))
-    taken = mix(docs, **options).filter("copies > 0").select(F.col("hash").alias("mix_hash"), F.col("source").alias("mix_source"),
-                                                             F.col("copies").alias("mix_copies")).distinct()
-    keyed = docs.withColumn("own_hash", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
-    met = keyed.join(taken, (F.col("own_hash") == F.col("mix_hash")) & F.col("source").eqNullSafe(F.col("mix_source")))
-    return met.withColumn("turn", F.explode(F.expr("sequence(1L, mix_copies)"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, key, source, copies, turn = fresh(docs, "own_hash", "mix_hash", "mix_source", "mix_copies", "turn")
+    taken = mix(docs, **options).filter("copies > 0").select(F.col("hash").alias(key), F.col("source").alias(source), F.col("copies").alias(copies))
+    keyed = docs.withColumn(own, F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    met = keyed.join(taken.distinct(), (F.col(own) == F.col(key)) & F.col("source").eqNullSafe(F.col(source)))
+    return met.withColumn(turn, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*plain(docs.columns))
 
 
 SQL = r"""

@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ligneo.llm.common import mix64, shared_folder, shuffle_width, stored
+from ligneo.llm.common import fresh, mix64, plain, shared_folder, shuffle_width, stored
 from ligneo.llm.groups import group_bounds, sorted_groups
 from ligneo.llm.registry import query, table
 from ligneo.llm.words import NO_WORD, shingles, token_hashes, word_hashes
@@ -252,18 +252,18 @@ def without_repetitions(docs, folder=None, **options):
     folder = folder or shared_folder(docs.sparkSession)
     passages = repeated_passages(docs, folder=folder, **options)
     spans = passages.groupBy("doc").agg(F.collect_set(F.struct("start_word", "end_word")).alias("spans"))
-    keyed = docs.withColumn("doc_key", document_key())
-    spans = spans.select(F.col("doc").alias("spans_key"), F.col("spans").alias("passage_spans"))
-    met = keyed.join(spans, keyed["doc_key"] == F.col("spans_key"), "left").drop("doc_key", "spans_key")
+    key, found_key, held = fresh(docs, "doc_key", "spans_key", "passage_spans")
+    keyed = docs.withColumn(key, document_key())
+    met = keyed.join(spans.select(F.col("doc").alias(found_key), F.col("spans").alias(held)), F.col(key) == F.col(found_key), "left")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([without_spans(t, [(s["start_word"], s["end_word"]) for s in found]) for t, found in zip(texts, spans)])
 
-    touched = met.filter("passage_spans IS NOT NULL").withColumn("text", cut("text", "passage_spans")).filter(F.col("text").rlike(r"\w"))
+    touched = met.filter(F.col(held).isNotNull()).withColumn("text", cut("text", held)).filter(F.col("text").rlike(r"\w"))
     if "n_chars" in docs.columns:
         touched = touched.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return met.filter("passage_spans IS NULL").unionByName(touched).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return met.filter(F.col(held).isNull()).select(*plain(docs.columns)).union(touched.select(*plain(docs.columns)))
 
 
 @query("op1_passages")
