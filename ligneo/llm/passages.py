@@ -4,8 +4,8 @@ Of every window of consecutive k-word hashes the least is a seed, so any run of
 A seed meets the earliest document that has it, never all documents, so the matches of a passage grow with its copies, not
 with their square. The matches of one pair of documents are chained in order of both, each seed adding its weight and each
 gap costing its length; the best predecessor of a match is a prefix maximum over positions in the other document, kept in a
-Fenwick tree. Chains are then aligned word by word: inside, gaps are compared along the diagonals of their two ends, outside,
-the alignment grows over matching words and small insertions. What is long enough and mostly equal is a passage.
+Fenwick tree. Chains are then aligned word by word: inside, gaps without a shift are compared along their diagonal, others and both ends of
+the chain grow over matching words and small insertions. What is long enough and mostly equal is a passage.
 """
 
 import numpy as np
@@ -152,12 +152,12 @@ def aligned(a, b, xs, ys):
         elif nx - x == ny - y:
             same = np.flatnonzero(a[x:nx] == b[y:ny])
             pairs.append((same + x, same + y))
-        else:  # one shift: the part before it runs along the left diagonal, the rest along the right one
-            n = min(nx - x, ny - y)
-            left, right = a[x:x + n] == b[y:y + n], a[nx - n:nx] == b[ny - n:ny]
-            cut = int((np.concatenate([[0], np.cumsum(left)]) + np.concatenate([np.cumsum(right[::-1])[::-1], [0]])).argmax())
-            i, j = np.flatnonzero(left[:cut]), np.flatnonzero(right[cut:]) + cut
-            pairs += [(i + x, i + y), (j + nx - n, j + ny - n)]
+        else:  # words are left out on a side: from the left as far as it goes, the rest from the right
+            runs = grow(a[x:nx], b[y:ny])
+            di, dj = (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]) if runs else (0, 0)
+            pairs += [(np.arange(x + i, x + i + run), np.arange(y + j, y + j + run)) for i, j, run in runs]
+            rest = grow(a[x + di:nx][::-1], b[y + dj:ny][::-1])
+            pairs += [(np.arange(nx - i - run, nx - i), np.arange(ny - j - run, ny - j)) for i, j, run in reversed(rest)]
     x, y = xs[-1] + K, ys[-1] + K
     pairs += [(np.arange(x + i, x + i + run), np.arange(y + j, y + j + run)) for i, j, run in grow(a[x:], b[y:])]
     return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
