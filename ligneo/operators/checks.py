@@ -21,8 +21,6 @@ from ligneo.sources.lines import base_name
 INFO, WARNING, ERROR, BLOCKER = range(4)
 FINDING_COLUMNS = ["code", "severity", "message", "file_path", "line_no", "format", "fix_hint"]
 DETAIL_CAP = 20
-SAMPLE_LINES = 3000
-BAD_RUN = 50
 
 # Wording of the findings.
 TEXT = {
@@ -97,13 +95,14 @@ def findings(df: DataFrame, code, severity, message, fix_hint, line_no="line_no"
     )
 
 
-def length_verdict(lines: DataFrame, use_counters=False) -> DataFrame:
-    """Per file: is the share of declared line lengths in its first lines at least one half?
+def length_verdict(lines: DataFrame, use_counters=False, sample_lines=None) -> DataFrame:
+    """Per file: is the share of declared line lengths at least one half?
 
-    `use_counters` also accepts the length a line announces through its own zone counters.
+    `use_counters` also accepts the length a line announces through its own zone counters. `sample_lines`
+    judges a file by its first lines only.
     """
     known = lines.filter(F.col("format").isin(list(FORMAT)) & (F.length("line") > 0))
-    sample = first_in_file(known, SAMPLE_LINES)
+    sample = known if sample_lines is None else first_in_file(known, sample_lines)
     accepted = {name: [f.length] for name, f in FORMAT.items()}
     for name, length in LENGTH_VARIANTS:
         accepted[name].append(length)
@@ -129,9 +128,9 @@ def length_verdict(lines: DataFrame, use_counters=False) -> DataFrame:
     )
 
 
-def length_gate(lines: DataFrame, use_counters=False) -> DataFrame:
+def length_gate(lines: DataFrame, use_counters=False, sample_lines=None) -> DataFrame:
     """One finding per file whose line lengths are not those of its format."""
-    return gate_findings(length_verdict(lines, use_counters))
+    return gate_findings(length_verdict(lines, use_counters, sample_lines))
 
 
 def gate_findings(verdict: DataFrame) -> DataFrame:
@@ -235,17 +234,17 @@ def check_anonymized(lines: DataFrame) -> DataFrame:
     return row_findings(lines, [anonymized_rule])
 
 
-def check_nir(lines: DataFrame) -> DataFrame:
+def check_nir(lines: DataFrame, detail_cap=DETAIL_CAP) -> DataFrame:
     """Social-security number and key of linkage lines: missing, malformed, bad key."""
-    return union(check_nir_missing(lines), row_findings(lines, [nir_format_rule, nir_key_rule]))
+    return union(check_nir_missing(lines, detail_cap), row_findings(lines, [nir_format_rule, nir_key_rule]))
 
 
-def check_nir_missing(lines: DataFrame) -> DataFrame:
-    """The first 20 lines without a number, and a total when there are more."""
+def check_nir_missing(lines: DataFrame, detail_cap=DETAIL_CAP) -> DataFrame:
+    """The first `detail_cap` lines without a number, and a total when there are more."""
     line = F.col("line")
     missing = lines.filter(_nir_line(line) & _nir_missing(line)).select("file_path", "line_no", "format")
-    detailed = top_in_group(missing, DETAIL_CAP, ["file_path"], "line_no")
-    bulk = missing.groupBy("file_path", "format").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > DETAIL_CAP)
+    detailed = top_in_group(missing, detail_cap, ["file_path"], "line_no")
+    bulk = missing.groupBy("file_path", "format").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > detail_cap)
     return union(
         findings(detailed, "ERR-VID-NIR-MISSING", WARNING, TEXT["nir_missing"], TEXT["nir_missing_hint"]),
         findings(bulk, "ERR-VID-NIR-MISSING-BULK", WARNING,
@@ -264,12 +263,8 @@ def _birth_dates(lines: DataFrame) -> DataFrame:
     return lines.filter(F.col("format").isin(list(DATED_FORMATS))).withColumn("_start", start).withColumn("_width", width)
 
 
-def check_birth_date(lines: DataFrame, block=65_536) -> DataFrame:
-    """Birth dates that are not ddMMyyyy. A file stops at its 50th bad date in a row.
-
-    The run length is solved per block of lines, with one row per block carrying the run across blocks, so
-    no file is ever gathered in one task.
-    """
+def check_birth_date(lines: DataFrame, stop_after=None, block=65_536) -> DataFrame:
+    """Birth dates that are not ddMMyyyy, all of them; with `stop_after` a file stops at that many in a row."""
     text = trimmed(F.substring(F.col("line"), F.col("_start"), F.col("_width")))
     read = _birth_dates(lines).withColumn("_ddn", text).filter(F.length(F.translate("_ddn", "0", "")) > 0)
     read = read.select("file_path", "line_no", "format", "_start", "_width", "_ddn")
@@ -286,7 +281,34 @@ def check_birth_date(lines: DataFrame, block=65_536) -> DataFrame:
         .when(~last_four.between(1900, 2099), 3)
         .otherwise(4)
     )
-    judged = read.withColumn("_case", case).withColumn("_block", F.expr(f"line_no div {block}"))
+    judged = read.withColumn("_case", case)
+    bad = judged.filter("_case > 0") if stop_after is None else until_run(judged, stop_after, block)
+    kind = F.col("_case")
+    place = F.concat(F.lit(" (colonne "), F.col("_start").cast("string"), F.lit(", longueur "),
+                     F.col("_width").cast("string"), F.lit(") : "))
+
+    def pick(digits, order_, year, day):
+        return F.when(kind == 1, digits).when(kind == 2, order_).when(kind == 3, year).otherwise(day)
+
+    message = F.concat(
+        pick(TEXT["ddn_digits"], TEXT["ddn_order"], TEXT["ddn_year"], TEXT["ddn_day"]), place,
+        pick(digit_gap(8, ddn), TEXT["ddn_order_gap"], TEXT["ddn_year_gap"], TEXT["ddn_day_gap"]), F.lit("."),
+    )
+    return findings(
+        bad,
+        pick("ERR-DDN-NON-NUMERIC", "WARN-DDN-AAAAMMJJ", "ERR-DDN-YEAR", "ERR-DDN-DAY"),
+        F.when(kind == 2, WARNING).otherwise(ERROR), message,
+        pick(TEXT["ddn_digits_hint"], TEXT["ddn_order_hint"], TEXT["ddn_year_hint"], TEXT["ddn_day_hint"]),
+    )
+
+
+def until_run(judged: DataFrame, length, block=65_536) -> DataFrame:
+    """Rows with `_case` > 0, in each file up to the first place where `length` of them follow each other.
+
+    The run length is solved per block of lines, with one row per block carrying the run across blocks, so
+    no file is ever gathered in one task. The narrow rows are written once, as runs, stops and rows all read them.
+    """
+    judged = cut_lineage(judged.withColumn("_block", F.expr(f"line_no div {block}")))
     inside = W.partitionBy("file_path", "_block").orderBy("line_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     since_good = W.partitionBy("file_path", "_block", "_goods").orderBy("line_no").rowsBetween(
         W.unboundedPreceding, W.currentRow
@@ -307,29 +329,12 @@ def check_birth_date(lines: DataFrame, block=65_536) -> DataFrame:
     ranked = local.join(carries, ["file_path", "_block"]).withColumn(
         "_run", F.col("_bads") + F.when(F.col("_goods") == 0, F.col("_carry")).otherwise(0)
     )
-    stops = ranked.filter((F.col("_run") >= BAD_RUN) & bad_row).groupBy("file_path").agg(
+    stops = ranked.filter((F.col("_run") >= length) & bad_row).groupBy("file_path").agg(
         F.min("line_no").alias("_stop")
     )
-    bad = spread_join(ranked.filter(bad_row), stops, ["file_path"], F.col("line_no")).filter(
+    return ranked.filter(bad_row).join(stops, "file_path", "left").filter(
         F.col("_stop").isNull() | (F.col("line_no") <= F.col("_stop"))
     )
-    kind = F.col("_case")
-    place = F.concat(F.lit(" (colonne "), F.col("_start").cast("string"), F.lit(", longueur "),
-                     F.col("_width").cast("string"), F.lit(") : "))
-
-    def pick(digits, order_, year, day):
-        return F.when(kind == 1, digits).when(kind == 2, order_).when(kind == 3, year).otherwise(day)
-
-    message = F.concat(
-        pick(TEXT["ddn_digits"], TEXT["ddn_order"], TEXT["ddn_year"], TEXT["ddn_day"]), place,
-        pick(digit_gap(8, ddn), TEXT["ddn_order_gap"], TEXT["ddn_year_gap"], TEXT["ddn_day_gap"]), F.lit("."),
-    )
-    return findings(
-        bad,
-        pick("ERR-DDN-NON-NUMERIC", "WARN-DDN-AAAAMMJJ", "ERR-DDN-YEAR", "ERR-DDN-DAY"),
-        F.when(kind == 2, WARNING).otherwise(ERROR), message,
-        pick(TEXT["ddn_digits_hint"], TEXT["ddn_order_hint"], TEXT["ddn_year_hint"], TEXT["ddn_day_hint"]),
-    )
 
 
 def duplicate_lines(lines: DataFrame) -> DataFrame:
@@ -343,22 +348,22 @@ def duplicate_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def check_duplicates(lines: DataFrame) -> DataFrame:
-    """Second and later copies of a line in its file: the first 20 one by one, then a total.
+def check_duplicates(lines: DataFrame, detail_cap=DETAIL_CAP) -> DataFrame:
+    """Second and later copies of a line in its file: the first `detail_cap` one by one, then a total.
 
-    The rank filter is pushed below the shuffle, so a line repeated a billion times sends at most 21 rows
-    per task; totals are counted map-side first.
+    The rank filter is pushed below the shuffle, so a line repeated a billion times sends only the first
+    few rows per task; totals are counted map-side first.
     """
     long_lines = lines.filter(F.length("line") >= 20).select(
         "file_path", "format", "line_no", F.unhex(F.sha2(F.col("line"), 256)).alias("digest")
     )
     same_line = W.partitionBy("file_path", "digest")
     few = long_lines.withColumn("_copy", F.row_number().over(same_line.orderBy("line_no"))).filter(
-        F.col("_copy") <= DETAIL_CAP + 1
+        F.col("_copy") <= detail_cap + 1
     ).withColumn("_first", F.min("line_no").over(same_line))
-    detailed = top_in_group(few.filter("_copy > 1"), DETAIL_CAP, ["file_path"], "line_no")
+    detailed = top_in_group(few.filter("_copy > 1"), detail_cap, ["file_path"], "line_no")
     totals = duplicate_lines(lines).groupBy("file_path", "format").agg(F.sum("copies").alias("_n")).filter(
-        F.col("_n") > DETAIL_CAP
+        F.col("_n") > detail_cap
     )
     raa = F.col("format") == "RAA"
     message = F.concat(F.lit("Ligne "), F.col("line_no").cast("string"), F.lit(" identique à la ligne "),
@@ -374,8 +379,8 @@ def check_duplicates(lines: DataFrame) -> DataFrame:
     )
 
 
-def check_file_year(lines: DataFrame, current_year, date_format="yyyyMMdd") -> DataFrame:
-    """Year in the file name against the current year and the birth years of the first 2,000 dated lines.
+def check_file_year(lines: DataFrame, current_year, date_format="yyyyMMdd", sample_lines=None) -> DataFrame:
+    """Year in the file name against the current year and the birth years of the dated lines, or of the first ones.
 
     By default birth dates are read year first; pass `ddMMyyyy` for the official order.
     """
@@ -389,7 +394,7 @@ def check_file_year(lines: DataFrame, current_year, date_format="yyyyMMdd") -> D
         F.col("_ddn").rlike(r"^\p{Nd}{8}$") & (F.length(F.translate("_ddn", "0", "")) > 0)
         & (F.length("line") >= F.col("_start") - 1 + F.col("_width"))
     )
-    sample = first_in_file(dated, 2000)
+    sample = dated if sample_lines is None else first_in_file(dated, sample_lines)
     parse = ymd if date_format == "yyyyMMdd" else dmy
     year = F.year(parse(F.col("_ddn")))
     counted = sample.groupBy("file_path", "format", "_year").agg(
@@ -457,10 +462,14 @@ def check_linkage(lines: DataFrame, missing_cap=500, orphan_cap=200) -> DataFram
     beyond = missing.groupBy().agg(
         F.count(F.lit(1)).alias("_n"), F.max(F.struct("file_path", "line_no", "format")).alias("_last")
     ).filter(F.col("_n") > missing_cap).select("_n", "_last.file_path", "_last.format")
-    orphans = (
+    lonely = (
         patients.filter("activity is null").select(F.when(has_hosp, F.col("hosp")).otherwise(F.col("vipp")).alias("place"))
-        .filter("place is not null").select("place.*").orderBy("line_no", "file_path").limit(orphan_cap)
+        .filter("place is not null").select("place.*")
     )
+    orphans = lonely.orderBy("line_no", "file_path").limit(orphan_cap)
+    more_orphans = lonely.groupBy().agg(
+        F.count(F.lit(1)).alias("_n"), F.max(F.struct("line_no", "file_path", "format")).alias("_last")
+    ).filter(F.col("_n") > orphan_cap).select("_n", "_last.file_path", "_last.format")
     return union(
         findings(absent, "ERR-CHAINAGE-VID-ABSENT", ERROR, TEXT["link_absent"], TEXT["link_absent_hint"], F.lit(0)),
         findings(idle, "WARN-CHAINAGE-NO-ACTIVITY", WARNING, TEXT["link_idle"], TEXT["link_idle_hint"], F.lit(0)),
@@ -474,6 +483,10 @@ def check_linkage(lines: DataFrame, missing_cap=500, orphan_cap=200) -> DataFram
         findings(orphans, "WARN-CHAINAGE-ORPHAN", WARNING,
                  F.concat(F.lit("IPP présent dans VID-HOSP ("), ipp_place(LINKAGE_FORMATS),
                           F.lit(") mais absent des fichiers d'activité.")), TEXT["link_orphan_hint"]),
+        findings(more_orphans, "WARN-CHAINAGE-ORPHAN", WARNING,
+                 F.concat((F.col("_n") - orphan_cap).cast("string"),
+                          F.lit(f" autre(s) patient(s) sans activité, non détaillés au-delà de {orphan_cap}.")),
+                 TEXT["link_orphan_hint"], F.lit(0)),
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ligneo.catalogue import RAA_FEATURE_WORDS
 from ligneo.functions.text import dmy, field
-from ligneo.operators.skew import HOT_ROWS, hot_keys, rank_in_group, spread_join, top_in_group
+from ligneo.operators.skew import rank_in_group, spread_join, top_in_group
 from ligneo.session import cut_lineage
 
 CATEGORICAL = ["sexe", "forme", "um", "secteur", "mode_legal", "nature", "lieu", "modalite", "categorie", "liberal",
@@ -48,11 +48,11 @@ def raa_keys(lines: DataFrame, spec) -> DataFrame:
     return lines.select("file_path", "line_no", read("ipp", "ipp"), read("date", "date"), read("nature", "nature"))
 
 
-def raa_features(lines: DataFrame, spec, min_rows=HOT_ROWS) -> DataFrame:
+def raa_features(lines: DataFrame, spec) -> DataFrame:
     """Twelve categorical and seven numeric features per line, with the keys ipp, date, nature.
 
-    All running counts live inside one patient day, so one shuffle by (file, ipp, date) serves the three
-    windows. Days of a filler patient that would fill a task go through sliced ranking instead.
+    All running counts live inside one patient day and are taken block by block, so the day of a filler patient
+    fills no task.
     """
     line = F.col("line")
     value = {name: field(line, f.start, f.length) for name, f in
@@ -71,20 +71,10 @@ def raa_features(lines: DataFrame, spec, min_rows=HOT_ROWS) -> DataFrame:
         F.unhex(F.sha2(line, 256)).alias("_digest"),
     )
     day = ["file_path", "ipp", "date"]
-    hot = hot_keys(read, day, min_rows=min_rows)
-    crowded_days = None if hot is None else F.broadcast(hot.select(*day))
-    in_day = W.partitionBy(*day)
-    ordinary = read if hot is None else read.join(crowded_days, day, "left_anti")
-    both = (
-        ordinary.withColumn("actes_du_jour", F.count(F.lit(1)).over(in_day))
-        .withColumn("rang_identique", F.row_number().over(W.partitionBy(*day, "_digest").orderBy("line_no")))
-        .withColumn("rang_nature_du_jour", F.row_number().over(W.partitionBy(*day, "nature").orderBy("line_no")))
-    )
-    if hot is not None:
-        ranked = lambda df, keys, *names: cut_lineage(rank_in_group(df, keys, "line_no", *names, min_rows=min_rows))
-        crowded = ranked(read.join(crowded_days, day, "left_semi"), day, "_rank", "actes_du_jour").drop("_rank")
-        crowded = ranked(crowded, ["file_path", "_digest"], "rang_identique")
-        both = both.unionByName(ranked(crowded, day + ["nature"], "rang_nature_du_jour"))
+    both = rank_in_group(read, [*day, "_digest"], "line_no", "rang_identique")
+    both = rank_in_group(both, [*day, "nature"], "line_no", "rang_nature_du_jour")
+    acts = read.groupBy(*day).agg(F.count(F.lit(1)).alias("actes_du_jour"))
+    both = spread_join(both, acts, day, F.struct("file_path", "line_no"))
     both = both.drop("_digest")
     counts = ["actes_du_jour", "rang_identique", "rang_nature_du_jour"]
     return both.select(*[F.col(c).cast("double").alias(c) if c in counts else F.col(c) for c in both.columns])
@@ -149,11 +139,11 @@ def weighted(examples: DataFrame) -> DataFrame:
 
 def train(examples: DataFrame, **options):
     """(model, card). `examples` has month_no; the last month is held out, the final fit uses all of them."""
-    months = [r["month_no"] for r in examples.select("month_no").distinct().orderBy("month_no").limit(1000).collect()]
+    examples = cut_lineage(examples)
+    months = examples.agg(F.array_sort(F.collect_set("month_no")).alias("months")).first()["months"]
     if len(months) < 2:
         raise ValueError("at least two corrected months are needed: one to learn, one to check")
     holdout = months[-1]
-    examples = cut_lineage(examples)
     learned = classifier(**options).fit(weighted(examples.filter(F.col("month_no") < holdout)))
     scored = with_probability(learned, examples.filter(F.col("month_no") == holdout))
     card = evaluate(scored)
@@ -219,7 +209,7 @@ def evaluate(scored: DataFrame) -> dict:
     scored = cut_lineage(scored)
     numeric = scored.withColumn("label", F.col("supprimee").cast("double"))
     measure = lambda name: BinaryClassificationEvaluator(
-        rawPredictionCol="probability", labelCol="label", metricName=name
+        rawPredictionCol="probability", labelCol="label", metricName=name, numBins=0
     ).evaluate(numeric)
     totals = numeric.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("deleted")).first()
     return {
@@ -268,8 +258,12 @@ def score(model, features: DataFrame, threshold) -> DataFrame:
     )
 
 
-def review_queue(flagged: DataFrame, kept=200, shown=20) -> DataFrame:
-    """Per file the most suspect lines in order, with a mark on the first ones to show."""
+def review_queue(flagged: DataFrame, kept=None, shown=20) -> DataFrame:
+    """Per file the suspect lines in order, or the `kept` most suspect ones, with a mark on the first ones to show."""
+    if kept is None:
+        along = W.partitionBy("file_path").orderBy(F.desc("probability"), "line_no")
+        ranked = flagged.withColumn("rank", F.row_number().over(along))
+        return ranked.withColumn("shown", F.col("rank") <= shown)
     ranked = top_in_group(
         flagged, kept, ["file_path"], [F.desc("probability"), "line_no"], rank="rank", spread_on=["line_no"]
     )

@@ -77,32 +77,33 @@ def collisions(obs: DataFrame, history: DataFrame, n_sources=5) -> DataFrame:
     )
 
 
-def export_identity(obs: DataFrame, history: DataFrame, max_items=10_000) -> DataFrame:
-    """IPP, DDN_PIVOT, DDN_OBSERVATIONS and SOURCE_FILES joined by `|`, in order of first appearance.
+def identity_items(obs: DataFrame, history: DataFrame) -> DataFrame:
+    """One row per patient and date (`kind` ddn) or source file (`kind` file), with the place of its first appearance.
 
-    A patient id with more than `max_items` dates and files (a filler id) is written on several rows,
-    numbered in PARTIE, so that no cell grows with the batch; nothing is left out.
+    This form grows with the batch by rows alone, whatever a filler id gathers.
     """
     place = F.struct("file_path", "line_no")
     dates = history.select("ipp", F.lit("ddn").alias("kind"), F.col("ddn").alias("item"), F.col("first_place").alias("place"))
     files = obs.groupBy("ipp", F.lower("file_path").alias("_key")).agg(
         F.min_by("file_path", place).alias("item"), F.min(place).alias("place")
     ).select("ipp", F.lit("file").alias("kind"), "item", "place")
-    items = dates.unionByName(files)
-    sizes = items.groupBy("ipp").agg(F.ceil(F.count(F.lit(1)) / max_items).alias("parts"))
-    placed = spread_join(items, sizes, ["ipp"], F.col("item")).withColumn(
-        "part", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("kind", "item"), "parts")).otherwise(0) + 1
-    )
+    return dates.unionByName(files)
+
 
+def export_identity(obs: DataFrame, history: DataFrame) -> DataFrame:
+    """IPP, DDN_PIVOT, DDN_OBSERVATIONS and SOURCE_FILES joined by `|`, in order of first appearance: one row per patient.
+
+    A cell holds all dates or files of its patient; for ids that stand for very many, use `identity_items`.
+    """
     def joined(kind):
         listed = F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("place", "item"))))
         return F.array_join(F.transform(listed, lambda s: s["item"]), "|")
 
-    cells = placed.groupBy("ipp", "part").agg(joined("ddn").alias("observations"), joined("file").alias("sources"))
+    cells = identity_items(obs, history).groupBy("ipp").agg(joined("ddn").alias("observations"), joined("file").alias("sources"))
     index = patient_index(history).select("ipp", "pivot")
     return cells.join(index, "ipp").select(
         F.col("ipp").alias("IPP"), F.col("pivot").alias("DDN_PIVOT"), F.col("observations").alias("DDN_OBSERVATIONS"),
-        F.col("sources").alias("SOURCE_FILES"), F.col("part").cast("int").alias("PARTIE"),
+        F.col("sources").alias("SOURCE_FILES"),
     )
 
 

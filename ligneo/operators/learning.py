@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ligneo.catalogue import CORRECTION_MARK, MONTH_FOLDER
 from ligneo.functions.text import field, line_distance, put_field
 from ligneo.operators.checks import by_format
-from ligneo.operators.skew import narrow_join, rank_in_group, spread_join
+from ligneo.operators.skew import rank_in_group, spread_join
 from ligneo.session import cut_lineage
 from ligneo.sources.lines import stem_name
 
@@ -581,7 +581,7 @@ def apply_rules(lines: DataFrame, rules: DataFrame, spec, order="rule_no") -> Da
     )
     touched = edits.select("file_path").distinct()
     in_touched = spread_join(lines, touched, ["file_path"], F.col("line_no"), how="left_semi")
-    joined = narrow_join(in_touched, edits, ["file_path", "line_no"])
+    joined = in_touched.join(edits, ["file_path", "line_no"], "left")
     edited = F.aggregate(
         "edits", F.col("line"), lambda text, e: put_field(text, e["start"], e["length"], e["to_value"])
     )

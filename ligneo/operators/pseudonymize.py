@@ -13,8 +13,6 @@ from ligneo.session import cut_lineage
 
 # Shortest identifier followed by the leak search.
 MINIMUM_IDENTIFIER = 8
-# Leaked values up to this number travel with the plan; above it they are joined by key.
-FEW_LEAKS = 1000
 
 TOKEN_DOMAIN = {"PatientId": "patient", "StayId": "sejour", "Nir": "nir", "ChainingKey": "chainage"}
 SEPARATOR = "\u001f"
@@ -101,19 +99,22 @@ def _kept_values(spec) -> Column:
 def find_leaks(lines: DataFrame, specs: dict, identifiers: DataFrame) -> DataFrame:
     """(field, value, n): copied values that contain a known identifier. Internal: holds values.
 
-    Values are counted first, so the search runs once per distinct value; its substrings are then matched
-    with the identifiers by key.
+    Values are counted first, so the search runs once per distinct value; its substrings of the lengths that
+    identifiers have are then matched with the identifiers by key.
     """
     read = lines.select(F.explode(per_format(specs, _kept_values)).alias("kept")).select("kept.*")
     counted = read.filter(F.length("value") >= MINIMUM_IDENTIFIER).groupBy("field", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
     value, size = F.col("value"), F.length("value")
+    widths = identifiers.agg(F.collect_set(F.length("identifier")).alias("widths")).select("widths").scalar()
     pieces = F.flatten(F.transform(
-        F.sequence(F.lit(MINIMUM_IDENTIFIER), size),
+        F.filter("_widths", lambda width: width <= size),
         lambda width: F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.substring(value, i, width)),
     ))
-    searched = counted.select("field", "value", "n", F.explode(F.array_distinct(pieces)).alias("identifier"))
+    searched = counted.withColumn("_widths", widths).select(
+        "field", "value", "n", F.explode(F.array_distinct(pieces)).alias("identifier")
+    )
     found = spread_join(searched, identifiers, ["identifier"], F.struct("field", "value"), how="left_semi")
     return found.select("field", "value", "n").distinct()
 
@@ -192,19 +193,15 @@ def pseudonymize(lines: DataFrame, specs: dict, keyed: Keyed, leaks: DataFrame)
     """Lines with `patient_key`, rewritten field by field. Lines of formats without spec are left out."""
     known = keyed.attach(lines.filter(F.col("format").isin(sorted(specs))))
     known = known.withColumn("_offset", keyed.day_offset(F.col("patient_key")))
-    leaked = cut_lineage(leaks.select(F.concat("field", F.lit(SEPARATOR), "value").alias("leak")))
-    n_leaks = leaked.limit(FEW_LEAKS + 1).count()
-    if 0 < n_leaks <= FEW_LEAKS:
-        known = known.withColumn("_leaked", leaked.agg(F.collect_set("leak")).scalar())
-    elif n_leaks > FEW_LEAKS:
-        tried = F.transform(per_format(specs, _kept_values), lambda k: F.concat(k["field"], F.lit(SEPARATOR), k["value"]))
-        asked = known.select("file_path", "line_no", F.explode(F.array_distinct(tried)).alias("leak"))
-        hits = spread_join(asked, leaked, ["leak"], F.struct("file_path", "line_no"), how="left_semi")
-        per_line = hits.groupBy("file_path", "line_no").agg(F.collect_list("leak").alias("_leaked"))
-        known = known.join(per_line, ["file_path", "line_no"], "left").withColumn(
-            "_leaked", F.coalesce("_leaked", F.array().cast("array<string>"))
-        )
-    rewritten = per_format(specs, lambda s: _rewritten(s, keyed, n_leaks > 0))
+    leaked = leaks.select(F.concat("field", F.lit(SEPARATOR), "value").alias("leak"))
+    tried = F.transform(per_format(specs, _kept_values), lambda k: F.concat(k["field"], F.lit(SEPARATOR), k["value"]))
+    asked = known.select("file_path", "line_no", F.explode(F.array_distinct(tried)).alias("leak"))
+    hits = spread_join(asked, leaked, ["leak"], F.struct("file_path", "line_no"), how="left_semi")
+    per_line = hits.groupBy("file_path", "line_no").agg(F.collect_list("leak").alias("_leaked"))
+    known = known.join(per_line, ["file_path", "line_no"], "left").withColumn(
+        "_leaked", F.coalesce("_leaked", F.array().cast("array<string>"))
+    )
+    rewritten = per_format(specs, lambda s: _rewritten(s, keyed, True))
     return known.select(*[c for c in lines.columns if c not in ("line", "patient_key")], rewritten.alias("line"))
 
 

@@ -1,105 +1,53 @@
 """Ranks, prefixes and joins that stay whole when one group holds a large share of the rows.
 
-A key is hot when it holds more than 1/1024 of the rows, so there are never more than 1,023 hot keys
-and the tables built from them are small by construction; only those are broadcast.
+Groups are cut into blocks of their order; one row per block carries what the earlier blocks amount to, so no
+task ever holds more than a block of a group. Joins are left to the optimizer, which measures both sides while
+it runs: small ones are sent to every task, and the rows of a hot key are split over several.
 """
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ligneo.session import cut_lineage
-
-HOT_SHARE = 1024
 PARTS = 256
-HOT_ROWS = 1_000_000
-SMALL_ROWS = 50_000
+BLOCK = 65_536
 
 
-def hot_keys(df: DataFrame, keys, order=None, min_rows=HOT_ROWS):
-    """Keys holding more than 1/HOT_SHARE of the rows (and more than `min_rows`), or None when there is none.
+def rank_in_group(df: DataFrame, keys, order, rank, total=None, block=BLOCK) -> DataFrame:
+    """Running count along `order`, a whole number that does not repeat in its group; `total` adds the group's size.
 
-    One narrow pass, counted map-side first, decides how the wide rows are then shuffled.
+    Rows are ranked inside blocks of the order and shifted by the counts of the blocks before.
     """
-    measures = [F.count(F.lit(1)).alias("_rows")]
-    if order is not None:
-        measures += [F.min(order).alias("_low"), F.max(order).alias("_high")]
-    counts = df.groupBy(*keys).agg(*measures)
-    total = counts.agg(F.sum("_rows")).scalar()
-    hot = cut_lineage(counts.filter((F.col("_rows") > min_rows) & (F.col("_rows") * HOT_SHARE > total)))
-    return None if hot.isEmpty() else hot
-
-
-def rank_in_group(df: DataFrame, keys, order, rank, total=None, min_rows=HOT_ROWS) -> DataFrame:
-    """Running count along `order` (a non-negative whole number) inside each group.
-
-    Ordinary groups are ranked in one window. A hot group is cut into slices of its order range; each
-    slice is ranked alone and shifted by the number of rows in the slices before it.
-    """
-    hot = hot_keys(df, keys, order, min_rows)
-    if hot is None:
-        whole = W.partitionBy(*keys)
-        out = df.withColumn(rank, F.row_number().over(whole.orderBy(order)).cast("bigint"))
-        return out.withColumn(total, F.count(F.lit(1)).over(whole)) if total else out
-    widths = hot.select(*keys, "_low", F.expr(f"(_high - _low) div {PARTS} + 1").alias("_width"))
-    cut = df.join(F.broadcast(widths), keys, "left").withColumn(
-        "_slice", F.coalesce(F.expr(f"({order} - _low) div _width"), F.lit(-1).cast("bigint"))
-    )
-    sizes = cut.filter("_slice >= 0").groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_size"))
+    blocked = df.withColumn("_block", F.expr(f"{order} div {block}"))
+    sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
     whole = W.partitionBy(*keys)
-    before = whole.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    before = whole.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(
-        *keys, "_slice",
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"),
-        F.sum("_size").over(whole).alias("_whole"),
-    )
-    local = W.partitionBy(*keys, "_slice")
-    out = cut.join(F.broadcast(shifts), [*keys, "_slice"], "left").withColumn(
-        rank, (F.row_number().over(local.orderBy(order)) + F.coalesce("_before", F.lit(0))).cast("bigint")
+        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"),
+        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("_whole"),
     )
+    same = F.col("_block").eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    inside = W.partitionBy(*keys, "_block").orderBy(order)
+    out = blocked.join(shifts, same).withColumn(rank, (F.row_number().over(inside) + F.col("_before")).cast("bigint"))
     if total:
-        out = out.withColumn(total, F.coalesce("_whole", F.count(F.lit(1)).over(local)).cast("bigint"))
-    return out.drop("_low", "_width", "_slice", "_before", "_whole")
-
-
-def measured(right: DataFrame, small_rows=SMALL_ROWS):
-    """(the rows written once, whether there are few enough of them to send to every task)."""
-    right = cut_lineage(right)
-    return right, right.limit(small_rows + 1).count() <= small_rows
-
-
-def narrow_join(left: DataFrame, right: DataFrame, keys, how="left", small_rows=SMALL_ROWS) -> DataFrame:
-    """Join with a right side that is written once and counted: up to `small_rows` rows it goes to every task and
-    the left side is not shuffled at all; above, the optimizer decides. For keys that no few values dominate, or
-    right sides that are nearly always small."""
-    right, small = measured(right, small_rows)
-    return left.join(F.broadcast(right) if small else right, keys, how)
+        out = out.withColumn(total, F.col("_whole").cast("bigint"))
+    return out.drop("_block", "_b", "_before", "_whole", *[f"_k{i}" for i in range(len(keys))])
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys, spread_on: Column, how="left", min_rows=HOT_ROWS,
-                small_rows=SMALL_ROWS) -> DataFrame:
-    """Join a big left side, possibly skewed, with a narrow right side.
+def spread_join(left: DataFrame, right: DataFrame, keys, spread_on: Column, how="left") -> DataFrame:
+    """Join a big left side with a narrow right side that has each key once.
 
-    The right side is measured first, as in `narrow_join`. When it is not small the join is plain if no left key
-    is hot. Otherwise the rows of a hot key are spread over PARTS tasks by a hash of `spread_on`, and only the
-    right rows of those few keys are repeated. Left rows with a null key match nothing and are spread too.
+    Left rows with a null key match nothing; a hash of `spread_on` stands in for them, so that they do not meet
+    in one task. Hot keys are split by the optimizer.
     """
-    right, small = measured(right, small_rows)
-    if small:
-        return left.join(F.broadcast(right), keys, how)
-    hot = hot_keys(left, keys, min_rows=min_rows)
-    if hot is None:
-        return left.join(right, keys, how)
-    hot = F.broadcast(hot.select(*keys, F.lit(True).alias("_hot")))
-    scattered = F.col("_hot") | reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    spread = left.join(hot, keys, "left").withColumn(
-        "_salt", F.when(scattered, F.pmod(F.xxhash64(spread_on), F.lit(PARTS)).cast("int")).otherwise(0)
-    ).drop("_hot")
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(F.lit(0)))
-    repeated = right.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
-    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
+    anywhere = F.concat(F.lit("\u0000"), F.xxhash64(spread_on).cast("string"))
+    names = [f"_on{i}" for i in range(len(keys))]
+    for k, name in zip(keys, names):
+        left = left.withColumn(name, F.coalesce(F.col(k).cast("string"), anywhere))
+        right = right.withColumn(name, F.col(k).cast("string"))
+    return left.join(right.drop(*keys), names, how).drop(*names)
 
 
 def first_in_file(df: DataFrame, n, keys=("file_path",), order="line_no", block=4096) -> DataFrame:
@@ -117,7 +65,7 @@ def first_in_file(df: DataFrame, n, keys=("file_path",), order="line_no", block=
         .filter(F.col("_before") < n)
         .select(*keys, "_block")
     )
-    ranked = narrow_join(blocked, kept, [*keys, "_block"], "left_semi").withColumn(
+    ranked = blocked.join(kept, [*keys, "_block"], "left_semi").withColumn(
         "_rank", F.row_number().over(W.partitionBy(*keys).orderBy(order))
     )
     return ranked.filter(F.col("_rank") <= n).drop("_rank", "_block")

@@ -48,7 +48,9 @@ def sql_year_ok(x, pattern):
     return f"coalesce(year(try_strptime({x}, '{pattern}')) BETWEEN 1900 AND 2099, false)"
 
 
-def birth_sql(source):
+def birth_sql(source, stop=True):
+    """Bad birth dates; with `stop` up to the 50th in a row of a file."""
+    kept = "(stop IS NULL OR line_no <= stop)" if stop else "true"
     return f"""
   d AS (SELECT *, trim(substr(line, 42, 8)) AS ddn FROM {source}),
   k AS (SELECT *, CASE WHEN NOT regexp_full_match(ddn, '[0-9]{{8}}') THEN 1
@@ -58,7 +60,7 @@ def birth_sql(source):
   g AS (SELECT *, count(*) FILTER (WHERE kind = 0) OVER (PARTITION BY file_path ORDER BY line_no) AS goods FROM k),
   r AS (SELECT *, count(*) FILTER (WHERE kind > 0) OVER (PARTITION BY file_path, goods ORDER BY line_no) AS run FROM g),
   s AS (SELECT file_path, min(line_no) AS stop FROM r WHERE run >= 50 AND kind > 0 GROUP BY file_path),
-  b AS (SELECT r.* FROM r LEFT JOIN s USING (file_path) WHERE kind > 0 AND (stop IS NULL OR line_no <= stop))"""
+  b AS (SELECT r.* FROM r LEFT JOIN s USING (file_path) WHERE kind > 0 AND {kept})"""
 
 
 def pick(*values):
@@ -73,11 +75,16 @@ BIRTH_FINDINGS = finding(
 )
 
 
-@query("check_birth_date", f"WITH {birth_sql(RAA)} {BIRTH_FINDINGS}")
+@query("check_birth_date", f"WITH {birth_sql(RAA, stop=False)} {BIRTH_FINDINGS}")
 def check_birth_date(spark, sf_dir):
     return checks.check_birth_date(staged(spark, sf_dir, "raa"))
 
 
+@query("check_birth_date_stopping", f"WITH {birth_sql(RAA)} {BIRTH_FINDINGS}")
+def check_birth_date_stopping(spark, sf_dir):
+    return checks.check_birth_date(staged(spark, sf_dir, "raa"), stop_after=50)
+
+
 HASHED = f"""
   v AS (SELECT *, trim(substr(line, 25, 16)) AS val FROM {RPSA}),
   n AS (SELECT *, length(val) - length(regexp_replace(val, '\\p{{L}}', '', 'g')) AS letters,
@@ -171,12 +178,14 @@ def duplicate_lines(spark, sf_dir):
     return found.join(texts, "digest").select("file_path", "format", "line", "first_line", "copies")
 
 
-YEAR_SQL = f"""
+def year_sql(first_lines=None):
+    kept = "true" if first_lines is None else f"rn <= {first_lines}"
+    return f"""
   WITH f AS (SELECT DISTINCT file_path, format FROM {RAA}),
   e AS (SELECT *, trim(substr(line, 42, 8)) AS ddn FROM {RAA}),
   s AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS rn FROM e
         WHERE regexp_full_match(ddn, '[0-9]{{8}}') AND trim(ddn, '0') <> ''),
-  y AS (SELECT file_path, format, year(try_strptime(ddn, '%Y%m%d')) AS yr FROM s WHERE rn <= 2000),
+  y AS (SELECT file_path, format, year(try_strptime(ddn, '%Y%m%d')) AS yr FROM s WHERE {kept}),
   c AS (SELECT file_path, format, count(*) FILTER (WHERE yr > 2024) AS n_after, count(*) FILTER (WHERE yr < 1900) AS n_old FROM y GROUP BY ALL),
   late AS (SELECT * FROM c WHERE n_after > 0), old AS (SELECT * FROM c WHERE n_old > 0)
   {finding("'WARN-FILE-YEAR-FUTURE'", 1, "'Nom de fichier contient une année future (2024).'", 0, quoted(T['year_future_hint']), 'f')}
@@ -185,11 +194,16 @@ YEAR_SQL = f"""
   UNION ALL {finding("'WARN-DDN-ANNEE-ABERRANTE'", 1, "n_old || " + quoted(T['year_old']), 0, quoted(T['year_old_hint']), 'old')}"""
 
 
-@query("check_file_year", YEAR_SQL)
+@query("check_file_year", year_sql())
 def check_file_year(spark, sf_dir):
     return checks.check_file_year(staged(spark, sf_dir, "raa"), current_year=2020)
 
 
+@query("check_file_year_first_lines", year_sql(2000))
+def check_file_year_first_lines(spark, sf_dir):
+    return checks.check_file_year(staged(spark, sf_dir, "raa"), current_year=2020, sample_lines=2000)
+
+
 # Activity and linkage share the id space of users and customers; the linkage file leaves out every tenth customer.
 def linkage_sql(missing_cap, orphan_cap):
     return f"""
@@ -203,10 +217,11 @@ def linkage_sql(missing_cap, orphan_cap):
   mis_more AS (SELECT max_by(file_path, rn) AS file_path, count(*) - {missing_cap} AS n, 'RAA' AS format FROM mis HAVING count(*) > {missing_cap}),
   orp AS (SELECT p.f AS file_path, p.l AS line_no, row_number() OVER (ORDER BY p.l) AS rn, 'VID-HOSP' AS format FROM vid
           WHERE ipp NOT IN (SELECT ipp FROM act)),
-  orp_few AS (SELECT * FROM orp WHERE rn <= {orphan_cap})"""
+  orp_few AS (SELECT * FROM orp WHERE rn <= {orphan_cap}),
+  orp_more AS (SELECT max_by(file_path, rn) AS file_path, count(*) - {orphan_cap} AS n, 'VID-HOSP' AS format FROM orp HAVING count(*) > {orphan_cap})"""
 
 
-def linkage_findings(missing_cap):
+def linkage_findings(missing_cap, orphan_cap):
     return finding(
         "'ERR-CHAINAGE-MANQUANT'", 2,
         "'IPP présent dans RAA (colonne 22, longueur 20) mais absent du VID-HOSP et du VID-IPP.'", "line_no",
@@ -218,12 +233,15 @@ def linkage_findings(missing_cap):
         "'WARN-CHAINAGE-ORPHAN'", 1,
         "'IPP présent dans VID-HOSP (colonne 354, longueur 20) mais absent des fichiers d''activité.'", "line_no",
         quoted(T["link_orphan_hint"]), "orp_few",
+    ) + " UNION ALL " + finding(
+        "'WARN-CHAINAGE-ORPHAN'", 1, f"n || ' autre(s) patient(s) sans activité, non détaillés au-delà de {orphan_cap}.'", 0,
+        quoted(T["link_orphan_hint"]), "orp_more",
     )
 
 
-@query("check_linkage", f"WITH {linkage_sql(10, 200)} {linkage_findings(10)}")
+@query("check_linkage", f"WITH {linkage_sql(10, 7)} {linkage_findings(10, 7)}")
 def check_linkage(spark, sf_dir):
-    return checks.check_linkage(staged(spark, sf_dir, "raa", "vid"), missing_cap=10)
+    return checks.check_linkage(staged(spark, sf_dir, "raa", "vid"), missing_cap=10, orphan_cap=7)
 
 
 # Purchases and users: customers without order, orders without customer, on the plain tables.
@@ -255,22 +273,29 @@ def width_lines(spark, sf_dir):
     )
 
 
-def gate_sql(source, accepted="96, 86, 90"):
+def gate_sql(source, accepted="96, 86, 90", first_lines=None):
+    kept = "true" if first_lines is None else f"rn <= {first_lines}"
     return f"""
-  smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS rn FROM {source} WHERE line <> '') WHERE rn <= 3000),
+  smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS rn FROM {source} WHERE line <> '') WHERE {kept}),
   cnt AS (SELECT file_path, format, length(line) AS len, count(*) AS n, min(line_no) AS fl FROM smp GROUP BY ALL),
   ver AS (SELECT file_path, format, sum(n) AS total, sum(CASE WHEN len IN ({accepted}) THEN n ELSE 0 END) AS ok,
                  max(n) AS top, max_by(len, {{'n': n, 'l': -fl}}) AS mode FROM cnt GROUP BY ALL)"""
 
 
-@query("length_verdict", f"""
-  WITH {gate_sql(WIDTH_LINES)}
-  SELECT file_path, format, total, ok AS conforming, ok * 2 >= total AS accepted,
-         CASE WHEN top >= 0.8 * total THEN mode ELSE 0 END AS dominant, '86 ou 90 ou 96' AS declared FROM ver""")
+VERDICT = """SELECT file_path, format, total, ok AS conforming, ok * 2 >= total AS accepted,
+         CASE WHEN top >= 0.8 * total THEN mode ELSE 0 END AS dominant, '86 ou 90 ou 96' AS declared FROM ver"""
+
+
+@query("length_verdict", f"WITH {gate_sql(WIDTH_LINES)} {VERDICT}")
 def length_verdict(spark, sf_dir):
     return checks.length_verdict(width_lines(spark, sf_dir))
 
 
+@query("length_verdict_first_lines", f"WITH {gate_sql(WIDTH_LINES, first_lines=300)} {VERDICT}")
+def length_verdict_first_lines(spark, sf_dir):
+    return checks.length_verdict(width_lines(spark, sf_dir), sample_lines=300)
+
+
 GATE_FINDINGS = finding(
     "'ERR-LONGUEUR-INATTENDUE'", 2,
     "CASE WHEN top >= 0.8 * total THEN 'Lignes de ' || mode || ' caractères' ELSE 'Longueurs de ligne hétérogènes, dont seulement ' "
@@ -286,7 +311,7 @@ def length_gate(spark, sf_dir):
 
 # The whole batch: activity and linkage files together. With counters the linkage lines pass the gate.
 ALL_FINDINGS = f"""
-  WITH {birth_sql(RAA)},
+  WITH {birth_sql(RAA, stop=False)},
   fv AS (SELECT * FROM (SELECT *, trim(substr(line, 1, 9)) AS val FROM {RAA}) WHERE val <> '' AND NOT regexp_full_match(val, '[0-9]{{9}}')),
   vv AS (SELECT * FROM (SELECT *, trim(substr(line, 53, 9)) AS val FROM {VID}) WHERE val <> '' AND NOT regexp_full_match(val, '[0-9]{{9}}')),
   v AS (SELECT *, trim(substr(line, 1, 13)) AS nir, trim(substr(line, 14, 2)) AS nkey FROM {VID}),
@@ -302,11 +327,11 @@ ALL_FINDINGS = f"""
     UNION ALL SELECT 'ERR-VID-NIR-FORMAT', 2, format FROM v WHERE trim(nir, '0') <> '' AND NOT regexp_full_match(nir, '[0-9]{{13}}')
     UNION ALL SELECT 'ERR-VID-NIR-KEY', 2, format FROM v WHERE trim(nir, '0') <> '' AND nkey <> '' AND NOT regexp_full_match(nkey, '[0-9]+')
     UNION ALL SELECT code, severity, format FROM ({DUPLICATE_FINDINGS})
-    UNION ALL SELECT code, severity, format FROM ({linkage_findings(500)}))"""
+    UNION ALL SELECT code, severity, format FROM ({linkage_findings(500, 200)}))"""
 
 # The year-first file is the only one whose birth dates read as late years; its findings come from the same sample.
 YEAR_PART = f"""
-    UNION ALL SELECT code, severity, format FROM ({YEAR_SQL.replace('WITH', 'WITH', 1)}) WHERE code <> 'WARN-FILE-YEAR-FUTURE'"""
+    UNION ALL SELECT code, severity, format FROM ({year_sql()}) WHERE code <> 'WARN-FILE-YEAR-FUTURE'"""
 
 
 def batch_lines(spark, sf_dir):
@@ -330,7 +355,7 @@ def summarize_findings(spark, sf_dir):
 
 
 @query("count_by_code", f"""
-  WITH {birth_sql(RAA)}, f AS ({BIRTH_FINDINGS})
+  WITH {birth_sql(RAA, stop=False)}, f AS ({BIRTH_FINDINGS})
   SELECT code, severity, format, count(*) AS n, min_by(message, {{'f': file_path, 'l': line_no}}) AS first_message FROM f GROUP BY ALL""")
 def count_by_code(spark, sf_dir):
     return checks.count_by_code(checks.check_birth_date(staged(spark, sf_dir, "raa")))

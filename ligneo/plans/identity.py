@@ -91,12 +91,23 @@ def override_pivot(spark, sf_dir):
   f AS (SELECT ipp, file_path, min({{'f': file_path, 'l': line_no}}) AS p FROM obs GROUP BY ALL)
   SELECT ipp AS "IPP", "pivot" AS "DDN_PIVOT",
     (SELECT string_agg(ddn, '|' ORDER BY p) FROM d WHERE d.ipp = idx.ipp) AS "DDN_OBSERVATIONS",
-    (SELECT string_agg(file_path, '|' ORDER BY p) FROM f WHERE f.ipp = idx.ipp) AS "SOURCE_FILES", 1 AS "PARTIE" FROM idx""")
+    (SELECT string_agg(file_path, '|' ORDER BY p) FROM f WHERE f.ipp = idx.ipp) AS "SOURCE_FILES" FROM idx""")
 def export_identity(spark, sf_dir):
     obs = observations(spark, sf_dir)
     return identity.export_identity(obs, identity.identity_history(obs))
 
 
+@query("identity_items", f"""
+  WITH {OBS}
+  SELECT ipp, 'ddn' AS kind, ddn AS item, min({{'f': file_path, 'l': line_no}}).f AS first_file, min({{'f': file_path, 'l': line_no}}).l AS first_line
+  FROM obs GROUP BY ipp, ddn
+  UNION ALL SELECT ipp, 'file', file_path, file_path, min(line_no) FROM obs GROUP BY ipp, file_path""")
+def identity_items(spark, sf_dir):
+    obs = observations(spark, sf_dir)
+    items = identity.identity_items(obs, identity.identity_history(obs))
+    return items.select("ipp", "kind", "item", F.col("place.file_path").alias("first_file"), F.col("place.line_no").alias("first_line"))
+
+
 @query("rewrite_with_pivot", f"""
   WITH {INDEX}, lines AS (SELECT *, 22 AS i, 42 AS d FROM {RAA} UNION ALL SELECT *, 354, 20 FROM {VID}),
   j AS (SELECT lines.*, "pivot", coalesce("pivot" <> substr(line, d, 8), false) AS rewritten

@@ -397,12 +397,20 @@ def best_threshold(spark, sf_dir):
 
 @query("review_queue", f"""
   WITH s AS ({SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY probability DESC, line_no) AS rank FROM s WHERE probability >= 0.5)
-  SELECT file_path, line_no, CAST(probability AS DOUBLE) AS probability, rank, rank <= 20 AS shown FROM r WHERE rank <= 200""")
+  SELECT file_path, line_no, CAST(probability AS DOUBLE) AS probability, rank, rank <= 20 AS shown FROM r""")
 def review_queue(spark, sf_dir):
     flagged = scored(spark, sf_dir).filter("probability >= 0.5").select("file_path", "line_no", "probability")
     return deletion.review_queue(flagged)
 
 
+@query("review_queue_cut", f"""
+  WITH s AS ({SCORED}), r AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY probability DESC, line_no) AS rank FROM s WHERE probability >= 0.5)
+  SELECT file_path, line_no, CAST(probability AS DOUBLE) AS probability, rank, rank <= 20 AS shown FROM r WHERE rank <= 50""")
+def review_queue_cut(spark, sf_dir):
+    flagged = scored(spark, sf_dir).filter("probability >= 0.5").select("file_path", "line_no", "probability")
+    return deletion.review_queue(flagged, kept=50)
+
+
 # Trains on the first two thirds of the month, judges on the last, scores every line. Quality is tested, not the scores.
 @query("score_deletions")
 def score_deletions(spark, sf_dir):

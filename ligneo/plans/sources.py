@@ -13,7 +13,7 @@ from ligneo.plans.identity import OBS, FILES, batch_files
 from ligneo.plans.records import sql_field
 from ligneo.plans.registry import query
 from ligneo.plans.specs import demo_layouts, demo_specs
-from ligneo.session import ensure_checkpoint_dir
+from ligneo.session import shared_folder
 from ligneo.sources import layouts, lines, platform, recognise, sinks
 
 RAA, VID, RPS, RPSA = (f"({encoded_sql(k)})" for k in ("raa", "vid", "rps", "rpsa"))
@@ -21,8 +21,7 @@ RAA, VID, RPS, RPSA = (f"({encoded_sql(k)})" for k in ("raa", "vid", "rps", "rps
 
 def scratch_path(spark, name):
     """A new folder below the checkpoint folder, which every executor of a cluster can reach."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # Writes the lines as Latin-1 files, blank ones included, and scans them back with their numbers.
@@ -125,9 +124,11 @@ def resolve_layout(spark, sf_dir):
     return layouts.resolve_layout(spark.sql(ORDER_FILES), vintages)
 
 
-DETECT = f"""
+def detect_sql(first_lines=None):
+    kept = "true" if first_lines is None else f"rn <= {first_lines}"
+    return f"""
   all_lines AS (SELECT * FROM {RAA} UNION ALL SELECT * FROM {VID} UNION ALL SELECT * FROM {RPSA}),
-  smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS rn FROM all_lines) WHERE rn <= 3000),
+  smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS rn FROM all_lines) WHERE {kept}),
   cnt AS (SELECT line, file_path, length(line) AS len,
       coalesce(try_cast(CASE WHEN length(line) >= 96 THEN trim(substr(line, 95, 2)) END AS INT), 0) AS da,
       coalesce(try_cast(CASE WHEN length(line) >= 152 THEN trim(substr(line, 151, 2)) END AS INT), 0) AS da2,
@@ -139,16 +140,22 @@ DETECT = f"""
       CASE WHEN greatest(raa, rps, vid) >= 0.8 THEN greatest(raa, rps, vid) ELSE 0 END AS ratio FROM rat)"""
 
 
-@query("detect_by_content", f"""
-  WITH {DETECT}
-  SELECT file_path, detected, ratio, lines_read, CASE WHEN detected IS NULL THEN 'aucun format ne correspond a la longueur des lignes'
-    ELSE 'longueur des lignes' END AS reason FROM det""")
+DETECTED = """SELECT file_path, detected, ratio, lines_read, CASE WHEN detected IS NULL THEN 'aucun format ne correspond a la longueur des lignes'
+    ELSE 'longueur des lignes' END AS reason FROM det"""
+
+
+@query("detect_by_content", f"WITH {detect_sql()} {DETECTED}")
 def detect_by_content(spark, sf_dir):
     return recognise.detect_by_content(staged(spark, sf_dir, "raa", "vid", "rpsa"), demo_specs(spark))
 
 
+@query("detect_by_first_lines", f"WITH {detect_sql(3000)} {DETECTED}")
+def detect_by_first_lines(spark, sf_dir):
+    return recognise.detect_by_content(staged(spark, sf_dir, "raa", "vid", "rpsa"), demo_specs(spark), sample_lines=3000)
+
+
 @query("identify_format", f"""
-  WITH {DETECT}
+  WITH {detect_sql()}
   SELECT file_path, coalesce(detected, CASE WHEN file_path LIKE '%rpsa%' THEN 'RPSA' ELSE 'INCONNU' END) AS format, lines_read FROM det""")
 def identify_format(spark, sf_dir):
     found = recognise.identify_format(staged(spark, sf_dir, "raa", "vid", "rpsa"), demo_specs(spark))
@@ -158,7 +165,7 @@ def identify_format(spark, sf_dir):
 @query("detect_variant", f"""
   WITH v AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY line_no) AS rn FROM {WIDTH_LINES}
              WHERE length(line) >= 50 AND regexp_matches(line, '[^0 ]')),
-  c AS (SELECT file_path, length(rtrim(line)) AS len, count(*) AS n, min(line_no) AS fl FROM v WHERE rn <= 100 GROUP BY ALL),
+  c AS (SELECT file_path, length(rtrim(line)) AS len, count(*) AS n, min(line_no) AS fl FROM v GROUP BY ALL),
   m AS (SELECT file_path, max_by(len, {{'n': n, 'l': -fl}}) AS dom FROM c GROUP BY file_path)
   SELECT file_path, 'RAA' AS format, CASE WHEN dom IN (86, 90) THEN dom ELSE 96 END AS effective_length FROM m""")
 def detect_variant(spark, sf_dir):

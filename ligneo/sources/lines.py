@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 from ligneo.catalogue import NAME_PATTERNS, SKIPPED_EXTENSIONS
 from ligneo.session import cut_lineage
 
-# A split table up to this many rows (about 100 bytes each) is sent to every task; a larger one is joined by key.
-BROADCAST_SPLITS = 100_000
-
 
 def base_name(path) -> Column:
     return F.regexp_extract(path, r"([^/\\]*)$", 1)
@@ -47,8 +44,6 @@ def scan_lines(spark: SparkSession, paths) -> DataFrame:
         "file_path", "split_start", "first_id",
         F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("lines_before"),
     ))
-    if splits.count() <= BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
     return raw.join(splits, ["file_path", "split_start"]).select(
         "file_path",
         base_name(F.col("file_path")).alias("file_name"),

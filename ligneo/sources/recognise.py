@@ -10,9 +10,6 @@ from ligneo.functions.text import expected_length, is_valid_line, right_trimmed
 from ligneo.operators.skew import first_in_file, spread_join
 from ligneo.sources.lines import identify_by_name
 
-SAMPLE_LINES = 3000
-
-
 def _domain(text):
     """PSY or MCO, from a folder of the path or the suffix of a format name."""
     upper = F.replace(F.upper(text), F.lit("/"), F.lit("\\"))
@@ -22,13 +19,15 @@ def _domain(text):
     )
 
 
-def detect_by_content(lines: DataFrame, specs: dict) -> DataFrame:
+def detect_by_content(lines: DataFrame, specs: dict, sample_lines=None) -> DataFrame:
     """Per file: `detected` format or null, `ratio` of conforming lines, `lines_read`, `reason`.
 
-    One pass over the first lines of each file computes the share of every spec side by side; the file is
-    then judged on its own short array of shares, so no join of files with specs is needed.
+    One aggregation over all lines computes the share of every spec side by side; the file is then judged on
+    its own short array of shares, so no join of files with specs is needed. `sample_lines` judges a file by
+    its first lines only.
     """
-    sample = first_in_file(lines.filter(F.length("line") > 0), SAMPLE_LINES)
+    filled = lines.filter(F.length("line") > 0)
+    sample = filled if sample_lines is None else first_in_file(filled, sample_lines)
     names = sorted(specs)
     shares = [
         F.avg(
@@ -72,9 +71,9 @@ def detect_by_content(lines: DataFrame, specs: dict) -> DataFrame:
     )
 
 
-def identify_format(lines: DataFrame, specs: dict) -> DataFrame:
+def identify_format(lines: DataFrame, specs: dict, sample_lines=None) -> DataFrame:
     """One row per file with `format`: by content, else by name, else unknown."""
-    detected = detect_by_content(lines, specs)
+    detected = detect_by_content(lines, specs, sample_lines)
     return detected.select(
         "file_path",
         F.coalesce("detected", identify_by_name(F.col("file_path")), F.lit(UNKNOWN)).alias("format"),
@@ -87,12 +86,12 @@ def with_format(lines: DataFrame, files: DataFrame) -> DataFrame:
     return spread_join(lines, files, ["file_path"], F.col("line_no"), how="inner")
 
 
-def detect_variant(lines: DataFrame) -> DataFrame:
-    """Effective record length of each file, from the dominant length of its first 100 valid lines."""
+def detect_variant(lines: DataFrame, sample_lines=None) -> DataFrame:
+    """Effective record length of each file, from the dominant length of its valid lines, or of the first ones."""
     with_variants = sorted({name for name, _ in LENGTH_VARIANTS})
     valid = lines.filter(F.col("format").isin(with_variants) & is_valid_line(F.col("line")))
     lengths = (
-        first_in_file(valid, 100)
+        (valid if sample_lines is None else first_in_file(valid, sample_lines))
         .groupBy("file_path", F.length(right_trimmed(F.col("line"))).alias("observed"))
         .agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
         .groupBy("file_path")

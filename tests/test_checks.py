@@ -44,10 +44,15 @@ def test_birth_date_stops_like_a_line_loop(lines_of, seed):
     kinds = [draw.choices([None, False, True], [0.1, 0.02, 0.88])[0] for _ in range(400)]
     texts = [raa(ddn={None: "", False: "01011980", True: "31021980"}[k]) for k in kinds]
     for block in (7, 64, 10_000):
-        found = checks.check_birth_date(lines_of(("/a/raa.txt", "RAA", texts)), block=block)
+        found = checks.check_birth_date(lines_of(("/a/raa.txt", "RAA", texts)), stop_after=50, block=block)
         assert sorted(r["line_no"] for r in found.collect()) == stop_by_hand(kinds)
 
 
+def test_all_birth_dates_are_reported_by_default(lines_of):
+    found = checks.check_birth_date(lines_of(("/a/raa.txt", "RAA", [raa(ddn="31021980")] * 120)))
+    assert sorted(r["line_no"] for r in found.collect()) == list(range(1, 121))
+
+
 def test_no_value_in_findings(lines_of):
     secret = "SECRET42X"
     lines = lines_of(
@@ -101,6 +106,14 @@ def test_linkage_detail_is_capped_but_all_are_counted(lines_of):
     assert [r for r in found if r["line_no"] == 0][0]["message"].startswith("7 autre(s) patient(s)")
 
 
+def test_orphans_beyond_the_cap_are_counted(lines_of):
+    lines = lines_of(("/a/raa.txt", "RAA", [raa("A")]), ("/a/vidhosp.txt", "VID-HOSP", [vid(f"Z{i}") for i in range(9)] + [vid("A")]))
+    found = checks.check_linkage(lines, orphan_cap=4).collect()
+    assert codes(checks.check_linkage(lines, orphan_cap=9)) == [("WARN-CHAINAGE-ORPHAN", i) for i in range(1, 10)]
+    assert sorted(r["line_no"] for r in found) == [0, 1, 2, 3, 4]
+    assert [r for r in found if r["line_no"] == 0][0]["message"].startswith("5 autre(s) patient(s)")
+
+
 def test_refused_file_skips_positions_and_cross_checks(lines_of):
     lines = lines_of(("/a/raa.txt", "RAA", ["9" * 500] * 30), ("/a/vidhosp.txt", "VID-HOSP", [vid("A")]))
     found = checks.run_checks(lines, 2026).collect()

@@ -73,3 +73,12 @@ def test_birth_date_keeps_year(spark, keyed):
 def test_short_key_is_refused(spark):
     with pytest.raises(ValueError):
         key_pads(spark, b"short")
+
+
+def test_a_key_longer_than_a_block(spark):
+    key = bytes(range(80))
+    keyed = Keyed(key_pads(spark, key))
+    row = keyed.attach(spark.range(1)).select(keyed.mac("nir", F.lit("abc")).alias("m")).first()
+    assert row["m"] == hmac.new(key, "nir\u001fabc".encode(), hashlib.sha256).hexdigest()
+    with pytest.raises(ValueError):
+        key_pads(spark, key[:31])

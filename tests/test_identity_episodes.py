@@ -31,15 +31,16 @@ def test_pivot_is_that_of_a_running_vote(spark, seed):
     assert {r["ipp"]: r["pivot"] for r in index.collect()} == {p: pivot_by_hand(ds) for p, ds in votes.items()}
 
 
-def test_filler_patient_export_is_split_but_whole(spark):
+def test_filler_patient_export_is_one_row_in_order(spark):
     rows = [("FILLER", f"D{i % 3}", f"file{i:03d}", 1) for i in range(50)] + [("P1", "D1", "FileA", 1), ("P1", "D1", "filea", 2)]
     obs = observations(spark, rows)
-    out = identity.export_identity(obs, identity.identity_history(obs), max_items=10).collect()
+    out = identity.export_identity(obs, identity.identity_history(obs)).collect()
     plain = [r for r in out if r["IPP"] == "P1"]
-    assert [(r["DDN_OBSERVATIONS"], r["SOURCE_FILES"], r["PARTIE"]) for r in plain] == [("D1", "FileA", 1)]
+    assert [(r["DDN_OBSERVATIONS"], r["SOURCE_FILES"]) for r in plain] == [("D1", "FileA")]
     filler = [r for r in out if r["IPP"] == "FILLER"]
-    files = [f for r in filler for f in r["SOURCE_FILES"].split("|") if f]
-    assert len(filler) > 1 and sorted(files) == [f"file{i:03d}" for i in range(50)]
+    assert [r["SOURCE_FILES"].split("|") for r in filler] == [[f"file{i:03d}" for i in range(50)]]
+    items = identity.identity_items(obs, identity.identity_history(obs)).filter("ipp = 'FILLER'")
+    assert items.filter("kind = 'file'").count() == 50 and items.filter("kind = 'ddn'").count() == 3
 
 
 def test_repeated_zone_survives_rewriting(spark, lines_of):

@@ -14,12 +14,11 @@ def raa(ipp, date="10032025", nature="E", ddn="01011984", um="U001", dp="F200"):
 def test_features(spark, specs, lines_of):
     texts = [raa("A"), raa("A"), raa("B", date="        "), raa("B", ddn="01011900")]
     lines = lines_of(("/m/raa.txt", "RAA", texts))
-    for limit in (10**9, 0):
-        rows = {r["line_no"]: r for r in deletion.raa_features(lines, specs["RAA"], min_rows=limit).collect()}
-        assert [rows[i]["rang_identique"] for i in (1, 2)] == [1.0, 2.0] and rows[1]["actes_du_jour"] == 2.0
-        assert rows[2]["rang_nature_du_jour"] == 2.0 and rows[1]["age"] == 41.0 and rows[1]["jour_semaine"] == 1.0
-        assert rows[3]["age"] == -1.0 and rows[3]["jour_semaine"] == -1.0 and rows[4]["age"] == -1.0
-        assert rows[1]["chapitre_dp"] == "F20" and rows[1]["intervenants"] == 2.0
+    rows = {r["line_no"]: r for r in deletion.raa_features(lines, specs["RAA"]).collect()}
+    assert [rows[i]["rang_identique"] for i in (1, 2)] == [1.0, 2.0] and rows[1]["actes_du_jour"] == 2.0
+    assert rows[2]["rang_nature_du_jour"] == 2.0 and rows[1]["age"] == 41.0 and rows[1]["jour_semaine"] == 1.0
+    assert rows[3]["age"] == -1.0 and rows[3]["jour_semaine"] == -1.0 and rows[4]["age"] == -1.0
+    assert rows[1]["chapitre_dp"] == "F20" and rows[1]["intervenants"] == 2.0
 
 
 def test_crowded_day_gives_the_same_ranks(spark, specs, lines_of):
@@ -27,8 +26,15 @@ def test_crowded_day_gives_the_same_ranks(spark, specs, lines_of):
     texts = [raa("0" * 10, nature=draw.choice("ED"), um=draw.choice(["U001", "U002"])) for _ in range(300)] + [raa(f"P{i}") for i in range(50)]
     lines = lines_of(("/m/raa.txt", "RAA", texts))
     columns = ["line_no", "actes_du_jour", "rang_identique", "rang_nature_du_jour"]
-    read = lambda limit: sorted(tuple(r) for r in deletion.raa_features(lines, specs["RAA"], min_rows=limit).select(*columns).collect())
-    assert read(10**9) == read(20)
+    got = sorted(tuple(r) for r in deletion.raa_features(lines, specs["RAA"]).select(*columns).collect())
+    seen, expected = {}, []
+    for i, text in enumerate(texts, 1):
+        ipp, nature = text[21:41], text[77:79]
+        for key in (text, (ipp, nature)):
+            seen[key] = seen.get(key, 0) + 1
+        acts = sum(t[21:41] == ipp for t in texts)
+        expected.append((i, float(acts), float(seen[text]), float(seen[ipp, nature])))
+    assert got == expected
 
 
 def test_labels_are_a_multiset_difference(spark, specs, lines_of):

@@ -18,29 +18,33 @@ def rows(df, *columns):
     return sorted(tuple(r) for r in df.select(*columns).collect())
 
 
-def test_hot_keys_are_found(spark):
-    assert [r["k"] for r in skew.hot_keys(skewed(spark), ["k"], min_rows=200).collect()] == ["hot"]
-    assert skew.hot_keys(skewed(spark), ["k"]) is None
-
-
 def test_rank_in_group(spark):
     df = skewed(spark)
     expected = df.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("pos")).cast("bigint")).withColumn(
         "t", F.count(F.lit(1)).over(W.partitionBy("k")))
-    for limit in (10, 10**9):
-        got = skew.rank_in_group(df, ["k"], "pos", "r", total="t", min_rows=limit)
+    for block in (10, 700, 10**9):
+        got = skew.rank_in_group(df, ["k"], "pos", "r", total="t", block=block)
         assert rows(got, "k", "pos", "r", "t") == rows(expected, "k", "pos", "r", "t")
 
 
+def test_no_task_ranks_more_than_a_block_of_a_clustered_group(spark):
+    """One key with a 2,000th of the rows, its order all in one narrow range."""
+    df = spark.range(200_000).select(F.when(F.col("id") % 2000 == 7, F.lit("clustered")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"),
+                                     F.when(F.col("id") % 2000 == 7, F.expr("900000 + id div 2000")).otherwise(F.col("id")).alias("pos"))
+    ranked = skew.rank_in_group(df, ["k"], "pos", "r", block=16)
+    inside = df.withColumn("b", F.expr("pos div 16")).groupBy("k", "b").count().agg(F.max("count")).first()[0]
+    assert inside <= 16
+    assert [r["r"] for r in ranked.filter("k = 'clustered'").orderBy("pos").collect()] == list(range(1, 101))
+
+
 def test_spread_join(spark):
     left = skewed(spark).withColumn("k", F.when(F.col("pos") % 11 > 0, F.col("k")))
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k3", 3), ("none", 4)], "k string, w int")
     for how in ("left", "inner", "left_semi", "left_anti"):
         columns = ["k", "pos"] + (["w"] if how in ("left", "inner") else [])
         expected = left.join(right, ["k"], how).fillna("null", ["k"]).fillna(-1)
-        for limits in ({}, {"small_rows": 0}, {"small_rows": 0, "min_rows": 10}):
-            got = skew.spread_join(left, right, ["k"], F.col("pos"), how=how, **limits).fillna("null", ["k"]).fillna(-1)
-            assert rows(got, *columns) == rows(expected, *columns), (how, limits)
+        got = skew.spread_join(left, right, ["k"], F.col("pos"), how=how).fillna("null", ["k"]).fillna(-1)
+        assert rows(got, *columns) == rows(expected, *columns), how
 
 
 def test_first_in_file(spark):
