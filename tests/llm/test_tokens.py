@@ -2,7 +2,9 @@
 
 import random
 
-from ligneo.llm.tokens import TextEncoder, default_tokenizer
+import pyarrow as pa
+
+from ligneo.llm.tokens import TextEncoder, chunks, default_tokenizer
 
 ALPHABET = [" ", "  ", "\n", "a", "Bc", "é", "ß", ".", ",", "!!", "'s", "1", "23", "\t", "|", "***", "日本", "\r", " ", "<|endoftext|>", "😀",
             "\x1c", "\x85", "ll", "'", "-", "×", "ª", "²", "\\", "]", "^"]
@@ -14,7 +16,8 @@ def test_ids_equal_the_library_on_random_texts():
     for alphabet in (ALPHABET, PLAIN):
         texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(0, 30))) for _ in range(3000)]
         expected = [x.ids for x in own.library.encode_batch(texts, add_special_tokens=False)]
-        assert [list(own.encode(t)) for t in texts] == expected
+        assert [list(ids) for ids in own.encode(pa.array(texts))] == expected
+        assert [list(ids) for ids in own.encode(pa.array(["", *texts]).slice(1))] == expected
 
 
 def test_frequent_words_survive_a_full_cache():
@@ -22,5 +25,12 @@ def test_frequent_words_survive_a_full_cache():
     words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
     for i in range(0, 300, 10):
         text = "the " + " the ".join(words[i:i + 10])
-        assert list(own.encode(text)) == own.library.encode(text, add_special_tokens=False).ids
-    assert len(own.rest) <= 40
+        assert list(next(own.encode(pa.array([text])))) == own.library.encode(text, add_special_tokens=False).ids
+    assert len(own.words) <= 40
+
+
+def test_chunks_hold_all_texts():
+    column = pa.array(["a" * 10, None, "b" * 50, "", "c" * 3] * 7)
+    found = [t for part in chunks(column, 20) for t in part.to_pylist()]
+    assert found == [t or "" for t in column.to_pylist()]
+    assert list(chunks(pa.array([], pa.string()), 20)) == []
