@@ -288,14 +288,21 @@ def align(before: DataFrame, after: DataFrame, spec, **limits):
     return aligned, counts
 
 
-def dedupe_evidence(aligned: DataFrame, seen: DataFrame = None) -> DataFrame:
+def dedupe_evidence(aligned: DataFrame, seen: DataFrame = None, pairs: DataFrame = None) -> DataFrame:
     """One row per distinct (before, after) couple, under its first pair, minus the couples already `seen`.
 
-    `seen` holds fingerprints; the result carries them, to be stored.
+    `seen` holds fingerprints; the result carries them, to be stored. With `pairs` (pair_id, corrected) the first pair
+    is the one whose corrected file sorts first, else the one with the least id.
     """
     print_ = F.sha2(F.concat_ws("\n", "before", "after"), 256)
+    if pairs is None:
+        rank = F.struct("pair_id")
+    else:
+        aligned = spread_join(aligned, pairs.select("pair_id", F.col("corrected").alias("_corrected")), ["pair_id"],
+                              F.struct("before", "after"), how="inner")
+        rank = F.struct("_corrected", "pair_id")
     firsts = aligned.withColumn("fingerprint", print_).groupBy("fingerprint", "before", "after").agg(
-        F.min("pair_id").alias("pair_id")
+        F.min_by("pair_id", rank).alias("pair_id")
     )
     return firsts if seen is None else firsts.join(seen, "fingerprint", "left_anti")
 

@@ -152,14 +152,12 @@ def unexplained(spark, sf_dir):
 
 # --- alignment and evidence -------------------------------------------------------------------------------
 
-@query("dedupe_evidence", f"""
-  WITH {COUPLES}
-  SELECT substr(before, 42, 55) AS before, substr(after, 42, 55) AS after, min(pair_id) AS pair_id FROM cpl GROUP BY ALL""")
+@query("dedupe_evidence", "WITH " + COUPLES + """
+  SELECT before, after, min_by(pair_id, {'c': reverse(pair_id), 'p': pair_id}) AS pair_id FROM cpl GROUP BY ALL""")
 def dedupe_evidence(spark, sf_dir):
-    short = couples(spark, sf_dir).select(
-        "pair_id", F.substring("before", 42, 55).alias("before"), F.substring("after", 42, 55).alias("after")
-    )
-    return learning.dedupe_evidence(short).drop("fingerprint")
+    evidence = couples(spark, sf_dir).select("pair_id", "before", "after")
+    pairs = evidence.select("pair_id").distinct().withColumn("corrected", F.reverse("pair_id"))
+    return learning.dedupe_evidence(evidence, pairs=pairs).drop("fingerprint")
 
 
 @query("align_by_rank", f"""
