@@ -19,7 +19,6 @@ LAYOUT_SCHEMA = (
     "format string, year int, ord int, name string, start int, length int, label string, "
     "repeat_zone boolean, source string"
 )
-# The driver only ever holds this many descriptor rows; a larger table is refused.
 
 Field = namedtuple("Field", "name start length role label")
 Zone = namedtuple("Zone", "name count_start count_length block_length fields")
