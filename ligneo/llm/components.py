@@ -23,11 +23,12 @@ def components(edges, folder, name):
         before, step = now, step + 1
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        least = stored(least, folder, f"{name}-least{step}")  # a join of two tables can split the edges of a hub
         # Every neighbour greater than a node hangs on the least of the node's neighbourhood.
         edges = both.join(least, both.a == least.u).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Every smaller neighbour hangs on the least of them, and so does the node itself.
         edges = stored(edges, folder, f"{name}-large{step}")
-        least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        least = stored(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"), folder, f"{name}-below{step}")
         hung = edges.join(least, edges.a == least.u).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(hung.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), folder, f"{name}-small{step}")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -110,15 +110,15 @@ def chains_of_pairs(frame):
     """Chains of every pair of documents in a frame of matches, with the positions of their seeds."""
     out = []
     x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
-    doc, other = frame["doc"].to_numpy(), frame["other"].to_numpy()
+    doc, other, turn, other_turn = (frame[c].to_numpy() for c in ("doc", "other", "turn", "other_turn"))
     starts, ends = group_bounds(frame, ["doc", "other"])
     for a, b in zip(starts, ends):
         _, first = np.unique(np.stack([x[a:b], y[a:b]]), axis=1, return_index=True)  # repeated rows bring a match twice
         px, py = x[a:b][first], y[a:b][first]
         for chain in chain_matches(px, py):
             cx, cy = px[chain].astype("<i4"), py[chain].astype("<i4")
-            out.append((doc[a], other[a], cx.tobytes(), cy.tobytes(), int(cx[0]), int(cx[-1]), int(cy[0]), int(cy[-1])))
-    return pd.DataFrame(out, columns=["doc", "other", "xs", "ys", "x0", "x1", "y0", "y1"])
+            out.append((doc[a], other[a], turn[a], other_turn[a], cx.tobytes(), cy.tobytes(), int(cx[0]), int(cx[-1]), int(cy[0]), int(cy[-1])))
+    return pd.DataFrame(out, columns=["doc", "other", "turn", "other_turn", "xs", "ys", "x0", "x1", "y0", "y1"])
 
 
 def grow(a, b):
@@ -170,7 +170,7 @@ def align_chains(min_words, identity, break_words=10):
         out = []
         starts, ends = group_bounds(frame, ["chain"])
         side, words, low = frame["side"].to_numpy(), frame["slice"].to_numpy(), frame["low"].to_numpy()
-        doc, other, xs_all, ys_all = (frame[c].to_numpy() for c in ("doc", "other", "xs", "ys"))
+        doc, other, turn, other_turn, xs_all, ys_all = (frame[c].to_numpy() for c in ("doc", "other", "turn", "other_turn", "xs", "ys"))
         for begin, end in zip(starts, ends):
             rows = {side[i]: i for i in range(begin, end)}
             if len(rows) < 2:
@@ -183,8 +183,8 @@ def align_chains(min_words, identity, break_words=10):
             for px, py in zip(np.split(mx, cut), np.split(my, cut)):
                 length = max(px[-1] - px[0], py[-1] - py[0]) + 1
                 if length >= min_words and len(px) >= identity * length:
-                    out.append((doc[i], other[i], int(px[0] + low[i]), int(px[-1] + low[i] + 1), int(py[0] + low[j]), int(py[-1] + low[j] + 1), len(px)))
-        names = ["doc", "other", "start_word", "end_word", "ref_start_word", "ref_end_word", "matched_words"]
+                    out.append((doc[i], other[i], turn[i], other_turn[i], int(px[0] + low[i]), int(px[-1] + low[i] + 1), int(py[0] + low[j]), int(py[-1] + low[j] + 1), len(px)))
+        names = ["doc", "other", "turn", "other_turn", "start_word", "end_word", "ref_start_word", "ref_end_word", "matched_words"]
         found = pd.DataFrame(out, columns=names).astype("int64")
         # Chains of one pair can grow into each other: of passages that end where or before an earlier one does, the first stays.
         found = found.sort_values(["doc", "other", "start_word", "end_word", "matched_words"], ascending=[True, True, True, False, False])
@@ -204,27 +204,27 @@ def repeated_passages(docs, min_words=50, identity=0.8, folder=None):
     """
     width, folder = shuffle_width(docs.sparkSession), folder or shared_folder(docs.sparkSession)
     read = stored(seed_documents(docs, min_words), folder, "words")
-    ids = read.select("doc", "doc_id")
-    seeds = read.select("doc", F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("turn"), F.explode(F.arrays_zip("seed", "at")).alias("s"))
+    last = (1 << 63) - 1  # the place of a null id
+    seeds = read.select("doc", F.coalesce("doc_id", F.lit(last)).alias("turn"), F.explode(F.arrays_zip("seed", "at")).alias("s"))
     seeds = seeds.select("doc", "turn", F.col("s.seed").alias("seed"), F.col("s.at").alias("x"))
     first = seeds.groupBy("seed").agg(F.min(F.struct("turn", "doc", "x")).alias("first"), F.max("doc").alias("d1"), F.min("doc").alias("d2"))
-    first = first.filter("d1 <> d2").select("seed", F.col("first.doc").alias("other"), F.col("first.x").alias("y"))
-    matches = seeds.join(first, "seed").filter("doc <> other").select("doc", "other", "x", "y")
-    chains = sorted_groups(matches, ["doc", "other"], chains_of_pairs, "doc long, other long, xs binary, ys binary, x0 int, x1 int, y0 int, y1 int", width)
+    first = first.filter("d1 <> d2").select("seed", F.col("first.doc").alias("other"), F.col("first.turn").alias("other_turn"), F.col("first.x").alias("y"))
+    first = stored(first, folder, "first")  # a join of two tables can split a seed that very many documents share
+    matches = seeds.join(first, "seed").filter("doc <> other").select("doc", "other", "turn", "other_turn", "x", "y")
+    chains = sorted_groups(matches, ["doc", "other"], chains_of_pairs, "doc long, other long, turn long, other_turn long, xs binary, ys binary, x0 int, x1 int, y0 int, y1 int", width)
     chains = stored(chains.withColumn("chain", F.monotonically_increasing_id()), folder, "chains")
     sides = [
-        chains.select("chain", F.lit(s).alias("side"), F.col(key).alias("key"), "doc", "other", *(["xs", "ys"] if s == 0 else [F.lit(None).cast("binary").alias(c) for c in ("xs", "ys")]),
+        chains.select("chain", F.lit(s).alias("side"), F.col(key).alias("key"), "doc", "other", "turn", "other_turn", *(["xs", "ys"] if s == 0 else [F.lit(None).cast("binary").alias(c) for c in ("xs", "ys")]),
                       F.greatest(F.col(f"{v}0") - FLANK, F.lit(0)).alias("low"), (F.col(f"{v}1") + K + FLANK).alias("high"))
         for s, (key, v) in enumerate((("doc", "x"), ("other", "y")))
     ]
     wanted = sides[0].unionByName(sides[1])
     texts = read.select(F.col("doc").alias("key"), "words")
     slices = wanted.join(texts, "key").withColumn("slice", F.expr("substring(words, low * 2 + 1, (high - low) * 2)")).drop("words", "key", "high")
-    schema = "doc long, other long, start_word long, end_word long, ref_start_word long, ref_end_word long, matched_words long"
+    schema = "doc long, other long, turn long, other_turn long, start_word long, end_word long, ref_start_word long, ref_end_word long, matched_words long"
     found = stored(sorted_groups(slices, ["doc", "other"], align_chains(min_words, identity), schema, width, ["chain"]), folder, "passages")
-    ids = ids.distinct()
-    named = found.join(ids, "doc").join(ids.select(F.col("doc").alias("other"), F.col("doc_id").alias("ref_doc_id")), "other")
-    return named.select("doc", "doc_id", "start_word", "end_word", "ref_doc_id", "ref_start_word", "ref_end_word", "matched_words")
+    doc_id, ref_doc_id = (F.nullif(c, F.lit(last)).alias(n) for c, n in (("turn", "doc_id"), ("other_turn", "ref_doc_id")))
+    return found.select("doc", doc_id, "start_word", "end_word", ref_doc_id, "ref_start_word", "ref_end_word", "matched_words")
 
 
 def without_spans(text, spans):

@@ -78,7 +78,7 @@ def linked_pairs(index, home, queries, members, least):
 def tile_links(index, least):
     """The task on one tile: links of a chunk of queries with a chunk of members, counted, and a forest of them."""
 
-    def work(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def work(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         home = int(key[1])
         member = rows["member"].to_numpy(dtype=bool)
         sides = []
