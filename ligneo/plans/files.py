@@ -97,6 +97,48 @@ def read_written_csv(spark, sf_dir):
     return back.select("source", "p_partkey", "cell")
 
 
+# Activity files of two years whose layouts keep the birth date in different places, and a file without a layout.
+TWO_YEARS = """SELECT '/lot/raa_' || event_type || '.txt' AS file_path, 'raa_' || event_type || '.txt' AS file_name, event_id + 1 AS line_no,
+  CASE WHEN event_type = 'error' THEN 'RPSA' ELSE 'RAA' END AS format,
+  rpad('U' || CAST(user_id AS STRING), 9, ' ') || lpad(CAST(event_id AS STRING), 8, '0') || 'x' AS line FROM events"""
+YEAR_OF_FILE = "CASE WHEN file_path LIKE '%click%' THEN 2024 WHEN file_path LIKE '%view%' THEN 2025 ELSE 2026 END"
+
+
+def two_years(spark, sf_dir):
+    read(spark, sf_dir, "events").createOrReplaceTempView("events")
+    scanned = spark.sql(TWO_YEARS)
+    old = layouts.layouts_from_fields(spark, "RAA", [("IPP", 1, 9, "IPP"), ("NUMERO", 10, 8, "Numéro")], 2024, "RAA.2024")
+    new = layouts.layouts_from_fields(spark, "RAA", [("NUMERO", 10, 6, "Numéro"), ("FIN", 16, 3, "Fin"), ("IPP", 1, 4, "IPP")], 2026, "RAA.2026")
+    known = old.unionByName(new)
+    files = scanned.select("file_path", "format").distinct().withColumn("year", F.expr(YEAR_OF_FILE))
+    return scanned, layouts.resolve_layout(files, known), layouts.collect_vintages(known)
+
+
+@query("export_batch", f"""
+  WITH l AS (SELECT *, {YEAR_OF_FILE} AS y FROM ({TWO_YEARS})),
+  f AS (SELECT *, CASE WHEN format = 'RPSA' THEN NULL WHEN y < 2026 THEN 2024 ELSE 2026 END AS ANNEE_FORMAT FROM l)
+  SELECT file_name AS FICHIER_SOURCE, line_no AS NUM_LIGNE, format AS FORMAT, ANNEE_FORMAT, u.name, u.value FROM (
+    SELECT *, unnest(CASE WHEN ANNEE_FORMAT IS NULL THEN [{{'name': 'LIGNE_BRUTE', 'value': rtrim(line)}}]
+      WHEN ANNEE_FORMAT = 2024 THEN [{{'name': 'IPP', 'value': trim(substr(line, 1, 9))}}, {{'name': 'NUMERO', 'value': trim(substr(line, 10, 8))}}]
+      ELSE [{{'name': 'NUMERO', 'value': trim(substr(line, 10, 6))}}, {{'name': 'FIN', 'value': trim(substr(line, 16, 3))}},
+            {{'name': 'IPP', 'value': trim(substr(line, 1, 4))}}] END) AS u FROM f)""")
+def export_batch(spark, sf_dir):
+    table = sinks.export_batch(*two_years(spark, sf_dir))
+    return table.select("FICHIER_SOURCE", "NUM_LIGNE", "FORMAT", "ANNEE_FORMAT", F.inline("fields"))
+
+
+@query("convert_batch", f"""
+  WITH l AS (SELECT *, {YEAR_OF_FILE} AS y FROM ({TWO_YEARS}))
+  SELECT CASE WHEN format = 'RPSA' THEN 'RPSA_brut' WHEN y < 2026 THEN 'RAA_2024' ELSE 'RAA_2026' END AS folder, file_name AS source, count(*) AS n FROM l GROUP BY ALL""")
+def convert_batch(spark, sf_dir):
+    path = scratch_path(spark, "batch")
+    sinks.convert_batch(*two_years(spark, sf_dir), path)
+    back = spark.read.option("recursiveFileLookup", "true").option("header", "true").text(path)
+    named = back.select(F.col("_metadata.file_path").alias("p"), "value").filter("value NOT LIKE 'FICHIER_SOURCE;%'")
+    return named.groupBy(F.regexp_extract("p", "/([^/]*)/source=", 1).alias("folder"), F.regexp_extract("p", "source=([^/]*)/", 1).alias("source")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 # Suppliers below nations below regions, in one delimited file with a heading line.
 @query("read_structure", """
   SELECT 'R' || r_regionkey AS code, '' AS parent, r_name AS label, 'pole' AS level FROM region

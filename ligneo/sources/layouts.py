@@ -201,6 +201,21 @@ def collect_specs(layouts: DataFrame, formats=None) -> dict:
     return {name: _spec(name, fields) for name, fields in by_format.items()}
 
 
+def collect_vintages(layouts: DataFrame, formats=None) -> dict:
+    """Specs by (format, year), null years as None: every vintage that `resolve_layout` can choose.
+
+    Of several sources for one vintage the last one counts, as in `resolve_layout`.
+    """
+    if formats is not None:
+        layouts = layouts.filter(F.col("format").isin(sorted(formats)))
+    vintage = W.partitionBy("format", "year")
+    chosen = classify_fields(layouts).withColumn("_best", F.max("source").over(vintage)).filter(F.col("_best").eqNullSafe(F.col("source")))
+    by_vintage = {}
+    for row in chosen.orderBy("format", "year", "ord").collect():
+        by_vintage.setdefault((row["format"], row["year"]), []).append(row)
+    return {key: _spec(key[0], fields) for key, fields in by_vintage.items()}
+
+
 def _spec(name, rows) -> Spec:
     fields = [Field(r["name"], r["start"], r["length"], r["role"], r["label"]) for r in rows]
     fixed_length = FIXED_LENGTH.get(name, max(f.start + f.length - 1 for f in fields))

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ligneo.functions.text import csv_escape, csv_guard, field, latin1, right_trimmed, trimmed
+from ligneo.operators.skew import spread_join
 
 SEPARATOR = ";"
 
@@ -29,6 +30,38 @@ def export_table(lines: DataFrame, spec=None) -> DataFrame:
     return kept.select(*trace, *[field(F.col("line"), f.start, f.length).alias(f.name) for f in spec.fields])
 
 
+def export_batch(lines: DataFrame, resolved: DataFrame, vintages: dict) -> DataFrame:
+    """Traceability columns and `fields` (name, value) of a batch of mixed formats and years, in one pass.
+
+    `resolved` tells the layout of each file, `vintages` its positions; a file without a layout gives its raw line.
+    """
+    kept = lines.filter(F.length(trimmed(F.col("line"))) > 0)
+    read = spread_join(kept, resolved.select("file_path", "layout_year", (F.col("layout_fields") > 0).alias("_laid")), ["file_path"], F.col("line_no"))
+    cell = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+    fields = F.array(cell("LIGNE_BRUTE", right_trimmed(F.col("line"))))
+    for (name, year), spec in vintages.items():
+        own = F.array(*[cell(f.name, field(F.col("line"), f.start, f.length)) for f in spec.fields])
+        chosen = F.col("_laid") & (F.col("format") == name) & F.col("layout_year").eqNullSafe(F.lit(year).cast("int"))
+        fields = F.when(chosen, own).otherwise(fields)
+    return read.select(
+        F.col("file_name").alias("FICHIER_SOURCE"), F.col("line_no").alias("NUM_LIGNE"), F.col("format").alias("FORMAT"),
+        F.col("layout_year").alias("ANNEE_FORMAT"), fields.alias("fields"),
+    )
+
+
+def convert_batch(lines: DataFrame, resolved: DataFrame, vintages: dict, path) -> None:
+    """Guarded `;` files with a header for a batch of mixed formats and years: one folder per format and vintage."""
+    table = export_batch(lines, resolved, vintages)
+    trace = ["FICHIER_SOURCE", "NUM_LIGNE", "FORMAT"]
+    present = table.select("FORMAT", "ANNEE_FORMAT", F.transform("fields", lambda f: f["name"]).alias("names")).distinct()
+    for row in present.collect():  # one row per format and vintage of the batch
+        same = (F.col("FORMAT") == row["FORMAT"]) & F.col("ANNEE_FORMAT").eqNullSafe(F.lit(row["ANNEE_FORMAT"]).cast("int"))
+        raw = row["names"] == ["LIGNE_BRUTE"]
+        own = table.filter(same & (F.transform("fields", lambda f: f["name"]) == F.array(*[F.lit(n) for n in row["names"]])))
+        cells = own.select(*trace, *[F.col("fields")[i]["value"].alias(n) for i, n in enumerate(row["names"])])
+        write_csv(cells, f"{path}/{row['FORMAT']}_{'brut' if raw else row['ANNEE_FORMAT'] or 'sans_annee'}")
+
+
 def write_csv(table: DataFrame, path, by="FICHIER_SOURCE") -> None:
     """`;` files with a header, one folder per source file, formula-guarded.
 
