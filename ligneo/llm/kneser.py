@@ -59,6 +59,18 @@ def slices(codes, owner):
         yield grams(codes, begin, end)[own >= 0], own[own >= 0]
 
 
+def portions(texts):
+    """Runs of texts of a slice together, or of a single longer one, with the place of the first."""
+    begin, held = 0, 0
+    for i, text in enumerate(texts):
+        if held and held + len(text) > SLICE:
+            yield begin, texts[begin:i]
+            begin, held = i, 0
+        held += len(text)
+    if begin < len(texts):
+        yield begin, texts[begin:]
+
+
 def merged_counts(parts):
     """Sum (values, counts) parts."""
     values = np.concatenate([v for v, _ in parts]) if parts else np.zeros(0, np.int64)
@@ -69,22 +81,22 @@ def merged_counts(parts):
 
 def block_grams(texts, trusted):
     """Distinct n-grams of the texts and how often each occurs in the trusted ones."""
-    codes, owner = symbols(texts)
-    flags, parts = np.append(trusted, False), []
-    for found, own in slices(codes, owner):
-        unique, place = np.unique(found, return_inverse=True)
-        parts.append((unique, np.bincount(place, weights=flags[own], minlength=len(unique)).astype(np.int64)))
-        if len(parts) > 8:
-            parts = [merged_counts(parts)]
+    parts = []
+    for first, some in portions(texts):
+        for found, own in slices(*symbols(some)):
+            unique, place = np.unique(found, return_inverse=True)
+            parts.append((unique, np.bincount(place, weights=trusted[first + own], minlength=len(unique)).astype(np.int64)))
+            if len(parts) > 8:
+                parts = [merged_counts(parts)]
     return merged_counts(parts)
 
 
 def block_scores(texts, known, logs):
     """Mean negative log-probability of the characters of each text; NaN for empty texts."""
-    codes, owner = symbols(texts)
     total = np.zeros(len(texts))
-    for found, own in slices(codes, owner):
-        total -= np.bincount(own, weights=logs[np.searchsorted(known, found)], minlength=len(texts))
+    for first, some in portions(texts):
+        for found, own in slices(*symbols(some)):
+            total[first:first + len(some)] -= np.bincount(own, weights=logs[np.searchsorted(known, found)], minlength=len(some))
     lengths = np.array([len(t) for t in texts], dtype=np.float64)
     return np.divide(total, lengths, out=np.full(len(texts), np.nan), where=lengths > 0)
 

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
+from ligneo.llm import kneser
 from ligneo.llm.common import shared_folder
 from ligneo.llm.kneser import BITS, ORDER, START, block_grams, good_documents, judge_documents, log_probabilities, slices, symbols
 
@@ -77,6 +78,19 @@ def test_grams_of_a_block(make_prose):
     assert sum(len(g) for g, _ in slices(codes, owner)) == sum(map(len, texts)) and ORDER == 4
 
 
+def test_portions_and_slices_change_nothing(make_prose, monkeypatch):
+    texts, trusted = [make_prose(i, 5 + 7 * i) for i in range(20)] + ["", "x"], np.arange(22) % 2 == 0
+    whole = block_grams(texts, trusted)
+    monkeypatch.setattr(kneser, "SLICE", 50)
+    cut = block_grams(texts, trusted)
+    assert [t for _, part in kneser.portions(texts) for t in part] == texts
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    logs = -np.arange(len(whole[0]), dtype=float)
+    scores = kneser.block_scores(texts, whole[0], logs)
+    monkeypatch.setattr(kneser, "SLICE", 10**6)
+    assert np.allclose(scores, kneser.block_scores(texts, whole[0], logs), equal_nan=True)
+
+
 @pytest.fixture
 def rows(make_prose):
     rows = [(i, make_prose(i, 20 + i % 60), "en" if i % 2 else "xx", "s") for i in range(400)]
