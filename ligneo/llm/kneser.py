@@ -280,13 +280,12 @@ def judge_documents(docs, trusted, block_chars=16_000_000, least_rows=20, floor=
     trained = not stored(counts.limit(1), folder, "any").isEmpty()
     held_out = scores.filter("held_out AND score IS NOT NULL").join(good, F.col("doc_id") == F.col("id"), "left_semi")
     own, by_length, overall = (stored(b, folder, f"bounds{i}") for i, b in enumerate(bounds(held_out, least_rows, floor)))
-    judged = scores.withColumn("all", F.lit(0)).withColumn("trained", F.lit(trained))
-    for i, b in enumerate((own, by_length, overall)):
-        b = b.select(*[F.col(c).alias(f"{c}{i}") for c in b.columns])
-        on = [judged[c].eqNullSafe(b[f"{c}{i}"]) for c in ("all", "lang", "stratum") if f"{c}{i}" in b.columns]
-        judged = judged.join(b, on[0] if len(on) == 1 else on[0] & on[1] if len(on) == 2 else on[0] & on[1] & on[2], "left")
-    lowest, highest = (F.coalesce(*[F.col(f"{side}{i}") for i in range(3)]) for side in ("low", "high"))
-    score = F.when(F.col("trained"), F.col("score"))
+    judged = scores.join(own.select(F.col("lang").alias("lang0"), F.col("stratum").alias("stratum0"), F.col("low").alias("low0"), F.col("high").alias("high0")),
+                         F.col("lang").eqNullSafe(F.col("lang0")) & (F.col("stratum") == F.col("stratum0")), "left")
+    judged = judged.join(by_length.select("stratum", F.col("low").alias("low1"), F.col("high").alias("high1")), "stratum", "left")
+    last = overall.first() or {"low": None, "high": None}  # one row
+    lowest, highest = (F.coalesce(f"{side}0", f"{side}1", F.lit(last[side]).cast("double")) for side in ("low", "high"))
+    score = F.when(F.lit(trained), F.col("score"))
     inside = F.coalesce((score >= lowest) & (score <= highest), F.lit(True))
     return judged.select("key", "doc_id", "lang", "chars", F.exp(score).alias("perplexity"), F.exp(lowest).alias("lowest"), F.exp(highest).alias("highest"),
                          ((F.col("chars") > 0) & inside).alias("keep"))
