@@ -24,7 +24,7 @@ from ligneo.llm.registry import query, table
 ORDER, BITS = 4, 15
 MASK = (1 << BITS) - 1
 START = "\x02"
-SLICE = 2_000_000
+SLICE = 1_000_000
 BIN = 0.002
 
 
@@ -131,6 +131,7 @@ def write_blocks(docs, folder, block_chars):
                     number, rows, held = number + 1, [], 0
         if rows:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     schema = ("block long, keys array<long>, doc_ids array<long>, langs array<string>, chars array<int>, held_out array<boolean>, texts binary")
     rows = docs.select(document_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(pack, schema)
@@ -159,6 +160,7 @@ def count_grams(blocks, trusted_rows):
                 found, counts = block_grams(block_texts(texts.as_py(), chars), trusted)
                 yield pa.RecordBatch.from_arrays([pa.array([block.as_py()]), pa.array([found], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
                                                  names=["block", "grams", "counts"])
+            pa.default_memory_pool().release_unused()
 
     met = blocks.select("block", "chars", "texts").join(trusted_rows, "block", "left")
     return met.select("block", "chars", "texts", "places").mapInArrow(count, "block long, grams array<long>, counts array<long>")
@@ -216,6 +218,7 @@ def score_blocks(blocks, answers):
                 scores = block_scores(block_texts(texts.as_py(), n), known.field("gram").to_numpy(), known.field("log_p").to_numpy()) if len(known) else np.full(len(n), np.nan)
                 yield pa.RecordBatch.from_arrays([keys.values, ids.values, langs.values, pa.array(n, pa.int32()), held_out.values, pa.array(scores, from_pandas=True)],
                                                  names=["key", "doc_id", "lang", "chars", "held_out", "score"])
+            pa.default_memory_pool().release_unused()
 
     met = blocks.join(answers, "block", "left").select("keys", "doc_ids", "langs", "chars", "held_out", "texts",
                                                        F.coalesce("logs", F.expr("cast(array() as array<struct<gram:bigint,log_p:double>>)")).alias("logs"))
@@ -256,7 +259,7 @@ def bounds(held_out, least_rows, floor):
     return made
 
 
-def judge_documents(docs, trusted, block_chars=16_000_000, least_rows=20, floor=0.12, folder=None):
+def judge_documents(docs, trusted, block_chars=10_000_000, least_rows=20, floor=0.12, folder=None):
     """Perplexity and verdict of every document: (key, doc_id, lang, chars, perplexity, lowest, highest, keep), one row per row.
 
     `trusted` names documents (doc_id) of good quality; all of them are used, a fifth of them to find the bounds. A document

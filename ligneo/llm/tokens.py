@@ -58,7 +58,7 @@ class TextEncoder:
     as a whole.
     """
 
-    def __init__(self, path, most=400_000):
+    def __init__(self, path, most=200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -140,9 +140,10 @@ def chunks(column, most_bytes):
         begin = end
 
 
-def encoded(column, path, end_id, most_bytes=12_000_000):
+def encoded(column, path, end_id, most_bytes=8_000_000):
     """Yield the ids of each text of an Arrow column, null as empty, with the end id."""
     own, end = encoder(path), np.array([end_id], dtype="<u4")
     for texts in chunks(column, most_bytes):
         for ids in own.encode(texts):
             yield np.concatenate([ids, end])
+    pa.default_memory_pool().release_unused()

@@ -18,7 +18,7 @@ class WordHashes(dict):
             letters = [i for i, c in enumerate(word) if c.isalnum()]
             word = word[letters[0]:letters[-1] + 1] if letters else ""
         value = (xxhash.xxh64_intdigest(word) or 1) if word else NO_WORD
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[token] = value
         return value
 
