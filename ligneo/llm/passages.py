@@ -8,6 +8,8 @@ Fenwick tree. Chains are then aligned word by word: inside, gaps without a shift
 the chain grow over matching words and small insertions. What is long enough and mostly equal is a passage.
 """
 
+from functools import partial
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -21,8 +23,8 @@ from ligneo.llm.words import NO_WORD, shingles, token_hashes, word_hashes
 K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, FLANK = 8, 16, 8.0, 0.15, 40, 96
 
 
-def seeds_of(words):
-    """(hashes, positions) of the seeds; the n-th time a hash occurs in a document is told apart from the first."""
+def winnowed(words):
+    """(hashes, positions) of the least k-word hash of every window."""
     if len(words) < K:
         return np.zeros(0, np.uint64), np.zeros(0, np.int32)
     hashes = shingles(words, K)
@@ -31,7 +33,12 @@ def seeds_of(words):
         at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
     else:
         at = np.array([int(hashes.argmin())])
-    values = hashes[at]
+    return hashes[at], at.astype(np.int32)
+
+
+def seeds_of(words):
+    """(hashes, positions) of the seeds; the n-th time a hash occurs in a document is told apart from the first."""
+    values, at = winnowed(words)
     order = np.argsort(values, kind="stable")
     same = np.concatenate([[False], values[order][1:] == values[order][:-1]])
     if same.any():
@@ -39,7 +46,16 @@ def seeds_of(words):
         times = np.zeros(len(order), dtype=np.uint64)
         times[order] = (np.arange(len(order)) - begin).astype(np.uint64)
         values = np.where(times > 0, mix64(values + times * np.uint64(0x9E3779B97F4A7C15)), values)
-    return values, at.astype(np.int32)
+    return values, at
+
+
+def all_seeds(words):
+    """The seeds told apart, so that the n-th meets the n-th, and each that is not the first once more as it is, so that it
+    meets the place of the first as well: a passage may stand more often in a document than in the one before."""
+    values, at = seeds_of(words)
+    plain_values, _ = winnowed(words)
+    again = values != plain_values
+    return np.concatenate([values, plain_values[again]]), np.concatenate([at, at[again]])
 
 
 def seed_documents(docs, min_words):
@@ -51,7 +67,7 @@ def seed_documents(docs, min_words):
             for own, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = word_hashes(text.as_py() or "")
                 if len(words) >= min_words:
-                    seeds, at = seeds_of(words)
+                    seeds, at = all_seeds(words)
                     rows.append((own, doc_id, (words >> np.uint64(48)).astype("<u2").tobytes(), seeds.view(np.int64), at))
             columns = list(zip(*rows)) if rows else [()] * 5
             types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
@@ -106,8 +122,20 @@ def chain_matches(x, y):
             yield order[chain[::-1]]
 
 
-def chains_of_pairs(frame):
-    """Chains of every pair of documents in a frame of matches, with the positions of their seeds."""
+def exact_spans(x, y):
+    """Spans (start, end) in one document that the matches of a chain cover without a shift and without a word between them."""
+    if len(x) == 0:
+        return []
+    cut = np.flatnonzero((np.diff(x) != np.diff(y)) | (np.diff(x) > K)) + 1
+    return [(int(part[0]), int(part[-1]) + K) for part in np.split(x, cut)]
+
+
+def chains_of_pairs(frame, min_words=50):
+    """Chains of every pair of documents in a frame of matches, with the positions of their seeds.
+
+    A chain within words that a better one covers exactly, for a whole passage, brings nothing new: a page of one word would
+    give one for every word.
+    """
     out = []
     x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
     doc, other, turn, other_turn = (frame[c].to_numpy() for c in ("doc", "other", "turn", "other_turn"))
@@ -115,8 +143,15 @@ def chains_of_pairs(frame):
     for a, b in zip(starts, ends):
         _, first = np.unique(np.stack([x[a:b], y[a:b]]), axis=1, return_index=True)  # repeated rows bring a match twice
         px, py = x[a:b][first], y[a:b][first]
+        low = int(px.min())
+        covered = np.zeros(int(px.max()) + K - low, dtype=bool)
         for chain in chain_matches(px, py):
             cx, cy = px[chain].astype("<i4"), py[chain].astype("<i4")
+            if covered[cx[0] - low:cx[-1] + K - low].all():
+                continue
+            for start, end in exact_spans(cx, cy):
+                if end - start >= min_words:
+                    covered[start - low:end - low] = True
             out.append((doc[a], other[a], turn[a], other_turn[a], cx.tobytes(), cy.tobytes(), int(cx[0]), int(cx[-1]), int(cy[0]), int(cy[-1])))
     return pd.DataFrame(out, columns=["doc", "other", "turn", "other_turn", "xs", "ys", "x0", "x1", "y0", "y1"])
 
@@ -211,7 +246,7 @@ def repeated_passages(docs, min_words=50, identity=0.8, folder=None):
     first = first.filter("d1 <> d2").select("seed", F.col("first.doc").alias("other"), F.col("first.turn").alias("other_turn"), F.col("first.x").alias("y"))
     first = stored(first, folder, "first")  # a join of two tables can split a seed that very many documents share
     matches = seeds.join(first, "seed").filter("doc <> other").select("doc", "other", "turn", "other_turn", "x", "y")
-    chains = sorted_groups(matches, ["doc", "other"], chains_of_pairs, "doc long, other long, turn long, other_turn long, xs binary, ys binary, x0 int, x1 int, y0 int, y1 int", width)
+    chains = sorted_groups(matches, ["doc", "other"], partial(chains_of_pairs, min_words=min_words), "doc long, other long, turn long, other_turn long, xs binary, ys binary, x0 int, x1 int, y0 int, y1 int", width)
     chains = stored(chains.withColumn("chain", F.monotonically_increasing_id()), folder, "chains")
     sides = [
         chains.select("chain", F.lit(s).alias("side"), F.col(key).alias("key"), "doc", "other", "turn", "other_turn", *(["xs", "ys"] if s == 0 else [F.lit(None).cast("binary").alias(c) for c in ("xs", "ys")]),

@@ -1,7 +1,8 @@
 import numpy as np
+import pandas as pd
 import pytest
 
-from ligneo.llm.passages import GAP_COST, MAX_GAP, WEIGHT, aligned, chain_matches, grow, repeated_passages, seeds_of, without_repetitions, without_spans
+from ligneo.llm.passages import GAP_COST, MAX_GAP, WEIGHT, aligned, all_seeds, chain_matches, chains_of_pairs, grow, repeated_passages, seeds_of, without_repetitions, without_spans
 from ligneo.llm.words import shingles, word_hashes
 
 
@@ -110,3 +111,23 @@ def test_cutting(documents, rows, make_prose):
 def test_no_documents(documents):
     assert repeated_passages(documents([])).count() == 0
     assert without_repetitions(documents([(1, None, None, None)])).count() == 1
+
+
+def test_a_passage_twice_in_one_document(documents, make_prose):
+    """The earlier document has it once; both copies of the later one are found, each with all its words, and cut."""
+    passage = make_prose(2000, 60)
+    parts = [make_prose(2001 + i, 30) for i in range(5)]
+    docs = documents([(1, f"{parts[0]} {passage} {parts[1]}", "en", "s"), (2, f"{parts[2]} {passage} {parts[3]} {passage} {parts[4]}", "en", "s")])
+    got = sorted((r.doc_id, r.start_word, r.end_word, r.ref_doc_id, r.ref_start_word, r.matched_words) for r in repeated_passages(docs).collect())
+    assert got == [(2, 30, 90, 1, 30, 60), (2, 120, 180, 1, 30, 60)]
+    assert {r.doc_id: r.text for r in without_repetitions(docs).collect()}[2] == " ".join(parts[2:])
+
+
+def test_a_page_of_one_word_gives_one_chain():
+    words = np.ones(2000, dtype=np.uint64)
+    seeds, at = all_seeds(words)
+    first = {}
+    for value, y in zip(seeds.tolist(), at.tolist()):
+        first.setdefault(value, y)
+    frame = pd.DataFrame({"doc": 2, "other": 1, "turn": 2, "other_turn": 1, "x": at, "y": [first[v] for v in seeds.tolist()]})
+    assert len(chains_of_pairs(frame)) == 1
