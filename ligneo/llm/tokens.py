@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Over these characters alone the pieces below are exactly the tokenizer's own pre-tokens; a text with any other character,
-# or with white space this leaves unmatched, goes to the library as a whole.
+# or with white space this leaves unmatched, or with an added token of the tokenizer's, goes to the library as a whole.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[{MARKS}]+|\n(?!\n)")
 TRIMMED = ".,;:!?|*&$%#"
@@ -54,8 +54,8 @@ class TextEncoder:
     The ids of a text are those of its pre-tokens, one after the other, and a pre-token never holds a space after another
     character. So a text is cut at its spaces. Arrow finds the distinct segments of many texts and takes marks off their ends;
     what is left is mostly words, whose ids are kept, in two generations of `most` entries each, so that frequent ones stay.
-    Other segments are cut into pieces one by one, and a text with a segment that the pieces do not cover goes to the library
-    as a whole.
+    Other segments are cut into pieces one by one. A text with a segment that the pieces do not cover or with the content of an
+    added token, which the library finds before it cuts, goes to the library as a whole.
     """
 
     def __init__(self, path, most=200_000):
@@ -63,7 +63,9 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        # Added tokens are cut out of a text before anything else, so a text that holds one goes to the library as a whole.
+        added = sorted({t.content for t in self.library.get_added_tokens_decoder().values() if t.content})
+        self.added = "|".join(map(re.escape, added))
         self.most = most
         tokenize = self.library.model.tokenize
         self.pieces, self.words = Words(tokenize), Words(tokenize, " ")
@@ -105,12 +107,13 @@ class TextEncoder:
         place[begins] = np.arange(len(data), len(data) + len(firsts))
         data += [self.cut(f) for f in firsts]
         odd = np.array([d is None for d in data])
+        holds_added = pc.match_substring_regex(texts, self.added).to_numpy(zero_copy_only=False) if self.added else np.zeros(len(texts), dtype=bool)
         data = [d or b"" for d in data]
         ids, lengths = np.frombuffer(b"".join(data), dtype="<u4"), np.fromiter(map(len, data), dtype=np.int64, count=len(data)) // 4
         starts = np.cumsum(lengths) - lengths
         for i, (begin, end) in enumerate(zip(begins, ends)):
             own = place[begin:end]
-            if odd[own].any():
+            if holds_added[i] or odd[own].any():
                 yield np.asarray(self.library.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4")
             else:
                 n = lengths[own]

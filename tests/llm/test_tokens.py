@@ -3,6 +3,7 @@
 import random
 
 import pyarrow as pa
+from tokenizers import Tokenizer
 
 from ligneo.llm.tokens import TextEncoder, chunks, default_tokenizer
 
@@ -34,3 +35,13 @@ def test_chunks_hold_all_texts():
     found = [t for part in chunks(column, 20) for t in part.to_pylist()]
     assert found == [t or "" for t in column.to_pylist()]
     assert list(chunks(pa.array([], pa.string()), 20)) == []
+
+
+def test_added_tokens_are_those_of_a_freshly_loaded_library():
+    library, own, draw = Tokenizer.from_file(default_tokenizer()), TextEncoder(default_tokenizer()), random.Random(2)
+    alphabet = [*PLAIN, "<|endoftext|>", "<|endoftext", "|>", "x<|endoftext|>y"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain words only", "", *("".join(draw.choice(alphabet) for _ in range(draw.randint(0, 30))) for _ in range(2000))]
+    expected = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0] == [64, 220, 50256, 275]
+    assert [list(ids) for ids in own.encode(pa.array(texts))] == expected
+    assert [list(ids) for ids in own.encode(pa.array(["", *texts]).slice(1))] == expected
