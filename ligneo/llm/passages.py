@@ -6,6 +6,8 @@ with their square. The matches of one pair of documents are chained in order of
 gap costing its length; the best predecessor of a match is a prefix maximum over positions in the other document, kept in a
 Fenwick tree. Chains are then aligned word by word: inside, gaps without a shift are compared along their diagonal, others and both ends of
 the chain grow over matching words and small insertions. What is long enough and mostly equal is a passage.
+Runs of `min_words` equal words that no passage holds after that meet the earliest document with the whole run: the first holders
+of their seeds may be many documents with parts of it.
 """
 
 from functools import partial
@@ -21,6 +23,9 @@ from ligneo.llm.registry import query, table
 from ligneo.llm.words import NO_WORD, shingles, token_hashes, word_hashes
 
 K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, FLANK = 8, 16, 8.0, 0.15, 40, 96
+CHANCE = 3  # fewer words past the end of a passage that one more document has as well are chance, as for `grow`
+LAST = (1 << 63) - 1  # the place of a null id
+PASSAGE = "doc long, other long, turn long, other_turn long, start_word long, end_word long, ref_start_word long, ref_end_word long, matched_words long"
 
 
 def winnowed(words):
@@ -239,13 +244,13 @@ def repeated_passages(docs, min_words=50, identity=0.8, folder=None):
     """
     width, folder = shuffle_width(docs.sparkSession), folder or shared_folder(docs.sparkSession)
     read = stored(seed_documents(docs, min_words), folder, "words")
-    last = (1 << 63) - 1  # the place of a null id
-    seeds = read.select("doc", F.coalesce("doc_id", F.lit(last)).alias("turn"), F.explode(F.arrays_zip("seed", "at")).alias("s"))
+    seeds = read.select("doc", F.coalesce("doc_id", F.lit(LAST)).alias("turn"), F.explode(F.arrays_zip("seed", "at")).alias("s"))
     seeds = seeds.select("doc", "turn", F.col("s.seed").alias("seed"), F.col("s.at").alias("x"))
     first = seeds.groupBy("seed").agg(F.min(F.struct("turn", "doc", "x")).alias("first"), F.max("doc").alias("d1"), F.min("doc").alias("d2"))
     first = first.filter("d1 <> d2").select("seed", F.col("first.doc").alias("other"), F.col("first.turn").alias("other_turn"), F.col("first.x").alias("y"))
     first = stored(first, folder, "first")  # a join of two tables can split a seed that very many documents share
-    matches = seeds.join(first, "seed").filter("doc <> other").select("doc", "other", "turn", "other_turn", "x", "y")
+    met = stored(seeds.join(first, "seed").select("doc", "other", "turn", "other_turn", "x", "y"), folder, "met")
+    matches = met.filter("doc <> other")
     chains = sorted_groups(matches, ["doc", "other"], partial(chains_of_pairs, min_words=min_words), "doc long, other long, turn long, other_turn long, xs binary, ys binary, x0 int, x1 int, y0 int, y1 int", width)
     chains = stored(chains.withColumn("chain", F.monotonically_increasing_id()), folder, "chains")
     sides = [
@@ -256,12 +261,95 @@ def repeated_passages(docs, min_words=50, identity=0.8, folder=None):
     wanted = sides[0].unionByName(sides[1])
     texts = read.select(F.col("doc").alias("key"), "words")
     slices = wanted.join(texts, "key").withColumn("slice", F.expr("substring(words, low * 2 + 1, (high - low) * 2)")).drop("words", "key", "high")
-    schema = "doc long, other long, turn long, other_turn long, start_word long, end_word long, ref_start_word long, ref_end_word long, matched_words long"
-    found = stored(sorted_groups(slices, ["doc", "other"], align_chains(min_words, identity), schema, width, ["chain"]), folder, "passages")
-    doc_id, ref_doc_id = (F.nullif(c, F.lit(last)).alias(n) for c, n in (("turn", "doc_id"), ("other_turn", "ref_doc_id")))
+    found = stored(sorted_groups(slices, ["doc", "other"], align_chains(min_words, identity), PASSAGE, width, ["chain"]), folder, "passages")
+    exact = exact_passages(read, met.select("doc", "x"), found, min_words, folder, width)
+    if exact is not None:
+        found = found.unionByName(stored(exact, folder, "exact"))
+    doc_id, ref_doc_id = (F.nullif(c, F.lit(LAST)).alias(n) for c, n in (("turn", "doc_id"), ("other_turn", "ref_doc_id")))
     return found.select("doc", doc_id, "start_word", "end_word", ref_doc_id, "ref_start_word", "ref_end_word", "matched_words")
 
 
+def run_rows(min_words, only_open):
+    """(doc, turn, run, x, open) of the runs of `min_words` words that an other document may have, open if three or more of its words are in no passage.
+
+    Two documents with such a run share the least hash of every window in it. So the places in a document where shared seeds
+    are at most a window apart have all its runs, whatever the first holders of those seeds are.
+    """
+    reach = min_words - K + 1 - WINDOW  # from the least place the last window of a run can begin at to its first
+    names, types = ("doc", "turn", "run", "x", "open"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+
+    def read(batches):
+        for batch in batches:
+            columns = {name: [] for name in names}
+            for doc, turn, words, shared, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
+                words = np.frombuffer(words, dtype="<u2")
+                last = len(words) - min_words
+                possible = np.zeros(last + 1, dtype=bool)
+                if reach < 0:
+                    possible[:] = True
+                else:
+                    at = np.unique(np.array(shared, dtype=np.int64))
+                    for part in np.split(at, np.flatnonzero(np.diff(at) > WINDOW) + 1):
+                        possible[max(0, part[0] - WINDOW + 1):max(0, part[-1] - reach + 1)] = True
+                held = np.zeros(len(words) + 1, dtype=np.int64)
+                for start, end in zip(starts or (), ends or ()):
+                    held[start] += 1
+                    held[end] -= 1
+                held = np.concatenate([[0], np.cumsum(np.cumsum(held)[:-1] > 0)])
+                is_open = held[min_words:] - held[:last + 1] <= min_words - CHANCE
+                x = np.flatnonzero(possible & is_open if only_open else possible)
+                if len(x):
+                    runs = shingles(mix64(words.astype(np.uint64) + np.uint64(1)), min_words)[x].view(np.int64)
+                    for name, values in zip(names, (np.full(len(x), doc), np.full(len(x), turn), runs, x.astype(np.int32), is_open[x])):
+                        columns[name].append(values)
+            if columns["x"]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns[n]), type=t) for n, t in zip(names, types)], names=list(names))
+
+    return read
+
+
+def joined_runs(min_words):
+    """Passages of a frame of equal runs at x and y: those next to each other on one diagonal are one."""
+
+    def work(frame):
+        frame = frame.assign(shift=frame["x"] - frame["y"]).drop_duplicates(["doc", "other", "x", "y"]).sort_values(["doc", "other", "shift", "x"])
+        apart = frame["x"].diff() > min_words
+        for key in ("doc", "other", "shift"):
+            apart |= frame[key] != frame[key].shift()
+        joined = frame.groupby(apart.cumsum().to_numpy()).agg(
+            doc=("doc", "first"), other=("other", "first"), turn=("turn", "first"), other_turn=("other_turn", "first"), start_word=("x", "min"),
+            end_word=("x", "max"), ref_start_word=("y", "min"), ref_end_word=("y", "max"))
+        joined["end_word"] += min_words
+        joined["ref_end_word"] += min_words
+        joined["matched_words"] = joined["end_word"] - joined["start_word"]
+        return joined.astype("int64")
+
+    return work
+
+
+def exact_passages(read, shared, found, min_words, folder, width):
+    """Passages of the runs of `min_words` equal words that an earlier document has and that no passage in `found` holds.
+
+    Every such run meets the earliest document that has the whole of it, whoever has its parts first.
+    """
+    spans = found.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("spans"))
+    spans = spans.select("doc", F.col("spans.start_word").alias("starts"), F.col("spans.end_word").alias("ends"))
+    marks = shared.groupBy("doc").agg(F.collect_set("x").alias("shared"))
+    turn = F.coalesce("doc_id", F.lit(LAST)).alias("turn")
+    texts = read.select("doc", turn, "words").dropDuplicates(["doc"]).join(marks, "doc").join(spans, "doc", "left")
+    texts = stored(texts.select("doc", "turn", "words", "shared", "starts", "ends"), folder, "marked")
+    schema = "doc long, turn long, run long, x int, open boolean"
+    opened = stored(texts.mapInArrow(run_rows(min_words, True), schema).drop("open"), folder, "open")
+    if opened.isEmpty():
+        return None
+    runs = texts.mapInArrow(run_rows(min_words, False), schema)
+    first = runs.groupBy("run").agg(F.min(F.struct("turn", "doc", "x")).alias("first"), F.max("doc").alias("d1"), F.min("doc").alias("d2"), F.max("open").alias("open"))
+    first = first.filter("d1 <> d2 AND open").select("run", F.col("first.doc").alias("other"), F.col("first.turn").alias("other_turn"), F.col("first.x").alias("y"))
+    first = stored(first, folder, "first_runs")
+    met = opened.join(first, "run").filter("doc <> other").select("doc", "other", "turn", "other_turn", "x", "y")
+    return sorted_groups(met, ["doc", "other"], joined_runs(min_words), PASSAGE, width)
+
+
 def without_spans(text, spans):
     """The text without the words of the spans (start, end); what stays is joined as it stood."""
     hashes = token_hashes(text)

@@ -131,3 +131,17 @@ def test_a_page_of_one_word_gives_one_chain():
         first.setdefault(value, y)
     frame = pd.DataFrame({"doc": 2, "other": 1, "turn": 2, "other_turn": 1, "x": at, "y": [first[v] for v in seeds.tolist()]})
     assert len(chains_of_pairs(frame)) == 1
+
+
+def test_a_passage_whose_parts_have_other_first_holders(documents, make_prose):
+    """Its halves, or its every 16 words, stand in earlier documents of their own; the whole stands in one later one first."""
+    rows, expected = [], set()
+    for case, (words, step) in enumerate((w, s) for w in (50, 51, 60, 80) for s in (16, 25, 40) for _ in range(3)):
+        passage, own = make_prose(3000 + case, words).split(), 100 * case
+        parts = [passage[i:i + step] for i in range(0, words, step)]
+        rows += [(own + i, make_prose(4000 + own + i, 30) + " " + " ".join(part), "en", "s") for i, part in enumerate(parts)]
+        rows += [(own + 50 + i, f"{make_prose(9000 + own + i, 20 + i)} {' '.join(passage)} {make_prose(9050 + own + i, 25)}", "en", "s") for i in range(2)]
+        expected.add((own + 51, 21, 21 + words, own + 50))
+    found = {(r.doc_id, r.start_word, r.end_word, r.ref_doc_id) for r in repeated_passages(documents(rows)).collect()}
+    assert expected <= found
+    assert {doc for doc, *_ in found} == {doc for doc, *_ in expected}
