@@ -1,6 +1,7 @@
 """Fuzzy passages that repeat across documents, by collinear chaining of shared k-mer seeds.
 
 Of every window of consecutive k-word hashes the least is a seed, so any run of `window + k - 1` equal words has one in common.
+Short seeds, a part of all short runs of words by their hash, stand for passages with many words changed.
 A seed meets the earliest document that has it, never all documents, so the matches of a passage grow with its copies, not
 with their square. The matches of one pair of documents are chained in order of both, each seed adding its weight and each
 gap costing its length; the best predecessor of a match is a prefix maximum over positions in the other document, kept in a
@@ -22,6 +23,7 @@ from ligneo.llm.groups import group_bounds, sorted_groups
 from ligneo.llm.registry import query, table
 from ligneo.llm.words import NO_WORD, shingles, token_hashes, word_hashes
 
+SHORT, SAMPLE = 4, 3  # one in SAMPLE of the SHORT-word hashes, by value alone, is a short seed
 K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, FLANK = 8, 16, 8.0, 0.15, 40, 96
 CHANCE = 3  # fewer words past the end of a passage that one more document has as well are chance, as for `grow`
 LAST = (1 << 63) - 1  # the place of a null id
@@ -54,13 +56,25 @@ def seeds_of(words):
     return values, at
 
 
+def short_seeds(words):
+    """(hashes, positions) of short seeds. By value, not by window: words changed beside one do not hide it."""
+    if len(words) < SHORT:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    hashes = shingles(words, SHORT)
+    at = np.flatnonzero((hashes >> np.uint64(32)) % np.uint64(SAMPLE) == 0)
+    return hashes[at], at.astype(np.int32)
+
+
 def all_seeds(words):
-    """The seeds told apart, so that the n-th meets the n-th, and each that is not the first once more as it is, so that it
-    meets the place of the first as well: a passage may stand more often in a document than in the one before."""
+    """The seeds told apart, so that the n-th meets the n-th; each that is not the first once more as it is, so that it meets the
+    place of the first as well: a passage may stand more often in a document than in the one before; and short seeds, which
+    are left where a word in five or six is changed. The last bit of a hash is 1 for all but the short ones."""
     values, at = seeds_of(words)
     plain_values, _ = winnowed(words)
     again = values != plain_values
-    return np.concatenate([values, plain_values[again]]), np.concatenate([at, at[again]])
+    short, short_at = short_seeds(words)
+    one = np.uint64(1)
+    return np.concatenate([values | one, plain_values[again] | one, short & ~one]), np.concatenate([at, at[again], short_at])
 
 
 def seed_documents(docs, min_words):
@@ -139,22 +153,25 @@ def chains_of_pairs(frame, min_words=50):
     """Chains of every pair of documents in a frame of matches, with the positions of their seeds.
 
     A chain within words that a better one covers exactly, for a whole passage, brings nothing new: a page of one word would
-    give one for every word.
+    give one for every word. One short seed alone is chance and makes no chain.
     """
     out = []
-    x, y = frame["x"].to_numpy(), frame["y"].to_numpy()
+    x, y, whole = frame["x"].to_numpy(), frame["y"].to_numpy(), frame["whole"].to_numpy(dtype=bool)
     doc, other, turn, other_turn = (frame[c].to_numpy() for c in ("doc", "other", "turn", "other_turn"))
     starts, ends = group_bounds(frame, ["doc", "other"])
-    for a, b in zip(starts, ends):
-        _, first = np.unique(np.stack([x[a:b], y[a:b]]), axis=1, return_index=True)  # repeated rows bring a match twice
-        px, py = x[a:b][first], y[a:b][first]
+    enough = (ends - starts > 1) | np.logical_or.reduceat(whole, starts)
+    for a, b in zip(starts[enough], ends[enough]):
+        order = a + np.lexsort((~whole[a:b], y[a:b], x[a:b]))
+        first = np.ones(len(order), dtype=bool)  # repeated rows bring a match twice
+        first[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
+        px, py, pw = x[order[first]], y[order[first]], whole[order[first]]
         low = int(px.min())
         covered = np.zeros(int(px.max()) + K - low, dtype=bool)
         for chain in chain_matches(px, py):
-            cx, cy = px[chain].astype("<i4"), py[chain].astype("<i4")
-            if covered[cx[0] - low:cx[-1] + K - low].all():
+            cx, cy, cw = px[chain].astype("<i4"), py[chain].astype("<i4"), pw[chain]
+            if (len(chain) < 2 and not cw[0]) or covered[cx[0] - low:cx[-1] + K - low].all():
                 continue
-            for start, end in exact_spans(cx, cy):
+            for start, end in exact_spans(cx[cw], cy[cw]):
                 if end - start >= min_words:
                     covered[start - low:end - low] = True
             out.append((doc[a], other[a], turn[a], other_turn[a], cx.tobytes(), cy.tobytes(), int(cx[0]), int(cx[-1]), int(cy[0]), int(cy[-1])))
@@ -188,7 +205,7 @@ def aligned(a, b, xs, ys):
         pairs.append((np.arange(xs[0] - i - run, xs[0] - i), np.arange(ys[0] - j - run, ys[0] - j)))
     for x, y, nx, ny in zip(xs, ys, [*xs[1:], None], [*ys[1:], None]):
         if nx is None:
-            pairs.append((np.arange(x, x + K), np.arange(y, y + K)))
+            pairs += [(np.arange(x + i, x + i + run), np.arange(y + j, y + j + run)) for i, j, run in grow(a[x:], b[y:])]
         elif nx - x == ny - y:
             same = np.flatnonzero(a[x:nx] == b[y:ny])
             pairs.append((same + x, same + y))
@@ -198,8 +215,6 @@ def aligned(a, b, xs, ys):
             pairs += [(np.arange(x + i, x + i + run), np.arange(y + j, y + j + run)) for i, j, run in runs]
             rest = grow(a[x + di:nx][::-1], b[y + dj:ny][::-1])
             pairs += [(np.arange(nx - i - run, nx - i), np.arange(ny - j - run, ny - j)) for i, j, run in reversed(rest)]
-    x, y = xs[-1] + K, ys[-1] + K
-    pairs += [(np.arange(x + i, x + i + run), np.arange(y + j, y + j + run)) for i, j, run in grow(a[x:], b[y:])]
     return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
 
 
@@ -249,7 +264,8 @@ def repeated_passages(docs, min_words=50, identity=0.8, folder=None):
     first = seeds.groupBy("seed").agg(F.min(F.struct("turn", "doc", "x")).alias("first"), F.max("doc").alias("d1"), F.min("doc").alias("d2"))
     first = first.filter("d1 <> d2").select("seed", F.col("first.doc").alias("other"), F.col("first.turn").alias("other_turn"), F.col("first.x").alias("y"))
     first = stored(first, folder, "first")  # a join of two tables can split a seed that very many documents share
-    met = stored(seeds.join(first, "seed").select("doc", "other", "turn", "other_turn", "x", "y"), folder, "met")
+    met = seeds.join(first, "seed").withColumn("whole", F.expr("seed & 1 = 1")).filter("whole OR doc <> other")
+    met = stored(met.select("doc", "other", "turn", "other_turn", "x", "y", "whole"), folder, "met")
     matches = met.filter("doc <> other")
     chains = sorted_groups(matches, ["doc", "other"], partial(chains_of_pairs, min_words=min_words), "doc long, other long, turn long, other_turn long, xs binary, ys binary, x0 int, x1 int, y0 int, y1 int", width)
     chains = stored(chains.withColumn("chain", F.monotonically_increasing_id()), folder, "chains")
@@ -262,7 +278,7 @@ def repeated_passages(docs, min_words=50, identity=0.8, folder=None):
     texts = read.select(F.col("doc").alias("key"), "words")
     slices = wanted.join(texts, "key").withColumn("slice", F.expr("substring(words, low * 2 + 1, (high - low) * 2)")).drop("words", "key", "high")
     found = stored(sorted_groups(slices, ["doc", "other"], align_chains(min_words, identity), PASSAGE, width, ["chain"]), folder, "passages")
-    exact = exact_passages(read, met.select("doc", "x"), found, min_words, folder, width)
+    exact = exact_passages(read, met.filter("whole").select("doc", "x"), found, min_words, folder, width)
     if exact is not None:
         found = found.unionByName(stored(exact, folder, "exact"))
     doc_id, ref_doc_id = (F.nullif(c, F.lit(LAST)).alias(n) for c, n in (("turn", "doc_id"), ("other_turn", "ref_doc_id")))
