@@ -2,7 +2,7 @@
 
 An index is fitted on a bounded sample: coarse centroids, and per subspace a codebook of what is left after the nearest
 centroid is taken off. Every vector is put into the list of its nearest centroid with its codes and the length of its
-quantisation error, and probes the lists of its nearest centroids. Within a list, distances come from per-query tables of
+quantisation error, and probes every list that a vector within the radius can be in. Within a list, distances come from per-query tables of
 subspace distances (the query is not quantised); a member is ruled out only if its table distance less its own quantisation
 error exceeds the radius, and all others are compared again by exact cosine in double precision.
 
@@ -48,14 +48,22 @@ class Index:
         rest = x - self.centres[squared_distances(x, self.centres).argmin(1)]
         self.books = [k_means(rest[:, s], codes, rounds, seed + 1 + i) for i, s in enumerate(self.spans)]
 
-    def encode(self, x, probes):
-        """Home lists, probed lists (nearest first), codes and error lengths of unit vectors."""
-        order = np.argsort(squared_distances(x, self.centres), axis=1, kind="stable")[:, :probes]
+    def encode(self, x, probes, radius):
+        """Home lists, probed lists as a table of flags, codes and error lengths of unit vectors.
+
+        A vector within `radius` of x lies on its own centroid's side of the plane half way to the home centroid of x, so x is no
+        further than `radius` from that plane: all lists for which that holds are probed, and the nearest `probes` at least.
+        """
+        far = squared_distances(x, self.centres)
+        order = np.argsort(far, axis=1, kind="stable")[:, :probes]
         home = order[:, 0]
+        between = np.sqrt(((self.centres[:, None, :] - self.centres[None, :, :]) ** 2).sum(2))
+        probed = far - far[np.arange(len(x)), home][:, None] <= 2 * (radius + 1e-6) * between[home] + 1e-9
+        np.put_along_axis(probed, order, True, axis=1)
         rest = x - self.centres[home]
         codes = np.stack([squared_distances(rest[:, s], b).argmin(1) for s, b in zip(self.spans, self.books)], axis=1).astype(np.uint8)
         kept = np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], axis=1)
-        return home, order, codes, np.sqrt(((rest - kept) ** 2).sum(1))
+        return home, probed, codes, np.sqrt(((rest - kept) ** 2).sum(1))
 
     def table_distances(self, x, home, codes):
         """Distances of the queries `x` to the members of list `home`, the members given by their codes."""
@@ -94,8 +102,8 @@ def tile_links(index, least):
         other = q_node[a] != m_node[b]
         a, b = a[other], b[other]
         # The member finds the query by itself if it probes the query's list; if not, its link is counted here.
-        probed = np.stack([np.frombuffer(p, dtype=np.uint16) for p in m["probes"]])
-        blind = ~(probed[b] == q["home"].to_numpy()[a][:, None]).any(1)
+        probed = np.stack([np.unpackbits(np.frombuffer(p, dtype=np.uint8)) for p in m["probes"]]).astype(bool)
+        blind = ~probed[b, q["home"].to_numpy()[a]]
         q_links = np.bincount(a, weights=m["copies"].to_numpy()[b], minlength=len(q)).astype(np.int64)
         m_links = np.bincount(b[blind], weights=q["copies"].to_numpy()[a[blind]], minlength=len(m)).astype(np.int64)
         nodes, place = np.unique(np.concatenate([q_node, m_node]), return_inverse=True)
@@ -120,7 +128,8 @@ def near_duplicates(vectors, least=0.93, lists=64, probes=10, sample_rows=20_000
     Unusable vectors and rows without a label link with nothing: no links, their own id, kept. Vectors meet only others of
     their label and length. Rows with equal vectors link with each other, also if they repeat an id; a null id is a row of
     its own that others can link to, and a component is named by its least id that is not null. An empty table gives no rows.
-    The index is fitted on at most `sample_rows` vectors, the first by hash; every vector is indexed and probes `probes` lists.
+    The index is fitted on at most `sample_rows` vectors, the first by hash; every vector is indexed and probes all lists
+    that can hold a link of it, `probes` at least, so no link is lost.
     """
     spark, folder = vectors.sparkSession, folder or shared_folder(vectors.sparkSession)
     fit = usable() & F.col("label").isNotNull()
@@ -130,6 +139,7 @@ def near_duplicates(vectors, least=0.93, lists=64, probes=10, sample_rows=20_000
     nodes = rows.filter("fit").groupBy("node", "label", "embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     nodes = stored(nodes.withColumn("dim", F.size("embedding")), folder, "nodes")
     dims = [r["dim"] for r in nodes.groupBy("dim").count().orderBy("dim").select("dim").collect()]  # lengths of vectors, one or two
+    radius = np.sqrt(max(0.0, 2 - 2 * least))  # of unit vectors
     found = None
     for dim in dims:
         own = nodes.filter(F.col("dim") == dim)
@@ -140,10 +150,10 @@ def near_duplicates(vectors, least=0.93, lists=64, probes=10, sample_rows=20_000
         def encode(batches, index=index):
             for rows in batches:
                 x = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-                home, order, codes, errors = index.encode(x / np.sqrt((x * x).sum(1))[:, None], probes)
+                home, probed, codes, errors = index.encode(x / np.sqrt((x * x).sum(1))[:, None], probes, radius)
                 yield pd.DataFrame({"node": rows["node"], "label": rows["label"], "embedding": rows["embedding"], "copies": rows["copies"],
                                     "home": home, "error": errors, "codes": [c.tobytes() for c in codes],
-                                    "probes": [o.astype(np.uint16).tobytes() for o in order], "to_probe": list(order)})
+                                    "probes": [p.tobytes() for p in np.packbits(probed, axis=1)], "to_probe": [np.flatnonzero(p) for p in probed]})
 
         kind = dict(own.dtypes)["embedding"]
         schema = f"node long, label long, embedding {kind}, copies long, home int, error double, codes binary, probes binary, to_probe array<int>"

@@ -87,3 +87,17 @@ def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 200), (5, 5)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long"), shared_folder(spark), "t").collect())
     assert got == {**{i: 0 for i in range(1, 61)}, **{i: 100 for i in range(101, 140)}, 201: 200}
+
+
+def test_large_groups_of_near_copies_lose_no_link(spark):
+    """Three groups with a third of the rows each, default parameters: exact counts by brute force."""
+    draw = np.random.default_rng(12)
+    x = draw.normal(size=(2400, 32))
+    for k in (0, 800, 1600):
+        x[k:k + 800] = x[k] + draw.normal(size=(800, 32)) * 0.22
+    x = x.astype(np.float32)
+    unit = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]
+    expected = (unit @ unit.T >= 0.93).sum(1) - 1
+    vectors = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in near_duplicates(vectors).collect()}
+    assert expected.sum() > 10_000 and [got[i] for i in range(len(x))] == expected.tolist()
