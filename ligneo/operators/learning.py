@@ -5,9 +5,8 @@ contradictions, status, first_seen, last_seen.
 """
 
 from functools import reduce
+from itertools import combinations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,7 +22,7 @@ RULE_KEY = ["format", "field", "from_value", "to_value", "condition_field", "con
 MIN_CASES = 2
 MIN_CONFIDENCE = 0.95
 NEAR = 8
-BUCKET_LINES = 20_000
+KEY_ROLES = ("PatientId", "StayId", "Nir", "Date")
 PROPOSED, VALIDATED, REJECTED = "Proposee", "Validee", "Rejetee"
 
 
@@ -114,8 +113,7 @@ def pair_lines(pairs: DataFrame, lines: DataFrame):
 
 def pair_keys(spec) -> Column:
     """What must agree for two lines to be the same act or stay."""
-    roles = ("PatientId", "StayId", "Nir", "Date")
-    read = [field(F.col("line"), f.start, f.length) for f in spec.fields if f.role in roles]
+    read = [field(F.col("line"), f.start, f.length) for f in spec.fields if f.role in KEY_ROLES]
     return F.concat_ws("\u001f", *read) if read else F.lit("")
 
 
@@ -140,129 +138,58 @@ def align_by_rank(before: DataFrame, after: DataFrame):
     return couples, qualified
 
 
-def distances(left, right):
-    """Character distances of every left text to every right one (numpy, one small block)."""
-    width = max([len(t) for t in left] + [len(t) for t in right] + [1])
-    grid = lambda texts: np.array([t.ljust(width, "\0") for t in texts]).view("U1").reshape(len(texts), width)
-    a, b = grid(left), grid(right)
-    out = np.zeros((len(left), len(right)), dtype="int32")
-    for i in range(len(left)):
-        out[i] = (a[i] != b).sum(axis=1)
-    return out
-
-
-def nearest_first(before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
-    """Originals in order, each with the nearest free line of its group; the earliest one on equal distance."""
-    columns = ["pair_id", "key", "line_no", "line"]
-    free = {}
-    for pair, key, line_no, line in after[columns].sort_values("line_no").itertuples(index=False, name=None):
-        nos, texts = free.setdefault((pair, key), ([], []))
-        nos.append(line_no)
-        texts.append(line)
-    rows = []
-    for pair, key, line_no, line in before[columns].sort_values("line_no").itertuples(index=False, name=None):
-        nos, texts = free.get((pair, key), ((), ()))
-        if nos:
-            best = texts.index(line) if line in texts else int(distances([line], texts)[0].argmin())
-            texts.pop(best)
-            rows.append((pair, line_no, nos.pop(best)))
-    return pd.DataFrame(rows, columns=["pair_id", "line_no", "after_no"])
-
-
-def renewed(df: DataFrame) -> DataFrame:
-    """The same columns under new ids, so that two sides of one table can be grouped together."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns])
-
-
-def align_by_key(before: DataFrame, after: DataFrame, spec, max_group=4096, chunk=64, block=4096) -> DataFrame:
-    """(pair_id, line_no, after_no): couples of lines with equal keys, nearest first in original order.
-
-    Groups with one line on each side need no search. Groups of up to `max_group` lines are matched whole, many in
-    one bucket. Larger ones are matched `chunk` originals at a time against blocks of candidates, so no task ever holds a
-    whole group; the result is the same.
+def line_parts(spec, n_parts):
+    """Runs of characters (start, length) that a line is compared by: about equally many fields outside the key in each.
+
+    Together they are the whole line; the last part goes on to its end, so its length is open.
     """
-    left = renewed(before.withColumn("key", pair_keys(spec)))
-    right = renewed(after.withColumn("key", pair_keys(spec)))
-    group = ["pair_id", "key"]
-    sizes = cut_lineage(left.groupBy(*group).agg(F.count(F.lit(1)).alias("n_left")).join(
-        right.groupBy(*group).agg(F.count(F.lit(1)).alias("n_right")), group
-    ))
-    single = sizes.filter("n_left = 1 and n_right = 1").select(*group)
-    several = sizes.filter(f"(n_left > 1 or n_right > 1) and n_left + n_right <= {max_group}")
-    small = several.select(*group)
-    large = sizes.filter(f"n_left + n_right > {max_group}")
+    plain = [f.start for f in spec.fields if f.role not in KEY_ROLES]
+    starts = sorted({1, *[plain[i * len(plain) // n_parts] for i in range(1, min(n_parts, len(plain)))]})
+    return [(start, after - start) for start, after in zip(starts, starts[1:])] + [(starts[-1], None)]
 
-    only = lambda side, groups: spread_join(side, groups, group, F.col("line_no"), how="left_semi")
-    singles = only(left, single).join(
-        only(right, single).select(*group, F.col("line_no").alias("after_no")), group
-    ).select("pair_id", "line_no", "after_no")
 
-    # Whole small groups share buckets of about BUCKET_LINES lines, one call of Python each.
-    n_lines = several.agg(F.sum(F.col("n_left") + F.col("n_right"))).first()[0] or 0
-    bucket = F.pmod(F.xxhash64(*group), F.lit(n_lines // BUCKET_LINES + 1)).alias("bucket")
-    bucketed = lambda side: renewed(only(side, small).select("*", bucket)).groupBy("bucket")
+def agreement_levels(n_parts):
+    """Which parts two lines must agree in, level by level: all, all but one, and so on down to none."""
+    return [kept for n in range(n_parts, -1, -1) for kept in combinations(range(n_parts), n)]
 
-    def match(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        return nearest_first(one, other)
 
-    schema = "pair_id string, line_no bigint, after_no bigint"
-    result = singles.unionByName(bucketed(left).cogroup(bucketed(right)).applyInPandas(match, schema))
-    if large.limit(1).count():
-        result = result.unionByName(_align_large(only(left, large.select(*group)), only(right, large.select(*group)), chunk, block))
-    return result
+def align_by_key(before: DataFrame, after: DataFrame, spec, n_parts=3) -> DataFrame:
+    """(pair_id, line_no, after_no): couples of lines with equal keys, those first that differ least.
 
+    A line is cut into `n_parts` parts. Lines that agree in all of them are coupled first, then those that agree in all but one,
+    and so on to those with nothing but the key in common. At each level the n-th free original of a content meets the n-th free
+    corrected line of that content, by line number. So lines that differ in few places meet by equality of the rest, never
+    all against all; the levels are as many as there are sets of parts, whatever the size of a group, and a line takes part in a
+    level only while it is free.
+    """
+    parts = line_parts(spec, n_parts)
+    cut = [F.substring("line", start, length if length else 1 << 20).alias(f"part{i}") for i, (start, length) in enumerate(parts)]
+    side = lambda df, number: df.select("pair_id", pair_keys(spec).alias("key"), F.lit(number).alias("side"), "line_no", *cut)
+    free = side(before, 0).unionByName(side(after, 1))
+    couples = []
+    for kept in agreement_levels(len(parts)):
+        free, found = couple_equal(free, ["pair_id", "key", *[f"part{i}" for i in kept]], [f"part{i}" for i in range(len(parts))])
+        couples.append(found)
+    return reduce(DataFrame.unionByName, couples)
+
+
+def couple_equal(free: DataFrame, content, parts):
+    """(still free, couples): the n-th line of side 0 with the n-th line of side 1 of the same content.
+
+    Both sides are ranked and brought together by content and rank in one aggregate, so a content that very many lines have
+    spreads over the tasks by rank.
+    """
+    ranked = rank_in_group(free, [*content, "side"], "line_no", "rank")
+    row = F.struct("line_no", *parts, "key")
+    of = lambda number: F.max(F.when(F.col("side") == number, row)).alias(f"side{number}")
+    met = cut_lineage(ranked.groupBy(*content, "rank").agg(of(0), of(1)).select("pair_id", "side0", "side1"))
+    couples = met.filter("side0 IS NOT NULL AND side1 IS NOT NULL").select("pair_id", F.col("side0.line_no").alias("line_no"), F.col("side1.line_no").alias("after_no"))
+    left = [met.filter(f"side{1 - n} IS NULL").select("pair_id", F.col(f"side{n}.key").alias("key"), F.lit(n).alias("side"), F.col(f"side{n}.line_no").alias("line_no"),
+                                                      *[F.col(f"side{n}.{p}").alias(p) for p in parts]) for n in (0, 1)]
+    return left[0].unionByName(left[1]), couples
 
-def _align_large(left: DataFrame, right: DataFrame, chunk, block) -> DataFrame:
-    """Matching of big groups, `chunk` originals of every group per round.
 
-    Of `chunk` originals at most `chunk` - 1 candidates can be taken before the last one chooses, so its choice
-    is among its `chunk` nearest: each block of candidates offers those, and the chunk is settled from them.
-    """
-    group = ["pair_id", "key"]
-    ranked = lambda side: cut_lineage(rank_in_group(side, group, "line_no", "rank"))
-    originals = ranked(left).withColumn("chunk_no", F.expr(f"(rank - 1) div {chunk}"))
-    candidates = ranked(right).withColumn("block_no", F.expr(f"(rank - 1) div {block}"))
-    rounds = originals.agg(F.max("chunk_no")).first()[0] + 1
-    settled = None
-    offer_schema = "pair_id string, key string, line_no bigint, after_no bigint, distance int"
-
-    def offers(key, asking: pd.DataFrame, offered: pd.DataFrame) -> pd.DataFrame:
-        asking, offered = asking.sort_values("line_no"), offered.sort_values("line_no")
-        if asking.empty or offered.empty:
-            return pd.DataFrame(columns=["pair_id", "key", "line_no", "after_no", "distance"])
-        table = distances(asking["line"].tolist(), offered["line"].tolist())
-        nos = offered["line_no"].to_numpy()
-        rows = []
-        for i, line_no in enumerate(asking["line_no"]):
-            for j in np.argsort(table[i], kind="stable")[:chunk]:
-                rows.append((key[0], key[1], line_no, nos[j], table[i][j]))
-        return pd.DataFrame(rows, columns=["pair_id", "key", "line_no", "after_no", "distance"])
-
-    def settle(key, offered: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for line_no, mine in offered.sort_values(["line_no", "distance", "after_no"]).groupby("line_no", sort=True):
-            choice = next((a for a in mine["after_no"] if a not in taken), None)
-            if choice is not None:
-                taken.add(choice)
-                rows.append((key[0], line_no, choice))
-        return pd.DataFrame(rows, columns=["pair_id", "line_no", "after_no"])
-
-    for number in range(rounds):
-        asking = originals.filter(F.col("chunk_no") == number)
-        free = candidates if settled is None else candidates.join(
-            settled.select("pair_id", F.col("after_no").alias("line_no")), ["pair_id", "line_no"], "left_anti"
-        )
-        blocks = free.select(*group, "block_no").distinct()
-        spread = renewed(asking.join(blocks, group)).groupBy(*group, "block_no")
-        offered = spread.cogroup(renewed(free).groupBy(*group, "block_no")).applyInPandas(offers, offer_schema)
-        nearest = W.partitionBy(*group, "line_no").orderBy("distance", "after_no")
-        kept = offered.withColumn("_n", F.row_number().over(nearest)).filter(F.col("_n") <= chunk).drop("_n")
-        now = kept.groupBy(*group).applyInPandas(settle, "pair_id string, line_no bigint, after_no bigint")
-        settled = cut_lineage(now if settled is None else settled.unionByName(now))
-    return settled
-
-
-def align(before: DataFrame, after: DataFrame, spec, **limits):
+def align(before: DataFrame, after: DataFrame, spec, n_parts=3):
     """(aligned, counts): (pair_id, line_no, before, after) and, per pair, aligned, deleted and added lines."""
     couples, qualified = align_by_rank(before, after)
     qualified = cut_lineage(qualified)
@@ -270,7 +197,7 @@ def align(before: DataFrame, after: DataFrame, spec, **limits):
     in_place = of_pairs(couples, "left_semi").select("pair_id", "line_no", "before", "after")
     rest = lambda side: of_pairs(side, "left_anti")
     left, right = rest(before), rest(after)
-    matched = align_by_key(left, right, spec, **limits)
+    matched = align_by_key(left, right, spec, n_parts)
     by_key = (
         matched.join(left.select("pair_id", "line_no", F.col("line").alias("before")), ["pair_id", "line_no"])
         .join(right.select("pair_id", F.col("line_no").alias("after_no"), F.col("line").alias("after")), ["pair_id", "after_no"])

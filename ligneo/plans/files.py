@@ -128,15 +128,56 @@ def export_batch(spark, sf_dir):
 
 
 @query("convert_batch", f"""
-  WITH l AS (SELECT *, {YEAR_OF_FILE} AS y FROM ({TWO_YEARS}))
-  SELECT CASE WHEN format = 'RPSA' THEN 'RPSA_brut' WHEN y < 2026 THEN 'RAA_2024' ELSE 'RAA_2026' END AS folder, file_name AS source, count(*) AS n FROM l GROUP BY ALL""")
+  WITH l AS (SELECT *, {YEAR_OF_FILE} AS y FROM ({TWO_YEARS})),
+  w AS (SELECT CASE WHEN format = 'RPSA' THEN 'RPSA_brut' WHEN y < 2026 THEN 'RAA_2024' ELSE 'RAA_2026' END AS layout, file_name AS source, line_no,
+    file_name || ';' || CAST(line_no AS VARCHAR) || ';' || format || ';' || CASE WHEN format = 'RPSA' THEN rtrim(line)
+      WHEN y < 2026 THEN trim(substr(line, 1, 9)) || ';' || trim(substr(line, 10, 8))
+      ELSE trim(substr(line, 10, 6)) || ';' || trim(substr(line, 16, 3)) || ';' || trim(substr(line, 1, 4)) END AS value FROM l),
+  h AS (SELECT DISTINCT layout, source, (line_no - 1) // 5000 AS block, 'FICHIER_SOURCE;NUM_LIGNE;FORMAT;' ||
+    CASE layout WHEN 'RPSA_brut' THEN 'LIGNE_BRUTE' WHEN 'RAA_2024' THEN 'IPP;NUMERO' ELSE 'NUMERO;FIN;IPP' END AS value FROM w)
+  SELECT layout, source, block, row_number() OVER (PARTITION BY layout, source, block ORDER BY line_no) AS place, value FROM (
+    SELECT layout, source, (line_no - 1) // 5000 AS block, line_no, value FROM w UNION ALL SELECT layout, source, block, 0, value FROM h)""")
 def convert_batch(spark, sf_dir):
     path = scratch_path(spark, "batch")
-    sinks.convert_batch(*two_years(spark, sf_dir), path)
-    back = spark.read.option("recursiveFileLookup", "true").option("header", "true").text(path)
-    named = back.select(F.col("_metadata.file_path").alias("p"), "value").filter("value NOT LIKE 'FICHIER_SOURCE;%'")
-    return named.groupBy(F.regexp_extract("p", "/([^/]*)/source=", 1).alias("folder"), F.regexp_extract("p", "source=([^/]*)/", 1).alias("source")).agg(
-        F.count(F.lit(1)).alias("n"))
+    sinks.convert_batch(*two_years(spark, sf_dir), path, block_lines=5000)
+    text = spark.read.schema("value string, layout string, source string, block long").text(path)
+    keys = ["layout", "source", "block"]
+    named = text.select(*keys, F.col("_metadata.file_block_start").alias("split_start"), "value")
+    return lines.numbered_lines(named, keys, ["split_start"]).select(*keys, F.col("line_no").alias("place"), F.col("line").alias("value"))
+
+
+# Files of one name in several folders, written from rows in any order: the lines come back under their paths, in order.
+@query("written_in_order", """
+  SELECT 'M ' || CAST(o_custkey % 2 AS VARCHAR) || '/raa ' || o_orderstatus || '.txt' AS relative_path,
+    row_number() OVER (PARTITION BY o_custkey % 2, o_orderstatus ORDER BY o_orderkey) AS line_no,
+    CAST(o_orderkey AS VARCHAR) || ';é;' || CAST(o_custkey AS VARCHAR) AS line FROM orders""")
+def written_in_order(spark, sf_dir):
+    path = scratch_path(spark, "ordered")
+    rows = read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("M "), (F.col("o_custkey") % 2).cast("string"), F.lit("/raa "), "o_orderstatus", F.lit(".txt")).alias("relative_path"),
+        F.col("o_orderkey").alias("line_no"), F.concat_ws(";", "o_orderkey", F.lit("é"), "o_custkey").alias("line"))
+    sinks.write_fixed_width(rows.repartition(F.xxhash64("line")), path)
+    return sinks.read_fixed_width(spark, path)
+
+
+# A folder of customers per market segment; building's is written as an archive, household's holds nothing.
+@query("listed_files", """
+  WITH c AS (SELECT c_mktsegment AS segment, c_custkey, c_name || ';' || CAST(c_nationkey AS VARCHAR) AS line FROM customer),
+  l AS (SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY c_custkey) AS line_no, line FROM c WHERE segment NOT IN ('BUILDING', 'HOUSEHOLD'))
+  SELECT 'M 1/' || segment AS folder, NULL AS reason, line_no, line FROM l
+  UNION ALL SELECT 'M 1/BUILDING', 'type de fichier non traite', NULL, NULL UNION ALL SELECT 'M 1/HOUSEHOLD', 'fichier vide', NULL, NULL""")
+def listed_files(spark, sf_dir):
+    root = scratch_path(spark, "listed")
+    customers = read(spark, sf_dir, "customer").select("c_mktsegment", "c_custkey", F.concat_ws(";", "c_name", "c_nationkey").alias("line"))
+    for segment in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"):
+        own = customers.filter((F.col("c_mktsegment") == segment) & (F.col("c_mktsegment") != "HOUSEHOLD")).coalesce(1).sortWithinPartitions("c_custkey").select("line")
+        if segment == "BUILDING":
+            own.write.option("extension", "zip").csv(f"{root}/M 1/{segment}")
+        else:
+            own.write.text(f"{root}/M 1/{segment}")
+    listing = lines.list_files(spark, root)
+    scanned = lines.scan_listed(spark, listing).select("file_path", "line_no", "line")
+    return listing.join(scanned, "file_path", "left").select(F.regexp_replace("relative_path", "/[^/]*$", "").alias("folder"), "reason", "line_no", "line")
 
 
 # Suppliers below nations below regions, in one delimited file with a heading line.

@@ -32,8 +32,8 @@ def scratch_path(spark, name):
          CAST(sum(length(line)) AS BIGINT) AS n_chars FROM l GROUP BY lang""")
 def scan_written_lines(spark, sf_dir):
     path = scratch_path(spark, "lines")
-    split = read(spark, sf_dir, "documents").select("lang", F.explode(F.split("text", "\n")).alias("line"))
-    sinks.write_fixed_width(split, path, by="lang")
+    split = read(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    sinks.write_fixed_width(split.withColumn("line_no", F.shiftleft("doc_id", 24) + F.col("at")), path, by="lang")
     scanned = lines.scan_lines(spark, path).withColumn("lang", F.regexp_extract("file_path", "lang=([^/]*)/", 1))
     per_file = scanned.groupBy("lang", "file_path").agg(
         F.count(F.lit(1)).alias("n"), F.sum("line_no").alias("s"), F.sum(F.length("line")).alias("c")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from ligneo.functions.text import csv_escape, csv_guard, field, latin1, right_trimmed, trimmed
 from ligneo.operators.skew import spread_join
+from ligneo.session import cut_lineage
+from ligneo.sources.lines import numbered_lines
 
 SEPARATOR = ";"
 
@@ -19,11 +21,12 @@ def csv_text(df: DataFrame, columns=None) -> DataFrame:
 def export_table(lines: DataFrame, spec=None) -> DataFrame:
     """Traceability columns plus one column per field, or the raw line when the format has no layout.
 
-    Blank lines are left out but keep their number.
+    The source is the file's path below the root where the lines have it, else its name. Blank lines are left out but keep their number.
     """
     kept = lines.filter(F.length(trimmed(F.col("line"))) > 0)
+    source = "relative_path" if "relative_path" in lines.columns else "file_name"
     trace = [
-        F.col("file_name").alias("FICHIER_SOURCE"), F.col("line_no").alias("NUM_LIGNE"), F.col("format").alias("FORMAT")
+        F.col(source).alias("FICHIER_SOURCE"), F.col("line_no").alias("NUM_LIGNE"), F.col("format").alias("FORMAT")
     ]
     if spec is None:
         return kept.select(*trace, right_trimmed(F.col("line")).alias("LIGNE_BRUTE"))
@@ -44,22 +47,31 @@ def export_batch(lines: DataFrame, resolved: DataFrame, vintages: dict) -> DataF
         chosen = F.col("_laid") & (F.col("format") == name) & F.col("layout_year").eqNullSafe(F.lit(year).cast("int"))
         fields = F.when(chosen, own).otherwise(fields)
     return read.select(
-        F.col("file_name").alias("FICHIER_SOURCE"), F.col("line_no").alias("NUM_LIGNE"), F.col("format").alias("FORMAT"),
-        F.col("layout_year").alias("ANNEE_FORMAT"), fields.alias("fields"),
+        F.col("relative_path" if "relative_path" in lines.columns else "file_name").alias("FICHIER_SOURCE"), F.col("line_no").alias("NUM_LIGNE"),
+        F.col("format").alias("FORMAT"), F.col("layout_year").alias("ANNEE_FORMAT"), fields.alias("fields"),
     )
 
 
-def convert_batch(lines: DataFrame, resolved: DataFrame, vintages: dict, path) -> None:
-    """Guarded `;` files with a header for a batch of mixed formats and years: one folder per format and vintage."""
+def convert_batch(lines: DataFrame, resolved: DataFrame, vintages: dict, path, block_lines=1_000_000) -> None:
+    """Guarded `;` files for a batch of mixed formats and years, in one write: a folder per layout, source and block of lines.
+
+    Each block of a source is one file in the order of its lines, with the heading of its layout, whatever the others have.
+    """
     table = export_batch(lines, resolved, vintages)
+    names, values = F.transform("fields", lambda f: f["name"]), F.transform("fields", lambda f: f["value"])
+    year = F.coalesce(F.col("ANNEE_FORMAT").cast("string"), F.lit("sans_annee"))
     trace = ["FICHIER_SOURCE", "NUM_LIGNE", "FORMAT"]
-    present = table.select("FORMAT", "ANNEE_FORMAT", F.transform("fields", lambda f: f["name"]).alias("names")).distinct()
-    for row in present.collect():  # one row per format and vintage of the batch
-        same = (F.col("FORMAT") == row["FORMAT"]) & F.col("ANNEE_FORMAT").eqNullSafe(F.lit(row["ANNEE_FORMAT"]).cast("int"))
-        raw = row["names"] == ["LIGNE_BRUTE"]
-        own = table.filter(same & (F.transform("fields", lambda f: f["name"]) == F.array(*[F.lit(n) for n in row["names"]])))
-        cells = own.select(*trace, *[F.col("fields")[i]["value"].alias(n) for i, n in enumerate(row["names"])])
-        write_csv(cells, f"{path}/{row['FORMAT']}_{'brut' if raw else row['ANNEE_FORMAT'] or 'sans_annee'}")
+    shown = lambda cells: F.array_join(F.transform(cells, csv_escape), SEPARATOR)
+    rows = cut_lineage(table.select(
+        F.concat_ws("_", "FORMAT", F.when(names == F.array(F.lit("LIGNE_BRUTE")), "brut").otherwise(year)).alias("layout"),
+        F.col("FICHIER_SOURCE").alias("source"), F.expr(f"(NUM_LIGNE - 1) div {block_lines}").alias("block"), F.col("NUM_LIGNE").alias("place"),
+        shown(F.concat(F.array(*[F.lit(t) for t in trace]), names)).alias("heading"),
+        shown(F.concat(F.array(*[F.coalesce(F.col(t).cast("string"), F.lit("")) for t in trace]), values)).alias("value"),
+    ))
+    keys = ["layout", "source", "block"]
+    headings = rows.groupBy(*keys).agg(F.lit(0).cast("bigint").alias("place"), F.first("heading").alias("value"))  # one row per file written
+    dealt = rows.drop("heading").unionByName(headings).repartitionByRange(*keys).sortWithinPartitions(*keys, "place")
+    dealt.select(*keys, "value").write.mode("overwrite").partitionBy(*keys).text(path)
 
 
 def write_csv(table: DataFrame, path, by="FICHIER_SOURCE") -> None:
@@ -79,9 +91,26 @@ def write_csv(table: DataFrame, path, by="FICHIER_SOURCE") -> None:
     )
 
 
-def write_fixed_width(lines: DataFrame, path, by="file_name") -> None:
-    """Latin-1 lines, one folder per target file; characters outside Latin-1 become a question mark."""
-    lines.select(F.col(by), latin1(F.col("line")).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
+def in_file_order(df: DataFrame, by, order) -> DataFrame:
+    """Rows dealt to the tasks by file and place in it, and sorted there: part files in name order hold the rows in order."""
+    return df.repartitionByRange(F.col(by), F.col(order)).sortWithinPartitions(by, order)
+
+
+def write_fixed_width(lines: DataFrame, path, by="relative_path", order="line_no") -> None:
+    """Latin-1 lines, one folder per target file, in order; characters outside Latin-1 become a question mark.
+
+    `by` names the target, the path below the root of the run by default, so files of one name in two folders stay apart. A huge
+    file gives several parts, whose names sort as their lines do; `read_fixed_width` numbers them again.
+    """
+    written = in_file_order(lines.select(by, order, latin1(F.col("line")).alias("value")), by, order)
+    written.select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
+
+
+def read_fixed_width(spark, path, by="relative_path") -> DataFrame:
+    """(by, line_no, line) of what `write_fixed_width` wrote."""
+    text = spark.read.schema(f"value string, `{by}` string").text(path)
+    text = text.select(by, F.col("_metadata.file_name").alias("part"), F.col("_metadata.file_block_start").alias("split_start"), "value")
+    return numbered_lines(text, [by], ["part", "split_start"])
 
 
 def export_summary(lines: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -76,21 +76,45 @@ def test_confidence_falls_and_status_survives(spark):
 
 # --- alignment --------------------------------------------------------------------------------------------
 
-def by_hand(spec, before, after):
-    """Greedy matching one line at a time, as a plain loop."""
-    keys = [f for f in spec.fields if f.role in ("PatientId", "StayId", "Nir", "Date")]
+def by_hand(spec, before, after, n_parts):
+    """Couples level by level, as plain loops over free lines."""
+    keys = [f for f in spec.fields if f.role in learning.KEY_ROLES]
+    cut = [(start - 1, start - 1 + length if length else None) for start, length in learning.line_parts(spec, n_parts)]
+    free_before, free_after, out = list(before), list(after), []
+    for kept in learning.agreement_levels(len(cut)):
+        content = lambda t: (*[t[f.start - 1:f.start - 1 + f.length].strip() for f in keys], *[t[cut[i][0]:cut[i][1]] for i in kept])
+        pool, left = {}, []
+        for text in free_after:
+            pool.setdefault(content(text), []).append(text)
+        for text in free_before:
+            mine = pool.get(content(text))
+            if mine:
+                out.append((text, mine.pop(0)))
+            else:
+                left.append(text)
+        taken = Counter(t for texts in pool.values() for t in texts)
+        free_before, kept_after = left, []
+        for text in reversed(free_after):
+            if taken[text] > 0:
+                taken[text] -= 1
+                kept_after.append(text)
+        free_after = kept_after[::-1]
+    return Counter(out), len(free_before), len(free_after)
+
+
+def nearest_in_turn(spec, before, after):
+    """Every line in turn takes the free line of its key that differs in the fewest characters: (couples, deleted)."""
+    keys = [f for f in spec.fields if f.role in learning.KEY_ROLES]
     key = lambda t: tuple(t[f.start - 1:f.start - 1 + f.length].strip() for f in keys)
     distance = lambda x, y: abs(len(x) - len(y)) + sum(a != b for a, b in zip(x, y))
-    pool = {}
+    pool, out = {}, []
     for text in after:
         pool.setdefault(key(text), []).append(text)
-    out = []
     for text in before:
         free = pool.get(key(text), [])
         if free:
-            best = min(range(len(free)), key=lambda i: (distance(text, free[i]), i))
-            out.append((text, free.pop(best)))
-    return Counter(out), len(before) - len(out), sum(len(v) for v in pool.values())
+            out.append((text, free.pop(min(range(len(free)), key=lambda i: (distance(text, free[i]), i)))))
+    return Counter(out), len(before) - len(out)
 
 
 def sides(spark, before, after):
@@ -98,17 +122,41 @@ def sides(spark, before, after):
     return make(before), make(after)
 
 
-@pytest.mark.parametrize("limits", [{}, {"max_group": 8, "chunk": 3, "block": 5}, {"max_group": 2, "chunk": 1, "block": 4}])
+@pytest.mark.parametrize("n_parts", [1, 2, 3])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_align_by_key_matches_a_plain_loop(spark, spec, seed, limits):
+def test_align_by_key_matches_plain_loops(spark, spec, seed, n_parts):
     draw = random.Random(seed)
     text = lambda: line("P" + draw.choice("1123"), draw.choice(["U1", "U2", "U33"]), draw.choice("ED"), draw.choice(["L1", "L22"]))
     before, after = [text() for _ in range(40)], [text() for _ in range(34)]
-    aligned, counts = learning.align(*sides(spark, before, after), spec, **limits)
-    expected, deleted, added = by_hand(spec, before, after)
+    aligned, counts = learning.align(*sides(spark, before, after), spec, n_parts)
+    expected, deleted, added = by_hand(spec, before, after, n_parts)
     assert Counter((r["before"], r["after"]) for r in aligned.collect()) == expected
     row = counts.first()
     assert (row["deleted"], row["added"]) == (deleted, added)
+    assert deleted == nearest_in_turn(spec, before, after)[1]
+
+
+def test_where_one_place_was_corrected_each_line_meets_the_nearest(spark, spec):
+    """Many lines of one patient, told apart in two parts, each corrected in one place at most; others are gone."""
+    before = [line("P1", f"U{i:03d}", "E", f"L{i:02d}") for i in range(60)]
+    after = [line("P1", f"U{i:03d}", "E", f"M{i:02d}" if i % 3 == 0 else f"L{i:02d}") for i in range(60) if i % 7]
+    after = [t if i % 4 else t[:8] + "D " + t[10:] for i, t in enumerate(after)][::-1]
+    aligned, counts = learning.align(*sides(spark, before, after), spec)
+    expected, deleted = nearest_in_turn(spec, before, after)
+    got = Counter((r["before"], r["after"]) for r in aligned.collect())
+    right = sum((got & Counter((b, a) for b in before for a in after if b[5:8] == a[5:8])).values())
+    assert counts.first()["deleted"] == deleted == 9 and right == 51 and sum((got & expected).values()) >= 45
+
+
+def test_a_group_of_very_many_lines_is_aligned_by_joins(spark, spec):
+    number = F.lpad(F.col("id").cast("string"), 6, "0")
+    made = lambda n, um, nature: spark.range(n).select(
+        F.lit("p").alias("pair_id"), (F.col("id") + 1).alias("line_no"),
+        F.concat(F.lit("P1  "), um, nature, F.substring(number, 4, 3), F.lit("  ")).alias("line"))
+    plain, corrected = F.substring(number, 1, 4), F.when(F.col("id") % 10 == 0, F.lit("D ")).otherwise(F.lit("E "))
+    aligned, counts = learning.align(made(100_000, plain, F.lit("E ")), made(99_000, plain, corrected), spec)
+    assert counts.first()["aligned"] == 99_000
+    assert aligned.filter("substring(before, 5, 4) <> substring(after, 5, 4)").count() <= 1_000
 
 
 def test_deleted_lines_are_counted(spark, spec):
