@@ -1,14 +1,19 @@
 """Fuzzy passages that repeat across documents, by collinear chaining of shared k-mer seeds.
 
-Of every window of consecutive k-word hashes the least is a seed, so any run of `window + k - 1` equal words has one in common.
-Short seeds, a part of all short runs of words by their hash, stand for passages with many words changed.
-A seed meets the earliest document that has it, never all documents, so the matches of a passage grow with its copies, not
-with their square. The matches of one pair of documents are chained in order of both, each seed adding its weight and each
-gap costing its length; the best predecessor of a match is a prefix maximum over positions in the other document, kept in a
-Fenwick tree. Chains are then aligned word by word: inside, gaps without a shift are compared along their diagonal, others and both ends of
-the chain grow over matching words and small insertions. What is long enough and mostly equal is a passage.
-Runs of `min_words` equal words that no passage holds after that meet the earliest document with the whole run: the first holders
-of their seeds may be many documents with parts of it.
+Two kinds of seeds: of every window of consecutive k-word hashes the least, so any run of `WINDOW + K - 1` equal words has one in
+common; and, of all places, the hash of the three words before and the three after a word, where its value is drawn. The word
+between may differ, so a passage keeps such seeds where single words are changed, and six words hardly ever meet by chance.
+
+Documents are numbered in order, and a place is one long. Each block of documents sorts its seeds, links those that occur again
+to the first and the previous document of the block with the same seed, and hands on one row per distinct seed; across blocks a
+seed meets the first and the previous block that has it. So the matches of a passage grow with its copies, not with their
+square, and a seed has at most one row per block. The matches of one pair of documents are chained in order of both, each seed
+adding its weight and each gap costing its length; the best predecessor of a match is a prefix maximum over positions in the other
+document, kept in a Fenwick tree. Chains are then aligned word by word: inside, gaps without a shift are compared along their
+diagonal, others and both ends of the chain grow over matching words and small insertions. What is long enough and mostly equal
+is a passage. Runs of `min_words` equal words that no passage holds after that meet the earliest document with the whole run.
+
+Words are compared by 16 bits of their hash: one in 65,536 unequal words counts as equal.
 """
 
 from functools import partial
@@ -16,18 +21,24 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ligneo.llm.common import fresh, mix64, plain, shared_folder, shuffle_width, stored
+from ligneo.llm.common import fresh, mix64, plain, running_offsets, shared_folder, shuffle_width, stored
 from ligneo.llm.groups import group_bounds, sorted_groups
 from ligneo.llm.registry import query, table
-from ligneo.llm.words import NO_WORD, shingles, token_hashes, word_hashes
+from ligneo.llm.words import FACTOR, NO_WORD, shingles, token_hashes, word_hashes
 
-SHORT, SAMPLE = 4, 3  # one in SAMPLE of the SHORT-word hashes, by value alone, is a short seed
-K, WINDOW, WEIGHT, GAP_COST, MAX_GAP, FLANK = 8, 16, 8.0, 0.15, 40, 96
+HALF, SAMPLE = 3, 3  # words on either side of the free word of a spaced seed; one in SAMPLE of their hashes, by value alone
+K, WINDOW, WEIGHT, GAP_COST = 8, 32, 8.0, 0.15
+DROP = 12
 CHANCE = 3  # fewer words past the end of a passage that one more document has as well are chance, as for `grow`
 LAST = (1 << 63) - 1  # the place of a null id
-PASSAGE = "doc long, other long, turn long, other_turn long, start_word long, end_word long, ref_start_word long, ref_end_word long, matched_words long"
+AT = 28  # bits of a place that count words; documents of more words are refused
+BLOCK_WORDS = 4_000_000
+SPLIT = 1 << 16  # matches of a pair of documents are chained this many words at a time
+PASSAGE = "doc long, other long, start_word long, end_word long, ref_start_word long, ref_end_word long, matched_words long"
 
 
 def winnowed(words):
@@ -43,64 +54,166 @@ def winnowed(words):
     return hashes[at], at.astype(np.int32)
 
 
-def seeds_of(words):
-    """(hashes, positions) of the seeds; the n-th time a hash occurs in a document is told apart from the first."""
-    values, at = winnowed(words)
+def spaced_seeds(words):
+    """(hashes, positions) of spaced seeds. By value, not by window: words changed beside one do not hide it."""
+    if len(words) <= 2 * HALF:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+    halves = shingles(words, HALF)
+    hashes = mix64(halves[:-HALF - 1] * np.uint64(0xD6E8FEB86659FD93) + halves[HALF + 1:])
+    at = np.flatnonzero((hashes >> np.uint64(32)) % np.uint64(SAMPLE) == 0)
+    return hashes[at], at.astype(np.int32)
+
+
+def told_apart(values):
+    """The values, the n-th time one occurs replaced by one of its own, and whether it did occur before."""
     order = np.argsort(values, kind="stable")
     same = np.concatenate([[False], values[order][1:] == values[order][:-1]])
+    times = np.zeros(len(order), dtype=np.uint64)
     if same.any():
         begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-        times = np.zeros(len(order), dtype=np.uint64)
         times[order] = (np.arange(len(order)) - begin).astype(np.uint64)
-        values = np.where(times > 0, mix64(values + times * np.uint64(0x9E3779B97F4A7C15)), values)
-    return values, at
-
-
-def short_seeds(words):
-    """(hashes, positions) of short seeds. By value, not by window: words changed beside one do not hide it."""
-    if len(words) < SHORT:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    hashes = shingles(words, SHORT)
-    at = np.flatnonzero((hashes >> np.uint64(32)) % np.uint64(SAMPLE) == 0)
-    return hashes[at], at.astype(np.int32)
+    return np.where(times > 0, mix64(values + times * np.uint64(FACTOR)), values), times > 0
 
 
-def all_seeds(words):
-    """The seeds told apart, so that the n-th meets the n-th; each that is not the first once more as it is, so that it meets the
-    place of the first as well: a passage may stand more often in a document than in the one before; and short seeds, which
-    are left where a word in five or six is changed. The last bit of a hash is 1 for all but the short ones."""
-    values, at = seeds_of(words)
-    plain_values, _ = winnowed(words)
-    again = values != plain_values
-    short, short_at = short_seeds(words)
-    one = np.uint64(1)
-    return np.concatenate([values | one, plain_values[again] | one, short & ~one]), np.concatenate([at, at[again], short_at])
+def document_seeds(words):
+    """(hashes, positions, asking) of a document's seeds. The n-th time a seed occurs in a document it meets the n-th of others, and,
+    `asking` only, the first: a passage may stand more often in a document than in the one before. The last bit of a hash is 1
+    for the seeds that every run has, 0 for the spaced ones."""
+    parts = []
+    for (values, at), bit in ((winnowed(words), 1), (spaced_seeds(words), 0)):
+        values = values >> np.uint64(1) << np.uint64(1)
+        own, again = told_apart(values)
+        one = np.uint64(bit)
+        parts.append((own >> np.uint64(1) << np.uint64(1) | one, at, np.zeros(len(at), dtype=bool)))
+        parts.append((values[again] | one, at[again], np.ones(int(again.sum()), dtype=bool)))
+    return tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def seed_documents(docs, min_words):
-    """(doc, doc_id, words, seed, at) of the documents long enough to hold a passage; doc is a hash of id and text."""
+def read_words(docs, min_words):
+    """(doc, doc_id, words) of the documents long enough to hold a passage, words by 16 bits each; doc is a hash of id and text."""
 
     def read(batches):
         for batch in batches:
             rows = []
             for own, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 words = word_hashes(text.as_py() or "")
+                if len(words) >> AT:
+                    raise ValueError(f"document {doc_id} has more than 2**{AT} words")
                 if len(words) >= min_words:
-                    seeds, at = all_seeds(words)
-                    rows.append((own, doc_id, (words >> np.uint64(48)).astype("<u2").tobytes(), seeds.view(np.int64), at))
-            columns = list(zip(*rows)) if rows else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=["doc", "doc_id", "words", "seed", "at"])
+                    rows.append((own, doc_id, (words >> np.uint64(48)).astype("<u2").tobytes()))
+            columns = list(zip(*rows)) if rows else [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], names=["doc", "doc_id", "words"])
 
     rows = docs.select(document_key().alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(read, "doc long, doc_id long, words binary, seed array<long>, at array<int>")
+    return rows.mapInArrow(read, "doc long, doc_id long, words binary")
+
+
+def in_order(read, folder, width):
+    """(doc, doc_id, words, number): each document once, numbered in the order of ids, null last, then of the document's hash."""
+
+    def once(batches):
+        task, at, last = TaskContext.get().partitionId(), 0, None
+        for batch in batches:  # rows that repeat a document are neighbours
+            docs = batch.column(0).to_numpy()
+            new = np.ones(len(docs), dtype=bool)
+            new[1:] = docs[1:] != docs[:-1]
+            new[:1] = docs[:1] != last if last is not None else True
+            last = docs[-1] if len(docs) else last
+            kept = batch.filter(pa.array(new))
+            n = kept.num_rows
+            columns = [*kept.columns, pa.array(np.full(n, task, np.int32)), pa.array(np.arange(at, at + n))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "doc_id", "words", "task", "at"])
+            at += n
+
+    turn = F.coalesce("doc_id", F.lit(LAST))
+    dealt = read.repartitionByRange(width, turn, F.col("doc")).sortWithinPartitions(turn, "doc")
+    run = stored(dealt.mapInArrow(once, "doc long, doc_id long, words binary, task int, at long"), folder, "words_in_order")
+    counts = running_offsets(run.groupBy("task").agg(F.count("*").alias("n")), ["task"], "n").drop("n")
+    return run.join(F.broadcast(stored(counts, folder, "tasks")), "task").select("doc", "doc_id", "words", (F.col("before") + F.col("at")).alias("number"))
+
+
+def seed_rows(links):
+    """From (number, words): rows (seed, at, span) of the distinct seeds of a block, or the `links` (later, earlier, whole) inside it.
+
+    A seed is in the block from `at` to `at + span`; `span` is -1 for a place that only asks for the first.
+    """
+    names = ["later", "earlier", "whole"] if links else ["seed", "at", "span"]
+    types = [pa.int64(), pa.int64(), pa.bool_()] if links else [pa.int64()] * 3
+
+    def block(rows):
+        seeds, places, asking = [], [], []
+        for number, data in rows:
+            values, at, asks = document_seeds(widened(data))
+            seeds.append(values)
+            places.append((np.int64(number) << AT) + at)
+            asking.append(asks)
+        seeds, places, asking = np.concatenate(seeds), np.concatenate(places), np.concatenate(asking)
+        order = np.lexsort((places, seeds))
+        own = order[~asking[order]]
+        held, at = seeds[own], places[own]
+        new = np.ones(len(own), dtype=bool)
+        new[1:] = held[1:] != held[:-1]
+        begins = np.flatnonzero(new)
+        distinct, firsts = held[begins], at[begins]
+        asked, asked_at = seeds[asking], places[asking]
+        answer = firsts[np.searchsorted(distinct, asked)]
+        inside = answer >> AT != asked_at >> AT
+        if links:
+            again = np.flatnonzero(~new)
+            head = begins[np.cumsum(new) - 1][again]
+            far = head != again - 1
+            later = [at[again], at[again[far]], asked_at[inside]]
+            earlier = [at[again - 1], at[head[far]], answer[inside]]
+            which = [held[again], held[again[far]], asked[inside]]
+            columns = np.concatenate(later), np.concatenate(earlier), (np.concatenate(which) & np.uint64(1)).astype(bool)
+        else:
+            lasts = at[np.append(begins[1:], len(at)) - 1]
+            lone = ~inside
+            columns = (np.concatenate([distinct, asked[lone]]).view(np.int64), np.concatenate([firsts, asked_at[lone]]),
+                       np.concatenate([lasts - firsts, np.full(int(lone.sum()), -1)]))
+        return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, types)], names=names)
+
+    def work(batches):
+        rows, held = [], 0
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                data = data.as_py()
+                if held and held + len(data) // 2 > BLOCK_WORDS:
+                    yield block(rows)
+                    rows, held = [], 0
+                rows.append((number, data))
+                held += len(data) // 2
+        if rows:
+            yield block(rows)
+        pa.default_memory_pool().release_unused()
+
+    return work
+
+
+def widened(data):
+    """64-bit hashes of words kept by 16 bits."""
+    return mix64(np.frombuffer(data, dtype="<u2").astype(np.uint64) + np.uint64(1))
+
+
+def linked_places(words):
+    """(later, earlier, whole): places that share a seed with an earlier document's."""
+    inside = words.mapInArrow(seed_rows(True), "later long, earlier long, whole boolean")
+    ends = words.mapInArrow(seed_rows(False), "seed long, at long, span long")
+    so_far = Window.partitionBy("seed").orderBy("at")
+    met = ends.withColumn("head", F.first("at").over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    met = met.withColumn("previous", F.last(F.when(F.col("span") >= 0, F.col("at") + F.col("span")), ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
+    met = met.filter("head <> at").withColumn("near", F.when(F.col("span") >= 0, F.col("previous")))
+    apart = lambda a, b: F.shiftright(a, AT) != F.shiftright(b, AT)
+    others = F.array_compact(F.array(F.when(apart("head", "at"), F.col("head")), F.when(apart("near", "at") & apart("near", "head"), F.col("near"))))
+    across = met.select(F.col("at").alias("later"), F.explode(others).alias("earlier"), F.expr("seed & 1 = 1").alias("whole"))
+    return inside.unionByName(across)
 
 
 def document_key():
     return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-def chain_matches(x, y):
+def chain_matches(x, y, max_gap):
     """Chains of matches (x, y), each as positions into the arrays: best first, no match in two chains."""
     order = np.lexsort((y, x))
     xs, ys = x[order].tolist(), y[order].tolist()
@@ -132,7 +245,7 @@ def chain_matches(x, y):
         chain = []
         while j >= 0 and not used[j]:
             used[j] = True
-            if chain and (xs[chain[-1]] - xs[j] > MAX_GAP or ys[chain[-1]] - ys[j] > MAX_GAP):
+            if chain and (xs[chain[-1]] - xs[j] > max_gap or ys[chain[-1]] - ys[j] > max_gap):
                 yield order[chain[::-1]]
                 chain = []
             chain.append(j)
@@ -149,52 +262,58 @@ def exact_spans(x, y):
     return [(int(part[0]), int(part[-1]) + K) for part in np.split(x, cut)]
 
 
-def chains_of_pairs(frame, min_words=50):
+def chains_of_pairs(frame, min_words=50, max_gap=64):
     """Chains of every pair of documents in a frame of matches, with the positions of their seeds.
 
     A chain within words that a better one covers exactly, for a whole passage, brings nothing new: a page of one word would
-    give one for every word. One short seed alone is chance and makes no chain.
+    give one for every word.
     """
     out = []
     x, y, whole = frame["x"].to_numpy(), frame["y"].to_numpy(), frame["whole"].to_numpy(dtype=bool)
-    doc, other, turn, other_turn = (frame[c].to_numpy() for c in ("doc", "other", "turn", "other_turn"))
-    starts, ends = group_bounds(frame, ["doc", "other"])
-    enough = (ends - starts > 1) | np.logical_or.reduceat(whole, starts)
-    for a, b in zip(starts[enough], ends[enough]):
+    doc, other = frame["doc"].to_numpy(), frame["other"].to_numpy()
+    starts, ends = group_bounds(frame, ["doc", "other", "part"])
+    for a, b in zip(starts, ends):
         order = a + np.lexsort((~whole[a:b], y[a:b], x[a:b]))
         first = np.ones(len(order), dtype=bool)  # repeated rows bring a match twice
         first[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
         px, py, pw = x[order[first]], y[order[first]], whole[order[first]]
         low = int(px.min())
         covered = np.zeros(int(px.max()) + K - low, dtype=bool)
-        for chain in chain_matches(px, py):
+        for chain in chain_matches(px, py, max_gap):
             cx, cy, cw = px[chain].astype("<i4"), py[chain].astype("<i4"), pw[chain]
-            if (len(chain) < 2 and not cw[0]) or covered[cx[0] - low:cx[-1] + K - low].all():
+            if covered[cx[0] - low:cx[-1] + K - low].all():
                 continue
             for start, end in exact_spans(cx[cw], cy[cw]):
                 if end - start >= min_words:
                     covered[start - low:end - low] = True
-            out.append((doc[a], other[a], turn[a], other_turn[a], cx.tobytes(), cy.tobytes(), int(cx[0]), int(cx[-1]), int(cy[0]), int(cy[-1])))
-    return pd.DataFrame(out, columns=["doc", "other", "turn", "other_turn", "xs", "ys", "x0", "x1", "y0", "y1"])
+            out.append((doc[a], other[a], cx.tobytes(), cy.tobytes(), int(cx[0]), int(cx[-1]), int(cy[0]), int(cy[-1])))
+    return pd.DataFrame(out, columns=["doc", "other", "xs", "ys", "x0", "x1", "y0", "y1"])
 
 
 def grow(a, b):
-    """Positions in `a` matched when two word arrays are aligned from their start: equal words, up to three words left out
-    on either side where three equal ones follow, until neither goes on."""
+    """Positions in `a` matched when two word arrays are aligned from their start, as runs (place in a, place in b, length).
+
+    Along the diagonal an equal word counts 1 and a different one -2: it goes on to where the sum is greatest, unless the sum falls
+    DROP below that. There up to three words may be left out on one side where three equal ones follow, until neither goes on."""
     matched, i, j = [], 0, 0
     while i < len(a) and j < len(b):
         n = min(len(a) - i, len(b) - j)
-        differ = np.flatnonzero(a[i:i + n] != b[j:j + n])
-        run = int(differ[0]) if len(differ) else n
-        matched.append((i, j, run))
-        i, j = i + run, j + run
-        for di, dj in ((1, 1), (1, 0), (0, 1), (2, 2), (2, 1), (1, 2), (2, 0), (0, 2), (3, 3), (3, 0), (0, 3)):
+        same = a[i:i + n] == b[j:j + n]
+        score = np.cumsum(np.where(same, 1, -2))
+        fallen = np.flatnonzero(np.maximum.accumulate(score) - score > DROP)
+        end = int(score[:fallen[0]].argmax()) + 1 if len(fallen) else int(score.argmax()) + 1
+        if score[end - 1] > 0:
+            at = np.flatnonzero(same[:end])
+            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                matched.append((i + int(run[0]), j + int(run[0]), len(run)))
+            i, j = i + end, j + end
+        for di, dj in ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2), (2, 0), (0, 2), (2, 2), (3, 3), (3, 0), (0, 3)):
             if i + di + 3 <= len(a) and j + dj + 3 <= len(b) and (a[i + di:i + di + 3] == b[j + dj:j + dj + 3]).all():
                 i, j = i + di, j + dj
                 break
         else:
             break
-    return [(i, j, run) for i, j, run in matched if run]
+    return matched
 
 
 def aligned(a, b, xs, ys):
@@ -225,7 +344,7 @@ def align_chains(min_words, identity, break_words=10):
         out = []
         starts, ends = group_bounds(frame, ["chain"])
         side, words, low = frame["side"].to_numpy(), frame["slice"].to_numpy(), frame["low"].to_numpy()
-        doc, other, turn, other_turn, xs_all, ys_all = (frame[c].to_numpy() for c in ("doc", "other", "turn", "other_turn", "xs", "ys"))
+        doc, other, xs_all, ys_all = (frame[c].to_numpy() for c in ("doc", "other", "xs", "ys"))
         for begin, end in zip(starts, ends):
             rows = {side[i]: i for i in range(begin, end)}
             if len(rows) < 2:
@@ -238,8 +357,8 @@ def align_chains(min_words, identity, break_words=10):
             for px, py in zip(np.split(mx, cut), np.split(my, cut)):
                 length = max(px[-1] - px[0], py[-1] - py[0]) + 1
                 if length >= min_words and len(px) >= identity * length:
-                    out.append((doc[i], other[i], turn[i], other_turn[i], int(px[0] + low[i]), int(px[-1] + low[i] + 1), int(py[0] + low[j]), int(py[-1] + low[j] + 1), len(px)))
-        names = ["doc", "other", "turn", "other_turn", "start_word", "end_word", "ref_start_word", "ref_end_word", "matched_words"]
+                    out.append((doc[i], other[i], int(px[0] + low[i]), int(px[-1] + low[i] + 1), int(py[0] + low[j]), int(py[-1] + low[j] + 1), len(px)))
+        names = ["doc", "other", "start_word", "end_word", "ref_start_word", "ref_end_word", "matched_words"]
         found = pd.DataFrame(out, columns=names).astype("int64")
         # Chains of one pair can grow into each other: of passages that end where or before an earlier one does, the first stays.
         found = found.sort_values(["doc", "other", "start_word", "end_word", "matched_words"], ascending=[True, True, True, False, False])
@@ -249,55 +368,79 @@ def align_chains(min_words, identity, break_words=10):
     return work
 
 
-def repeated_passages(docs, min_words=50, identity=0.8, folder=None):
+def without_covered(frame):
+    """Passages of whole documents without those whose words, but for one or two, lie in passages that a still earlier document has."""
+    kept = np.ones(len(frame), dtype=bool)
+    begin, end, other = (frame[c].to_numpy() for c in ("start_word", "end_word", "other"))
+    for a, b in zip(*group_bounds(frame, ["doc"])):
+        low = int(begin[a:b].min())
+        covered, last = np.zeros(int(end[a:b].max()) - low, dtype=bool), a
+        for i in range(a, b):
+            if other[i] != other[last]:
+                for j in range(last, i):
+                    covered[begin[j] - low:end[j] - low] = True
+                last = i
+            kept[i] = (~covered[begin[i] - low:end[i] - low]).sum() >= CHANCE
+    return frame[kept]
+
+
+def repeated_passages(docs, min_words=50, identity=0.8, max_gap=64, flank=96, folder=None):
     """Passages of at least `min_words` words that an earlier document has, with at least `identity` of the words equal.
 
     Returns (doc, doc_id, start_word, end_word, ref_doc_id, ref_start_word, ref_end_word, matched_words); positions count
     words from 0, the end is exclusive, and words are lower-cased and lose marks at their ends. Documents come in the order
     of their ids, null last. Rows that repeat id and text are the same document and no repetition; equal texts under two ids
     are. Null, empty and short texts hold no passage. An empty table gives no rows; other columns are not read.
+
+    Of the earlier documents with a passage one or a few are named: the first one, the previous one, or those of the block.
+
+    A chain ends where no seed follows within `max_gap` words; a passage grows at most `flank` words beyond the outermost seeds
+    of its chain, over single words that differ. A longer passage is several chains, and what they find is joined or overlaps.
     """
-    width, folder = shuffle_width(docs.sparkSession), folder or shared_folder(docs.sparkSession)
-    read = stored(seed_documents(docs, min_words), folder, "words")
-    seeds = read.select("doc", F.coalesce("doc_id", F.lit(LAST)).alias("turn"), F.explode(F.arrays_zip("seed", "at")).alias("s"))
-    seeds = seeds.select("doc", "turn", F.col("s.seed").alias("seed"), F.col("s.at").alias("x"))
-    first = seeds.groupBy("seed").agg(F.min(F.struct("turn", "doc", "x")).alias("first"), F.max("doc").alias("d1"), F.min("doc").alias("d2"))
-    first = first.filter("d1 <> d2").select("seed", F.col("first.doc").alias("other"), F.col("first.turn").alias("other_turn"), F.col("first.x").alias("y"))
-    first = stored(first, folder, "first")  # a join of two tables can split a seed that very many documents share
-    met = seeds.join(first, "seed").withColumn("whole", F.expr("seed & 1 = 1")).filter("whole OR doc <> other")
-    met = stored(met.select("doc", "other", "turn", "other_turn", "x", "y", "whole"), folder, "met")
-    matches = met.filter("doc <> other")
-    chains = sorted_groups(matches, ["doc", "other"], partial(chains_of_pairs, min_words=min_words), "doc long, other long, turn long, other_turn long, xs binary, ys binary, x0 int, x1 int, y0 int, y1 int", width)
+    spark = docs.sparkSession
+    width, folder = shuffle_width(spark), folder or shared_folder(spark)
+    read = in_order(stored(read_words(docs, min_words), folder, "words"), folder, width)
+    met = stored(linked_places(read.select("number", "words")), folder, "met")
+    own, at = lambda c: F.shiftright(c, AT), lambda c: F.col(c).bitwiseAND((1 << AT) - 1).cast("int")
+    matches = met.select(own("later").alias("doc"), own("earlier").alias("other"), at("later").alias("x"), at("earlier").alias("y"), "whole")
+    matches = matches.withColumn("part", F.expr(f"x div {SPLIT}"))
+    work = partial(chains_of_pairs, min_words=min_words, max_gap=max_gap)
+    chains = sorted_groups(matches, ["doc", "other", "part"], work, "doc long, other long, xs binary, ys binary, x0 int, x1 int, y0 int, y1 int", width)
     chains = stored(chains.withColumn("chain", F.monotonically_increasing_id()), folder, "chains")
     sides = [
-        chains.select("chain", F.lit(s).alias("side"), F.col(key).alias("key"), "doc", "other", "turn", "other_turn", *(["xs", "ys"] if s == 0 else [F.lit(None).cast("binary").alias(c) for c in ("xs", "ys")]),
-                      F.greatest(F.col(f"{v}0") - FLANK, F.lit(0)).alias("low"), (F.col(f"{v}1") + K + FLANK).alias("high"))
+        chains.select("chain", F.lit(s).alias("side"), F.col(key).alias("key"), "doc", "other", *(["xs", "ys"] if s == 0 else [F.lit(None).cast("binary").alias(c) for c in ("xs", "ys")]),
+                      F.greatest(F.col(f"{v}0") - flank, F.lit(0)).alias("low"), (F.col(f"{v}1") + K + flank).alias("high"))
         for s, (key, v) in enumerate((("doc", "x"), ("other", "y")))
     ]
     wanted = sides[0].unionByName(sides[1])
-    texts = read.select(F.col("doc").alias("key"), "words")
+    texts = read.select(F.col("number").alias("key"), "words")
     slices = wanted.join(texts, "key").withColumn("slice", F.expr("substring(words, low * 2 + 1, (high - low) * 2)")).drop("words", "key", "high")
-    found = stored(sorted_groups(slices, ["doc", "other"], align_chains(min_words, identity), PASSAGE, width, ["chain"]), folder, "passages")
-    exact = exact_passages(read, met.filter("whole").select("doc", "x"), found, min_words, folder, width)
+    found = stored(sorted_groups(slices, ["doc", "other"], align_chains(min_words, identity), PASSAGE, width, ["chain"]), folder, "aligned")
+    found = stored(sorted_groups(found, ["doc"], without_covered, PASSAGE, width, ["other", "start_word", "end_word"]), folder, "passages")
+    whole = met.filter("whole")
+    shared = whole.select(own("later").alias("doc"), at("later").alias("x")).unionByName(whole.select(own("earlier").alias("doc"), at("earlier").alias("x")))
+    exact = exact_passages(read, shared, found, min_words, folder, width)
     if exact is not None:
         found = found.unionByName(stored(exact, folder, "exact"))
-    doc_id, ref_doc_id = (F.nullif(c, F.lit(LAST)).alias(n) for c, n in (("turn", "doc_id"), ("other_turn", "ref_doc_id")))
-    return found.select("doc", doc_id, "start_word", "end_word", ref_doc_id, "ref_start_word", "ref_end_word", "matched_words")
+    names = read.select("number", "doc", "doc_id")
+    found = found.withColumnRenamed("doc", "number").join(names, "number").drop("number")
+    return found.join(names.select(F.col("number").alias("other"), F.col("doc_id").alias("ref_doc_id")), "other").select(
+        "doc", "doc_id", "start_word", "end_word", "ref_doc_id", "ref_start_word", "ref_end_word", "matched_words")
 
 
 def run_rows(min_words, only_open):
-    """(doc, turn, run, x, open) of the runs of `min_words` words that an other document may have, open if three or more of its words are in no passage.
+    """(run, place, open) of the runs of `min_words` words that an other document may have, open if three or more of its words are in no passage.
 
     Two documents with such a run share the least hash of every window in it. So the places in a document where shared seeds
     are at most a window apart have all its runs, whatever the first holders of those seeds are.
     """
     reach = min_words - K + 1 - WINDOW  # from the least place the last window of a run can begin at to its first
-    names, types = ("doc", "turn", "run", "x", "open"), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+    names, types = ("run", "place", "open"), (pa.int64(), pa.int64(), pa.bool_())
 
     def read(batches):
         for batch in batches:
             columns = {name: [] for name in names}
-            for doc, turn, words, shared, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, words, shared, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
                 words = np.frombuffer(words, dtype="<u2")
                 last = len(words) - min_words
                 possible = np.zeros(last + 1, dtype=bool)
@@ -316,9 +459,9 @@ def run_rows(min_words, only_open):
                 x = np.flatnonzero(possible & is_open if only_open else possible)
                 if len(x):
                     runs = shingles(mix64(words.astype(np.uint64) + np.uint64(1)), min_words)[x].view(np.int64)
-                    for name, values in zip(names, (np.full(len(x), doc), np.full(len(x), turn), runs, x.astype(np.int32), is_open[x])):
+                    for name, values in zip(names, (runs, (number << AT) + x, is_open[x])):
                         columns[name].append(values)
-            if columns["x"]:
+            if columns["run"]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(columns[n]), type=t) for n, t in zip(names, types)], names=list(names))
 
     return read
@@ -333,8 +476,7 @@ def joined_runs(min_words):
         for key in ("doc", "other", "shift"):
             apart |= frame[key] != frame[key].shift()
         joined = frame.groupby(apart.cumsum().to_numpy()).agg(
-            doc=("doc", "first"), other=("other", "first"), turn=("turn", "first"), other_turn=("other_turn", "first"), start_word=("x", "min"),
-            end_word=("x", "max"), ref_start_word=("y", "min"), ref_end_word=("y", "max"))
+            doc=("doc", "first"), other=("other", "first"), start_word=("x", "min"), end_word=("x", "max"), ref_start_word=("y", "min"), ref_end_word=("y", "max"))
         joined["end_word"] += min_words
         joined["ref_end_word"] += min_words
         joined["matched_words"] = joined["end_word"] - joined["start_word"]
@@ -351,18 +493,17 @@ def exact_passages(read, shared, found, min_words, folder, width):
     spans = found.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start_word", "end_word"))).alias("spans"))
     spans = spans.select("doc", F.col("spans.start_word").alias("starts"), F.col("spans.end_word").alias("ends"))
     marks = shared.groupBy("doc").agg(F.collect_set("x").alias("shared"))
-    turn = F.coalesce("doc_id", F.lit(LAST)).alias("turn")
-    texts = read.select("doc", turn, "words").dropDuplicates(["doc"]).join(marks, "doc").join(spans, "doc", "left")
-    texts = stored(texts.select("doc", "turn", "words", "shared", "starts", "ends"), folder, "marked")
-    schema = "doc long, turn long, run long, x int, open boolean"
-    opened = stored(texts.mapInArrow(run_rows(min_words, True), schema).drop("open"), folder, "open")
+    texts = read.select(F.col("number").alias("doc"), "words").join(marks, "doc").join(spans, "doc", "left")
+    texts = stored(texts.select("doc", "words", "shared", "starts", "ends"), folder, "marked")
+    opened = stored(texts.mapInArrow(run_rows(min_words, True), "run long, place long, open boolean").drop("open"), folder, "open")
     if opened.isEmpty():
         return None
-    runs = texts.mapInArrow(run_rows(min_words, False), schema)
-    first = runs.groupBy("run").agg(F.min(F.struct("turn", "doc", "x")).alias("first"), F.max("doc").alias("d1"), F.min("doc").alias("d2"), F.max("open").alias("open"))
-    first = first.filter("d1 <> d2 AND open").select("run", F.col("first.doc").alias("other"), F.col("first.turn").alias("other_turn"), F.col("first.x").alias("y"))
-    first = stored(first, folder, "first_runs")
-    met = opened.join(first, "run").filter("doc <> other").select("doc", "other", "turn", "other_turn", "x", "y")
+    runs = texts.mapInArrow(run_rows(min_words, False), "run long, place long, open boolean")
+    first = runs.groupBy("run").agg(F.min("place").alias("earlier"), F.max("place").alias("last"), F.max("open").alias("open"))
+    first = stored(first.filter((F.shiftright("earlier", AT) != F.shiftright("last", AT)) & F.col("open")).select("run", "earlier"), folder, "first_runs")
+    met = opened.join(first, "run")
+    own, at = lambda c: F.shiftright(c, AT), lambda c: F.col(c).bitwiseAND((1 << AT) - 1).cast("int")
+    met = met.select(own("place").alias("doc"), own("earlier").alias("other"), at("place").alias("x"), at("earlier").alias("y")).filter("doc <> other")
     return sorted_groups(met, ["doc", "other"], joined_runs(min_words), PASSAGE, width)
 
 

@@ -2,7 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from ligneo.llm.passages import GAP_COST, MAX_GAP, WEIGHT, aligned, all_seeds, chain_matches, chains_of_pairs, grow, repeated_passages, seeds_of, without_repetitions, without_spans
+from ligneo.llm import passages
+from ligneo.llm.passages import GAP_COST, K, WEIGHT, WINDOW, aligned, chain_matches, chains_of_pairs, document_seeds, grow, repeated_passages, spaced_seeds, told_apart, winnowed, without_repetitions, without_spans
 from ligneo.llm.words import shingles, word_hashes
 
 
@@ -15,7 +16,7 @@ def test_chains_reach_the_best_score_of_quadratic_search():
         for j in np.lexsort((y, x)):
             before = [best[i] - GAP_COST * (x[j] - x[i] + y[j] - y[i]) for i in range(len(x)) if x[i] < x[j] and y[i] < y[j]]
             best[j] = WEIGHT + max([0, *before])
-        chains = list(chain_matches(x, y))
+        chains = list(chain_matches(x, y, 40))
         first = chains[0]
         gaps = sum(x[b] - x[a] + y[b] - y[a] for a, b in zip(first, first[1:]))
         assert WEIGHT * len(first) - GAP_COST * gaps == pytest.approx(best.max())
@@ -24,21 +25,32 @@ def test_chains_reach_the_best_score_of_quadratic_search():
 
 
 def test_chains_end_at_wide_gaps():
-    x = np.concatenate([np.arange(0, 400, 8), np.arange(400 + MAX_GAP + 5, 900, 8)])
-    assert len(list(chain_matches(x, x))) == 2
+    x = np.concatenate([np.arange(0, 400, 8), np.arange(400 + 45, 900, 8)])
+    assert len(list(chain_matches(x, x, 40))) == 2 and len(list(chain_matches(x, x, 64))) == 1
 
 
 def test_equal_runs_share_a_seed():
     draw = np.random.default_rng(6)
     words = draw.integers(1, 10**9, 300).astype(np.uint64)
     for begin in range(0, 250, 17):
-        own = np.concatenate([draw.integers(1, 10**9, 40).astype(np.uint64), words[begin:begin + 23], draw.integers(1, 10**9, 30).astype(np.uint64)])
-        assert set(seeds_of(own)[0]) & set(seeds_of(words)[0])
+        own = np.concatenate([draw.integers(1, 10**9, 40).astype(np.uint64), words[begin:begin + WINDOW + K - 1], draw.integers(1, 10**9, 30).astype(np.uint64)])
+        assert set(winnowed(own)[0].tolist()) & set(winnowed(words)[0].tolist())
 
 
 def test_repeated_seeds_are_told_apart():
-    seeds, _ = seeds_of(np.ones(200, dtype=np.uint64))
-    assert len(set(seeds.tolist())) == len(seeds) > 100
+    seeds, again = told_apart(np.ones(200, dtype=np.uint64))
+    assert len(set(seeds.tolist())) == 200 and again.sum() == 199
+    values, at, asking = document_seeds(np.ones(200, dtype=np.uint64))
+    assert len(set(values[~asking].tolist())) == (~asking).sum() and set(values[asking].tolist()) <= set(values[~asking].tolist())
+
+
+def test_spaced_seeds_outlive_a_changed_word():
+    words = np.random.default_rng(2).integers(1, 10**9, 4000).astype(np.uint64)
+    changed = words.copy()
+    changed[::6] += np.uint64(1)
+    mine, theirs = (dict(zip(*(c.tolist() for c in spaced_seeds(w)))) for w in (words, changed))
+    both = {mine[v] for v in set(mine) & set(theirs)}
+    assert len(both) > 150 and len(both) > 150
 
 
 def test_alignment_bridges_edits():
@@ -74,7 +86,8 @@ def test_passages(documents, rows):
         found.setdefault(r.doc_id, []).append(r)
     assert set(found) == {*range(101, 120), 150, 151, 202, 303, None}
     for i in range(101, 120):
-        assert [(r.start_word, r.end_word, r.ref_doc_id, r.ref_start_word, r.ref_end_word, r.matched_words) for r in found[i]] == [(40, 100, 100, 40, 100, 60)]
+        assert [(r.start_word, r.end_word, r.ref_start_word, r.ref_end_word, r.matched_words) for r in found[i]] == [(40, 100, 40, 100, 60)]
+        assert 100 <= found[i][0].ref_doc_id < i
     assert [(r.start_word, r.end_word, r.matched_words) for r in found[150]] == [(90, 149, 58)]
     assert any((r.start_word, r.end_word, r.ref_doc_id) == (60, 140, 201) for r in found[202])
     assert [(r.start_word, r.end_word) for r in found[303]] == [(0, 500)]
@@ -124,15 +137,63 @@ def test_a_passage_twice_in_one_document(documents, make_prose):
 
 
 def test_a_page_of_one_word_gives_one_chain():
-    words = np.ones(2000, dtype=np.uint64)
-    seeds, at = all_seeds(words)
+    seeds, at, _ = document_seeds(np.ones(2000, dtype=np.uint64))
     first = {}
     for value, y in zip(seeds.tolist(), at.tolist()):
         first.setdefault(value, y)
-    frame = pd.DataFrame({"doc": 2, "other": 1, "turn": 2, "other_turn": 1, "x": at, "y": [first[v] for v in seeds.tolist()], "whole": seeds % 2 == 1})
+    frame = pd.DataFrame({"doc": 2, "other": 1, "part": 0, "x": at, "y": [first[v] for v in seeds.tolist()], "whole": seeds % 2 == 1})
     assert len(chains_of_pairs(frame)) == 1
 
 
+@pytest.mark.parametrize("block_words", [4_000_000, 150])
+def test_blocks_and_parts_change_nothing(spark, documents, rows, monkeypatch, block_words):
+    """Links inside blocks and across them, chains cut into parts: the same documents are found, whole."""
+    monkeypatch.setattr(passages, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(passages, "SPLIT", 1 << 16 if block_words > 1000 else 64)
+    got = {}
+    for r in repeated_passages(documents(rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    assert set(got) == {*range(101, 120), 150, 151, 202, 303, None}
+    assert all(min(s for s, _ in got[i]) == 40 and max(e for _, e in got[i]) == 100 for i in range(101, 120))
+
+
+def test_passages_amid_the_documents_own_word_chain(spark):
+    """Passages drawn from the word pairs of all documents of the table, put edited into other drawn texts: recall, and none but them."""
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang = 'en' AND n_chars > 300").select("text").collect()]
+    follow, draw, rows, cases = {}, np.random.default_rng(5), [], {}
+    for text in texts:
+        words = text.split()
+        for a, b in zip(words, words[1:]):
+            follow.setdefault(a, []).append(b)
+    heads = sorted(follow)
+
+    def chain(n):
+        out = [heads[draw.integers(len(heads))]]
+        while len(out) < n:
+            after = follow.get(out[-1]) or heads
+            out.append(after[draw.integers(len(after))])
+        return out
+
+    for rate in (5.5, 6, 8, 10, 15):
+        for evenly in (True, False):
+            for _ in range(40):
+                passage = chain(60)
+                changed = [i % rate < 1 if evenly else draw.random() < 1 / rate for i in range(60)]
+                if sum(changed) > 11:
+                    changed = [c and i % 2 == 0 for i, c in enumerate(changed)]
+                edited = [chain(1)[0] if c else w for w, c in zip(passage, changed)]
+                rows += [(len(rows), " ".join(chain(80) + passage + chain(60))), (len(rows) + 1, " ".join(chain(50) + edited + chain(90)))]
+                cases.setdefault((rate, evenly), []).append(len(rows) - 1)
+    rows += [(len(rows) + i, " ".join(chain(300))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = repeated_passages(docs).collect()
+    right = {r.doc_id for r in found if r.ref_doc_id == r.doc_id - 1 and r.start_word < 80 and r.end_word > 80}
+    recall = {case: sum(i in right for i in ids) / len(ids) for case, ids in cases.items()}
+    print(recall)
+    assert all(r >= (0.9 if evenly or rate >= 8 else 0.8) for (rate, evenly), r in recall.items())
+    assert {r.doc_id for r in found} == right
+
+
 def test_a_passage_whose_parts_have_other_first_holders(documents, make_prose):
     """Its halves, or its every 16 words, stand in earlier documents of their own; the whole stands in one later one first."""
     rows, expected = [], set()
