@@ -1,4 +1,4 @@
-"""Whole runs from files to files: a batch, learning from corrected copies, the deletion model, pseudonymising."""
+"""Whole runs from files to files: a batch, learning from corrected copies and applying what was learned, the deletion model, pseudonymising."""
 
 import uuid
 
@@ -21,10 +21,24 @@ def known_layouts(spark, folder=None):
 
 
 def recognised(spark, paths, specs, skipped=SKIPPED_EXTENSIONS):
-    """(lines with their format, files): one scan of the paths without files that never hold fixed-width data."""
-    scanned = lines.scan_lines(spark, paths).filter(~lines.extension(F.col("file_path")).isin(skipped))
-    files = cut_lineage(recognise.identify_format(scanned, specs).withColumn("year", lines.year_from_name(F.col("file_path"))))
-    return recognise.with_format(scanned, files.select("file_path", "format")), files
+    """(lines with their format, files, listing) of the paths: a listing first, then one scan of what is not set aside.
+
+    `files` has a row per scanned file; `listing` has every file, with the reason for those set aside: their bytes are not read.
+    """
+    listing = cut_lineage(lines.list_files(spark, paths, skipped))
+    scanned = lines.scan_listed(spark, listing)
+    files = recognise.identify_format(scanned, specs).withColumn("year", lines.year_from_name(F.col("file_path")))
+    files = cut_lineage(files.join(listing.select("file_path", "relative_path"), "file_path"))
+    return recognise.with_format(scanned, files.select("file_path", "format")), files, listing
+
+
+def empty_files(files, listing):
+    """`files` with the empty files of the listing, of unknown format and with their reason."""
+    blank = {"format": recognise.UNKNOWN, "ratio": 0.0, "lines_read": 0}
+    types = dict(files.dtypes)
+    empty = listing.filter(F.col("reason") == lines.EMPTY_FILE)
+    own = lambda c: F.col(c) if c in empty.columns else F.lit(blank.get(c)).cast(types[c]).alias(c)
+    return files.unionByName(empty.select(*[own(c) for c in files.columns]))
 
 
 def run_batch(spark, paths, out, current_year, layout_folder=None, decisions=None, use_counters=True):
@@ -33,8 +47,8 @@ def run_batch(spark, paths, out, current_year, layout_folder=None, decisions=Non
     `decisions` (ipp, ddn) are birth dates a person chose. Returns the report as a one-row DataFrame.
     """
     known = known_layouts(spark, layout_folder)
-    batch, files = recognised(spark, paths, layouts.collect_specs(known))
-    batch = cut_lineage(batch)
+    batch, files, listing = recognised(spark, paths, layouts.collect_specs(known))
+    batch, files = cut_lineage(batch), cut_lineage(empty_files(files, listing))
     resolved = cut_lineage(layouts.resolve_layout(files, known))
     found = checks.run_checks(batch, current_year, use_counters=use_counters)
     found.write.mode("overwrite").parquet(f"{out}/findings")
@@ -83,7 +97,7 @@ def run_learning(spark, paths, memory, seen, layout_folder=None):
     `seen` is the day of the run. Returns all rules, those of earlier runs included.
     """
     specs = layouts.collect_specs(known_layouts(spark, layout_folder))
-    batch, files = recognised(spark, paths, specs)
+    batch, files, _ = recognised(spark, paths, specs)
     batch = cut_lineage(batch)
     pairs = learning.find_pairs(files, batch)
     learned = current_table(spark, memory, LEARNED, "pair_print string, fingerprint string")
@@ -112,7 +126,7 @@ def run_training(spark, paths, directory, version, layout_folder=None, **options
     Returns (promoted, card).
     """
     specs = layouts.collect_specs(known_layouts(spark, layout_folder))
-    batch, files = recognised(spark, paths, specs)
+    batch, files, _ = recognised(spark, paths, specs)
     batch = cut_lineage(batch)
     pairs = learning.find_pairs(files, batch)
     months = cut_lineage(deletion.training_months(pairs.withColumn("modified", F.lit(0))))
@@ -128,17 +142,64 @@ def run_training(spark, paths, directory, version, layout_folder=None, **options
     return promoted, card
 
 
+def run_apply(spark, paths, memory, out, layout_folder=None):
+    """Apply the rules stored in `memory` to the files below `paths`.
+
+    A copy of every file that a validated rule touches is written below `out`/lines, under its relative path and in order; the originals
+    stay as they are. Returns the lines concerned per suggested rule and file: (rule columns, status, relative_path, n_lines).
+    """
+    specs = layouts.collect_specs(known_layouts(spark, layout_folder))
+    batch, files, _ = recognised(spark, paths, specs)
+    batch = cut_lineage(batch.filter(F.lower("file_path").endswith(".txt")))
+    # Rules come in the order they were met first; the last one that holds wins.
+    order = ["first_seen", *[F.coalesce(c, F.lit("")) for c in learning.RULE_KEY]]
+    rules = current_table(spark, memory, RULES, RULE_SCHEMA)
+    rules = cut_lineage(rules.withColumn("rule_no", F.struct(*[F.col(c) if isinstance(c, str) else c.alias(f"k{i}") for i, c in enumerate(order)])))
+    present = {r["format"] for r in files.select("format").distinct().collect()} & {r["format"] for r in rules.select("format").distinct().collect()}
+    corrected, hits = None, None
+    for name in sorted(present & set(specs)):
+        own = batch.filter(F.col("format") == name)
+        more = learning.apply_rules(own, rules, specs[name]).select("file_path", "line_no", "line")
+        found = learning.rule_hits(own, rules, specs[name])
+        corrected, hits = (more, found) if corrected is None else (corrected.unionByName(more), hits.unionByName(found))
+    if corrected is None:
+        return spark.createDataFrame([], RULE_SCHEMA).select(*learning.RULE_KEY, "status", F.lit("").alias("relative_path"), F.lit(0).cast("bigint").alias("n_lines"))
+    names = files.select("file_path", "relative_path")
+    sinks.write_fixed_width(cut_lineage(corrected.join(names, "file_path")), f"{out}/lines")
+    cut_lineage(hits.join(names, "file_path").drop("file_path")).write.mode("overwrite").parquet(f"{out}/hits")
+    return spark.read.parquet(f"{out}/hits")
+
+
+def run_scoring(spark, paths, directory, out, layout_folder=None, shown=20):
+    """Score the uncorrected RAA files below `paths` with the model stored in `directory`; the review queue goes to `out`/queue.
+
+    Returns (queue, card): (relative_path, line_no, probability, rank, shown), by falling probability in each file, without a field's value.
+    """
+    specs = layouts.collect_specs(known_layouts(spark, layout_folder))
+    batch, files, _ = recognised(spark, paths, specs)
+    model, card = deletion.load_model(spark, directory)
+    if model is None:
+        raise ValueError(f"no model in {directory}")
+    wanted = files.filter((F.col("format") == "RAA") & F.lower("file_path").endswith(".txt") & ~learning.is_corrected(F.col("file_path")))
+    own = cut_lineage(batch.join(wanted.select("file_path"), "file_path", "left_semi"))
+    flagged = cut_lineage(deletion.score(model, deletion.raa_features(own, specs["RAA"]), card["threshold"]))
+    queue = deletion.review_queue(flagged, shown=shown).join(files.select("file_path", "relative_path"), "file_path")
+    queue.select("relative_path", "line_no", "probability", "rank", "shown").write.mode("overwrite").parquet(f"{out}/queue")
+    return spark.read.parquet(f"{out}/queue"), card
+
+
 def run_pseudonymising(spark, paths, out, key, layout_folder=None):
     """Pseudonymise the recognised files below `paths` into `out`/lines; returns the report, set-aside files with their reason.
 
-    Files of formats without a layout are set aside. Leaks are counted in `out`/leaks without any value.
+    Files of formats without a layout, of other types and without content are set aside. Lines keep their relative path and order. Leaks are counted in `out`/leaks without any value.
     """
     specs = layouts.collect_specs(known_layouts(spark, layout_folder))
-    batch, files = recognised(spark, paths, specs, SKIPPED_WHEN_PSEUDONYMISING)
+    batch, files, listing = recognised(spark, paths, specs, SKIPPED_WHEN_PSEUDONYMISING)
     batch = cut_lineage(batch)
     unknown = ~F.col("format").isin(sorted(specs))
     reason = F.when(F.col("format") == "INCONNU", F.col("reason")).otherwise(F.concat(F.lit("aucun format de champs pour "), F.col("format")))
-    excluded = files.filter(unknown).select("file_path", "lines_read", reason.alias("reason"))
+    aside = listing.filter("reason IS NOT NULL").select("file_path", F.lit(0).cast("bigint").alias("lines_read"), "reason")
+    excluded = cut_lineage(files.filter(unknown).select("file_path", "lines_read", reason.alias("reason")).unionByName(aside))
     kept = batch.filter(~unknown)
     rewritten, _, leaks = pseudonymize.pseudonymize_batch(kept, specs, Keyed(key_pads(spark, key)))
     sinks.write_fixed_width(rewritten, f"{out}/lines")

@@ -24,9 +24,8 @@ def export_table(lines: DataFrame, spec=None) -> DataFrame:
     The source is the file's path below the root where the lines have it, else its name. Blank lines are left out but keep their number.
     """
     kept = lines.filter(F.length(trimmed(F.col("line"))) > 0)
-    source = "relative_path" if "relative_path" in lines.columns else "file_name"
     trace = [
-        F.col(source).alias("FICHIER_SOURCE"), F.col("line_no").alias("NUM_LIGNE"), F.col("format").alias("FORMAT")
+        F.col(source_column(lines)).alias("FICHIER_SOURCE"), F.col("line_no").alias("NUM_LIGNE"), F.col("format").alias("FORMAT")
     ]
     if spec is None:
         return kept.select(*trace, right_trimmed(F.col("line")).alias("LIGNE_BRUTE"))
@@ -47,7 +46,7 @@ def export_batch(lines: DataFrame, resolved: DataFrame, vintages: dict) -> DataF
         chosen = F.col("_laid") & (F.col("format") == name) & F.col("layout_year").eqNullSafe(F.lit(year).cast("int"))
         fields = F.when(chosen, own).otherwise(fields)
     return read.select(
-        F.col("relative_path" if "relative_path" in lines.columns else "file_name").alias("FICHIER_SOURCE"), F.col("line_no").alias("NUM_LIGNE"),
+        F.col(source_column(lines)).alias("FICHIER_SOURCE"), F.col("line_no").alias("NUM_LIGNE"),
         F.col("format").alias("FORMAT"), F.col("layout_year").alias("ANNEE_FORMAT"), fields.alias("fields"),
     )
 
@@ -96,12 +95,18 @@ def in_file_order(df: DataFrame, by, order) -> DataFrame:
     return df.repartitionByRange(F.col(by), F.col(order)).sortWithinPartitions(by, order)
 
 
-def write_fixed_width(lines: DataFrame, path, by="relative_path", order="line_no") -> None:
+def source_column(lines: DataFrame) -> str:
+    """What tells files apart: the path below the root of the run where the lines have it, else the name."""
+    return "relative_path" if "relative_path" in lines.columns else "file_name"
+
+
+def write_fixed_width(lines: DataFrame, path, by=None, order="line_no") -> None:
     """Latin-1 lines, one folder per target file, in order; characters outside Latin-1 become a question mark.
 
-    `by` names the target, the path below the root of the run by default, so files of one name in two folders stay apart. A huge
+    `by` names the target, by default the path below the root of the run, so files of one name in two folders stay apart. A huge
     file gives several parts, whose names sort as their lines do; `read_fixed_width` numbers them again.
     """
+    by = by or source_column(lines)
     written = in_file_order(lines.select(by, order, latin1(F.col("line")).alias("value")), by, order)
     written.select(by, "value").write.mode("overwrite").partitionBy(by).text(path)
 

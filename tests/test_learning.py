@@ -136,16 +136,17 @@ def test_align_by_key_matches_plain_loops(spark, spec, seed, n_parts):
     assert deleted == nearest_in_turn(spec, before, after)[1]
 
 
-def test_where_one_place_was_corrected_each_line_meets_the_nearest(spark, spec):
+def test_where_one_place_was_corrected_each_line_meets_its_own(spark, spec):
     """Many lines of one patient, told apart in two parts, each corrected in one place at most; others are gone."""
     before = [line("P1", f"U{i:03d}", "E", f"L{i:02d}") for i in range(60)]
     after = [line("P1", f"U{i:03d}", "E", f"M{i:02d}" if i % 3 == 0 else f"L{i:02d}") for i in range(60) if i % 7]
     after = [t if i % 4 else t[:8] + "D " + t[10:] for i, t in enumerate(after)][::-1]
     aligned, counts = learning.align(*sides(spark, before, after), spec)
-    expected, deleted = nearest_in_turn(spec, before, after)
+    in_turn, deleted = nearest_in_turn(spec, before, after)
     got = Counter((r["before"], r["after"]) for r in aligned.collect())
-    right = sum((got & Counter((b, a) for b in before for a in after if b[5:8] == a[5:8])).values())
-    assert counts.first()["deleted"] == deleted == 9 and right == 51 and sum((got & expected).values()) >= 45
+    right = Counter((b, a) for b in before for a in after if b[5:8] == a[5:8])
+    assert counts.first()["deleted"] == deleted == 9
+    assert sum((got & right).values()) == 51 >= sum((in_turn & right).values())
 
 
 def test_a_group_of_very_many_lines_is_aligned_by_joins(spark, spec):
