@@ -20,6 +20,7 @@ from ligneo.sources.lines import base_name
 
 INFO, WARNING, ERROR, BLOCKER = range(4)
 FINDING_COLUMNS = ["code", "severity", "message", "file_path", "line_no", "format", "fix_hint"]
+NO_FINDINGS = "array<struct<code:string,severity:int,message:string,fix_hint:string>>"
 DETAIL_CAP = 20
 
 # Wording of the findings.
@@ -95,25 +96,54 @@ def findings(df: DataFrame, code, severity, message, fix_hint, line_no="line_no"
     )
 
 
+def accepted_lengths() -> Column:
+    accepted = {name: [f.length] for name, f in FORMAT.items()}
+    for name, length in LENGTH_VARIANTS:
+        accepted[name].append(length)
+    return by_format({name: sorted(lengths) for name, lengths in accepted.items()})
+
+
+def line_facts(lines: DataFrame, use_counters=False, row_rules=()) -> DataFrame:
+    """One narrow typed row per line, from which every check aggregates; what the checks do not read stays behind.
+
+    file_path, line_no, format, `length`, `conforming` (the length is one of the format's, or with `use_counters` the one the line
+    announces), `found` (what the line-level rules say), `nir_missing`, `ddn` (text of the birth date where the format has one) and
+    `ddn_whole` (the line is long enough for it), `ipp` (of linkage and activity lines), `hash` and `digest` of lines of 20
+    characters and more. Lines that are facts already stay as they are.
+    """
+    if "ddn_whole" in lines.columns:
+        return lines
+    line, length = F.col("line"), F.length("line")
+    conforming = F.array_contains(accepted_lengths(), length)
+    if use_counters:
+        for name, zones in ZONES.items():
+            conforming = conforming | ((F.col("format") == name) & (length == expected_length(line, FIXED_LENGTH[name], zones)))
+    ddn_start = by_format({name: f.ddn_start + 1 for name, f in DATED_FORMATS.items()})
+    ddn_width = by_format({name: f.ddn_end - f.ddn_start for name, f in DATED_FORMATS.items()})
+    named = ACTIVITY_FORMATS + LINKAGE_FORMATS
+    ipp_start = by_format({name: FORMAT[name].ipp_start + 1 for name in named})
+    ipp_width = by_format({name: FORMAT[name].ipp_end - FORMAT[name].ipp_start for name in named})
+    found = F.filter(F.array(*[rule(line) for rule in row_rules]), lambda r: r.isNotNull()) if row_rules else F.array().cast(NO_FINDINGS)
+    return lines.select(
+        "file_path", "line_no", "format", length.alias("length"), conforming.alias("conforming"), found.alias("found"),
+        (_nir_line(line) & _nir_missing(line)).alias("nir_missing"),
+        F.when(ddn_start.isNotNull(), trimmed(F.substring(line, ddn_start, ddn_width))).alias("ddn"),
+        (length >= ddn_start - 1 + ddn_width).alias("ddn_whole"),
+        F.when(length >= ipp_start - 1 + ipp_width, trimmed(F.substring(line, ipp_start, ipp_width))).alias("ipp"),
+        F.when(length >= 20, F.xxhash64("line")).alias("hash"), F.when(length >= 20, F.unhex(F.sha2(line, 256))).alias("digest"),
+    )
+
+
 def length_verdict(lines: DataFrame, use_counters=False, sample_lines=None) -> DataFrame:
     """Per file: is the share of declared line lengths at least one half?
 
     `use_counters` also accepts the length a line announces through its own zone counters. `sample_lines`
     judges a file by its first lines only.
     """
-    known = lines.filter(F.col("format").isin(list(FORMAT)) & (F.length("line") > 0))
+    known = line_facts(lines, use_counters).filter(F.col("format").isin(list(FORMAT)) & (F.col("length") > 0))
     sample = known if sample_lines is None else first_in_file(known, sample_lines)
-    accepted = {name: [f.length] for name, f in FORMAT.items()}
-    for name, length in LENGTH_VARIANTS:
-        accepted[name].append(length)
-    declared = by_format({name: sorted(lengths) for name, lengths in accepted.items()})
-    conforming = F.array_contains(declared, F.length("line"))
-    if use_counters:
-        for name, zones in ZONES.items():
-            counted = F.length("line") == expected_length(F.col("line"), FIXED_LENGTH[name], zones)
-            conforming = conforming | ((F.col("format") == name) & counted)
-    lengths = sample.groupBy("file_path", "format", F.length("line").alias("observed")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(conforming.cast("int")).alias("ok"), F.min("line_no").alias("first_line")
+    lengths = sample.groupBy("file_path", "format", F.col("length").alias("observed")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("conforming").cast("int")).alias("ok"), F.min("line_no").alias("first_line")
     )
     measured = lengths.groupBy("file_path", "format").agg(
         F.sum("n").alias("total"), F.sum("ok").alias("conforming"),
@@ -124,7 +154,7 @@ def length_verdict(lines: DataFrame, use_counters=False, sample_lines=None) -> D
         "file_path", "format", "total", "conforming",
         (ratio >= 0.5).alias("accepted"),
         F.when(F.col("mode.n") >= F.col("total") * 0.8, F.col("mode.observed")).otherwise(0).alias("dominant"),
-        F.array_join(declared.cast("array<string>"), " ou ").alias("declared"),
+        F.array_join(accepted_lengths().cast("array<string>"), " ou ").alias("declared"),
     )
 
 
@@ -158,11 +188,10 @@ def finding_struct(code, severity, message, fix_hint) -> Column:
     )
 
 
-def row_findings(lines: DataFrame, rules) -> DataFrame:
-    """Apply line-level rules (finding or null) in one pass over the lines."""
-    found = F.array_compact(F.array(*[rule(F.col("line")) for rule in rules]))
+def row_findings(lines: DataFrame, rules=()) -> DataFrame:
+    """What line-level rules (finding or null) say, in one pass over the lines, or over facts that hold it already."""
     return (
-        lines.select("file_path", "line_no", "format", found.alias("found")).filter(F.size("found") > 0)
+        line_facts(lines, row_rules=rules).select("file_path", "line_no", "format", "found").filter(F.size("found") > 0)
         .select("file_path", F.col("line_no").cast("bigint").alias("line_no"), "format", F.inline("found"))
         .select(*FINDING_COLUMNS)
     )
@@ -241,8 +270,7 @@ def check_nir(lines: DataFrame, detail_cap=DETAIL_CAP) -> DataFrame:
 
 def check_nir_missing(lines: DataFrame, detail_cap=DETAIL_CAP) -> DataFrame:
     """The first `detail_cap` lines without a number, and a total when there are more."""
-    line = F.col("line")
-    missing = lines.filter(_nir_line(line) & _nir_missing(line)).select("file_path", "line_no", "format")
+    missing = line_facts(lines).filter("nir_missing").select("file_path", "line_no", "format")
     detailed = top_in_group(missing, detail_cap, ["file_path"], "line_no")
     bulk = missing.groupBy("file_path", "format").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > detail_cap)
     return union(
@@ -260,14 +288,13 @@ def _birth_dates(lines: DataFrame) -> DataFrame:
     """Lines of the dated formats with the start, width and text of their birth date."""
     start = by_format({name: f.ddn_start + 1 for name, f in DATED_FORMATS.items()})
     width = by_format({name: f.ddn_end - f.ddn_start for name, f in DATED_FORMATS.items()})
-    return lines.filter(F.col("format").isin(list(DATED_FORMATS))).withColumn("_start", start).withColumn("_width", width)
+    dated = line_facts(lines).filter(F.col("format").isin(list(DATED_FORMATS)))
+    return dated.select("file_path", "line_no", "format", start.alias("_start"), width.alias("_width"), F.col("ddn").alias("_ddn"), "ddn_whole")
 
 
 def check_birth_date(lines: DataFrame, stop_after=None, block=65_536) -> DataFrame:
     """Birth dates that are not ddMMyyyy, all of them; with `stop_after` a file stops at that many in a row."""
-    text = trimmed(F.substring(F.col("line"), F.col("_start"), F.col("_width")))
-    read = _birth_dates(lines).withColumn("_ddn", text).filter(F.length(F.translate("_ddn", "0", "")) > 0)
-    read = read.select("file_path", "line_no", "format", "_start", "_width", "_ddn")
+    read = _birth_dates(lines).filter(F.length(F.translate("_ddn", "0", "")) > 0).drop("ddn_whole")
     ddn = F.col("_ddn")
 
     def in_range(date):
@@ -351,18 +378,21 @@ def duplicate_lines(lines: DataFrame) -> DataFrame:
 def check_duplicates(lines: DataFrame, detail_cap=DETAIL_CAP) -> DataFrame:
     """Second and later copies of a line in its file: the first `detail_cap` one by one, then a total.
 
-    The rank filter is pushed below the shuffle, so a line repeated a billion times sends only the first
-    few rows per task; totals are counted map-side first.
+    Lines are counted by a 64-bit hash first, in each task before the shuffle: a line without a copy leaves its task as one
+    short row, once. Only lines whose hash occurs again are compared, by their full digest. The rank filter is pushed below the
+    shuffle, so a line repeated a billion times sends only the first few rows per task.
     """
-    long_lines = lines.filter(F.length("line") >= 20).select(
-        "file_path", "format", "line_no", F.unhex(F.sha2(F.col("line"), 256)).alias("digest")
-    )
+    facts = line_facts(lines).filter("length >= 20")
+    again = facts.groupBy("file_path", "hash").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    met = facts.select("file_path", "format", "line_no", "hash", "digest").join(again, ["file_path", "hash"], "left_semi").drop("hash")
+    met = cut_lineage(met)
     same_line = W.partitionBy("file_path", "digest")
-    few = long_lines.withColumn("_copy", F.row_number().over(same_line.orderBy("line_no"))).filter(
+    few = met.withColumn("_copy", F.row_number().over(same_line.orderBy("line_no"))).filter(
         F.col("_copy") <= detail_cap + 1
     ).withColumn("_first", F.min("line_no").over(same_line))
     detailed = top_in_group(few.filter("_copy > 1"), detail_cap, ["file_path"], "line_no")
-    totals = duplicate_lines(lines).groupBy("file_path", "format").agg(F.sum("copies").alias("_n")).filter(
+    copies = met.groupBy("file_path", "format", "digest").agg((F.count(F.lit(1)) - 1).alias("copies"))
+    totals = copies.groupBy("file_path", "format").agg(F.sum("copies").alias("_n")).filter(
         F.col("_n") > detail_cap
     )
     raa = F.col("format") == "RAA"
@@ -385,14 +415,11 @@ def check_file_year(lines: DataFrame, current_year, date_format="yyyyMMdd", samp
     By default birth dates are read year first; pass `ddMMyyyy` for the official order.
     """
     name_year = F.regexp_extract(base_name(F.col("file_path")), r"(?<!\d)(?:19|20)\d{2}(?!\d)", 0).try_cast("int")
-    named = lines.filter(F.col("format").isin(list(FORMAT))).withColumn("_year", name_year).filter("_year is not null")
+    named = line_facts(lines).filter(F.col("format").isin(list(FORMAT))).withColumn("_year", name_year).filter("_year is not null")
     files = named.select("file_path", "format", "_year").distinct()
     future = files.filter(F.col("_year") > current_year + 1)
-    dated = _birth_dates(named).withColumn(
-        "_ddn", trimmed(F.substring(F.col("line"), F.col("_start"), F.col("_width")))
-    ).filter(
-        F.col("_ddn").rlike(r"^\p{Nd}{8}$") & (F.length(F.translate("_ddn", "0", "")) > 0)
-        & (F.length("line") >= F.col("_start") - 1 + F.col("_width"))
+    dated = _birth_dates(named).withColumn("_year", name_year).filter(
+        F.col("_ddn").rlike(r"^\p{Nd}{8}$") & (F.length(F.translate("_ddn", "0", "")) > 0) & F.col("ddn_whole")
     )
     sample = dated if sample_lines is None else first_in_file(dated, sample_lines)
     parse = ymd if date_format == "yyyyMMdd" else dmy
@@ -417,16 +444,13 @@ def check_file_year(lines: DataFrame, current_year, date_format="yyyyMMdd", samp
 def patient_places(lines: DataFrame) -> DataFrame:
     """One row per patient id: first activity line and first line in each kind of linkage file."""
     formats = ACTIVITY_FORMATS + LINKAGE_FORMATS
-    start = by_format({name: FORMAT[name].ipp_start + 1 for name in formats})
-    width = by_format({name: FORMAT[name].ipp_end - FORMAT[name].ipp_start for name in formats})
     place = F.struct("file_path", "line_no", "format")
 
     def first_in(*names):
         return F.min(F.when(F.col("format").isin(*names), place))
 
     return (
-        lines.filter(F.col("format").isin(formats) & (F.length("line") >= start - 1 + width))
-        .select("file_path", "line_no", "format", trimmed(F.substring(F.col("line"), start, width)).alias("ipp"))
+        line_facts(lines).filter(F.col("format").isin(formats)).select("file_path", "line_no", "format", "ipp")
         .filter(F.length(F.translate("ipp", "0", "")) > 0)
         .groupBy("ipp")
         .agg(first_in(*ACTIVITY_FORMATS).alias("activity"), first_in("VID-HOSP").alias("hosp"),
@@ -495,24 +519,28 @@ def union(*parts: DataFrame) -> DataFrame:
 
 
 def run_checks(lines: DataFrame, current_year, row_rules=None, positional=None, whole_line=None, cross=None,
-               use_counters=False) -> DataFrame:
-    """Length gate, then the checks, sorted by severity, file and line.
+               use_counters=False, ordered=True) -> DataFrame:
+    """Length gate, then the checks, sorted by severity, file and line (not sorted without `ordered`).
 
-    Files refused by the gate skip every check that reads a position and every cross-file check. All
-    line-level rules share one pass. Give your own lists to run other rules (`line -> finding or null`) or
-    checks (`lines -> findings`).
+    The lines are read once: what the checks need of each is written as one narrow row, and the gate, the line-level rules
+    and every check of the library aggregate from those. Files refused by the gate skip every check that reads a position and
+    every cross-file check. Give your own lists to run other rules (`line -> finding or null`) or checks (`lines -> findings`);
+    checks of your own get the whole lines.
     """
     row_rules = ROW_RULES if row_rules is None else row_rules
-    if positional is None:
-        positional = [check_nir_missing, check_birth_date, lambda trusted: check_file_year(trusted, current_year)]
-    whole_line = [check_duplicates] if whole_line is None else whole_line
-    cross = [check_linkage] if cross is None else cross
-    verdict = cut_lineage(length_verdict(lines, use_counters))
+    facts = cut_lineage(line_facts(lines, use_counters, row_rules))
+    verdict = cut_lineage(length_verdict(facts))
     refused = verdict.filter(~F.col("accepted")).select("file_path")
-    trusted = spread_join(lines, refused, ["file_path"], F.col("line_no"), how="left_anti")
-    parts = [gate_findings(verdict), row_findings(trusted, row_rules)]
-    parts += [check(trusted) for check in positional + cross] + [check(lines) for check in whole_line]
-    return union(*parts).orderBy(F.desc("severity"), F.lower("file_path"), "line_no", "code")
+    trusted = lambda rows: spread_join(rows, refused, ["file_path"], F.col("line_no"), how="left_anti")
+    parts = [gate_findings(verdict), row_findings(trusted(facts))]
+    if positional is None:
+        parts += [check_nir_missing(trusted(facts)), check_birth_date(trusted(facts)), check_file_year(trusted(facts), current_year)]
+    else:
+        parts += [check(trusted(lines)) for check in positional]
+    parts += [check_linkage(trusted(facts))] if cross is None else [check(trusted(lines)) for check in cross]
+    parts += [check_duplicates(facts)] if whole_line is None else [check(lines) for check in whole_line]
+    found = union(*parts)
+    return found.orderBy(F.desc("severity"), F.lower("file_path"), "line_no", "code") if ordered else found
 
 
 def summarize(found: DataFrame) -> DataFrame:
