@@ -258,14 +258,34 @@ def _cells(changes: DataFrame, scope, spec) -> DataFrame:
     return changes.select(*scope, cells)
 
 
-def transitions(changes: DataFrame, spec, scope=()) -> DataFrame:
-    """Per (scope, field, from, to): cases seen and lines with the same value left as it was."""
+def _some_cells(changes: DataFrame, scope, spec, moved) -> DataFrame:
+    """The cells that moved, or those that did not; the others are dropped inside the row."""
+    names = F.array(*[F.lit(f.name) for f in learnable(spec)])
+    cells = F.arrays_zip(names.alias("field"), F.col("b").alias("from_value"), F.col("a").alias("to_value"))
+    same = lambda c: c["from_value"] == c["to_value"]
+    return changes.select(*scope, F.inline(F.filter(cells, (lambda c: ~same(c)) if moved else same)))
+
+
+def count_transitions(changes: DataFrame, spec):
+    """(moved, kept) per pair: cases of every (field, from, to), and unchanged cells of every (field, from) that moved in any pair.
+
+    Moved cells are few and are counted first; of the unchanged ones only those with a value that moved somewhere are kept and
+    counted. The counts of a whole format are sums of these.
+    """
+    scope = [c for c in ("pair_id",) if c in changes.columns]
+    moved = cut_lineage(_some_cells(changes, scope, spec, True).groupBy(*scope, "field", "from_value", "to_value").agg(
+        F.count(F.lit(1)).alias("support")))
+    asked = moved.select("field", "from_value").distinct()
+    kept = _some_cells(changes, scope, spec, False).drop("to_value").join(asked, ["field", "from_value"], "left_semi")
+    return moved, cut_lineage(kept.groupBy(*scope, "field", "from_value").agg(F.count(F.lit(1)).alias("kept")))
+
+
+def transitions(changes: DataFrame, spec, scope=(), counts=None) -> DataFrame:
+    """Per (scope, field, from, to): cases seen and lines with the same value left as it was; `counts` when already made."""
     scope = list(scope)
-    counted = _cells(changes, scope, spec).groupBy(*scope, "field", "from_value", "to_value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    moved = counted.filter("from_value <> to_value").withColumnRenamed("n", "support")
-    kept = counted.filter("from_value = to_value").select(*scope, "field", "from_value", F.col("n").alias("kept"))
+    moved, kept = counts or count_transitions(changes, spec)
+    moved = moved.groupBy(*scope, "field", "from_value", "to_value").agg(F.sum("support").alias("support"))
+    kept = kept.groupBy(*scope, "field", "from_value").agg(F.sum("kept").alias("kept"))
     return moved.join(kept, [*scope, "field", "from_value"], "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
 
 
@@ -324,8 +344,8 @@ def _as_rules(found: DataFrame, spec, seen) -> DataFrame:
     )
 
 
-def _induce(changes, spec, scope, seen) -> DataFrame:
-    moved = cut_lineage(transitions(changes, spec, scope).filter(f"support >= {MIN_CASES}"))
+def _induce(changes, spec, scope, seen, counts=None) -> DataFrame:
+    moved = cut_lineage(transitions(changes, spec, scope, counts).filter(f"support >= {MIN_CASES}"))
     return _as_rules(mine_rules(changes, spec, scope, moved), spec, seen).unionByName(
         _as_rules(mine_conditional_rules(changes, spec, scope, moved), spec, seen)
     )
@@ -338,11 +358,12 @@ def _same_rule(left: DataFrame, right: DataFrame, how):
 
 def mine_batch(changes: DataFrame, spec, seen) -> DataFrame:
     """Rules pair by pair, cases added up, plus those that only show over all pairs of the format."""
-    per_pair = _induce(changes, spec, ["pair_id"], seen).groupBy(*RULE_KEY, "status", "first_seen", "last_seen").agg(
+    counts = count_transitions(changes, spec)
+    per_pair = _induce(changes, spec, ["pair_id"], seen, counts).groupBy(*RULE_KEY, "status", "first_seen", "last_seen").agg(
         F.sum("support").alias("support"), F.sum("contradictions").alias("contradictions")
     )
     per_pair = cut_lineage(per_pair.select(*_induce_columns()))
-    overall = _induce(changes, spec, [], seen).select(*_induce_columns())
+    overall = _induce(changes, spec, [], seen, counts).select(*_induce_columns())
     return per_pair.unionByName(_same_rule(overall, per_pair, "left_anti"))
 
 
