@@ -36,7 +36,7 @@ DROP = 12
 CHANCE = 3  # fewer words past the end of a passage that one more document has as well are chance, as for `grow`
 LAST = (1 << 63) - 1  # the place of a null id
 AT = 28  # bits of a place that count words; documents of more words are refused
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 1_500_000
 SPLIT = 1 << 16  # matches of a pair of documents are chained this many words at a time
 PASSAGE = "doc long, other long, start_word long, end_word long, ref_start_word long, ref_end_word long, matched_words long"
 
@@ -161,10 +161,12 @@ def seed_rows(links):
         if links:
             again = np.flatnonzero(~new)
             head = begins[np.cumsum(new) - 1][again]
-            far = head != again - 1
-            later = [at[again], at[again[far]], asked_at[inside]]
-            earlier = [at[again - 1], at[head[far]], answer[inside]]
-            which = [held[again], held[again[far]], asked[inside]]
+            spaced = held[again] & np.uint64(1) == 0  # seeds that every run has meet the first document alone
+            near, far = again[spaced], head != again - 1
+            head, again = head[far | ~spaced], again[far | ~spaced]
+            later = [at[near], at[again], asked_at[inside]]
+            earlier = [at[near - 1], at[head], answer[inside]]
+            which = [held[near], held[again], asked[inside]]
             columns = np.concatenate(later), np.concatenate(earlier), (np.concatenate(which) & np.uint64(1)).astype(bool)
         else:
             lasts = at[np.append(begins[1:], len(at)) - 1]
@@ -202,7 +204,7 @@ def linked_places(words):
     so_far = Window.partitionBy("seed").orderBy("at")
     met = ends.withColumn("head", F.first("at").over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     met = met.withColumn("previous", F.last(F.when(F.col("span") >= 0, F.col("at") + F.col("span")), ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
-    met = met.filter("head <> at").withColumn("near", F.when(F.col("span") >= 0, F.col("previous")))
+    met = met.filter("head <> at").withColumn("near", F.when(F.expr("span >= 0 AND seed & 1 = 0"), F.col("previous")))
     apart = lambda a, b: F.shiftright(a, AT) != F.shiftright(b, AT)
     others = F.array_compact(F.array(F.when(apart("head", "at"), F.col("head")), F.when(apart("near", "at") & apart("near", "head"), F.col("near"))))
     across = met.select(F.col("at").alias("later"), F.explode(others).alias("earlier"), F.expr("seed & 1 = 1").alias("whole"))
@@ -217,6 +219,9 @@ def chain_matches(x, y, max_gap):
     """Chains of matches (x, y), each as positions into the arrays: best first, no match in two chains."""
     order = np.lexsort((y, x))
     xs, ys = x[order].tolist(), y[order].tolist()
+    if (y - x == y[0] - x[0]).all():
+        yield from one_shift(order, xs, max_gap)
+        return
     ranks = (np.unique(y, return_inverse=True)[1][order] + 1).tolist()
     size = max(ranks) + 1
     tree, holder = [0.0] * size, [-1] * size
@@ -254,6 +259,29 @@ def chain_matches(x, y, max_gap):
             yield order[chain[::-1]]
 
 
+def one_shift(order, xs, max_gap):
+    """The chains of `chain_matches` where all matches have one shift: a match then follows the one before it or none.
+
+    As there, a chain ends at its best score; what follows with less is a chain of its own.
+    """
+    scores, begins = [], []
+    for n, x in enumerate(xs):
+        left = scores[-1] - 2 * GAP_COST * (x - xs[n - 1]) if n else 0.0
+        if left <= 0:
+            begins.append(n)
+        scores.append(WEIGHT + max(left, 0.0))
+    done = []
+    for begin, end in zip(begins, [*begins[1:], len(xs)]):
+        while begin < end:
+            last = max(range(begin, end), key=lambda n: (scores[n], -n))
+            done.append((-scores[last], begin, last + 1))
+            begin = last + 1
+    for _, begin, end in sorted(done):
+        cut = [begin, *[i for i in range(begin + 1, end) if xs[i] - xs[i - 1] > max_gap], end]
+        for a, b in zip(cut, cut[1:]):
+            yield order[a:b]
+
+
 def exact_spans(x, y):
     """Spans (start, end) in one document that the matches of a chain cover without a shift and without a word between them."""
     if len(x) == 0:
@@ -299,16 +327,24 @@ def grow(a, b):
     while i < len(a) and j < len(b):
         n = min(len(a) - i, len(b) - j)
         same = a[i:i + n] == b[j:j + n]
-        score = np.cumsum(np.where(same, 1, -2))
-        fallen = np.flatnonzero(np.maximum.accumulate(score) - score > DROP)
-        end = int(score[:fallen[0]].argmax()) + 1 if len(fallen) else int(score.argmax()) + 1
-        if score[end - 1] > 0:
-            at = np.flatnonzero(same[:end])
-            for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
-                matched.append((i + int(run[0]), j + int(run[0]), len(run)))
-            i, j = i + end, j + end
+        differ = np.flatnonzero(~same)
+        if len(differ) == 0:
+            matched.append((i, j, n))
+            break
+        if len(differ) < n:
+            score = np.where(same, 1, -2).cumsum()
+            fallen = (np.maximum.accumulate(score) - score > DROP).argmax()
+            end = int((score[:fallen] if fallen else score).argmax()) + 1
+            if score[end - 1] > 0:
+                begin = 0
+                for stop in [*differ[differ < end].tolist(), end]:
+                    if stop > begin:
+                        matched.append((i + begin, j + begin, stop - begin))
+                    begin = stop + 1
+                i, j = i + end, j + end
+        mine, others = a[i:i + 6].tolist(), b[j:j + 6].tolist()
         for di, dj in ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2), (2, 0), (0, 2), (2, 2), (3, 3), (3, 0), (0, 3)):
-            if i + di + 3 <= len(a) and j + dj + 3 <= len(b) and (a[i + di:i + di + 3] == b[j + dj:j + dj + 3]).all():
+            if di + 3 <= len(mine) and dj + 3 <= len(others) and mine[di:di + 3] == others[dj:dj + 3]:
                 i, j = i + di, j + dj
                 break
         else:
@@ -318,23 +354,30 @@ def grow(a, b):
 
 def aligned(a, b, xs, ys):
     """Matched positions (in a, in b) of two word arrays along a chain of seeds at xs and ys, in order."""
+    shift = ys - xs
+    turns = np.flatnonzero(shift[1:] != shift[:-1]) + 1
+    begins, ends = [0, *turns.tolist()], [*turns.tolist(), len(xs)]
     pairs = []
-    back = grow(a[:xs[0]][::-1], b[:ys[0]][::-1])
-    for i, j, run in reversed(back):
-        pairs.append((np.arange(xs[0] - i - run, xs[0] - i), np.arange(ys[0] - j - run, ys[0] - j)))
-    for x, y, nx, ny in zip(xs, ys, [*xs[1:], None], [*ys[1:], None]):
-        if nx is None:
-            pairs += [(np.arange(x + i, x + i + run), np.arange(y + j, y + j + run)) for i, j, run in grow(a[x:], b[y:])]
-        elif nx - x == ny - y:
-            same = np.flatnonzero(a[x:nx] == b[y:ny])
-            pairs.append((same + x, same + y))
+    for i, j, run in reversed(grow(a[:xs[0]][::-1], b[:ys[0]][::-1])):
+        pairs.append((xs[0] - i - run, ys[0] - j - run, run))
+    for number, (begin, end) in enumerate(zip(begins, ends)):
+        x, y, last = int(xs[begin]), int(ys[begin]), int(xs[end - 1])
+        if last > x:  # seeds of one shift: every word between them is compared with its own
+            same = np.flatnonzero(a[x:last] == b[y:y + last - x])
+            pairs += [(x + int(run[0]), y + int(run[0]), len(run)) for run in np.split(same, np.flatnonzero(np.diff(same) > 1) + 1) if len(run)]
+        x, y = last, y + last - x
+        if number == len(begins) - 1:
+            pairs += [(x + i, y + j, run) for i, j, run in grow(a[x:], b[y:])]
         else:  # words are left out on a side: from the left as far as it goes, the rest from the right
+            nx, ny = int(xs[end]), int(ys[end])
             runs = grow(a[x:nx], b[y:ny])
             di, dj = (runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]) if runs else (0, 0)
-            pairs += [(np.arange(x + i, x + i + run), np.arange(y + j, y + j + run)) for i, j, run in runs]
+            pairs += [(x + i, y + j, run) for i, j, run in runs]
             rest = grow(a[x + di:nx][::-1], b[y + dj:ny][::-1])
-            pairs += [(np.arange(nx - i - run, nx - i), np.arange(ny - j - run, ny - j)) for i, j, run in reversed(rest)]
-    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+            pairs += [(nx - i - run, ny - j - run, run) for i, j, run in reversed(rest)]
+    at, to, run = np.array(pairs).T
+    inside = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
+    return np.repeat(at, run) + inside, np.repeat(to, run) + inside
 
 
 def align_chains(min_words, identity, break_words=10):
@@ -352,7 +395,9 @@ def align_chains(min_words, identity, break_words=10):
             i, j = rows[0], rows[1]
             a, b = np.frombuffer(words[i], dtype="<u2"), np.frombuffer(words[j], dtype="<u2")
             xs, ys = np.frombuffer(xs_all[i], dtype="<i4") - low[i], np.frombuffer(ys_all[i], dtype="<i4") - low[j]
-            mx, my = aligned(a, b, xs.tolist(), ys.tolist())
+            mx, my = aligned(a, b, xs, ys)
+            if max(mx[-1] - mx[0], my[-1] - my[0]) + 1 < min_words:
+                continue
             cut = np.flatnonzero((np.diff(mx) > break_words) | (np.diff(my) > break_words)) + 1
             for px, py in zip(np.split(mx, cut), np.split(my, cut)):
                 length = max(px[-1] - px[0], py[-1] - py[0]) + 1
