@@ -48,42 +48,45 @@ LENGTH_VARIANTS = [("RPS", 142), ("RPS", 148), ("RAA", 86), ("RAA", 90)]
 
 # File-name patterns on the lower-cased base name; the first match decides.
 NAME_PATTERNS = [
-    ("hosp[-_.]?pmsi", "HOSP-PMSI"),
-    ("hosp[-_.]?fact", "HOSP-FACT"),
-    ("vid[-_.]?ipp|(^|[-_ ])vipp|(^|[-_ ])ipp_[0-9]", "VID-IPP"),
-    ("(^|[-_ ])vh[-_.]", "VID-HOSP"),
-    ("fc[-_.]?ic|(^|[-_ ])iso_[0-9]|fichcomp[-_ ]?iso", "FICHCOMP-ISO"),
-    ("fc[-_.]?htp|(^|[-_ ])tp_[0-9]|fichcomp[-_ ]?(temps|tp)", "FICHCOMP-TP"),
-    ("rpsa", "RPSA"),
-    ("r3a", "R3A"),
-    ("fichsup[-_.]?psy|fichsup|fic[-_]?sup", "FICHSUP-PSY"),
-    ("ficum[-_.]?psy|ficum", "FICUM-PSY"),
-    ("rsf[-_.]?ace[-_.]?psy", "RSF-ACE-PSY"),
-    ("fichcomp[-_.]?smr|fichcomp[-_.]?ssr", "FICHCOMP-SMR"),
-    ("ssrha[-_.]?had", "SSRHA-HAD"),
-    ("ssrha", "SSRHA"),
-    ("rapss[-_.]?had", "RAPSS-HAD"),
-    ("rapss", "RAPSS"),
-    ("rhs", "RHS"),
-    ("fichcomp[-_.]?had", "FICHCOMP-HAD"),
-    ("rpss", "RPSS"),
-    ("vid[-_.]?hosp|vidhosp|[.]vid", "VID-HOSP"),
-    ("ano[-_.]?hosp|anohosp", "ANO-HOSP"),
-    ("rsf[-_.]?c|rsfc", "RSFC"),
-    ("rsf[-_.]?b|rsfb", "RSFB"),
-    ("rsf[-_.]?a|rsfa|rsf[-_.]?ace", "RSFA"),
-    ("fichcomp|fic[-_]?comp|[.]com", "FICHCOMP"),
-    ("rss|rum", "RSS"),
-    ("rps", "RPS"),
-    ("raa", "RAA"),
+    (r"hosp[\-_.]?pmsi", "HOSP-PMSI"),
+    (r"hosp[\-_.]?fact", "HOSP-FACT"),
+    (r"vid[\-_.]?ipp|(^|[\-_ ])vipp|(^|[\-_ ])ipp_\d", "VID-IPP"),
+    (r"(^|[\-_ ])vh[\-_.]", "VID-HOSP"),
+    (r"fc[\-_.]?ic|(^|[\-_ ])iso_\d|fichcomp[\-_ ]?iso", "FICHCOMP-ISO"),
+    (r"fc[\-_.]?htp|(^|[\-_ ])tp_\d|fichcomp[\-_ ]?(temps|tp)", "FICHCOMP-TP"),
+    (r"rpsa", "RPSA"),
+    (r"r3a", "R3A"),
+    (r"fichsup[\-_.]?psy|fichsup|fic[\-_]?sup", "FICHSUP-PSY"),
+    (r"ficum[\-_.]?psy|ficum", "FICUM-PSY"),
+    (r"rsf[\-_.]?ace[\-_.]?psy", "RSF-ACE-PSY"),
+    (r"fichcomp[\-_.]?smr|fichcomp[\-_.]?ssr", "FICHCOMP-SMR"),
+    (r"ssrha[\-_.]?had", "SSRHA-HAD"),
+    (r"ssrha", "SSRHA"),
+    (r"rapss[\-_.]?had", "RAPSS-HAD"),
+    (r"rapss", "RAPSS"),
+    (r"rhs", "RHS"),
+    (r"fichcomp[\-_.]?had", "FICHCOMP-HAD"),
+    (r"rpss", "RPSS"),
+    (r"vid[\-_.]?hosp|vidhosp|\.vid", "VID-HOSP"),
+    (r"ano[\-_.]?hosp|anohosp", "ANO-HOSP"),
+    (r"rsf[\-_.]?c|rsfc", "RSFC"),
+    (r"rsf[\-_.]?b|rsfb", "RSFB"),
+    (r"rsf[\-_.]?a|rsfa|rsf[\-_.]?ace", "RSFA"),
+    (r"fichcomp|fic[\-_]?comp|\.com", "FICHCOMP"),
+    (r"rss|rum", "RSS"),
+    (r"rps", "RPS"),
+    (r"raa", "RAA"),
 ]
 
 # Extensions that are never fixed-width files.
-SKIPPED_EXTENSIONS = (
-    "xls xlsx xlsm zip 7z rar gz pdf json log docx doc odt html htm xml png jpg jpeg gif bmp exe dll msi lnk tmp bak"
-).split()
+SKIPPED_EXTENSIONS = [
+    "xls", "xlsx", "xlsm", "zip", "7z", "rar", "gz", "pdf", "json", "log", "docx", "doc", "odt", "html", "htm", "xml",
+    "png", "jpg", "jpeg", "gif", "bmp", "exe", "dll", "msi", "lnk", "tmp", "bak",
+]
 # The shorter list used when pseudonymising.
-SKIPPED_WHEN_PSEUDONYMISING = "xls xlsx xlsm zip pdf json csv log docx doc html png jpg".split()
+SKIPPED_WHEN_PSEUDONYMISING = [
+    "xls", "xlsx", "xlsm", "zip", "pdf", "json", "csv", "log", "docx", "doc", "html", "png", "jpg",
+]
 
 # Repeated zones (name, counter start 1-based, counter length, block length), in line order.
 Zone = namedtuple("Zone", "name count_start count_length block_length")

@@ -3,6 +3,7 @@
 import json
 import unicodedata
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -145,8 +146,11 @@ def train(examples: DataFrame, **options):
         raise ValueError("at least two corrected months are needed: one to learn, one to check")
     holdout = months[-1]
     learned = classifier(**options).fit(weighted(examples.filter(F.col("month_no") < holdout)))
-    scored = with_probability(learned, examples.filter(F.col("month_no") == holdout))
+    scored = cut_lineage(with_probability(learned, examples.filter(F.col("month_no") == holdout)))
     card = evaluate(scored)
+    # Any threshold down to the next lower score judges the holdout alike; the middle suits the final fit, whose scores differ a little.
+    below = scored.filter(F.col("probability") < card["threshold"]).agg(F.max("probability")).first()[0]
+    card["threshold"] = card["threshold"] if below is None else (card["threshold"] + below) / 2
     card.update(holdout_month=holdout, training_months=months[:-1])
     return classifier(**options).fit(weighted(examples)), card
 
@@ -220,20 +224,32 @@ def evaluate(scored: DataFrame) -> dict:
     }
 
 
+CHAMPIONS = "number long, version string, card string"
+
+
+def champions(spark, directory) -> DataFrame:
+    """Every card promoted so far; the one with the highest number is current. Empty where there is no model yet."""
+    try:
+        return spark.read.schema(CHAMPIONS).parquet(f"{directory}/champions").select("number", "version", "card")
+    except AnalysisException as missing:
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], CHAMPIONS)
+
+
 def load_model(spark, directory):
     """(model, card) of the champion, or (None, None)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(directory + "/card")
-    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(path):
+    current = champions(spark, directory).orderBy(F.desc("number")).first()
+    if current is None:
         return None, None
-    card = json.loads(spark.read.text(directory + "/card").first()["value"])
-    return PipelineModel.load(directory + "/model-" + card["version"]), card
+    return PipelineModel.load(f"{directory}/model-{current['version']}"), json.loads(current["card"])
 
 
 def promote_if_better(spark, model, card, holdout: DataFrame, directory, version, tolerance=0.01):
     """(promoted, champion AUPRC). The challenger stays out when it is worse by more than the tolerance.
 
-    A champion judged on the same month keeps its own measure; otherwise it is scored on the new holdout.
+    A promotion writes the model under its version and then adds one row to the cards: the row is there or it is not, so whoever
+    reads meanwhile has the old champion or the new one, and no card is ever overwritten. A champion judged on the same month keeps its own measure; otherwise it is scored on the new holdout.
     """
     champion, known = load_model(spark, directory)
     champion_auprc = None
@@ -245,9 +261,9 @@ def promote_if_better(spark, model, card, holdout: DataFrame, directory, version
         if card["auprc"] < champion_auprc - tolerance:
             return False, champion_auprc
     model.write().overwrite().save(f"{directory}/model-{version}")
-    text = spark.createDataFrame([(json.dumps({**card, "version": version}),)], "value string").coalesce(1)
-    text.write.mode("overwrite").text(f"{directory}/history/{version}")
-    text.write.mode("overwrite").text(f"{directory}/card")
+    number = champions(spark, directory).agg(F.coalesce(F.max("number"), F.lit(0))).first()[0] + 1
+    row = spark.createDataFrame([(number, version, json.dumps({**card, "version": version}))], CHAMPIONS)
+    row.coalesce(1).write.mode("append").parquet(f"{directory}/champions")
     return True, champion_auprc
 
 
@@ -259,12 +275,19 @@ def score(model, features: DataFrame, threshold) -> DataFrame:
 
 
 def review_queue(flagged: DataFrame, kept=None, shown=20) -> DataFrame:
-    """Per file the suspect lines in order, or the `kept` most suspect ones, with a mark on the first ones to show."""
-    if kept is None:
-        along = W.partitionBy("file_path").orderBy(F.desc("probability"), "line_no")
-        ranked = flagged.withColumn("rank", F.row_number().over(along))
+    """Per file the suspect lines in order, or the `kept` most suspect ones, with a mark on the first ones to show.
+
+    All lines are ranked by parts of the order that are cut where the probabilities are, so a file with most of the lines spans
+    several tasks; a part adds the number of lines of its file in the parts before.
+    """
+    if kept is not None:
+        ranked = top_in_group(flagged, kept, ["file_path"], [F.desc("probability"), "line_no"], rank="rank", spread_on=["line_no"])
         return ranked.withColumn("shown", F.col("rank") <= shown)
-    ranked = top_in_group(
-        flagged, kept, ["file_path"], [F.desc("probability"), "line_no"], rank="rank", spread_on=["line_no"]
-    )
-    return ranked.withColumn("shown", F.col("rank") <= shown)
+    order = [F.col("file_path"), F.desc("probability"), F.col("line_no")]
+    parts = cut_lineage(flagged.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("file_path", "_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per file and part
+    before = W.partitionBy("file_path").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select("file_path", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = W.partitionBy("file_path", "_part").orderBy(F.desc("probability"), "line_no")
+    ranked = parts.join(sizes, ["file_path", "_part"]).withColumn("rank", (F.row_number().over(inside) + F.col("_before")).cast("int"))
+    return ranked.drop("_part", "_before").withColumn("shown", F.col("rank") <= shown)

@@ -61,7 +61,7 @@ def override_pivot(index: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def collisions(obs: DataFrame, history: DataFrame, n_sources=5) -> DataFrame:
-    """Patients with several birth dates: one row per date, with its first source files."""
+    """Patients with several birth dates: one row per date, with the files of its first `n_sources` lines; `occurrences` counts all lines."""
     index = patient_index(history).filter("n_ddn > 1")
     concerned = spread_join(
         obs, index.select("ipp"), ["ipp"], F.struct("file_path", "line_no"), how="left_semi"

@@ -1,6 +1,7 @@
 """Queries on correction rules and on the deletion model."""
 
 import datetime
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ligneo.plans.encode import encoded, encoded_sql, read, staged
 from ligneo.plans.records import sql_dmy, sql_field
 from ligneo.plans.registry import query
 from ligneo.plans.specs import demo_specs
-from ligneo.session import cut_lineage
+from ligneo.session import cut_lineage, shared_folder
 
 RAA = f"({encoded_sql('raa')})"
 SEEN = "2026-03-01"
@@ -455,9 +456,48 @@ def review_queue_cut(spark, sf_dir):
     return deletion.review_queue(flagged, kept=50)
 
 
-# Trains on the first two thirds of the month, judges on the last, scores every line. Quality is tested, not the scores.
-@query("score_deletions")
+# Trains on the first two thirds of the month, judges on the last, and scores every line. What must hold of any good model is compared;
+# single scores have no counterpart in SQL.
+LABELS = f"""{ACTS}, r AS (SELECT *, row_number() OVER (PARTITION BY file_path, ipp, date, nature ORDER BY line_no) AS rn FROM act),
+  k AS (SELECT file_path, ipp, date, nature, count(*) AS n FROM r WHERE rn = 1 OR line_no % 3 = 0 GROUP BY ALL),
+  lab AS (SELECT r.file_path, line_no, CAST(substr(date, 1, 2) AS INT) // 11 AS month_no, rn > n AS supprimee FROM r JOIN k USING (file_path, ipp, date, nature)),
+  held AS (SELECT * FROM lab WHERE month_no = (SELECT max(month_no) FROM lab))"""
+
+
+def model_of(spark, sf_dir):
+    examples = cut_lineage(labelled(spark, sf_dir).withColumn("month_no", F.expr("CAST(substr(date, 1, 2) AS INT) div 11")))
+    return (examples, *deletion.train(examples, rounds=8, step=0.3))
+
+
+@query("score_deletions", f"""
+  WITH {LABELS}
+  SELECT (SELECT max(month_no) FROM held) AS holdout_month, (SELECT count(*) FROM held) AS holdout_lines,
+    (SELECT count(*) FROM held WHERE supprimee) AS holdout_deletions, true AS good_auprc, true AS all_above_threshold, 0 AS unknown_lines,
+    count(*) AS scored_lines, true AS mostly_deletions, true AS most_deletions FROM lab""")
 def score_deletions(spark, sf_dir):
-    examples = labelled(spark, sf_dir).withColumn("month_no", F.expr("CAST(substr(date, 1, 2) AS INT) div 11"))
-    model, _ = deletion.train(examples, rounds=8, step=0.3)
-    return deletion.score(model, examples, 0.5)
+    examples, model, card = model_of(spark, sf_dir)
+    flagged = cut_lineage(deletion.score(model, examples, card["threshold"]))
+    truth = examples.select("file_path", "line_no", "supprimee")
+    found = flagged.join(truth, ["file_path", "line_no"], "left").agg(
+        F.coalesce(F.min("probability") >= card["threshold"], F.lit(False)).alias("all_above_threshold"), F.count(F.lit(1)).alias("_flagged"),
+        F.count(F.when(F.col("supprimee").isNull(), 1)).alias("unknown_lines"), F.count(F.when(F.col("supprimee"), 1)).alias("_right"))
+    totals = examples.agg(F.count(F.lit(1)).alias("scored_lines"), F.count(F.when(F.col("supprimee"), 1)).alias("_deleted"))
+    return found.crossJoin(totals).select(  # one row each
+        F.lit(card["holdout_month"]).alias("holdout_month"), F.lit(card["holdout_lines"]).alias("holdout_lines"),
+        F.lit(card["holdout_deletions"]).alias("holdout_deletions"), F.lit(card["auprc"] >= 0.9).alias("good_auprc"), "all_above_threshold", "unknown_lines",
+        "scored_lines", (F.col("_right") >= 0.8 * F.col("_flagged")).alias("mostly_deletions"), (F.col("_right") >= 0.8 * F.col("_deleted")).alias("most_deletions"))
+
+
+# The first model is taken, a worse one is not, one as good replaces it; what is loaded then scores as the one that was stored.
+@query("promote_if_better", f"""
+  WITH {LABELS}
+  SELECT v.*, (SELECT count(*) FROM held) AS holdout_lines FROM (VALUES (1, 'v1', true, 'v1'), (2, 'v2', false, 'v1'), (3, 'v3', true, 'v3')) AS v(step, version, promoted, current)""")
+def promote_if_better(spark, sf_dir):
+    examples, model, card = model_of(spark, sf_dir)
+    holdout = examples.filter(F.col("month_no") == card["holdout_month"])
+    directory, rows = f"{shared_folder(spark)}/model-{uuid.uuid4().hex}", []
+    for step, (version, auprc) in enumerate((("v1", card["auprc"]), ("v2", card["auprc"] - 0.05), ("v3", card["auprc"] - 0.005)), 1):
+        promoted, _ = deletion.promote_if_better(spark, model, {**card, "auprc": auprc}, holdout, directory, version)
+        _, current = deletion.load_model(spark, directory)
+        rows.append((step, version, promoted, current["version"], current["holdout_lines"]))
+    return spark.createDataFrame(rows, "step int, version string, promoted boolean, current string, holdout_lines long")
