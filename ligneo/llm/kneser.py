@@ -138,7 +138,7 @@ def write_blocks(docs, folder, block_chars):
     name = f"llm_blocks_{uuid.uuid4().hex}"
     writer = rows.write.format("parquet").option("path", f"{folder}/blocks").option("compression", "uncompressed")
     writer.bucketBy(shuffle_width(spark), "block").saveAsTable(name)
-    return spark.table(name)
+    return spark.table(name), name
 
 
 def block_texts(texts, chars):
@@ -266,9 +266,10 @@ def judge_documents(docs, trusted, block_chars=10_000_000, least_rows=20, floor=
     is kept if its perplexity lies within the bounds of its language (null is one of its own) and length. Null and empty texts
     have no perplexity and are not kept. Without a trusted text there is no model and all texts with characters are kept.
     Ids that repeat are judged each by its own text. An empty table gives no rows; other columns are not read.
+    The model knows characters by their lowest 15 bits: those from U+8000 on share counts with those 32,768 before them.
     """
     folder = folder or shared_folder(docs.sparkSession)
-    blocks = write_blocks(docs, folder, block_chars)
+    blocks, name = write_blocks(docs, folder, block_chars)
     listed = blocks.select("block", F.posexplode(F.arrays_zip("doc_ids", "held_out")).alias("place", "one"))
     good = trusted.select(F.col("doc_id").cast("long").alias("id")).filter("id IS NOT NULL").distinct()
     places = listed.filter("NOT one.held_out").join(good, F.col("one.doc_ids") == F.col("id"), "left_semi")
@@ -280,7 +281,8 @@ def judge_documents(docs, trusted, block_chars=10_000_000, least_rows=20, floor=
     logs = stored(log_probabilities(counts, asked.select("gram").distinct(), folder), folder, "logs")
     answers = asked.join(logs, "gram").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("gram", "log_p"))).alias("logs"))
     scores = stored(score_blocks(blocks, answers).withColumn("stratum", stratum(F.col("chars"))), folder, "scores")
-    trained = not stored(counts.limit(1), folder, "any").isEmpty()
+    trained = not counted.filter("exists(counts, n -> n > 0)").limit(1).isEmpty()
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # the scores are written; its files lie in the folder of the run
     held_out = scores.filter("held_out AND score IS NOT NULL").join(good, F.col("doc_id") == F.col("id"), "left_semi")
     own, by_length, overall = (stored(b, folder, f"bounds{i}") for i, b in enumerate(bounds(held_out, least_rows, floor)))
     judged = scores.join(own.select(F.col("lang").alias("lang0"), F.col("stratum").alias("stratum0"), F.col("low").alias("low0"), F.col("high").alias("high0")),

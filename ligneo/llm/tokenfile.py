@@ -103,14 +103,23 @@ class Segment:
         return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
 
 
-def write_tokens(docs, folder, tokenizer=None, end_id=0, vocabulary=50_257, segment_ids=4_000_000):
+def id_width(tokenizer, end_id=0):
+    """Bytes that hold every id of a tokenizer file, added tokens included, and the end id."""
+    from tokenizers import Tokenizer
+
+    ids = Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()
+    return 2 if max(end_id, *ids) < 1 << 16 else 4
+
+
+def write_tokens(docs, folder, tokenizer=None, end_id=0, segment_ids=4_000_000):
     """Encode every document, append `end_id`, write segments to `folder`/ids in ascending id order.
 
     Null texts count as empty, null ids come first, repeated ids are ordered by a hash of their text. Returns one row per
     segment (part, number, documents, ids); its running sum of ids gives the place of a segment in the whole array.
-    Other columns are not read. An empty table writes no segment.
+    Other columns are not read. An empty table writes no segment. Ids take two bytes each if all ids of the tokenizer fit, else four.
     """
-    tokenizer, width = tokenizer or default_tokenizer(), 2 if vocabulary <= 65_536 else 4
+    tokenizer = tokenizer or default_tokenizer()
+    width = id_width(tokenizer, end_id)
 
     def write(batches):
         part, number, arrays, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
@@ -133,7 +142,8 @@ def write_tokens(docs, folder, tokenizer=None, end_id=0, vocabulary=50_257, segm
             yield flush()
 
     ordered = (
-        docs.select("doc_id", "text").repartitionByRange(shuffle_width(docs.sparkSession), "doc_id")
+        docs.select("doc_id", "text")  # rows of one id, or of none, are dealt by their text as well
+        .repartitionByRange(shuffle_width(docs.sparkSession), F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     )
     return stored(ordered.mapInArrow(write, "part long, number long, documents long, ids long"), folder, "manifest")

@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -134,3 +135,39 @@ def test_bundle_gives_single_records_and_plain_frames():
         bundle.record(record_id(9, "d"))
     plain = zstandard.ZstdDecompressor().stream_reader(content, read_across_frames=True).read()
     assert [p for _, p in parse_records(plain)] == payloads
+
+
+def test_ids_beyond_two_bytes_are_kept(documents, tmp_path):
+    """A vocabulary of 70,000 and an added token behind it: four bytes an id, read back whole."""
+    import json
+
+    from tokenizers import Tokenizer
+
+    from ligneo.llm.tokenfile import id_width
+    from ligneo.llm.tokens import default_tokenizer
+
+    made = json.loads(Path(default_tokenizer()).read_text())
+    made["model"]["vocab"].update({f"none{i}": i for i in range(len(made["model"]["vocab"]), 70_000)})
+    path = str(tmp_path / "large.json")
+    Path(path).write_text(json.dumps(made))
+    library = Tokenizer.from_file(path)
+    library.add_tokens(["<|far|>"])
+    library.save(path)
+    assert id_width(path) == 4 and id_width(default_tokenizer()) == 2 and id_width(default_tokenizer(), 70_000) == 4
+    texts = {1: "plain words", 2: "one <|far|> away", 3: ""}
+    docs = documents([(i, t, "en", "s") for i, t in texts.items()])
+    folder = "file://" + str(tmp_path / "files")
+    found = {r.doc_id: r for r in read_tokens(docs.sparkSession, folder, write_tokens(docs, folder, tokenizer=path)).collect()}
+    for i, text in texts.items():
+        ids = np.array(library.encode(text, add_special_tokens=False).ids + [0], dtype="<u4")
+        assert found[i].n_tokens == len(ids) and found[i].ids_crc32 == zlib.crc32(ids.tobytes())
+    assert library.token_to_id("<|far|>") >= 70_000
+
+
+def test_rows_without_an_id_are_spread_over_the_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    docs = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    folder = "file://" + str(tmp_path / "files")
+    parts = [r["documents"] for r in write_tokens(docs, folder).groupBy("part").agg(F.sum("documents").alias("documents")).collect()]
+    assert sum(parts) == 20_000 and len(parts) >= 3 and max(parts) < 12_000
