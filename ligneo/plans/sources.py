@@ -220,21 +220,36 @@ def export_summary(spark, sf_dir):
     return sinks.export_summary(scanned, layouts.resolve_layout(files, demo_layouts(spark)))
 
 
+FINESS_FOUND = f"fin AS (SELECT * FROM (SELECT *, trim(substr(line, 1, 9)) AS val FROM {RAA}) WHERE val <> '' AND NOT regexp_full_match(val, '[0-9]{{9}}'))"
+
+
+def report_of(spark, sf_dir):
+    scanned = staged(spark, sf_dir, "raa", "vid", "rpsa")
+    files = batch_files(scanned)
+    totals = identity.batch_totals(files, identity.identity_history(identity.extract_identity(scanned)))
+    resolved = layouts.resolve_layout(files.withColumn("year", F.lit(2026)), demo_layouts(spark))
+    exported = sinks.export_batch(scanned, resolved, layouts.collect_vintages(demo_layouts(spark)))
+    return reports.batch_report(files, totals, checks.check_finess(scanned), exported.agg(F.count(F.lit(1))).scalar())
+
+
 @query("batch_report", f"""
-  WITH {OBS}, {FILES},
-  fin AS (SELECT * FROM (SELECT *, trim(substr(line, 1, 9)) AS val FROM {RAA}) WHERE val <> '' AND NOT regexp_full_match(val, '[0-9]{{9}}'))
+  WITH {OBS}, {FILES}, {FINESS_FOUND}, written AS (SELECT line FROM {RAA} UNION ALL SELECT line FROM {VID} UNION ALL SELECT line FROM {RPSA})
   SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM files WHERE format = 'RAA') AS raa_files,
     (SELECT count(*) FROM obs) AS lines_valid, (SELECT count(*) FROM fin) AS errors, least(500, (SELECT count(*) FROM fin)) AS reported,
-    (SELECT count(*) FROM obs) AS exported_rows""")
+    (SELECT count(*) FROM written WHERE trim(line) <> '') AS exported_rows""")
 def batch_report(spark, sf_dir):
-    scanned = staged(spark, sf_dir, "raa", "vid", "rpsa")
-    obs = identity.extract_identity(scanned)
-    totals = identity.batch_totals(batch_files(scanned), identity.identity_history(obs))
-    found = checks.check_finess(scanned)
-    report = reports.batch_report(batch_files(scanned), totals, found)
     raa = F.filter("files_by_format", lambda f: f["format"] == "RAA")
-    return report.select(
+    return report_of(spark, sf_dir).select(
         "files", F.get(raa, F.lit(0))["n"].alias("raa_files"), "lines_valid",
-        F.get("findings_by_severity", F.lit(0))["n"].alias("errors"), F.size("findings").alias("reported"),
-        F.col("lines_valid").alias("exported_rows"),
+        F.get("findings_by_severity", F.lit(0))["n"].alias("errors"), F.size("findings").alias("reported"), "exported_rows",
     )
+
+
+# The findings of the report one by one, in its order.
+@query("reported_findings", f"""
+  WITH {FINESS_FOUND}
+  SELECT row_number() OVER w AS place, file_path, line_no, 'ERR-FINESS-FORMAT' AS code, 2 AS severity, 'RAA' AS format FROM fin
+  WINDOW w AS (ORDER BY lower(file_path), line_no) QUALIFY place <= 500""")
+def reported_findings(spark, sf_dir):
+    listed = report_of(spark, sf_dir).select(F.posexplode("findings").alias("at", "f"))
+    return listed.select((F.col("at") + 1).alias("place"), "f.file_path", "f.line_no", "f.code", "f.severity", "f.format")
