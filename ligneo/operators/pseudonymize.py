@@ -99,24 +99,25 @@ def _kept_values(spec) -> Column:
 def find_leaks(lines: DataFrame, specs: dict, identifiers: DataFrame) -> DataFrame:
     """(field, value, n): copied values that contain a known identifier. Internal: holds values.
 
-    Values are counted first, so the search runs once per distinct value; its substrings of the lengths that
-    identifiers have are then matched with the identifiers by key.
+    Values are counted first, so the search runs once per distinct value. Each gives its pieces of the width of the shortest
+    identifier, one per place, which meet the identifiers that end in them; longer identifiers are then compared in
+    place. The end is the anchor, as numbered identifiers differ there and begin alike.
     """
     read = lines.select(F.explode(per_format(specs, _kept_values)).alias("kept")).select("kept.*")
     counted = read.filter(F.length("value") >= MINIMUM_IDENTIFIER).groupBy("field", "value").agg(
         F.count(F.lit(1)).alias("n")
     )
+    width = identifiers.agg(F.min(F.length("identifier"))).scalar()
     value, size = F.col("value"), F.length("value")
-    widths = identifiers.agg(F.collect_set(F.length("identifier")).alias("widths")).select("widths").scalar()
-    pieces = F.flatten(F.transform(
-        F.filter("_widths", lambda width: width <= size),
-        lambda width: F.transform(F.sequence(F.lit(1), size - width + 1), lambda i: F.substring(value, i, width)),
-    ))
-    searched = counted.withColumn("_widths", widths).select(
-        "field", "value", "n", F.explode(F.array_distinct(pieces)).alias("identifier")
-    )
-    found = spread_join(searched, identifiers, ["identifier"], F.struct("field", "value"), how="left_semi")
-    return found.select("field", "value", "n").distinct()
+    places = F.when(size >= F.col("_width"), F.sequence(F.lit(1), size - F.col("_width") + 1))
+    pieces = F.transform(places, lambda i: F.struct(i.alias("at"), F.substring(value, i, F.col("_width")).alias("anchor")))
+    searched = counted.withColumn("_width", width).select("field", "value", "n", "_width", F.explode(pieces).alias("p"))
+    anchored = identifiers.select("identifier").distinct().withColumn("_w", width)
+    anchored = anchored.select("identifier", F.expr("substring(identifier, length(identifier) - _w + 1, _w)").alias("anchor"))
+    start = F.col("p.at") + F.col("_width") - F.length("identifier")
+    met = searched.withColumn("anchor", F.col("p.anchor")).join(anchored, "anchor")
+    whole = (start >= 1) & (F.substring(value, start, F.length("identifier")) == F.col("identifier"))
+    return met.filter(whole).select("field", "value", "n").distinct()
 
 
 def leak_counts(leaks: DataFrame) -> DataFrame:
@@ -197,7 +198,8 @@ def pseudonymize(lines: DataFrame, specs: dict, keyed: Keyed, leaks: DataFrame)
     tried = F.transform(per_format(specs, _kept_values), lambda k: F.concat(k["field"], F.lit(SEPARATOR), k["value"]))
     asked = known.select("file_path", "line_no", F.explode(F.array_distinct(tried)).alias("leak"))
     hits = spread_join(asked, leaked, ["leak"], F.struct("file_path", "line_no"), how="left_semi")
-    per_line = hits.groupBy("file_path", "line_no").agg(F.collect_list("leak").alias("_leaked"))
+    # Written first: leaks are few, and the optimizer then knows it, so the lines stay where they are.
+    per_line = cut_lineage(hits.groupBy("file_path", "line_no").agg(F.collect_list("leak").alias("_leaked")))
     known = known.join(per_line, ["file_path", "line_no"], "left").withColumn(
         "_leaked", F.coalesce("_leaked", F.array().cast("array<string>"))
     )
