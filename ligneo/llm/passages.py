@@ -41,33 +41,42 @@ SPLIT = 1 << 16  # matches of a pair of documents are chained this many words at
 PASSAGE = "doc long, other long, start_word long, end_word long, ref_start_word long, ref_end_word long, matched_words long"
 
 
-def winnowed(words):
-    """(hashes, positions) of the least k-word hash of every window."""
+def runs_inside(owner, size):
+    """Which runs of `size` words lie in one document."""
+    return owner[:len(owner) - size + 1] == owner[size - 1:]
+
+
+def winnowed(words, owner):
+    """(hashes, places) of the least k-word hash of every window inside a document, or of all of them if there is no whole window."""
     if len(words) < K:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    hashes = shingles(words, K)
-    if len(hashes) > WINDOW:
-        windows = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
-        at = np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
-    else:
-        at = np.array([int(hashes.argmin())])
-    return hashes[at], at.astype(np.int32)
-
-
-def spaced_seeds(words):
-    """(hashes, positions) of spaced seeds. By value, not by window: words changed beside one do not hide it."""
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    hashes, inside = shingles(words, K), runs_inside(owner, K)
+    at = [np.zeros(0, np.int64)]
+    if len(hashes) >= WINDOW:
+        windows = np.flatnonzero(runs_inside(owner, K + WINDOW - 1))
+        at.append(np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)[windows].argmin(axis=1) + windows)
+    counts = np.bincount(owner[:len(hashes)][inside], minlength=int(owner[-1]) + 1)
+    for short in np.flatnonzero((counts > 0) & (counts < WINDOW)):
+        begin = int(np.searchsorted(owner, short))
+        at.append(np.array([begin + int(hashes[begin:begin + counts[short]].argmin())]))
+    at = np.unique(np.concatenate(at))
+    return hashes[at], at
+
+
+def spaced_seeds(words, owner):
+    """(hashes, places) of spaced seeds. By value, not by window: words changed beside one do not hide it."""
     if len(words) <= 2 * HALF:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     halves = shingles(words, HALF)
     hashes = mix64(halves[:-HALF - 1] * np.uint64(0xD6E8FEB86659FD93) + halves[HALF + 1:])
-    at = np.flatnonzero((hashes >> np.uint64(32)) % np.uint64(SAMPLE) == 0)
-    return hashes[at], at.astype(np.int32)
+    at = np.flatnonzero(runs_inside(owner, 2 * HALF + 1) & ((hashes >> np.uint64(32)) % np.uint64(SAMPLE) == 0))
+    return hashes[at], at
 
 
-def told_apart(values):
-    """The values, the n-th time one occurs replaced by one of its own, and whether it did occur before."""
+def told_apart(values, owner):
+    """The values, the n-th time one occurs in its document replaced by one of its own, and whether it did occur there before."""
     order = np.argsort(values, kind="stable")
-    same = np.concatenate([[False], values[order][1:] == values[order][:-1]])
+    same = np.concatenate([[False], (values[order][1:] == values[order][:-1]) & (owner[order][1:] == owner[order][:-1])])
     times = np.zeros(len(order), dtype=np.uint64)
     if same.any():
         begin = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
@@ -75,14 +84,17 @@ def told_apart(values):
     return np.where(times > 0, mix64(values + times * np.uint64(FACTOR)), values), times > 0
 
 
-def document_seeds(words):
-    """(hashes, positions, asking) of a document's seeds. The n-th time a seed occurs in a document it meets the n-th of others, and,
-    `asking` only, the first: a passage may stand more often in a document than in the one before. The last bit of a hash is 1
-    for the seeds that every run has, 0 for the spaced ones."""
+def document_seeds(words, owner):
+    """(hashes, places, asking) of the seeds of documents laid end to end, `owner` the number of each word's document.
+
+    The n-th time a seed occurs in a document it meets the n-th of others, and, `asking` only, the first: a passage may stand
+    more often in a document than in the one before. The last bit of a hash is 1 for the seeds that every run has, 0 for the
+    spaced ones.
+    """
     parts = []
-    for (values, at), bit in ((winnowed(words), 1), (spaced_seeds(words), 0)):
+    for (values, at), bit in ((winnowed(words, owner), 1), (spaced_seeds(words, owner), 0)):
         values = values >> np.uint64(1) << np.uint64(1)
-        own, again = told_apart(values)
+        own, again = told_apart(values, owner[at])
         one = np.uint64(bit)
         parts.append((own >> np.uint64(1) << np.uint64(1) | one, at, np.zeros(len(at), dtype=bool)))
         parts.append((values[again] | one, at[again], np.ones(int(again.sum()), dtype=bool)))
@@ -141,13 +153,12 @@ def seed_rows(links):
     types = [pa.int64(), pa.int64(), pa.bool_()] if links else [pa.int64()] * 3
 
     def block(rows):
-        seeds, places, asking = [], [], []
-        for number, data in rows:
-            values, at, asks = document_seeds(widened(data))
-            seeds.append(values)
-            places.append((np.int64(number) << AT) + at)
-            asking.append(asks)
-        seeds, places, asking = np.concatenate(seeds), np.concatenate(places), np.concatenate(asking)
+        lengths = np.array([len(data) // 2 for _, data in rows])
+        owner = np.repeat(np.arange(len(rows)), lengths)
+        begins = np.cumsum(lengths) - lengths
+        seeds, at, asking = document_seeds(widened(b"".join(data for _, data in rows)), owner)
+        numbers = np.array([number for number, _ in rows], dtype=np.int64)
+        places = (numbers[owner[at]] << AT) + at - begins[owner[at]]
         order = np.lexsort((places, seeds))
         own = order[~asking[order]]
         held, at = seeds[own], places[own]

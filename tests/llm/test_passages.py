@@ -9,6 +9,10 @@ from ligneo.llm.passages import GAP_COST, K, WEIGHT, WINDOW, aligned, chain_matc
 from ligneo.llm.words import shingles, word_hashes
 
 
+def alone(words):
+    return np.zeros(len(words), dtype=np.int64)
+
+
 def test_chains_reach_the_best_score_of_quadratic_search():
     draw = np.random.default_rng(4)
     for n in (1, 5, 60):
@@ -50,21 +54,32 @@ def test_equal_runs_share_a_seed():
     words = draw.integers(1, 10**9, 300).astype(np.uint64)
     for begin in range(0, 250, 17):
         own = np.concatenate([draw.integers(1, 10**9, 40).astype(np.uint64), words[begin:begin + WINDOW + K - 1], draw.integers(1, 10**9, 30).astype(np.uint64)])
-        assert set(winnowed(own)[0].tolist()) & set(winnowed(words)[0].tolist())
+        assert set(winnowed(own, alone(own))[0].tolist()) & set(winnowed(words, alone(words))[0].tolist())
 
 
 def test_repeated_seeds_are_told_apart():
-    seeds, again = told_apart(np.ones(200, dtype=np.uint64))
+    seeds, again = told_apart(np.ones(200, dtype=np.uint64), np.zeros(200))
     assert len(set(seeds.tolist())) == 200 and again.sum() == 199
-    values, at, asking = document_seeds(np.ones(200, dtype=np.uint64))
+    values, at, asking = document_seeds(np.ones(200, dtype=np.uint64), np.zeros(200, dtype=np.int64))
     assert len(set(values[~asking].tolist())) == (~asking).sum() and set(values[asking].tolist()) <= set(values[~asking].tolist())
 
 
+def test_documents_laid_end_to_end_have_their_own_seeds():
+    draw = np.random.default_rng(7)
+    texts = [draw.integers(1, 6 if i % 3 else 10**9, int(draw.integers(0, 120))).astype(np.uint64) for i in range(60)]
+    whole, owner = np.concatenate(texts), np.repeat(np.arange(60), [len(t) for t in texts])
+    begins = np.searchsorted(owner, np.arange(60))
+    seeds, at, asking = document_seeds(whole, owner)
+    got = sorted((int(owner[p]), int(p - begins[owner[p]]), int(v), bool(a)) for v, p, a in zip(seeds, at, asking))
+    want = [(i, int(p), int(v), bool(a)) for i, t in enumerate(texts) for v, p, a in zip(*document_seeds(t, alone(t)))]
+    assert got == sorted(want)
+
+
 def test_spaced_seeds_outlive_a_changed_word():
     words = np.random.default_rng(2).integers(1, 10**9, 4000).astype(np.uint64)
     changed = words.copy()
     changed[::6] += np.uint64(1)
-    mine, theirs = (dict(zip(*(c.tolist() for c in spaced_seeds(w)))) for w in (words, changed))
+    mine, theirs = (dict(zip(*(c.tolist() for c in spaced_seeds(w, alone(w))))) for w in (words, changed))
     both = {mine[v] for v in set(mine) & set(theirs)}
     assert len(both) > 150 and len(both) > 150
 
@@ -153,7 +168,7 @@ def test_a_passage_twice_in_one_document(documents, make_prose):
 
 
 def test_a_page_of_one_word_gives_one_chain():
-    seeds, at, _ = document_seeds(np.ones(2000, dtype=np.uint64))
+    seeds, at, _ = document_seeds(np.ones(2000, dtype=np.uint64), np.zeros(2000, dtype=np.int64))
     first = {}
     for value, y in zip(seeds.tolist(), at.tolist()):
         first.setdefault(value, y)
