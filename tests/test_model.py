@@ -87,3 +87,16 @@ def test_one_month_is_refused(spark):
 def test_threshold_without_any_deletion(spark):
     scored = spark.createDataFrame([("f", i, i / 10, False) for i in range(5)], "file_path string, line_no int, probability double, supprimee boolean")
     assert deletion.best_threshold(scored).first()["threshold"] == 0.5
+
+
+def test_a_queue_of_one_file_spans_several_tasks(spark):
+    flagged = spark.range(20_000).selectExpr("'f' AS file_path", "id + 1 AS line_no", "(id * 7919 % 500) / 500.0 AS probability")
+    queue = deletion.review_queue(flagged.withColumn("probability", F.col("probability").cast("double")))
+    rows = sorted((r["rank"], r["probability"], r["line_no"], r["shown"]) for r in queue.collect())
+    order = sorted(((-p, n) for _, p, n, _ in rows))
+    assert [(-p, n) for _, p, n, _ in rows] == order and [r for r, *_ in rows] == list(range(1, 20_001)) and sum(s for *_, s in rows) == 20
+
+
+def test_cards_are_added_and_never_overwritten(spark, specs, lines_of, tmp_path):
+    folder = str(tmp_path / "none")
+    assert deletion.load_model(spark, folder) == (None, None) and deletion.champions(spark, folder).collect() == []

@@ -146,3 +146,27 @@ def test_deep_chain_and_cycle(spark):
     rows = spark.createDataFrame(chain + cycle, "row_no int, code string, parent string, label string, level string")
     walked = hierarchy.walk_tree(hierarchy.build_tree(rows))
     assert walked.count() == 130 and walked.agg(F.max("depth")).first()[0] == 129
+
+
+def test_listing_tells_what_is_set_aside(spark, tmp_path):
+    """Names with spaces, plus signs, brackets and escapes; skipped and empty files have a reason, their bytes are not read."""
+    contents = {"M 1/raa é+[1].txt": "a\nb\n", "M 1/lot.zip": "PK", "M 2/raa é+[1].txt": "c\n", "M 2/rien%41.txt": "", "b.txt": "z"}
+    for name, text in contents.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text, encoding="latin-1")
+    listing = lines.list_files(spark, str(tmp_path))
+    rows = {r["relative_path"]: (r["size"], r["reason"]) for r in listing.collect()}
+    assert rows == {"M 1/raa é+[1].txt": (4, None), "M 1/lot.zip": (2, lines.SKIPPED_TYPE), "M 2/raa é+[1].txt": (2, None),
+                    "M 2/rien%41.txt": (0, lines.EMPTY_FILE), "b.txt": (1, None)}
+    scanned = sorted((r["relative_path"], r["line_no"], r["line"]) for r in lines.scan_listed(spark, listing).collect())
+    assert scanned == [("M 1/raa é+[1].txt", 1, "a"), ("M 1/raa é+[1].txt", 2, "b"), ("M 2/raa é+[1].txt", 1, "c"), ("b.txt", 1, "z")]
+    assert lines.scan_listed(spark, listing.filter("reason is not null")).collect() == []
+
+
+def test_written_lines_keep_path_and_order(spark, tmp_path):
+    numbered = spark.range(40_000).selectExpr("concat('M ', id % 2, '/raa.txt') AS relative_path", "id + 1 AS line_no", "concat('l', id) AS line")
+    sinks.write_fixed_width(numbered.repartition(7, "line"), str(tmp_path / "out"))
+    back = sinks.read_fixed_width(spark, str(tmp_path / "out"))
+    assert back.count() == 40_000
+    wrong = back.filter("line <> concat('l', 2 * (line_no - 1) + cast(substring(relative_path, 3, 1) AS int))")
+    assert wrong.count() == 0
