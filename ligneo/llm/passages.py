@@ -36,7 +36,7 @@ DROP = 12
 CHANCE = 3  # fewer words past the end of a passage that one more document has as well are chance, as for `grow`
 LAST = (1 << 63) - 1  # the place of a null id
 AT = 28  # bits of a place that count words; documents of more words are refused
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 800_000
 SPLIT = 1 << 16  # matches of a pair of documents are chained this many words at a time
 PASSAGE = "doc long, other long, start_word long, end_word long, ref_start_word long, ref_end_word long, matched_words long"
 
@@ -54,7 +54,7 @@ def winnowed(words, owner):
     at = [np.zeros(0, np.int64)]
     if len(hashes) >= WINDOW:
         windows = np.flatnonzero(runs_inside(owner, K + WINDOW - 1))
-        at.append(np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)[windows].argmin(axis=1) + windows)
+        at.append(np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(axis=1)[windows] + windows)
     counts = np.bincount(owner[:len(hashes)][inside], minlength=int(owner[-1]) + 1)
     for short in np.flatnonzero((counts > 0) & (counts < WINDOW)):
         begin = int(np.searchsorted(owner, short))
