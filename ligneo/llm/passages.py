@@ -54,7 +54,9 @@ def winnowed(words, owner):
     at = [np.zeros(0, np.int64)]
     if len(hashes) >= WINDOW:
         windows = np.flatnonzero(runs_inside(owner, K + WINDOW - 1))
-        at.append(np.lib.stride_tricks.sliding_window_view(hashes, WINDOW).argmin(axis=1)[windows] + windows)
+        views = np.lib.stride_tricks.sliding_window_view(hashes, WINDOW)
+        least = np.concatenate([views[i:i + 50_000].argmin(axis=1) for i in range(0, len(views), 50_000)])  # numpy copies what it compares
+        at.append(least[windows] + windows)
     counts = np.bincount(owner[:len(hashes)][inside], minlength=int(owner[-1]) + 1)
     for short in np.flatnonzero((counts > 0) & (counts < WINDOW)):
         begin = int(np.searchsorted(owner, short))
