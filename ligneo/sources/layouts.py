@@ -43,13 +43,15 @@ def parse_descriptors(files: DataFrame) -> DataFrame:
         return F.regexp_extract(body, rf"(?im)^\s*#+\s*{name}:[ \t]*({pattern})\s*$", 1)
 
     stem = F.upper(F.regexp_extract(base_name(F.col("source")), r"^([^.]*)", 1))
-    rows = files.select(
+    # Once per file, before its rows: in one select with the explode, every row would carry the body and search it again.
+    heads = files.select(
         "source",
         F.coalesce(F.nullif(F.upper(F.trim(header("format", r"[^\r\n]*?"))), F.lit("")), stem).alias("format"),
         header("annee", r"\d+").try_cast("int").alias("year"),
         (F.lower(header("zone-repetee", r"[^\r\n]*?")) == "oui").alias("repeat_zone"),
-        F.posexplode(F.split(body, r"\r\n|\n|\r")).alias("pos", "row"),
+        F.split(body, r"\r\n|\n|\r").alias("rows"),
     )
+    rows = heads.select("source", "format", "year", "repeat_zone", F.posexplode("rows").alias("pos", "row"))
     parts = F.transform(F.split(F.col("row"), ";"), trimmed)
     read = rows.filter(~trimmed(F.col("row")).startswith("#")).withColumn("parts", parts).select(
         "format", "year", "repeat_zone", "source", "pos",

@@ -43,6 +43,14 @@ def test_load_layouts(spark, tmp_path):
                    ("RPS", 2025, 2, "IPP", 10, 8, "IPP du patient", True)]
 
 
+def test_descriptor_rows_do_not_carry_their_file(spark):
+    body = "# format: x\nnom;debut;longueur\n" + "\n".join(f"F{i};{i};2" for i in range(1, 2001))
+    rows = layouts.parse_descriptors(spark.createDataFrame([("/a/x.format.csv", body)], "source string, body string"))
+    assert [(r["format"], r["ord"], r["start"]) for r in rows.filter("ord in (1, 2000)").orderBy("ord").collect()] == [("X", 1, 1), ("X", 2000, 2000)]
+    above = rows._jdf.queryExecution().optimizedPlan().toString().split("Generate ")[0]
+    assert "regexp_extract" not in above  # the header is searched once per file, not once per row
+
+
 @pytest.mark.parametrize("years, wanted, expected", [
     ([2024, 2026], 2026, 2026), ([2024, 2026], 2025, 2024), ([2026], 2025, None), ([None, 2026], 2025, "yearless"),
     ([None, 2026], None, "yearless"), ([2024, 2026], None, 2026)])
