@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ligneo.catalogue import CORRECTION_MARK, MONTH_FOLDER
 from ligneo.functions.text import field, line_distance, put_field
 from ligneo.operators.checks import by_format
-from ligneo.operators.skew import rank_in_group, spread_join
+from ligneo.operators.skew import lookup_join, rank_in_group, spread_join
 from ligneo.session import cut_lineage
 from ligneo.sources.lines import stem_name
 
@@ -225,10 +225,12 @@ def dedupe_evidence(aligned: DataFrame, seen: DataFrame = None, pairs: DataFrame
     if pairs is None:
         rank = F.struct("pair_id")
     else:
-        aligned = spread_join(aligned, pairs.select("pair_id", F.col("corrected").alias("_corrected")), ["pair_id"],
+        aligned = lookup_join(aligned, pairs.select("pair_id", F.col("corrected").alias("_corrected")), ["pair_id"],
                               F.struct("before", "after"), how="inner")
         rank = F.struct("_corrected", "pair_id")
-    firsts = aligned.withColumn("fingerprint", print_).groupBy("fingerprint", "before", "after").agg(
+    # Couples are mostly distinct: brought together first, they are sorted in parts of a shuffle, not all that a task reads.
+    content = ["fingerprint", "before", "after"]
+    firsts = aligned.withColumn("fingerprint", print_).repartition(*content).groupBy(*content).agg(
         F.min_by("pair_id", rank).alias("pair_id")
     )
     return firsts if seen is None else firsts.join(seen, "fingerprint", "left_anti")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ligneo.session import cut_lineage
+
 PARTS = 256
 BLOCK = 65_536
 
@@ -50,6 +52,15 @@ def spread_join(left: DataFrame, right: DataFrame, keys, spread_on: Column, how=
     return left.join(right.drop(*keys), names, how).drop(*names)
 
 
+def lookup_join(left: DataFrame, right: DataFrame, keys, spread_on: Column, how="left") -> DataFrame:
+    """`spread_join` with a right side of one row per file, pair or rule, which is written first.
+
+    So its bytes are known before the join is planned: where they are few, the rows of the left side stay in their tasks instead of
+    meeting by the few keys they have.
+    """
+    return spread_join(left, cut_lineage(right), keys, spread_on, how)
+
+
 def first_in_file(df: DataFrame, n, keys=("file_path",), order="line_no", block=4096) -> DataFrame:
     """The first `n` rows of each file along `order`, exactly.
 

@@ -228,3 +228,18 @@ def test_last_matching_rule_wins_on_the_original_line(spark, spec, lines_of):
     assert got == {1: line(nature="G"), 2: line(um="U2", nature="D"), 3: line(nature="Q")[:10]}
     hits = {(r["to_value"], r["file_path"]): r["n_lines"] for r in learning.rule_hits(lines, rules.drop("rule_no"), spec).collect()}
     assert hits == {("D", "/a/raa.txt"): 2, ("G", "/a/raa.txt"): 1, ("L77", "/a/raa.txt"): 2, ("L77", "/a/b.txt"): 1}
+
+
+def gathered_by_key(df):
+    """Whether the plan brings the rows of a joined side together by the few keys they have."""
+    return "hashpartitioning(_on0" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_evidence_of_few_pairs_stays_spread(spark):
+    rows = couples(spark, [("b", line(), line("P2")), ("a", line(), line("P2")), ("b", line("P3"), line("P4"))])
+    pairs = spark.createDataFrame([("a", "z"), ("b", "y")], "pair_id string, corrected string")
+    kept = learning.dedupe_evidence(rows.select("pair_id", "before", "after"), pairs=pairs)
+    assert sorted((r["pair_id"], r["before"]) for r in kept.collect()) == [("b", line()), ("b", line("P3"))]
+    assert not gathered_by_key(kept)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate") <= 2 and plan.index("Exchange") > plan.rindex("SortAggregate")  # sorted only after the shuffle
