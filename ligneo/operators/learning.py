@@ -487,7 +487,7 @@ def matches(lines: DataFrame, rules: DataFrame, spec) -> DataFrame:
 
     Only the fields the rules speak of are read; their names, at most those of the layout, choose the columns.
     """
-    of_format = rules.filter((F.col("format") == spec.format) & F.col("field").isin([f.name for f in spec.fields]))
+    of_format = cut_lineage(rules.filter((F.col("format") == spec.format) & F.col("field").isin([f.name for f in spec.fields])))
     told = of_format.select(F.explode(F.array_distinct(F.array("field", "condition_field"))).alias("name")).distinct()
     names = {r["name"] for r in told.filter(F.col("name").isin([f.name for f in spec.fields])).collect()}
     fields = [f for f in spec.fields if f.name in names]
