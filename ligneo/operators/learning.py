@@ -537,7 +537,7 @@ def apply_rules(lines: DataFrame, rules: DataFrame, spec, order="rule_no") -> Da
         )).alias("edits"))
     )
     touched = edits.select("file_path").distinct()
-    in_touched = spread_join(lines, touched, ["file_path"], F.col("line_no"), how="left_semi")
+    in_touched = lookup_join(lines, touched, ["file_path"], F.col("line_no"), how="left_semi")
     joined = in_touched.join(edits, ["file_path", "line_no"], "left")
     edited = F.aggregate(
         "edits", F.col("line"), lambda text, e: put_field(text, e["start"], e["length"], e["to_value"])
