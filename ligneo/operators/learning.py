@@ -103,7 +103,7 @@ def pair_lines(pairs: DataFrame, lines: DataFrame):
     """(before, after): the lines of both sides of every pair, as pair_id, line_no, line."""
     def side(column):
         wanted = pairs.select("pair_id", F.col(column).alias("file_path"))
-        joined = spread_join(lines.select("file_path", "line_no", "line"), wanted, ["file_path"], F.col("line_no"), how="inner")
+        joined = lookup_join(lines.select("file_path", "line_no", "line"), wanted, ["file_path"], F.col("line_no"), how="inner")
         return joined.select("pair_id", "line_no", "line")
 
     return side("original"), side("corrected")
@@ -379,7 +379,7 @@ def reevaluate(known: DataFrame, found: DataFrame, changes: DataFrame, spec, see
     names = F.array(*[F.lit(f.name) for f in learnable(spec)])
     rows = changes.withColumn("_values", F.map_from_arrays(names, "b"))
     cells = F.inline(F.arrays_zip(names.alias("field"), F.col("b").alias("from_value"), F.col("a").alias("seen_value")))
-    met = spread_join(rows.select("_values", "b", cells), silent, ["field", "from_value"], F.col("b"), how="inner").filter(
+    met = lookup_join(rows.select("_values", "b", cells), silent, ["field", "from_value"], F.col("b"), how="inner").filter(
         F.col("condition_field").isNull()
         | (F.element_at("_values", F.col("condition_field")) == F.col("condition_value"))
     )
