@@ -5,8 +5,8 @@ two sets share a token with a probability equal to their Jaccard similarity. In
 one of the functions, and with some probability a second, so that a pair at the threshold keeps one common path per level on
 average; the set's tokens under these functions extend the path. Paths are deepened while many sets share them. Small buckets
 are compared by brute force, all pairs, on the signatures. Buckets still large at full depth, groups of near copies, are cut
-into chunks that hold two members of the bucket in common. Runs are repeated until a pair at the threshold shares a bucket
-with the target probability.
+into chunks, and every two chunks of a bucket meet in a tile, so all pairs of these are compared as well. Runs are repeated
+until a pair at the threshold shares a bucket with the target probability.
 
 Only a forest of each bucket's links leaves its task. It gives candidate components, and within those all pairs are compared
 exactly, chunk by chunk, on the shingles themselves; their links are counted and again only a forest leaves the task.
@@ -28,7 +28,7 @@ from ligneo.llm.registry import query, table
 from ligneo.llm.words import shingles, word_hashes
 
 FUNCTIONS = 64
-START_DEPTH, FULL_DEPTH, SMALL = 4, 6, 64
+START_DEPTH, FULL_DEPTH, SMALL, TILE = 4, 6, 64, 1024
 
 
 def loss(similarity, depth):
@@ -122,20 +122,29 @@ def split_further(crowded, similarity):
     return crowded.select("path", "node", "signature").mapInPandas(walk, "path long, node long, signature binary")
 
 
+def agreement(signatures):
+    """Functions under which each two of some signatures agree, one function at a time, so memory is that of the result."""
+    total = np.zeros((len(signatures), len(signatures)), dtype=np.uint8)
+    for column in signatures.T:
+        total += column[:, None] == column[None, :]
+    return total
+
+
 def bucket_forest(least):
-    """Brute force on the signatures of every bucket in a frame: each member with the root of its links."""
+    """Brute force on the signatures of every bucket or tile in a frame: each member with the root of its links."""
 
     def work(frame):
         signatures = np.stack([np.frombuffer(s, dtype=np.uint16) for s in frame["signature"]])
-        starts, ends = group_bounds(frame, ["path", "chunk"])
+        starts, ends = group_bounds(frame, ["path", "low", "high"])
         firsts, seconds = [], []
         for a, b in zip(starts, ends):
             if b - a < 2:
                 continue
-            same = (signatures[a:b, None, :] == signatures[None, a:b, :]).sum(2) >= least * FUNCTIONS
+            same = agreement(signatures[a:b]) >= least * FUNCTIONS
             i, j = np.nonzero(np.triu(same, 1))
-            firsts.append(i + a)
-            seconds.append(j + a)
+            root = local_roots(b - a, i, j)
+            firsts.append(np.arange(a, b))
+            seconds.append(root + a)
         node = frame["node"].to_numpy()
         if not firsts:
             return pd.DataFrame({"a": node[:0], "b": node[:0]})
@@ -161,17 +170,13 @@ def candidate_edges(nodes, folder, similarity, recall):
     small = finished[0]
     for more in finished[1:]:
         small = small.unionByName(more)
-    small = small.select("path", F.lit(0).alias("chunk"), "node", "signature")
-    large = rows.filter(F.col("n") > SMALL)
-    draw = F.xxhash64("node", "path")
-    large = large.withColumn("chunks", F.ceil(F.col("n") / (SMALL - 2)).cast("int"))
-    dealt = large.select("path", F.pmod(draw, F.col("chunks")).cast("int").alias("chunk"), "node", "signature")
-    common = F.struct("node", "signature")
-    leaders = large.groupBy("path").agg(F.max("chunks").alias("chunks"), F.array(F.min_by(common, draw), F.max_by(common, draw)).alias("two"))
-    leaders = leaders.select("path", F.explode(F.expr("sequence(0, chunks - 1)")).alias("chunk"), "two")
-    leaders = leaders.select("path", "chunk", F.explode("two").alias("one")).select("path", "chunk", "one.node", "one.signature")
-    buckets = small.unionByName(dealt).unionByName(leaders)
-    forest = sorted_groups(buckets, ["path", "chunk"], bucket_forest(similarity - 0.2), "a long, b long", shuffle_width(nodes.sparkSession))
+    small = small.select("path", F.lit(0).alias("low"), F.lit(0).alias("high"), "node", "signature")
+    large = rows.filter(F.col("n") > SMALL).withColumn("chunks", F.ceil(F.col("n") / TILE).cast("int"))
+    large = large.withColumn("chunk", F.pmod(F.xxhash64("node", "path"), F.col("chunks")).cast("int"))
+    large = large.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    tiles = large.select("path", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "node", "signature")
+    forest = sorted_groups(small.unionByName(tiles), ["path", "low", "high"], bucket_forest(similarity - 0.2), "a long, b long",
+                           shuffle_width(nodes.sparkSession))
     return forest.distinct()
 
 

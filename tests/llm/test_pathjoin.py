@@ -5,6 +5,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from ligneo.llm import pathjoin
+from ligneo.llm.common import shared_folder
 from ligneo.llm.groups import group_bounds, whole_groups
 from ligneo.llm.pathjoin import common_counts, jaccard_classes, loss, one_of_each_class, runs_for, signature
 from ligneo.llm.words import shingles, word_hashes
@@ -88,3 +90,14 @@ def test_groups_are_never_cut():
         assert all(not a & b for a, b in combinations(seen, 2))
         starts, ends = group_bounds(frames[0], ["k"])
         assert ends[-1] == len(frames[0]) and starts[0] == 0
+
+
+@pytest.mark.parametrize("tile", [20, 1024])
+def test_all_pairs_of_a_large_bucket_meet(spark, monkeypatch, tile):
+    for name, value in (("START_DEPTH", 0), ("FULL_DEPTH", 0), ("TILE", tile), ("runs_for", lambda *_: 1)):
+        monkeypatch.setattr(pathjoin, name, value, raising=False)
+    draws = np.random.default_rng(1).integers(0, 1 << 16, (150, 64), dtype=np.uint16)
+    pairs = [(2 * i + j, bytearray(draws[i].tobytes())) for i in range(150) for j in (0, 1)]
+    nodes = spark.createDataFrame(pairs, "node long, signature binary")
+    edges = pathjoin.candidate_edges(nodes, shared_folder(spark), 0.8, 0.999).collect()
+    assert {(r["a"] // 2, r["b"] // 2) for r in edges} == {(i, i) for i in range(150)}
