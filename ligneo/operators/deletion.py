@@ -130,11 +130,20 @@ def classifier(rounds=400, step=0.05, depth=5, min_rows_per_leaf=30, seed=2026)
     ])
 
 
-def weighted(examples: DataFrame) -> DataFrame:
+ROWS_PER_TASK = 100_000
+
+
+def weighted(examples: DataFrame, rows_per_task=ROWS_PER_TASK) -> DataFrame:
+    """Examples with label and weight, dealt into parts of about `rows_per_task` rows.
+
+    The trees keep their input in memory, several times wider than the files it is read from, and read a whole part of it in
+    every task; so the parts follow the number of rows, not the size of the files.
+    """
     label = F.col("supprimee").cast("double")
-    share = examples.agg((F.sum(1 - label) / F.greatest(F.sum(label), F.lit(1.0)))).scalar()
-    return examples.withColumn("label", label).withColumn(
-        "weight", F.when(F.col("label") > 0, share).otherwise(1.0)
+    totals = examples.agg(F.count(F.lit(1)).alias("n"), (F.sum(1 - label) / F.greatest(F.sum(label), F.lit(1.0))).alias("share")).first()
+    dealt = examples.repartition(max(1, -(-totals["n"] // rows_per_task)), "file_path", "line_no")
+    return dealt.withColumn("label", label).withColumn(
+        "weight", F.when(F.col("label") > 0, F.lit(totals["share"])).otherwise(1.0)
     )
 
 

@@ -100,3 +100,11 @@ def test_a_queue_of_one_file_spans_several_tasks(spark):
 def test_cards_are_added_and_never_overwritten(spark, specs, lines_of, tmp_path):
     folder = str(tmp_path / "none")
     assert deletion.load_model(spark, folder) == (None, None) and deletion.champions(spark, folder).collect() == []
+
+
+def test_training_rows_are_dealt_by_their_number(spark):
+    rows = spark.range(1000, numPartitions=1).select(F.lit("f").alias("file_path"), F.col("id").alias("line_no"), (F.col("id") % 4 == 0).alias("supprimee"))
+    dealt = deletion.weighted(rows, rows_per_task=100)
+    sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1000 and len(sizes) > 5 and max(sizes) < 250
+    assert {(r["label"], r["weight"]) for r in dealt.collect()} == {(0.0, 1.0), (1.0, 3.0)}
