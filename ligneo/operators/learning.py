@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ligneo.catalogue import CORRECTION_MARK, MONTH_FOLDER
 from ligneo.functions.text import field, line_distance, put_field
 from ligneo.operators.checks import by_format
-from ligneo.operators.skew import lookup_join, rank_in_group, spread_join
+from ligneo.operators.skew import BLOCK, lookup_join, rank_in_group, spread_join
 from ligneo.session import cut_lineage
 from ligneo.sources.lines import stem_name
 
@@ -117,25 +117,31 @@ def pair_keys(spec) -> Column:
     return F.concat_ws("\u001f", *read) if read else F.lit("")
 
 
-def align_by_rank(before: DataFrame, after: DataFrame):
-    """(aligned, qualified): same-rank couples, and the pairs mostly corrected in place.
+def pair_sizes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(pair_id, n_before, n_after), written."""
+    count = lambda df, name: df.groupBy("pair_id").agg(F.count(F.lit(1)).alias(name))
+    return cut_lineage(count(before, "n_before").join(count(after, "n_after"), "pair_id", "full"))
+
+
+def align_by_rank(before: DataFrame, after: DataFrame, sizes=None):
+    """(aligned, qualified): same-rank couples of the pairs mostly corrected in place, and these pairs, written.
 
     A pair qualifies when both sides have the same number of lines and at least half of the couples differ by
-    no more than 8 characters.
+    no more than 8 characters; lines of other sizes are not brought together. `sizes` are the `pair_sizes`, when already counted.
     """
-    left = before.withColumnRenamed("line", "before")
-    right = after.withColumnRenamed("line", "after")
-    couples = left.join(right, ["pair_id", "line_no"])
+    sizes = pair_sizes(before, after) if sizes is None else sizes
     near = F.when(F.col("before") == F.col("after"), True).otherwise(
         line_distance(F.col("before"), F.col("after")) <= NEAR
     )
-    count = lambda df, name: df.groupBy("pair_id").agg(F.count(F.lit(1)).alias(name))
-    qualified = (
-        count(before, "n_before").join(count(after, "n_after"), "pair_id")
-        .join(couples.groupBy("pair_id").agg(F.sum(near.cast("bigint")).alias("n_near")), "pair_id")
-        .filter("n_before = n_after and n_near * 2 >= n_before").select("pair_id")
-    )
-    return couples, qualified
+
+    def couples(pairs):
+        side = lambda df, name: spread_join(df.withColumnRenamed("line", name), pairs, ["pair_id"], F.col("line_no"), how="left_semi")
+        return side(before, "before").join(side(after, "after"), ["pair_id", "line_no"])
+
+    even = cut_lineage(sizes.filter("n_before = n_after").select("pair_id", "n_before"))
+    n_near = couples(even.select("pair_id")).groupBy("pair_id").agg(F.sum(near.cast("bigint")).alias("n_near"))
+    qualified = cut_lineage(even.join(n_near, "pair_id").filter("n_near * 2 >= n_before").select("pair_id"))
+    return couples(qualified), qualified
 
 
 def line_parts(spec, n_parts):
@@ -154,18 +160,18 @@ def agreement_levels(n_parts):
 
 
 def align_by_key(before: DataFrame, after: DataFrame, spec, n_parts=3) -> DataFrame:
-    """(pair_id, line_no, after_no): couples of lines with equal keys, those first that differ least.
+    """(pair_id, line_no, after_no, before, after): couples of lines with equal keys, those first that differ least.
 
     A line is cut into `n_parts` parts. Lines that agree in all of them are coupled first, then those that agree in all but one,
     and so on to those with nothing but the key in common. At each level the n-th free original of a content meets the n-th free
     corrected line of that content, by line number. So lines that differ in few places meet by equality of the rest, never
     all against all; the levels are as many as there are sets of parts, whatever the size of a group, and a line takes part in a
-    level only while it is free.
+    level only while it is free. The parts stay with the line, so its text is put together again where it was coupled.
     """
     parts = line_parts(spec, n_parts)
-    cut = [F.substring("line", start, length if length else 1 << 20).alias(f"part{i}") for i, (start, length) in enumerate(parts)]
+    cut = [(F.substring("line", start, length) if length else F.substr("line", F.lit(start))).alias(f"part{i}") for i, (start, length) in enumerate(parts)]
     side = lambda df, number: df.select("pair_id", pair_keys(spec).alias("key"), F.lit(number).alias("side"), "line_no", *cut)
-    free = side(before, 0).unionByName(side(after, 1))
+    free = side(before, 0).unionByName(side(after, 1)).filter("pair_id IS NOT NULL")
     couples = []
     for kept in agreement_levels(len(parts)):
         free, found = couple_equal(free, ["pair_id", "key", *[f"part{i}" for i in kept]], [f"part{i}" for i in range(len(parts))])
@@ -173,42 +179,47 @@ def align_by_key(before: DataFrame, after: DataFrame, spec, n_parts=3) -> DataFr
     return reduce(DataFrame.unionByName, couples)
 
 
-def couple_equal(free: DataFrame, content, parts):
+def couple_equal(free: DataFrame, content, parts, block=BLOCK):
     """(still free, couples): the n-th line of side 0 with the n-th line of side 1 of the same content.
 
-    Both sides are ranked and brought together by content and rank in one aggregate, so a content that very many lines have
-    spreads over the tasks by rank.
+    Lines move once, by a hash of the content: there they are ranked and meet by rank. Contents whose hash more than `block`
+    lines have are found first; these lines are ranked block by block and spread over the tasks by rank.
     """
-    ranked = rank_in_group(free, [*content, "side"], "line_no", "rank")
-    row = F.struct("line_no", *parts, "key")
+    free = free.withColumn("_content", F.xxhash64(*content))
+    crowded = cut_lineage(free.groupBy("_content").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block).select("_content"))
+    own = [p for p in parts if p not in content]
+    row = F.struct("line_no", *own)
     of = lambda number: F.max(F.when(F.col("side") == number, row)).alias(f"side{number}")
-    met = cut_lineage(ranked.groupBy(*content, "rank").agg(of(0), of(1)).select("pair_id", "side0", "side1"))
-    couples = met.filter("side0 IS NOT NULL AND side1 IS NOT NULL").select("pair_id", F.col("side0.line_no").alias("line_no"), F.col("side1.line_no").alias("after_no"))
-    left = [met.filter(f"side{1 - n} IS NULL").select("pair_id", F.col(f"side{n}.key").alias("key"), F.lit(n).alias("side"), F.col(f"side{n}.line_no").alias("line_no"),
-                                                      *[F.col(f"side{n}.{p}").alias(p) for p in parts]) for n in (0, 1)]
-    return left[0].unionByName(left[1]), couples
+    # The hash comes first in every order, so texts are compared only where it is equal.
+    meet = lambda ranked: ranked.groupBy("_content", *content, "rank").agg(of(0), of(1)).drop("_content", "rank")
+    in_place = W.partitionBy("_content", *content, "side").orderBy("line_no")
+    placed = lambda lines: lines.repartition("_content").withColumn("rank", F.row_number().over(in_place).cast("bigint"))
+    if crowded.isEmpty():
+        met = meet(placed(free))
+    else:
+        large = rank_in_group(free.join(crowded, "_content", "left_semi"), [*content, "side"], "line_no", "rank", block=block)
+        met = meet(placed(free.join(crowded, "_content", "left_anti"))).unionByName(meet(large.repartition("_content", "rank")))
+    met = cut_lineage(met)
+    text = lambda number: F.concat(*[F.col(f"side{number}.{p}" if p in own else p) for p in parts])
+    couples = met.filter("side0 IS NOT NULL AND side1 IS NOT NULL").select(
+        "pair_id", F.col("side0.line_no").alias("line_no"), F.col("side1.line_no").alias("after_no"), text(0).alias("before"), text(1).alias("after"))
+    either = F.coalesce("side0", "side1")
+    left = met.filter("side0 IS NULL OR side1 IS NULL").select(
+        "pair_id", "key", F.when(F.col("side0").isNull(), 1).otherwise(0).alias("side"), either["line_no"].alias("line_no"),
+        *[either[p].alias(p) if p in own else F.col(p) for p in parts])
+    return left, couples
 
 
 def align(before: DataFrame, after: DataFrame, spec, n_parts=3):
     """(aligned, counts): (pair_id, line_no, before, after) and, per pair, aligned, deleted and added lines."""
-    couples, qualified = align_by_rank(before, after)
-    qualified = cut_lineage(qualified)
-    of_pairs = lambda side, how: spread_join(side, qualified, ["pair_id"], F.col("line_no"), how=how)
-    in_place = of_pairs(couples, "left_semi").select("pair_id", "line_no", "before", "after")
-    rest = lambda side: of_pairs(side, "left_anti")
-    left, right = rest(before), rest(after)
-    matched = align_by_key(left, right, spec, n_parts)
-    by_key = (
-        matched.join(left.select("pair_id", "line_no", F.col("line").alias("before")), ["pair_id", "line_no"])
-        .join(right.select("pair_id", F.col("line_no").alias("after_no"), F.col("line").alias("after")), ["pair_id", "after_no"])
-        .select("pair_id", "line_no", "before", "after")
-    )
-    aligned = cut_lineage(in_place.unionByName(by_key))
-    count = lambda df, name: df.groupBy("pair_id").agg(F.count(F.lit(1)).alias(name))
+    sizes = pair_sizes(before, after)
+    in_place, qualified = align_by_rank(before, after, sizes)
+    rest = lambda side: spread_join(side, qualified, ["pair_id"], F.col("line_no"), how="left_anti")
+    columns = ["pair_id", "line_no", "before", "after"]
+    aligned = cut_lineage(in_place.select(*columns)).unionByName(align_by_key(rest(before), rest(after), spec, n_parts).select(*columns))
     zero = lambda name: F.coalesce(name, F.lit(0))
     counts = (
-        count(before, "n_before").join(count(after, "n_after"), "pair_id", "full")
-        .join(count(aligned, "aligned"), "pair_id", "left")
+        sizes.join(aligned.groupBy("pair_id").agg(F.count(F.lit(1)).alias("aligned")), "pair_id", "left")
         .select("pair_id", zero("aligned").alias("aligned"),
                 (zero("n_before") - zero("aligned")).alias("deleted"), (zero("n_after") - zero("aligned")).alias("added"))
     )

@@ -160,6 +160,26 @@ def test_a_group_of_very_many_lines_is_aligned_by_joins(spark, spec):
     assert aligned.filter("substring(before, 5, 4) <> substring(after, 5, 4)").count() <= 1_000
 
 
+@pytest.mark.parametrize("block", [3, 1000])
+def test_lines_of_a_content_meet_by_rank_above_and_below_the_block(spark, block):
+    """`a` is crowded with block 3; line numbers are dealt over blocks in another way on either side."""
+    texts = lambda side, step, a, b: [("p", "k", side, i * step, t, "x") for i, t in enumerate(["a"] * a + ["b"] * b)]
+    free = spark.createDataFrame(texts(0, 5, 9, 2) + texts(1, 3, 7, 3), "pair_id string, key string, side int, line_no bigint, part0 string, part1 string")
+    left, couples = learning.couple_equal(free, ["pair_id", "key", "part0"], ["part0", "part1"], block)
+    got = sorted((r["line_no"], r["after_no"], r["before"], r["after"]) for r in couples.collect())
+    assert got == [(i * 5, i * 3, "ax", "ax") for i in range(7)] + [(45, 21, "bx", "bx"), (50, 24, "bx", "bx")]
+    assert sorted((r["side"], r["line_no"], r["part0"], r["part1"]) for r in left.collect()) == [(0, 35, "a", "x"), (0, 40, "a", "x"), (1, 27, "b", "x")]
+
+
+def test_lines_move_once_a_level_and_texts_come_with_them(spark, spec):
+    """Couples are read as they were written, without a join; a line that goes on past a million characters is whole."""
+    long = line("P2") + "x" * (1 << 20) + "end"
+    aligned, _ = learning.align(*sides(spark, [line(), long, line("P3")], [line(nature="D"), long]), spec)
+    plan = aligned._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "Window" not in plan
+    assert sorted(r["after"] for r in aligned.collect()) == sorted([line(nature="D"), long])
+
+
 def test_deleted_lines_are_counted(spark, spec):
     before = [line(f"P{i}") for i in range(30)]
     after = [line(f"P{i}", nature="D") for i in range(20)]
