@@ -29,8 +29,7 @@ def field(line, start, length) -> Column:
 def counter(line, start, length) -> Column:
     """A zone counter: zero when the line is too short, or the text unreadable or negative."""
     value = trimmed(F.substring(line, start, length)).try_cast("int")
-    readable = (F.length(line) >= start - 1 + length) & (value > 0)
-    return F.when(readable, value).otherwise(F.lit(0))
+    return F.when(F.length(line) >= start - 1 + length, F.greatest(value, F.lit(0))).otherwise(F.lit(0))
 
 
 def expected_length(line, fixed_length, zones) -> Column:

@@ -1,5 +1,7 @@
 """Lines to tables: fields, repeated zones, act and diagnosis tables, line breakdown."""
 
+from collections import namedtuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -7,6 +9,28 @@ from ligneo.functions.text import counter, dmy, field, trimmed
 from ligneo.operators.skew import rank_in_group
 
 
+PIECE = 32
+
+
+def in_pieces(lines: DataFrame, fields):
+    """(lines with pieces, value): `value(field)` is the trimmed slice, not searched for from the start of the line.
+
+    A slice is found by counting characters, so the line is first cut into pieces of `PIECE` characters, each with what the
+    fields that begin in it need beyond.
+    """
+    ends = {}
+    for f in fields:
+        at = (f.start - 1) // PIECE
+        ends[at] = max(ends.get(at, 0), f.start - 1 + f.length - at * PIECE)
+    cut = lines.select("*", *[F.substring("line", at * PIECE + 1, end).alias(f"_piece{at}") for at, end in ends.items()])
+    return cut, lambda f: field(F.col(f"_piece{(f.start - 1) // PIECE}"), (f.start - 1) % PIECE + 1, f.length)
+
+
+def once(make, value):
+    """`make(value)` for a `make` that names its value several times: it is computed once, as the one item of an array."""
+    return F.transform(F.array(value), make)[0]
+
+
 def split_fields(lines: DataFrame, spec, keep=("file_path", "line_no")) -> DataFrame:
     """One column per declared field."""
     return lines.select(*keep, *[field(F.col("line"), f.start, f.length).alias(f.name) for f in spec.fields])
@@ -61,11 +85,9 @@ def raa_tables(lines: DataFrame, spec):
     numbered = rank_in_group(lines, ["file_path"], "line_no", "id_raa")
     line = F.col("line")
     diagnoses = _trimmed_blocks(line, spec, "DA")
-    columns = []
-    for f in spec.fields:
-        value = field(line, f.start, f.length)
-        columns.append((dmy(value) if f.role in ("Date", "BirthDate") else value).alias(f.name))
-    main = numbered.select("file_path", "line_no", "id_raa", *columns, F.array_join(diagnoses, ", ").alias("das"))
+    cut, value = in_pieces(numbered, spec.fields)
+    columns = [(once(dmy, value(f)) if f.role in ("Date", "BirthDate") else value(f)).alias(f.name) for f in spec.fields]
+    main = cut.select("file_path", "line_no", "id_raa", *columns, F.array_join(diagnoses, ", ").alias("das"))
     by_role = {f.role: f for f in reversed(spec.fields)}
     patient, act_date = by_role["PatientId"], by_role["Date"]
     long = numbered.select(
@@ -79,17 +101,17 @@ def raa_tables(lines: DataFrame, spec):
 
 # 1-based positions inside an act block.
 ACT_BLOCK = {"cdccam": (9, 7), "descri": (16, 3), "phase": (19, 1), "act": (20, 1), "extdoc": (21, 1)}
-STAY, SEQUENCE_START, SEQUENCE_END = (60, 20), (111, 8), (119, 8)
+Slice = namedtuple("Slice", "start length")
+STAY, SEQUENCE_START, SEQUENCE_END = Slice(60, 20), Slice(111, 8), Slice(119, 8)
 
 
 def rps_tables(lines: DataFrame, spec, year):
     """Inpatient sequences to (main, diagnoses, acts); acts exist from 2017 on."""
     line = F.col("line")
+    lines, value = in_pieces(lines, [*spec.fields, STAY, SEQUENCE_START, SEQUENCE_END])
     keys = [
-        "file_path", "line_no",
-        field(line, *STAY).alias("nas"),
-        dmy(field(line, *SEQUENCE_START)).alias("dtdebseq"),
-        dmy(field(line, *SEQUENCE_END)).alias("dtfinseq"),
+        "file_path", "line_no", value(STAY).alias("nas"),
+        once(dmy, value(SEQUENCE_START)).alias("dtdebseq"), once(dmy, value(SEQUENCE_END)).alias("dtfinseq"),
     ]
     diagnoses = _trimmed_blocks(line, spec, "DA")
     acts = zone_blocks(line, spec, "ZA")
@@ -101,8 +123,8 @@ def rps_tables(lines: DataFrame, spec, year):
     others = [f for f in spec.fields if f.role not in ("Date", "BirthDate")]
     main = lines.select(
         *keys,
-        *[field(line, f.start, f.length).alias(f.name) for f in others],
-        *[dmy(field(line, f.start, f.length)).alias(f.name) for f in dates],
+        *[value(f).alias(f.name) for f in others],
+        *[once(dmy, value(f)).alias(f.name) for f in dates],
         *main_columns,
     )
     long = lines.select(*keys, F.posexplode(diagnoses).alias("pos", "da")).withColumn("pos", F.col("pos") + 1)

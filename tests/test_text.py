@@ -1,3 +1,4 @@
+import re
 import datetime
 
 import pytest
@@ -65,3 +66,17 @@ def test_line_distance(spark, a, b, expected):
 
 def test_latin1_replaces_foreign_characters(spark):
     assert value(spark, "é€a", lambda c: F.decode(text.latin1(c).cast("binary"), "ISO-8859-1")) == "é?a"
+
+
+def test_a_value_that_is_named_often_is_cut_once(spark, specs, lines_of):
+    """A date is read from one slice of its piece, not from four of the whole line."""
+    from ligneo.operators import records
+
+    lines = lines_of(("a", "RPS", ["x" * 110 + "01022024" + "31022024" + " " * 24 + "0000", "short", ""]))
+    main, _, _ = records.rps_tables(lines, specs["RPS"], 2024)
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = main._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert len(re.findall(r"_piece3#\d+, 15, 8\)", plan)) == 2  # as a key and as a field
+    got = [(str(r["dtdebseq"]), r["dtfinseq"], str(r["DATE_DE_DEBUT_DE_SEQUENCE"]), r["das"]) for r in main.orderBy("line_no").collect()]
+    assert got == [("2024-02-01", None, "2024-02-01", ""), ("None", None, "None", ""), ("None", None, "None", "")]
