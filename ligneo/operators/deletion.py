@@ -53,32 +53,28 @@ def raa_features(lines: DataFrame, spec) -> DataFrame:
     """Twelve categorical and seven numeric features per line, with the keys ipp, date, nature.
 
     All running counts live inside one patient day and are taken block by block, so the day of a filler patient
-    fills no task.
+    fills no task. Until they are known a line travels as its text and the keys of the counts; its features are read from it last.
     """
     line = F.col("line")
     value = {name: field(line, f.start, f.length) for name, f in
              ((name, find_field(spec, name)) for name in RAA_FEATURE_WORDS)}
     dp, ddn, acted = value["dp"], value["ddn"], dmy(value["date"])
     birth_year = F.when(F.length(ddn) == 8, F.substring(ddn, 5, 4).try_cast("int"))
-    plain = [n for n in CATEGORICAL if n not in ("chapitre_dp",)]
-    read = lines.select(
-        "file_path", "line_no", value["ipp"].alias("ipp"), value["date"].alias("date"),
-        *[value[n].alias(n) for n in plain],
+    plain = [n for n in CATEGORICAL if n != "chapitre_dp"]
+    day = ["file_path", "ipp", "date"]
+    read = lines.select("file_path", "line_no", "line", *[value[n].alias(n) for n in ("ipp", "date", "nature")])
+    ranked = rank_in_group(read, [*day, "nature"], "line_no", "rang_nature_du_jour", total="actes_du_jour", total_of=day)
+    printed = lambda rows: rows.withColumn("_digest", F.unhex(F.sha2(line, 256)))
+    ranked = rank_in_group(printed(ranked), [*day, "_digest"], "line_no", "rang_identique", counted=printed(read))
+    return ranked.select(
+        "file_path", "line_no", "ipp", "date", *[value[n].alias(n) for n in plain],
         F.substring(dp, 1, 3).alias("chapitre_dp"),
         F.when(acted.isNotNull() & (birth_year > 1900), F.year(acted) - birth_year).otherwise(-1).cast("double").alias("age"),
         F.when(acted.isNotNull(), F.dayofweek(acted) - 1).otherwise(-1).cast("double").alias("jour_semaine"),
         F.coalesce(value["intervenants"].try_cast("double"), F.lit(-1.0)).alias("intervenants"),
         F.coalesce(value["nda"].try_cast("double"), F.lit(0.0)).alias("diagnostics_associes"),
-        F.unhex(F.sha2(line, 256)).alias("_digest"),
+        *[F.col(c).cast("double").alias(c) for c in ("rang_identique", "rang_nature_du_jour", "actes_du_jour")],
     )
-    day = ["file_path", "ipp", "date"]
-    both = rank_in_group(read, [*day, "_digest"], "line_no", "rang_identique")
-    both = rank_in_group(both, [*day, "nature"], "line_no", "rang_nature_du_jour")
-    acts = read.groupBy(*day).agg(F.count(F.lit(1)).alias("actes_du_jour"))
-    both = spread_join(both, acts, day, F.struct("file_path", "line_no"))
-    both = both.drop("_digest")
-    counts = ["actes_du_jour", "rang_identique", "rang_nature_du_jour"]
-    return both.select(*[F.col(c).cast("double").alias(c) if c in counts else F.col(c) for c in both.columns])
 
 
 def label_deletions(features: DataFrame, corrected: DataFrame, spec) -> DataFrame:

@@ -15,15 +15,19 @@ PARTS = 256
 BLOCK = 65_536
 
 
-def rank_in_group(df: DataFrame, keys, order, rank, total=None, block=BLOCK) -> DataFrame:
+def rank_in_group(df: DataFrame, keys, order, rank, total=None, block=BLOCK, total_of=None, counted=None) -> DataFrame:
     """Running count along `order`, a whole number that does not repeat in its group; `total` adds the group's size.
 
+    `total_of` names the keys, some of `keys`, of the wider group that `total` counts. `counted` are the rows
+    of `df` before earlier work on them, which is then not done again to count the blocks.
+
     Rows are ranked inside blocks of the order and shifted by the counts of the blocks before.
     """
-    blocked = df.withColumn("_block", F.expr(f"{order} div {block}"))
-    sizes = blocked.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
-    whole = W.partitionBy(*keys)
-    before = whole.orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    in_blocks = lambda rows: rows.withColumn("_block", F.expr(f"{order} div {block}"))
+    blocked = in_blocks(df)
+    sizes = in_blocks(df if counted is None else counted).groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"))
+    whole = W.partitionBy(*(total_of or keys))
+    before = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
     shifts = sizes.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_block").alias("_b"),
         F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"), F.sum("_size").over(whole).alias("_whole"),

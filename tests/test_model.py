@@ -108,3 +108,14 @@ def test_training_rows_are_dealt_by_their_number(spark):
     sizes = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 1000 and len(sizes) > 5 and max(sizes) < 250
     assert {(r["label"], r["weight"]) for r in dealt.collect()} == {(0.0, 1.0), (1.0, 3.0)}
+
+
+def test_features_are_read_after_the_counts(spark, specs, lines_of):
+    """A line is sorted and moved as its text, in two joins, not as twenty columns in three."""
+    text = lambda nature: "940000001940000001" + "P11" + "IPP1".ljust(20) + "01011980" + "1" + "9" * 19 + "02012024" + nature + " " * 40
+    lines = lines_of(("a", "RAA", [text("E "), text("D "), text("E ")]))
+    made = deletion.raa_features(lines, specs["RAA"])
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 2 and "secteur" not in plan[plan.index("Join "):]
+    got = sorted((r["line_no"], r["actes_du_jour"], r["rang_identique"], r["rang_nature_du_jour"]) for r in made.collect())
+    assert got == [(1, 3.0, 1.0, 1.0), (2, 3.0, 1.0, 1.0), (3, 3.0, 2.0, 2.0)]

@@ -27,6 +27,15 @@ def test_rank_in_group(spark):
         assert rows(got, "k", "pos", "r", "t") == rows(expected, "k", "pos", "r", "t")
 
 
+def test_rank_with_the_total_of_a_wider_group(spark):
+    df = skewed(spark).withColumn("half", F.col("pos") % 2)
+    expected = df.withColumn("r", F.row_number().over(W.partitionBy("k", "half").orderBy("pos")).cast("bigint")).withColumn(
+        "t", F.count(F.lit(1)).over(W.partitionBy("k")))
+    for block in (10, 700):
+        got = skew.rank_in_group(df, ["k", "half"], "pos", "r", total="t", block=block, total_of=["k"])
+        assert rows(got, "k", "half", "pos", "r", "t") == rows(expected, "k", "half", "pos", "r", "t")
+
+
 def test_no_task_ranks_more_than_a_block_of_a_clustered_group(spark):
     """One key with a 2,000th of the rows, its order all in one narrow range."""
     df = spark.range(200_000).select(F.when(F.col("id") % 2000 == 7, F.lit("clustered")).otherwise(F.concat(F.lit("k"), F.col("id").cast("string"))).alias("k"),
