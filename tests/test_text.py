@@ -1,5 +1,5 @@
-import re
 import datetime
+import re
 
 import pytest
 from pyspark.sql import functions as F
