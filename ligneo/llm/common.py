@@ -1,10 +1,13 @@
 """Shared helpers: the folder all executors see, written tables, files in that folder."""
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import functions as F
@@ -64,6 +67,26 @@ def write_file(folder, name, content):
     return f"{folder}/{name}"
 
 
+CACHES = {}
+
+
+def kept_for(work, cache):
+    """Names the work that a cache of this worker process serves."""
+    CACHES[work] = cache
+    return cache
+
+
+def forget_others(work=None):
+    """Free the caches of all work but this one: a Python worker lives through many stages and would keep those of each."""
+    full = [cache for name, cache in CACHES.items() if name != work and cache]
+    for cache in full:
+        cache.clear()
+    if full:
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix64(x):
     """Scramble unsigned 64-bit integers (the finalizer of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

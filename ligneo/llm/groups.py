@@ -3,6 +3,8 @@
 import numpy as np
 import pandas as pd
 
+from ligneo.llm.common import forget_others
+
 
 def whole_groups(frames, keys):
     """Rejoin sorted batches so that every frame that comes out holds whole groups only."""
@@ -42,6 +44,7 @@ def sorted_groups(df, keys, work, schema, partitions, order=()):
     For groups of bounded size: rows of one key meet in one task.
     """
     def run(frames):
+        forget_others()
         for frame in whole_groups(frames, keys):
             yield work(frame)
 

@@ -18,7 +18,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 
-from ligneo.llm.common import fresh, plain, shared_folder, shuffle_width, stored
+from ligneo.llm.common import forget_others, fresh, plain, shared_folder, shuffle_width, stored
 from ligneo.llm.registry import query, table
 
 ORDER, BITS = 4, 15
@@ -110,6 +110,7 @@ def write_blocks(docs, folder, block_chars):
     spark = docs.sparkSession
 
     def pack(batches):
+        forget_others()
         task, number, rows, held = TaskContext.get().partitionId(), 0, [], 0
         squeeze = zstandard.ZstdCompressor(level=5)
         types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.binary()]
@@ -152,6 +153,7 @@ def count_grams(blocks, trusted_rows):
     """(block, grams, counts), one row per block, from the blocks and (block, places) of the trusted texts to train on."""
 
     def count(batches):
+        forget_others()
         for batch in batches:
             for block, chars, texts, places in zip(*batch.columns):
                 chars = chars.as_py()
@@ -211,6 +213,7 @@ def score_blocks(blocks, answers):
     """One row per document: (key, doc_id, lang, chars, held_out, score); `answers` holds (block, logs), sorted by n-gram."""
 
     def score(batches):
+        forget_others()
         for batch in batches:
             for keys, ids, langs, chars, held_out, texts, logs in zip(*batch.columns):
                 n = chars.as_py()

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ligneo.llm.common import fresh, mix64, plain, running_offsets, shared_folder, shuffle_width, stored
+from ligneo.llm.common import forget_others, fresh, mix64, plain, running_offsets, shared_folder, shuffle_width, stored
 from ligneo.llm.groups import group_bounds, sorted_groups
 from ligneo.llm.registry import query, table
 from ligneo.llm.words import FACTOR, NO_WORD, shingles, token_hashes, word_hashes
@@ -107,6 +107,7 @@ def read_words(docs, min_words):
     """(doc, doc_id, words) of the documents long enough to hold a passage, words by 16 bits each; doc is a hash of id and text."""
 
     def read(batches):
+        forget_others("words")
         for batch in batches:
             rows = []
             for own, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -596,6 +597,7 @@ def without_repetitions(docs, folder=None, **options):
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
+        forget_others("words")
         return pd.Series([without_spans(t, [(s["start_word"], s["end_word"]) for s in found]) for t, found in zip(texts, spans)])
 
     touched = met.filter(F.col(held).isNotNull()).withColumn("text", cut("text", held)).filter(F.col("text").rlike(r"\w"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from ligneo.llm.common import fresh, mix64, plain, shared_folder, shuffle_width, stored
+from ligneo.llm.common import forget_others, fresh, mix64, plain, shared_folder, shuffle_width, stored
 from ligneo.llm.components import components
 from ligneo.llm.groups import group_bounds, local_roots, sorted_groups
 from ligneo.llm.registry import query, table
@@ -75,6 +75,7 @@ def sketch(docs, k):
     """(doc_id, node, size, signature, text_hash) per document; node, a hash of the shingle set, is null without words."""
 
     def make(batches):
+        forget_others("words")
         for batch in batches:
             out = []
             for text in batch.column(1):
@@ -240,6 +241,7 @@ def verified_links(docs, nodes, roots, folder, similarity, k, tile_shingles=100_
     met = texts.join(members.hint("merge"), texts.doc_id.eqNullSafe(members.id) & (texts.text_hash == members.h)).select("text", "node", "root", "copies", "chunks")
 
     def sets(frames):
+        forget_others("words")
         for frame in frames:
             found = [np.unique(shingles(word_hashes(t), k)).tobytes() for t in frame["text"]]
             yield frame.drop(columns="text").assign(shingles=found)

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ligneo.llm.common import forget_others, kept_for
+
 # Over these characters alone the pieces below are exactly the tokenizer's own pre-tokens; a text with any other character,
 # or with white space this leaves unmatched, or with an added token of the tokenizer's, goes to the library as a whole.
 LETTERS, MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
@@ -121,7 +123,7 @@ class TextEncoder:
                 yield ids[np.repeat(starts[own] - upto + n, n) + np.arange(upto[-1])]
 
 
-ENCODERS = {}
+ENCODERS = kept_for("tokens", {})
 
 
 def encoder(path):
@@ -145,6 +147,7 @@ def chunks(column, most_bytes):
 
 def encoded(column, path, end_id, most_bytes=8_000_000):
     """Yield the ids of each text of an Arrow column, null as empty, with the end id."""
+    forget_others("tokens")
     own, end = encoder(path), np.array([end_id], dtype="<u4")
     for texts in chunks(column, most_bytes):
         for ids in own.encode(texts):

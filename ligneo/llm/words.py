@@ -3,7 +3,7 @@
 import numpy as np
 import xxhash
 
-from ligneo.llm.common import mix64
+from ligneo.llm.common import kept_for, mix64
 
 FACTOR = 0x9E3779B97F4A7C15
 NO_WORD = 0
@@ -23,7 +23,7 @@ class WordHashes(dict):
         return value
 
 
-HASHES = WordHashes()
+HASHES = kept_for("words", WordHashes())
 
 
 def token_hashes(text):
