@@ -16,6 +16,7 @@ is a passage. Runs of `min_words` equal words that no passage holds after that m
 Words are compared by 16 bits of their hash: one in 65,536 unequal words counts as equal.
 """
 
+import math
 from functools import partial
 
 import numpy as np
@@ -33,6 +34,8 @@ from ligneo.llm.words import FACTOR, NO_WORD, shingles, token_hashes, word_hashe
 HALF, SAMPLE = 3, 3  # words on either side of the free word of a spaced seed; one in SAMPLE of their hashes, by value alone
 K, WINDOW, WEIGHT, GAP_COST = 8, 32, 8.0, 0.15
 DROP = 12
+JUMPS = ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2), (2, 0), (0, 2), (2, 2), (3, 3), (3, 0), (0, 3))
+PAD = 6  # words of either side that `grow` looks at for a jump
 CHANCE = 3  # fewer words past the end of a passage that one more document has as well are chance, as for `grow`
 LAST = (1 << 63) - 1  # the place of a null id
 AT = 28  # bits of a place that count words; documents of more words are refused
@@ -156,14 +159,15 @@ def seed_rows(links):
     types = [pa.int64(), pa.int64(), pa.bool_()] if links else [pa.int64()] * 3
 
     def block(rows):
+        rows = sorted(rows, key=lambda row: row[0])  # part files are read in any order
         lengths = np.array([len(data) // 2 for _, data in rows])
         owner = np.repeat(np.arange(len(rows)), lengths)
         begins = np.cumsum(lengths) - lengths
         seeds, at, asking = document_seeds(widened(b"".join(data for _, data in rows)), owner)
         numbers = np.array([number for number, _ in rows], dtype=np.int64)
         places = (numbers[owner[at]] << AT) + at - begins[owner[at]]
-        order = np.lexsort((places, seeds))
-        own = order[~asking[order]]
+        owned = np.flatnonzero(~asking)  # those of one kind stand in the order of their places, and no seed is of both kinds
+        own = owned[np.argsort(seeds[owned], kind="stable")]
         held, at = seeds[own], places[own]
         new = np.ones(len(own), dtype=bool)
         new[1:] = held[1:] != held[:-1]
@@ -310,26 +314,52 @@ def chains_of_pairs(frame, min_words=50, max_gap=64):
     A chain within words that a better one covers exactly, for a whole passage, brings nothing new: a page of one word would
     give one for every word.
     """
-    out = []
-    x, y, whole = frame["x"].to_numpy(), frame["y"].to_numpy(), frame["whole"].to_numpy(dtype=bool)
-    doc, other = frame["doc"].to_numpy(), frame["other"].to_numpy()
+    doc, other, x, y, whole = (frame[c].to_numpy() for c in ("doc", "other", "x", "y", "whole"))
     starts, ends = group_bounds(frame, ["doc", "other", "part"])
-    for a, b in zip(starts, ends):
-        order = a + np.lexsort((~whole[a:b], y[a:b], x[a:b]))
-        first = np.ones(len(order), dtype=bool)  # repeated rows bring a match twice
-        first[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)
-        px, py, pw = x[order[first]], y[order[first]], whole[order[first]]
-        low = int(px.min())
-        covered = np.zeros(int(px.max()) + K - low, dtype=bool)
-        for chain in chain_matches(px, py, max_gap):
-            cx, cy, cw = px[chain].astype("<i4"), py[chain].astype("<i4"), pw[chain]
+    group = np.repeat(np.arange(len(starts)), ends - starts)
+    order = np.lexsort((~whole.astype(bool), y, x, group))
+    first = np.ones(len(order), dtype=bool)  # repeated rows bring a match twice
+    first[1:] = (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0) | (np.diff(group[order]) != 0)
+    order = order[first]
+    px, py, pw = x[order].astype("<i4"), y[order].astype("<i4"), whole[order].astype(bool)
+    begins = np.searchsorted(group[order], np.arange(len(starts)))
+    ends = np.append(begins[1:], len(order))
+    plain_ones = dense_groups(px, py, begins, max_gap)
+    at, to = begins[plain_ones], ends[plain_ones] - 1
+    which = starts[plain_ones]
+    bits = [(px[a:b + 1].tobytes(), py[a:b + 1].tobytes()) for a, b in zip(at.tolist(), to.tolist())]
+    done = pd.DataFrame({"doc": doc[which], "other": other[which], "xs": [b[0] for b in bits], "ys": [b[1] for b in bits], "x0": px[at], "x1": px[to], "y0": py[at], "y1": py[to]})
+    out = []
+    for n in np.flatnonzero(~plain_ones).tolist():
+        a, b = begins[n], ends[n]
+        qx, qy, qw = px[a:b], py[a:b], pw[a:b]
+        low = int(qx.min())
+        covered = np.zeros(int(qx.max()) + K - low, dtype=bool)
+        best = None
+        for chain in chain_matches(qx, qy, max_gap):
+            if best is not None:  # the last chain covers nothing for another
+                for start, end in exact_spans(*best):
+                    if end - start >= min_words:
+                        covered[start - low:end - low] = True
+                best = None
+            cx, cy, cw = qx[chain], qy[chain], qw[chain]
             if covered[cx[0] - low:cx[-1] + K - low].all():
                 continue
-            for start, end in exact_spans(cx[cw], cy[cw]):
-                if end - start >= min_words:
-                    covered[start - low:end - low] = True
-            out.append((doc[a], other[a], cx.tobytes(), cy.tobytes(), int(cx[0]), int(cx[-1]), int(cy[0]), int(cy[-1])))
-    return pd.DataFrame(out, columns=["doc", "other", "xs", "ys", "x0", "x1", "y0", "y1"])
+            if cw.any() and cx[-1] - cx[0] + K >= min_words:
+                best = cx[cw], cy[cw]
+            out.append((doc[starts[n]], other[starts[n]], cx.tobytes(), cy.tobytes(), int(cx[0]), int(cx[-1]), int(cy[0]), int(cy[-1])))
+    return pd.concat([done, pd.DataFrame(out, columns=done.columns)], ignore_index=True) if out else done
+
+
+def dense_groups(x, y, begins, max_gap):
+    """Which groups of sorted matches are one chain at once: of one shift, and each match so near the one before that it adds to the score."""
+    near = min(max_gap, math.ceil(WEIGHT / (2 * GAP_COST)) - 1)
+    new = np.zeros(len(x), dtype=bool)
+    new[begins] = True
+    broken = np.zeros(len(x), dtype=np.int64)
+    broken[1:] = (np.diff(y - x) != 0) | (np.diff(x) > near)
+    broken[new] = 0
+    return np.add.reduceat(broken, begins) == 0
 
 
 def grow(a, b):
@@ -356,8 +386,8 @@ def grow(a, b):
                         matched.append((i + begin, j + begin, stop - begin))
                     begin = stop + 1
                 i, j = i + end, j + end
-        mine, others = a[i:i + 6].tolist(), b[j:j + 6].tolist()
-        for di, dj in ((1, 0), (0, 1), (1, 1), (2, 1), (1, 2), (2, 0), (0, 2), (2, 2), (3, 3), (3, 0), (0, 3)):
+        mine, others = a[i:i + PAD].tolist(), b[j:j + PAD].tolist()
+        for di, dj in JUMPS:
             if di + 3 <= len(mine) and dj + 3 <= len(others) and mine[di:di + 3] == others[dj:dj + 3]:
                 i, j = i + di, j + dj
                 break
@@ -394,6 +424,53 @@ def aligned(a, b, xs, ys):
     return np.repeat(at, run) + inside, np.repeat(to, run) + inside
 
 
+def grown_at_once(words, a, b, step, left, right):
+    """For many pairs of places at once: how far `grow` goes on the diagonal, and whether it ends there.
+
+    `words` holds all texts end to end; pair i starts at words a[i] and b[i] and goes by `step` through left[i] and right[i] words.
+    """
+    n = np.minimum(left, right)
+    ahead = np.arange(int(n.max(initial=0)) + PAD)
+    mine = np.where(ahead < left[:, None], words[np.clip(a[:, None] + step * ahead, 0, len(words) - 1)], -1)
+    others = np.where(ahead < right[:, None], words[np.clip(b[:, None] + step * ahead, 0, len(words) - 1)], -2)
+    inside = ahead < n[:, None]
+    score = np.where(mine == others, 1, -2).cumsum(axis=1, dtype=np.int32)
+    fallen = np.logical_or.accumulate((np.maximum.accumulate(score, axis=1) - score > DROP) | ~inside, axis=1)
+    score[fallen] = -1
+    best = score.argmax(axis=1)
+    rows = np.arange(len(n))
+    reach = np.where(score[rows, best] > 0, best + 1, 0)
+    next_ones = rows[:, None], reach[:, None] + np.arange(PAD)
+    mine, others = mine[next_ones], others[next_ones]
+    ends = np.ones(len(n), dtype=bool)
+    for di, dj in JUMPS:
+        ends &= ~(mine[:, di:di + 3] == others[:, dj:dj + 3]).all(axis=1)
+    return reach, ends | (reach == n)
+
+
+def straight_spans(words, low, xs, ys, first, second, step=1000):
+    """(known, start, end, other start) of chains, by the rows of their sides: where `aligned` stays on one diagonal, the stretch it finds.
+
+    Those are the chains of one shift that `grow` prolongs without a jump; their matched positions are the equal words of the stretch.
+    """
+    out = []
+    for begin in range(0, len(first), step):
+        i, j = first[begin:begin + step], second[begin:begin + step]
+        size = np.array([len(words[n]) // 2 for n in np.concatenate([i, j])])
+        ends = np.cumsum(size)
+        offset = ends - size
+        data = np.frombuffer(b"".join([words[n] for n in np.concatenate([i, j])]), dtype="<u2").astype(np.int32)
+        seeds = [(np.frombuffer(xs[n], dtype="<i4"), np.frombuffer(ys[n], dtype="<i4")) for n in i]
+        straight = np.array([len(x) == 1 or bool((y - x == y[0] - x[0]).all()) for x, y in seeds])
+        x0, x1 = (np.array([x[at] for x, _ in seeds]) - low[i] for at in (0, -1))
+        y0, y1 = (np.array([y[at] for _, y in seeds]) - low[j] for at in (0, -1))
+        a, b = offset[:len(i)], offset[len(i):]
+        left, left_ends = grown_at_once(data, a + x0 - 1, b + y0 - 1, -1, x0, y0)
+        right, right_ends = grown_at_once(data, a + x1, b + y1, 1, size[:len(i)] - x1, size[len(i):] - y1)
+        out.append((straight & left_ends & right_ends, x0 - left, x1 + right, y0 - left))
+    return [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, dtype=np.int64)] * 4
+
+
 def align_chains(min_words, identity, break_words=10):
     """Passages of the aligned chains in a frame with one row per chain and side."""
 
@@ -402,18 +479,25 @@ def align_chains(min_words, identity, break_words=10):
         starts, ends = group_bounds(frame, ["chain"])
         side, words, low = frame["side"].to_numpy(), frame["slice"].to_numpy(), frame["low"].to_numpy()
         doc, other, xs_all, ys_all = (frame[c].to_numpy() for c in ("doc", "other", "xs", "ys"))
-        for begin, end in zip(starts, ends):
-            rows = {side[i]: i for i in range(begin, end)}
-            if len(rows) < 2:
-                continue
-            i, j = rows[0], rows[1]
+        both = starts[ends - starts == 2]
+        first = both + (side[both] != 0)
+        second = 2 * both + 1 - first
+        known, x0, x1, y0 = straight_spans(words, low, xs_all, ys_all, first, second)
+        open_ones = np.flatnonzero(~known.astype(bool) | (x1 - x0 >= min_words))  # the others are too short
+        columns = (c[open_ones].tolist() for c in (first, second, known, x0, x1, y0))
+        for i, j, straight, start, end, to in zip(*columns):
             a, b = np.frombuffer(words[i], dtype="<u2"), np.frombuffer(words[j], dtype="<u2")
-            xs, ys = np.frombuffer(xs_all[i], dtype="<i4") - low[i], np.frombuffer(ys_all[i], dtype="<i4") - low[j]
-            mx, my = aligned(a, b, xs, ys)
+            if straight:
+                mx = (a[start:end] == b[to:to + end - start]).nonzero()[0] + start
+                my = mx + (to - start)
+            else:
+                xs, ys = np.frombuffer(xs_all[i], dtype="<i4") - low[i], np.frombuffer(ys_all[i], dtype="<i4") - low[j]
+                mx, my = aligned(a, b, xs, ys)
             if max(mx[-1] - mx[0], my[-1] - my[0]) + 1 < min_words:
                 continue
-            cut = np.flatnonzero((np.diff(mx) > break_words) | (np.diff(my) > break_words)) + 1
-            for px, py in zip(np.split(mx, cut), np.split(my, cut)):
+            cut = (((mx[1:] - mx[:-1]) > break_words) | ((my[1:] - my[:-1]) > break_words)).nonzero()[0] + 1
+            parts = zip(np.split(mx, cut), np.split(my, cut)) if len(cut) else [(mx, my)]
+            for px, py in parts:
                 length = max(px[-1] - px[0], py[-1] - py[0]) + 1
                 if length >= min_words and len(px) >= identity * length:
                     out.append((doc[i], other[i], int(px[0] + low[i]), int(px[-1] + low[i] + 1), int(py[0] + low[j]), int(py[-1] + low[j] + 1), len(px)))
@@ -421,7 +505,7 @@ def align_chains(min_words, identity, break_words=10):
         found = pd.DataFrame(out, columns=names).astype("int64")
         # Chains of one pair can grow into each other: of passages that end where or before an earlier one does, the first stays.
         found = found.sort_values(["doc", "other", "start_word", "end_word", "matched_words"], ascending=[True, True, True, False, False])
-        earlier = found.groupby(["doc", "other"])["end_word"].transform(lambda e: e.cummax().shift(fill_value=-1))
+        earlier = found.groupby(["doc", "other"])["end_word"].cummax().groupby([found["doc"], found["other"]]).shift(fill_value=-1)
         return found[found["end_word"] > earlier]
 
     return work

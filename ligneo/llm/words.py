@@ -1,11 +1,14 @@
 """Hashed words and word shingles of whole texts."""
 
+from string import punctuation
+
 import numpy as np
 import xxhash
 
 from ligneo.llm.common import kept_for, mix64
 
 FACTOR = 0x9E3779B97F4A7C15
+INVERSE = pow(FACTOR, -1, 1 << 64)
 NO_WORD = 0
 
 
@@ -15,8 +18,10 @@ class WordHashes(dict):
     def __missing__(self, token):
         word = token.lower()
         if not word.isalnum():
-            letters = [i for i, c in enumerate(word) if c.isalnum()]
-            word = word[letters[0]:letters[-1] + 1] if letters else ""
+            word = word.strip(punctuation)
+            if word and not (word[0].isalnum() and word[-1].isalnum()):  # marks beyond ASCII
+                letters = [i for i, c in enumerate(word) if c.isalnum()]
+                word = word[letters[0]:letters[-1] + 1] if letters else ""
         value = (xxhash.xxh64_intdigest(word) or 1) if word else NO_WORD
         if len(self) < 200_000:
             self[token] = value
@@ -42,6 +47,12 @@ def shingles(words, k):
     if len(words) == 0:
         return words
     k = min(k, len(words))
+    if k > 16:  # differences of running sums, with the power of the first word taken out again: the same numbers, whatever k
+        powers, inverses = (np.full(len(words), f, dtype=np.uint64) for f in (FACTOR, INVERSE))
+        powers[0] = inverses[0] = 1
+        sums = np.zeros(len(words) + 1, dtype=np.uint64)
+        np.cumsum(words * np.multiply.accumulate(powers), out=sums[1:])
+        return mix64((sums[k:] - sums[:-k]) * np.multiply.accumulate(inverses)[:len(words) - k + 1])
     total, power = np.zeros(len(words) - k + 1, dtype=np.uint64), 1
     for j in range(k):
         total += words[j:len(words) - k + 1 + j] * np.uint64(power)
