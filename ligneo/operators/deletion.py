@@ -5,7 +5,6 @@ import unicodedata
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from ligneo.catalogue import RAA_FEATURE_WORDS
 from ligneo.functions.text import dmy, field
 from ligneo.operators.skew import rank_in_group, spread_join, top_in_group
+from ligneo.operators.trees import CodedTrees
 from ligneo.session import cut_lineage
 
 CATEGORICAL = ["sexe", "forme", "um", "secteur", "mode_legal", "nature", "lieu", "modalite", "categorie", "liberal",
@@ -119,8 +119,8 @@ def classifier(rounds=400, step=0.05, depth=5, min_rows_per_leaf=30, seed=2026)
         StringIndexer(inputCols=named, outputCols=indexed, handleInvalid="keep"),
         OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=False),
         VectorAssembler(inputCols=coded + NUMERIC, outputCol="features"),
-        GBTClassifier(
-            labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, stepSize=step, maxDepth=depth,
+        CodedTrees(
+            zip(indexed, coded), NUMERIC, labelCol="label", featuresCol="features", weightCol="weight", maxIter=rounds, stepSize=step, maxDepth=depth,
             minInstancesPerNode=min_rows_per_leaf, seed=seed,
         ),
     ])
@@ -130,11 +130,8 @@ ROWS_PER_TASK = 100_000
 
 
 def weighted(examples: DataFrame, rows_per_task=ROWS_PER_TASK) -> DataFrame:
-    """Examples with label and weight, dealt into parts of about `rows_per_task` rows.
-
-    The trees keep their input in memory, several times wider than the files it is read from, and read a whole part of it in
-    every task; so the parts follow the number of rows, not the size of the files.
-    """
+    """Examples with label and weight, dealt into parts of about `rows_per_task` rows, so that a few large files are as many tasks as
+    many small ones."""
     label = F.col("supprimee").cast("double")
     totals = examples.agg(F.count(F.lit(1)).alias("n"), (F.sum(1 - label) / F.greatest(F.sum(label), F.lit(1.0))).alias("share")).first()
     dealt = examples.repartition(max(1, -(-totals["n"] // rows_per_task)), "file_path", "line_no")
@@ -146,18 +143,19 @@ def weighted(examples: DataFrame, rows_per_task=ROWS_PER_TASK) -> DataFrame:
 def train(examples: DataFrame, **options):
     """(model, card). `examples` has month_no; the last month is held out, the final fit uses all of them."""
     examples = cut_lineage(examples)
+    fit = lambda rows: classifier(**options).fit(cut_lineage(weighted(rows.select("file_path", "line_no", *CATEGORICAL, *NUMERIC, "supprimee"))))
     months = examples.agg(F.array_sort(F.collect_set("month_no")).alias("months")).first()["months"]
     if len(months) < 2:
         raise ValueError("at least two corrected months are needed: one to learn, one to check")
     holdout = months[-1]
-    learned = classifier(**options).fit(weighted(examples.filter(F.col("month_no") < holdout)))
+    learned = fit(examples.filter(F.col("month_no") < holdout))
     scored = cut_lineage(with_probability(learned, examples.filter(F.col("month_no") == holdout)))
     card = evaluate(scored)
     # Any threshold down to the next lower score judges the holdout alike; the middle suits the final fit, whose scores differ a little.
     below = scored.filter(F.col("probability") < card["threshold"]).agg(F.max("probability")).first()[0]
     card["threshold"] = card["threshold"] if below is None else (card["threshold"] + below) / 2
     card.update(holdout_month=holdout, training_months=months[:-1])
-    return classifier(**options).fit(weighted(examples)), card
+    return fit(examples), card
 
 
 def with_probability(model, examples: DataFrame) -> DataFrame:
