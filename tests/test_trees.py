@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -118,3 +120,29 @@ def test_rows_alike_make_one_leaf(spark):
     model = fitted(coded(maxIter=2, maxDepth=3), learned)
     found = probabilities(model, learned)
     assert model.stages[-1].trees[0].numNodes == 1 and found.min() > 0.8 and found.max() - found.min() < 1e-9
+
+
+def test_what_is_promoted_scores_as_what_was_trained_and_rounds_leave_nothing(spark, tmp_path):
+    """The model a promotion stores is the one grown from codes; blocks of earlier rounds do not stay in the shared folder."""
+    from ligneo.session import shared_folder
+
+    draw = lambda seed, top: F.expr(f"CAST(pmod(xxhash64(id, {seed}), {top}) AS STRING)")
+    examples = spark.range(3000).select(
+        F.lit("f").alias("file_path"), F.col("id").alias("line_no"), (F.col("id") % 3).cast("int").alias("month_no"),
+        *[draw(i, 3 + i).alias(c) for i, c in enumerate(deletion.CATEGORICAL)],
+        *[draw(50 + i, 9).cast("double").alias(c) for i, c in enumerate(deletion.NUMERIC)],
+    ).withColumn("supprimee", F.expr("um = '1' OR age > 7")).cache()
+    stages = deletion.classifier().getStages()
+    assert isinstance(stages[-1], trees.CodedTrees) and stages[-1].getMaxIter() == 400
+    folder = shared_folder(spark).removeprefix("file://").removeprefix("file:")
+    left = []
+    for rounds in (1, 4):
+        before = set(os.listdir(folder))
+        model, card = deletion.train(examples, rounds=rounds, step=0.3)
+        left.append(len(set(os.listdir(folder)) - before))
+    assert left[0] == left[1] > 0
+    assert card["auprc"] > 0.95 and card["holdout_month"] == 2
+    assert deletion.promote_if_better(spark, model, card, examples.filter("month_no = 2"), str(tmp_path / "m"), "v1") == (True, None)
+    loaded, _ = deletion.load_model(spark, str(tmp_path / "m"))
+    scores = lambda m: [tuple(r) for r in deletion.with_probability(m, examples).orderBy("line_no").collect()]
+    assert scores(loaded) == scores(model)
